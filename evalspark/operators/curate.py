@@ -19,14 +19,14 @@ def search_samples(samples: DataFrame, text: str) -> DataFrame:
 
 
 def distinct_roles(samples: DataFrame) -> DataFrame:
-    """Non-empty roles in first-seen order."""
+    """Non-empty roles in first-seen order, with the sample and turn that showed each first."""
     seen = samples.select("original_index", F.posexplode("turns").alias("pos", "t"))
     return first_seen(seen.select(F.col("t.role").alias("role"), "original_index", "pos"), "role", ["original_index", "pos"])
 
 
 def first_seen(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     first = df.where(F.col(column) != "").groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.orderBy("_first").select(column)
+    return first.orderBy("_first").select(column, "_first.*")
 
 
 def edit_meta(samples: DataFrame, value: str) -> DataFrame:
