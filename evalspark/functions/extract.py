@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.jsons import extract_json_text, json_kind, json_map, json_member_raw, json_string
+from evalspark.functions.jsons import json_kind, json_map, json_member_raw, json_string
+from evalspark.functions.staged import Stages
 from evalspark.functions.text import D, S, W, strip
 
 BOXED_INT = rf"\\boxed\{{({D}+)\}}"
@@ -57,33 +58,24 @@ def tool_parts(text: Column) -> Column:
     )
 
 
-def solution_answer(text: Column) -> Column:
-    """Answer inside already unwrapped output: struct(value, raw).
+def solution_answer(text: Column, let: Stages) -> Column:
+    """Answer inside already unwrapped output; null when a JSON ``answer`` is not text.
 
-    ``value`` is the answer text. When the output is a JSON object whose ``answer`` is
-    a non-empty list, object or number, ``value`` is null and ``raw`` holds its JSON text.
+    Order: solution tag, answer tag, ``answer`` member or JSON string, whole text. Empty
+    and falsy values fall through to the next form.
     """
-    tagged = strip(F.regexp_extract(text, SOLUTION_TAG, 1))
-    bracketed = strip(F.regexp_extract(text, ANSWER_TAG, 1))
-    trimmed = strip(text)
-    kind = json_kind(trimmed)
-    raw = json_member_raw(trimmed, "answer")
-    # Falsy JSON values fall through to the whole text.
+    tagged = let(strip(F.regexp_extract(text, SOLUTION_TAG, 1)))
+    bracketed = let(strip(F.regexp_extract(text, ANSWER_TAG, 1)))
+    trimmed = let(strip(text))
+    # Only texts that open like an object or a string can hold a JSON answer.
+    kind = let(F.when(trimmed.startswith("{") | trimmed.startswith('"'), json_kind(trimmed)))
+    raw = let(F.when(kind == "object", json_member_raw(trimmed, "answer")))
     truthy = raw.isNotNull() & ~raw.isin("null", "false", "0", "-0", '""', "[]", "{}")
-    from_json = (
-        F.when((kind == "object") & truthy & raw.startswith('"'), _plain(F.try_element_at(json_map(trimmed), F.lit("answer"))))
-        .when((kind == "object") & truthy, F.struct(F.lit(None).cast("string").alias("value"), raw.alias("raw")))
-        .when((kind == "string") & (json_string(trimmed) != ""), _plain(json_string(trimmed)))
+    quoted = let(F.when(kind == "string", F.nullif(json_string(trimmed), F.lit(""))))
+    return let(
+        F.when(tagged != "", tagged)
+        .when(bracketed != "", bracketed)
+        .when(truthy & raw.startswith('"'), F.try_element_at(json_map(trimmed), F.lit("answer")))
+        .when(truthy, F.lit(None).cast("string"))
+        .otherwise(F.coalesce(quoted, trimmed))
     )
-    return F.when(tagged != "", _plain(tagged)).when(bracketed != "", _plain(bracketed)).otherwise(
-        F.coalesce(from_json, _plain(trimmed))
-    )
-
-
-def _plain(value: Column) -> Column:
-    return F.struct(value.alias("value"), F.lit(None).cast("string").alias("raw"))
-
-
-def solution_text(text: Column) -> Column:
-    """Answer text of a raw model output, unwrapping fences first."""
-    return solution_answer(extract_json_text(text))["value"]

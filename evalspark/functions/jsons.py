@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions.staged import Stages
 from evalspark.functions.text import S, strip
 
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
@@ -91,18 +92,24 @@ def dumped_json(text: Column) -> Column:
     return _rewrite(compact, space)
 
 
-def fenced_json(text: Column) -> Column:
+def fenced_json(text: Column, let: Stages) -> Column:
     """Content of the first ```json block; null when there is none."""
-    return F.when(text.rlike(JSON_FENCE), F.regexp_extract(text, JSON_FENCE, 1))
+    block = let(_first_match(text, JSON_FENCE, "```json"))
+    return F.when(block != "", F.regexp_extract(block, JSON_FENCE, 1))
 
 
-def extract_json_text(text: Column) -> Column:
+def _first_match(text: Column, pattern: str, must_hold: str) -> Column:
+    """First match or empty; the plain substring test spares most rows the pattern."""
+    return F.when(F.contains(text, F.lit(must_hold)), F.regexp_extract(text, pattern, 0)).otherwise("")
+
+
+def extract_json_text(text: Column, let: Stages) -> Column:
     """```json block, else bare block holding JSON, else trimmed JSON, else the text itself."""
-    bare = strip(F.regexp_extract(text, BARE_FENCE, 1))
-    trimmed = strip(text)
-    return F.coalesce(
-        strip(fenced_json(text)),
-        F.when(bare.rlike(r"^[{\[]"), bare),
-        F.when(trimmed.rlike(r"^[{\[]"), trimmed),
-        text,
-    )
+    fenced = fenced_json(text, let)
+    bare = let(strip(F.regexp_extract(_first_match(text, BARE_FENCE, "```"), BARE_FENCE, 1)))
+    trimmed = let(strip(text))
+    return let(F.coalesce(strip(fenced), F.when(_opens_json(bare), bare), F.when(_opens_json(trimmed), trimmed), text))
+
+
+def _opens_json(text: Column) -> Column:
+    return text.startswith("{") | text.startswith("[")

@@ -14,7 +14,7 @@ def no_details() -> Column:
 
 
 def _boxes(case: Case) -> tuple[Column, Column, Column]:
-    got, want = boxed_int(case.model_output), boxed_int(case.reference_output)
+    got, want = case.let(boxed_int(case.model_output)), case.let(boxed_int(case.reference_output))
     return got, want, (got == want) & (got != "")
 
 
@@ -34,7 +34,7 @@ def box(case: Case) -> Column:
 @register_scorer("equal_check", "Whole text equal after trimming and dropping a final full stop")
 def equal_check(case: Case) -> Column:
     text = case.model_output
-    trimmed = strip(text)
+    trimmed = case.let(strip(text))
     # The dropped character is the last one of the untrimmed output.
     shortened = F.when(trimmed.endswith("."), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     same = strip(shortened) == strip(case.reference_output)
@@ -49,11 +49,11 @@ def str_check(case: Case) -> Column:
 
 @register_scorer("agent_instruct_score", "Answer and action fields, with a bonus for the value field")
 def agent_instruct(case: Case) -> Column:
-    got, want = agent_fields(case.model_output), agent_fields(case.reference_output)
+    got, want = case.let(agent_fields(case.model_output)), case.let(agent_fields(case.reference_output))
     answer, action = got["answer"] == want["answer"], got["action"] == want["action"]
     value = (want["value"] != "") & F.contains(F.lower(got["value"]), F.lower(want["value"]))
-    base = F.when(answer & action, 1.0).when(answer | action, 0.5).otherwise(0.0)
-    total = F.when(value & (base > 0), F.least(F.lit(1.0), base + 0.2)).otherwise(base)
+    base = case.let(F.when(answer & action, 1.0).when(answer | action, 0.5).otherwise(0.0))
+    total = case.let(F.when(value & (base > 0), F.least(F.lit(1.0), base + 0.2)).otherwise(base))
     details = F.struct(
         got["answer"].alias("model_answer"), want["answer"].alias("reference_answer"),
         got["action"].alias("model_action"), want["action"].alias("reference_action"),

@@ -150,9 +150,8 @@ def _rules(raw: Column, text: Column, detected: Column) -> dict:
     }
 
 
-def check(instruction_id: Column, kwarg: Column, raw: Column, detected: Column | None = None) -> Column:
-    """Whether ``raw`` follows one instruction. Unknown ids and missing arguments fail."""
-    text = strip(raw)
+def check(instruction_id: Column, kwarg: Column, raw: Column, text: Column, detected: Column | None = None) -> Column:
+    """Whether ``raw`` (``text`` when trimmed) follows one instruction. Unknown ids and missing arguments fail."""
     detected = F.lit(None).cast("string") if detected is None else detected
     name = F.replace(instruction_id, F.lit(":"), F.lit("_"))
     passed = None
@@ -175,11 +174,13 @@ def parse_spec(reference: Column) -> Column:
 
 @register_scorer("ifeval_full_scorer", "Share of followed instructions; bad unless all are followed")
 def ifeval(case: Case) -> Column:
-    spec = parse_spec(case.reference_output)
+    let = case.let
+    spec = let(parse_spec(case.reference_output))
+    text = let(strip(case.model_output))
     ids, kwargs = spec["instruction_id_list"], spec["kwargs"]
     pairs = F.arrays_zip(ids.alias("id"), kwargs.alias("kwarg"))
-    total, given = F.coalesce(F.size(ids), F.lit(-1)), F.coalesce(F.size(kwargs), F.lit(-1))
-    problem = (
+    total, given = let(F.coalesce(F.size(ids), F.lit(-1))), F.coalesce(F.size(kwargs), F.lit(-1))
+    problem = let(
         F.when(F.coalesce(json_kind(case.reference_output) != "object", F.lit(True)), "Reference format error")
         .when(total <= 0, F.lit(None).cast("string"))
         .when(total != given, "Metadata mismatch")
@@ -189,14 +190,13 @@ def ifeval(case: Case) -> Column:
         F.filter(pairs, lambda p: _has_kwargs(p["kwarg"])),
         lambda p: F.struct(
             p["id"].alias("instruction_id"),
-            check(p["id"], p["kwarg"], case.model_output, case.detected_lang).alias("passed"),
+            check(p["id"], p["kwarg"], case.model_output, text, case.detected_lang).alias("passed"),
             p["kwarg"].alias("kwargs"),
         ),
     )
     usable = problem.isNull() & (total > 0)
-    results = F.when(usable, breakdown)
-    passed = F.size(F.filter(results, lambda r: r["passed"]))
-    # A struct built once, so the checks run once although score and details both read it.
+    results = let(F.when(usable, breakdown))
+    passed = let(F.size(F.filter(results, lambda r: r["passed"])))
     score = (
         F.when(problem.isNotNull(), 0.0).when(total <= 0, 1.0).otherwise(passed / F.nullif(total, F.lit(0)))
     )
@@ -216,12 +216,12 @@ def ifeval_checks(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     spec = parse_spec(F.col("reference_output"))
     detected = F.col("detected_lang") if "detected_lang" in df.columns else None
     return (
-        df.withColumn("_spec", spec)
-        .select(*keys, "model_output", *(["detected_lang"] if detected is not None else []),
+        df.withColumns({"_spec": spec, "_text": strip(F.col("model_output"))})
+        .select(*keys, "model_output", "_text", *(["detected_lang"] if detected is not None else []),
                 F.posexplode(F.arrays_zip(F.col("_spec.instruction_id_list").alias("id"), F.col("_spec.kwargs").alias("kwarg"))).alias("pos", "_pair"))
         .where(_has_kwargs(F.col("_pair.kwarg")))
         .select(*keys, "pos", F.col("_pair.id").alias("instruction_id"),
-                check(F.col("_pair.id"), F.col("_pair.kwarg"), F.col("model_output"), detected).alias("passed"))
+                check(F.col("_pair.id"), F.col("_pair.kwarg"), F.col("model_output"), F.col("_text"), detected).alias("passed"))
     )
 
 

@@ -15,7 +15,7 @@ from evalspark.functions.jsons import (
     json_member_raw,
     json_string,
 )
-from evalspark.functions.text import strip
+from evalspark.functions.text import S, strip
 from evalspark.operators.scoring import Case, bad_unless, outcome, register_scorer
 
 
@@ -26,16 +26,17 @@ def _shown(member: Column) -> Column:
 
 @register_scorer("json_check", "Share of reference keys with an equal value in the output object")
 def json_check(case: Case) -> Column:
-    got_text, want_text = extract_json_text(case.model_output), extract_json_text(case.reference_output)
-    got_kind, want_kind = json_kind(got_text), json_kind(want_text)
-    got, want = json_map(got_text), json_map(want_text)
+    let = case.let
+    got_text, want_text = extract_json_text(case.model_output, let), extract_json_text(case.reference_output, let)
+    got_kind, want_kind = let(json_kind(got_text)), let(json_kind(want_text))
+    got, want = let(json_map(got_text)), let(json_map(want_text))
     equal = F.map_filter(
         want, lambda k, v: F.map_contains_key(got, k) & (_shown(F.try_element_at(got, k)) == _shown(v))
     )
-    hits, keys = F.size(equal), F.size(want)
+    hits, keys = let(F.size(equal)), let(F.size(want))
     objects = (got_kind == "object") & (want_kind == "object")
     share = F.when(objects & (keys > 0), hits / F.nullif(keys, F.lit(0))).otherwise(0.0)
-    problem = (
+    problem = let(
         F.when(got_kind.isNull() | want_kind.isNull(), "not valid JSON")
         .when(~objects, "both sides must be JSON objects")
         .when(keys == 0, "empty reference object")
@@ -46,20 +47,21 @@ def json_check(case: Case) -> Column:
 
 @register_scorer("list_check", "Comma lists agree item by item, or JSON lists and objects are equal")
 def list_check(case: Case) -> Column:
-    answer = solution_answer(extract_json_text(case.model_output))
-    text = answer["value"]
-    model_json = strip(text).rlike(r"^[\[{]") & json_kind(text).isNotNull()
+    let = case.let
+    text = solution_answer(extract_json_text(case.model_output, let), let)
+    model_json = let(text.rlike(rf"^{S}*[\[{{]") & json_kind(text).isNotNull())
 
-    ref_text = extract_json_text(case.reference_output)
-    ref_kind = json_kind(ref_text)
-    raw_member = json_member_raw(ref_text, "answer")
-    has_answer = (ref_kind == "object") & F.coalesce(F.map_contains_key(json_map(ref_text), F.lit("answer")), F.lit(False))
+    ref_text = extract_json_text(case.reference_output, let)
+    ref_kind = let(json_kind(ref_text))
+    members = let(F.when(ref_kind == "object", json_map(ref_text)))
+    has_answer = let(F.coalesce(F.map_contains_key(members, F.lit("answer")), F.lit(False)))
+    member = let(F.when(has_answer, F.try_element_at(members, F.lit("answer"))))
+    raw_member = let(F.when(has_answer, json_member_raw(ref_text, "answer")))
     # A reference `answer` of JSON null falls back to the whole reference text.
     member_null = has_answer & F.coalesce(raw_member == "null", F.lit(True))
-    member = F.try_element_at(json_map(ref_text), F.lit("answer"))
-    member_nested = has_answer & raw_member.rlike(r"^[\[{]")
-    ref_nested = member_nested | (~has_answer & ref_kind.isin("array", "object"))
-    ref_value = (
+    member_nested = has_answer & (raw_member.startswith("{") | raw_member.startswith("["))
+    ref_nested = let(member_nested | (~has_answer & F.coalesce(ref_kind.isin("array", "object"), F.lit(False))))
+    ref_value = let(
         F.when(member_null, ref_text)
         .when(member_nested, dumped_json(member))
         .when(has_answer, member)
@@ -67,14 +69,12 @@ def list_check(case: Case) -> Column:
         .when(ref_nested, dumped_json(ref_text))
         .otherwise(ref_text)
     )
-    unusable = ref_kind == "scalar"
-
-    want = _items(F.lower(ref_value))
-    got = _items(text)
-    problem = (
+    want = let(_items(F.lower(ref_value)))
+    got = let(_items(text))
+    problem = let(
         F.when(text.isNull(), "answer member is not text")
         .when(strip(text) == "", "no answer found")
-        .when(unusable, "reference is a bare number, boolean or null")
+        .when(ref_kind == "scalar", "reference is a bare number, boolean or null")
         .when(model_json & ref_nested, F.when(canonical_json(text) != canonical_json(ref_value), "JSON content differs"))
         .when(F.size(got) != F.size(want), "list lengths differ")
         .when(~F.forall(got, lambda item: F.array_contains(want, strip(F.lower(item)))), "an item is not in the reference")

@@ -49,14 +49,15 @@ def attach_verdicts(results: DataFrame, verdicts: DataFrame, keys: list[str] | N
 
 @register_scorer("llm_judge_with_answer", "Judge verdict 0, 1 or 2 against a reference answer")
 def reference_verdict(case: Case) -> Column:
-    points = F.nullif(boxed_int(case.verdict), F.lit("")).try_cast("double")
+    points = case.let(F.nullif(boxed_int(case.verdict), F.lit("")).try_cast("double"))
     return outcome(points, bad_unless(points.isNotNull()), F.struct(case.verdict.alias("content")))
 
 
 @register_scorer("reject", "Refusal object present and graded by a judge verdict")
 def refusal(case: Case) -> Column:
-    block = fenced_json(case.model_output)
-    kind = json_kind(block)
+    let = case.let
+    block = let(fenced_json(case.model_output, let))
+    kind = let(json_kind(block))
     members = F.from_json(block, "array<string>", STRICT)
 
     def holds(key: str) -> Column:
@@ -67,8 +68,8 @@ def refusal(case: Case) -> Column:
         )
 
     first, second = (F.coalesce(holds(k), F.lit(False)) for k in REFUSAL_KEYS)
-    graded = first & second
-    points = F.nullif(boxed_decimal(case.verdict), F.lit("")).try_cast("double")
+    graded = let(first & second)
+    points = let(F.nullif(boxed_decimal(case.verdict), F.lit("")).try_cast("double"))
     unreadable = kind.isNull() | (kind == "scalar")
     total = F.when(graded, F.lit(REFUSAL_BASE) + F.coalesce(points, F.lit(0.0))).otherwise(0.0)
     bad = F.when(unreadable, 1).when(graded & points.isNull(), 1).otherwise(0)

@@ -35,28 +35,27 @@ def _keywords(answer: Column) -> Column:
 
 @register_scorer("toolbench_evaluation", "Format, tool choice, parameters and finish bonus of a tool call")
 def tool_call(case: Case) -> Column:
-    got, want = tool_parts(case.model_output), tool_parts(case.reference_output)
+    let = case.let
+    got, want = let(tool_parts(case.model_output)), let(tool_parts(case.reference_output))
 
     asked = [(want[f"has_{p}"], got[f"has_{p}"], p) for p in ("thought", "action", "action_input")]
-    expected = sum((w.cast("int") for w, _, _ in asked[1:]), asked[0][0].cast("int"))
-    matched = sum(((w & g).cast("int") for w, g, _ in asked[1:]), (asked[0][0] & asked[0][1]).cast("int"))
-    format_score = F.coalesce((matched / F.nullif(expected, F.lit(0))) * FORMAT_WEIGHT, F.lit(0.0))
+    expected = sum((w.cast("int") for w, _, _ in asked), F.lit(0))
+    matched = sum(((w & g).cast("int") for w, g, _ in asked), F.lit(0))
+    format_score = let(F.coalesce((matched / F.nullif(expected, F.lit(0))) * FORMAT_WEIGHT, F.lit(0.0)))
     format_tags = [F.when(w, F.when(g, f"{p}_format_correct").otherwise(f"{p}_format_missing")) for w, g, p in asked]
 
     same_tool = (want["tool"] != "") & (got["tool"] == want["tool"])
     both_tools = (want["tool"] != "") & (got["tool"] != "")
-    tool_score = F.when(same_tool, TOOL_RIGHT).when(both_tools, TOOL_OTHER).otherwise(0.0)
+    tool_score = let(F.when(same_tool, TOOL_RIGHT).when(both_tools, TOOL_OTHER).otherwise(0.0))
     tool_tag = F.when(same_tool, "tool_selection_correct").when(both_tools, "tool_selection_incorrect").otherwise("tool_selection_missing")
 
     both_params = want["params"].isNotNull() & got["params"].isNotNull()
-    readable = both_params & json_valid(got["params"]) & json_valid(want["params"])
-    got_params, want_params = _typed_params(got["params"]), _typed_params(want["params"])
-    keys = F.when(readable, F.size(want_params))
-    hits = F.when(
-        readable,
-        F.size(F.map_filter(want_params, lambda k, v: F.coalesce(F.try_element_at(got_params, k) == v, F.lit(False)))),
-    )
-    param_score = F.coalesce((hits / F.nullif(keys, F.lit(0))) * PARAM_WEIGHT, F.lit(0.0))
+    readable = let(both_params & json_valid(got["params"]) & json_valid(want["params"]))
+    got_params = let(F.when(readable, _typed_params(got["params"])))
+    want_params = let(F.when(readable, _typed_params(want["params"])))
+    keys = F.size(want_params)
+    hits = let(F.size(F.map_filter(want_params, lambda k, v: F.coalesce(F.try_element_at(got_params, k) == v, F.lit(False)))))
+    param_score = let(F.coalesce((hits / F.nullif(keys, F.lit(0))) * PARAM_WEIGHT, F.lit(0.0)))
     param_tag = (
         F.when(keys > 0, F.when(hits == keys, "params_completely_correct").when(hits > 0, "params_partially_correct").otherwise("params_incorrect"))
         .when(both_params & ~readable, "params_format_error")
@@ -65,15 +64,15 @@ def tool_call(case: Case) -> Column:
 
     finished = want["finish"] & got["finish"]
     answered = want["final_answer"].isNotNull() & got["final_answer"].isNotNull()
-    want_words, got_words = _keywords(want["final_answer"]), _keywords(got["final_answer"])
-    enough = (F.size(want_words) > 0) & (F.size(F.array_intersect(want_words, got_words)) >= 0.5 * F.size(want_words))
-    bonus = F.when(finished, F.when(answered & enough, FINISH_DONE).when(answered, FINISH_PARTLY).otherwise(FINISH_ONLY)).otherwise(0.0)
+    want_words, got_words = let(_keywords(want["final_answer"])), let(_keywords(got["final_answer"]))
+    enough = let((F.size(want_words) > 0) & (F.size(F.array_intersect(want_words, got_words)) >= 0.5 * F.size(want_words)))
+    bonus = let(F.when(finished, F.when(answered & enough, FINISH_DONE).when(answered, FINISH_PARTLY).otherwise(FINISH_ONLY)).otherwise(0.0))
     bonus_tag = F.when(
         finished,
         F.when(answered & enough, "task_successfully_completed").when(answered, "task_partially_completed").otherwise("finish_called"),
     )
 
-    total = F.least(format_score + tool_score + param_score + bonus, F.lit(1.0))
+    total = let(F.least(format_score + tool_score + param_score + bonus, F.lit(1.0)))
     tier = F.lit("poor")
     for floor, label in reversed(TIERS):
         tier = F.when(total >= floor, label).otherwise(tier)

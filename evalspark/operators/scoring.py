@@ -9,16 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.functions.staged import Stages
+
 
 @dataclass(frozen=True)
 class Case:
-    """Columns a scorer may read."""
+    """Columns a scorer may read; ``let`` names an expression that is used more than once."""
 
     user_input: Column
     model_output: Column
     reference_output: Column
     verdict: Column
     detected_lang: Column
+    let: Stages
 
 
 @dataclass(frozen=True)
@@ -99,8 +102,10 @@ def score(df: DataFrame, name: str, threshold: float = 1.0, keys: list[str] | No
     if scorer.over_frame:
         scored = scorer.build(df, keys or ["index"])
     else:
-        case = Case(model_output=F.col("model_output"), reference_output=F.col("reference_output"), **optional)
-        scored = df.withColumn("_outcome", scorer.build(case))
+        let = Stages()
+        case = Case(model_output=F.col("model_output"), reference_output=F.col("reference_output"), let=let, **optional)
+        built = scorer.build(case)
+        scored = let.add_to(df).withColumn("_outcome", built).drop(*let.names)
     return apply_threshold(scored, threshold)
 
 

@@ -205,7 +205,8 @@ def _bad(score_expr: str, bad: str, threshold: float) -> str:
 _BOX_PAIR = f"p AS (SELECT *, {BOXED_SQL.format('model_output')} AS got, {BOXED_SQL.format('reference_output')} AS want FROM fx), s AS (SELECT *, CASE WHEN got = want AND got <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM p)"
 _JSON = f"""p AS (SELECT o_orderkey, {extract_json_sql('model_output')} AS got, {extract_json_sql('reference_output')} AS want FROM fx),
     o AS (SELECT *, json_valid(got) AND json_valid(want) AND coalesce(json_type(CASE WHEN json_valid(got) THEN got END) = 'OBJECT', false) AS usable FROM p),
-    s AS (SELECT o_orderkey, CASE WHEN usable THEN (SELECT count(*) FILTER (lower(json_extract_string(got, '$.' || k)) = lower(json_extract_string(want, '$.' || k))) / count(*) FROM unnest(json_keys(want)) AS u(k)) ELSE 0.0 END AS score FROM o)"""
+    j AS (SELECT o_orderkey, usable, CASE WHEN usable THEN got ELSE '{{}}' END AS got, want FROM o),
+    s AS (SELECT o_orderkey, CASE WHEN usable THEN (SELECT count(*) FILTER (lower(json_extract_string(got, '$.' || k)) = lower(json_extract_string(want, '$.' || k))) / count(*) FROM unnest(json_keys(want)) AS u(k)) ELSE 0.0 END AS score FROM j)"""
 
 _TOKENS = "tok AS (SELECT conv_id, turn, run_id, regexp_extract_all(lower(reference_output), '[a-z0-9]+') AS a, regexp_extract_all(lower(model_output), '[a-z0-9]+') AS b FROM fx)"
 

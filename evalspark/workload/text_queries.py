@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.functions import extract, jsons, text
+from evalspark.functions.staged import Stages
 from evalspark.workload.fixtures import AGENT, BOXED, JSON, LIST, TOOL, Fixture, table
 
 RELATION = Fixture("orders", {
@@ -31,11 +32,9 @@ def boxed_values(spark, sf):
 
 
 def json_extract(spark, sf):
-    return JSON.frame(spark, sf).select(
-        "o_orderkey",
-        jsons.extract_json_text(F.col("reference_output")).alias("reference_json"),
-        jsons.extract_json_text(F.col("model_output")).alias("output_json"),
-    )
+    let = Stages()
+    want, got = (jsons.extract_json_text(F.col(c), let) for c in ("reference_output", "model_output"))
+    return let.add_to(JSON.frame(spark, sf)).select("o_orderkey", want.alias("reference_json"), got.alias("output_json"))
 
 
 def agent_fields(spark, sf):
@@ -53,7 +52,9 @@ def tool_parts(spark, sf):
 
 
 def solution_extract(spark, sf):
-    return LIST.frame(spark, sf).select("o_orderkey", extract.solution_text(F.col("model_output")).alias("answer"))
+    let = Stages()
+    answer = extract.solution_answer(jsons.extract_json_text(F.col("model_output"), let), let)
+    return let.add_to(LIST.frame(spark, sf)).select("o_orderkey", answer.alias("answer"))
 
 
 def text_units(spark, sf):
