@@ -22,7 +22,7 @@ def json_valid(text: Column) -> Column:
     once as an object member, only a single complete value satisfies both.
     """
     item = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT)
-    member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", STRICT)
+    member = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))  # skips values, so cheaper
     return F.coalesce(item.isNotNull() & member.isNotNull(), F.lit(False))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.plans.generators import explode_computed
 from evalspark.plans.numbering import number_rows
 from evalspark.schemas import MESSAGE, TURN
 
@@ -52,15 +53,13 @@ def expand_cases(samples: DataFrame, role_test: str = "assistant") -> DataFrame:
 
     A narrow map: no shuffle, the ordinal comes from the turn array itself.
     """
-    return (
-        samples.withColumn("_messages", message_array(role_test))
-        .select("*", F.posexplode(target_positions(role_test)).alias("_nth", "_turn"))
-        .select(
-            *[c for c in samples.columns if c not in ("meta", "turns", "raw")],
-            F.col("_nth").cast("long").alias("expanded_index"),
-            F.slice("_messages", F.lit(1), F.col("_turn") + 1).alias("messages"),
-            F.element_at("_messages", F.col("_turn") + 1)["content"].alias("reference_output"),
-        )
+    kept = [c for c in samples.columns if c not in ("meta", "turns", "raw")]
+    staged = samples.select(*kept, message_array(role_test).alias("_messages"), target_positions(role_test).alias("_targets"))
+    return explode_computed(staged, F.col("_targets"), "_nth", "_turn", *kept, "_messages").select(
+        *kept,
+        F.col("_nth").cast("long").alias("expanded_index"),
+        F.slice("_messages", F.lit(1), F.col("_turn") + 1).alias("messages"),
+        F.element_at("_messages", F.col("_turn") + 1)["content"].alias("reference_output"),
     )
 
 
@@ -114,11 +113,7 @@ def history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         F.col(text).alias("content"),
     )
     ordered = turns.groupBy(conv).agg(F.array_sort(F.collect_list(message)).alias("_all"))
-    return ordered.select(
-        conv,
-        F.posexplode("_all").alias("_pos", "_this"),
-        "_all",
-    ).select(
+    return explode_computed(ordered, F.col("_all"), "_pos", "_this", conv, "_all").select(
         conv,
         F.col("_this.turn").alias(turn),
         F.transform(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.jsons import canonical_json, json_kind, json_map
 from evalspark.functions.text import strip
+from evalspark.plans.generators import explode_computed
 from evalspark.plans.numbering import number_rows
 from evalspark.schemas import SAMPLE
 
@@ -20,7 +21,7 @@ def search_samples(samples: DataFrame, text: str) -> DataFrame:
 
 def distinct_roles(samples: DataFrame) -> DataFrame:
     """Non-empty roles in first-seen order, with the sample and turn that showed each first."""
-    seen = samples.select("original_index", F.posexplode("turns").alias("pos", "t"))
+    seen = explode_computed(samples, F.col("turns"), "pos", "t", "original_index")
     return first_seen(seen.select(F.col("t.role").alias("role"), "original_index", "pos"), "role", ["original_index", "pos"])
 
 
@@ -79,25 +80,24 @@ def _turn_texts(members: Column) -> Column:
     return F.from_json(members["turns"], "array<string>")
 
 
-def apply_edits(samples: DataFrame, edits: DataFrame, index: str = "original_index") -> tuple[DataFrame, DataFrame]:
-    """Replace items by edited JSON text; returns (all items after the edit, rejected edits).
+def apply_edits(samples: DataFrame, edits: DataFrame, index: str = "original_index") -> DataFrame:
+    """Replace items by edited JSON text; all items after the edit, with ``edited`` and ``reason``.
 
     ``samples`` and ``edits`` carry ``(index, raw)``. An edit may change only
-    ``meta_description`` and turn texts, and must change one of them.
+    ``meta_description`` and turn texts, and must change one of them; otherwise the item
+    stays as it was and ``reason`` says why.
     """
     both = samples.join(edits.select(index, F.col("raw").alias("_edit")), index, "left")
     staged = (
-        both.withColumn("_old", json_map(F.col("raw")))
-        .withColumn("_new", json_map(F.col("_edit")))
-        .withColumn("_old_turns", _turn_texts(F.col("_old")))
-        .withColumn("_new_turns", _turn_texts(F.col("_new")))
+        both.withColumn("_kind", json_kind(F.col("_edit")))
+        .withColumns({"_old": json_map(F.col("raw")), "_new": json_map(F.col("_edit"))})
+        .withColumns({"_old_turns": _turn_texts(F.col("_old")), "_new_turns": _turn_texts(F.col("_new"))})
+        .withColumn("reason", F.when(F.col("_edit").isNotNull(), _edit_problem()))
+        .withColumn("edited", F.col("_edit").isNotNull() & F.col("reason").isNull())
+        .withColumn("raw", F.when(F.col("edited"), F.col("_edit")).otherwise(F.col("raw")))
+        .withColumn("_p", F.from_json("raw", SAMPLE))
     )
-    judged = staged.withColumn("_reason", F.when(F.col("_edit").isNotNull(), _edit_problem()))
-    accepted = F.col("_edit").isNotNull() & F.col("_reason").isNull()
-    raw = F.when(accepted, F.col("_edit")).otherwise(F.col("raw"))
-    after = judged.select(index, raw.alias("raw"), accepted.alias("edited")).withColumn("_p", F.from_json("raw", SAMPLE))
-    rejected = judged.where(F.col("_reason").isNotNull()).select(index, F.col("_reason").alias("reason"))
-    return after.select(index, "_p.meta", "_p.turns", "raw", "edited"), rejected
+    return staged.select(index, "_p.meta", "_p.turns", "raw", "edited", "reason")
 
 
 def _edit_problem() -> Column:
@@ -124,7 +124,7 @@ def _edit_problem() -> Column:
     meta_changed = ~member(old["meta"], "meta_description").eqNullSafe(member(new["meta"], "meta_description"))
     text_changed = turns_both & F.exists(pairs, lambda p: ~member(p["o"], "text").eqNullSafe(member(p["n"], "text")))
     return (
-        F.when(F.coalesce(json_kind(F.col("_edit")) != "object", F.lit(True)), "not a JSON object")
+        F.when(F.coalesce(F.col("_kind") != "object", F.lit(True)), "not a JSON object")
         .when(~F.sort_array(F.map_keys(old)).eqNullSafe(F.sort_array(F.map_keys(new))), "structure changed")
         .when(meta_both & ~_same_keys(old["meta"], new["meta"]), "meta structure changed")
         .when(~meta_both & ~old["meta"].eqNullSafe(new["meta"]), "meta structure changed")

@@ -28,6 +28,7 @@ from evalspark.functions.text import (
     words,
 )
 from evalspark.operators.scoring import Case, bad_unless, outcome, register_scorer
+from evalspark.plans.generators import explode_computed
 from evalspark.schemas import IFEVAL_SPEC
 
 # Fixed patterns of the structural checks.
@@ -215,13 +216,13 @@ def ifeval_checks(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["index"]
     spec = parse_spec(F.col("reference_output"))
     detected = F.col("detected_lang") if "detected_lang" in df.columns else None
-    return (
-        df.withColumns({"_spec": spec, "_text": strip(F.col("model_output"))})
-        .select(*keys, "model_output", "_text", *(["detected_lang"] if detected is not None else []),
-                F.posexplode(F.arrays_zip(F.col("_spec.instruction_id_list").alias("id"), F.col("_spec.kwargs").alias("kwarg"))).alias("pos", "_pair"))
-        .where(_has_kwargs(F.col("_pair.kwarg")))
-        .select(*keys, "pos", F.col("_pair.id").alias("instruction_id"),
-                check(F.col("_pair.id"), F.col("_pair.kwarg"), F.col("model_output"), F.col("_text"), detected).alias("passed"))
+    given = ["detected_lang"] if detected is not None else []
+    staged = df.select(*keys, "model_output", *given, strip(F.col("model_output")).alias("_text"), spec.alias("_spec"))
+    pairs = F.arrays_zip(F.col("_spec.instruction_id_list").alias("id"), F.col("_spec.kwargs").alias("kwarg"))
+    checks = explode_computed(staged, pairs, "pos", "_pair", *keys, "model_output", *given, "_text")
+    passed = check(F.col("_pair.id"), F.col("_pair.kwarg"), F.col("model_output"), F.col("_text"), detected)
+    return checks.where(_has_kwargs(F.col("_pair.kwarg"))).select(
+        *keys, "pos", F.col("_pair.id").alias("instruction_id"), passed.alias("passed")
     )
 
 

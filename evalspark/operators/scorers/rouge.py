@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.text import rouge_tokens
+from evalspark.plans.generators import explode_computed
 from evalspark.operators.scoring import outcome, register_scorer
 
 
@@ -70,16 +71,13 @@ def _grams(tokens: Column, side: int) -> Column:
 
 def ngram_overlap(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per row key: shared unigrams and bigrams with multiplicity."""
-    grams = (
+    texts = (
         df.select(*keys, "reference_output", "model_output")
         .repartition(*keys)
-        .select(
-            *keys,
-            F.explode(
-                F.concat(_grams(rouge_tokens(F.col("reference_output")), 0), _grams(rouge_tokens(F.col("model_output")), 1))
-            ).alias("g"),
-        )
+        .select(*keys, rouge_tokens(F.col("reference_output")).alias("_want"), rouge_tokens(F.col("model_output")).alias("_got"))
     )
+    both = F.concat(_grams(F.col("_want"), 0), _grams(F.col("_got"), 1))
+    grams = explode_computed(texts, both, "_pos", "g", *keys)
     counts = grams.groupBy(*keys, "g.n", "g.gram").agg(
         F.count_if(F.col("g.side") == 0).alias("want"), F.count_if(F.col("g.side") == 1).alias("got")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.jsons import json_valid
 from evalspark.functions.text import strip
+from evalspark.plans.generators import explode_computed
 from evalspark.schemas import SAMPLE
 from evalspark.sources.positions import number_lines, with_positions
 
@@ -37,9 +38,8 @@ def _with_fields(df: DataFrame) -> DataFrame:
 
 def dataset_lines(datasets: DataFrame) -> DataFrame:
     """One row per line of every blob: ``id, pos, line`` (trimmed, blanks kept)."""
-    return datasets.select("id", F.posexplode(F.split("file_content", "\n", -1)).alias("pos", "line")).withColumn(
-        "line", strip(F.col("line"))
-    )
+    lines = explode_computed(datasets, F.split("file_content", "\n", -1), "pos", "line", "id")
+    return lines.withColumn("line", strip(F.col("line")))
 
 
 def explode_dataset(datasets: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def explode_dataset(datasets: DataFrame) -> DataFrame:
     A blob is one row, so blanks are dropped and lines numbered inside the row.
     """
     kept = F.filter(F.transform(F.split("file_content", "\n", -1), strip), lambda line: line != "")
-    exploded = datasets.select("id", F.posexplode(kept).alias("original_index", "raw"))
+    exploded = explode_computed(datasets, kept, "original_index", "raw", "id")
     return _with_fields(exploded.withColumn("original_index", F.col("original_index").cast("long")))
 
 
@@ -60,7 +60,7 @@ def preview_dataset(datasets: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     head = F.when(F.col("_bad") > 0, F.slice("_lines", F.lit(1), (F.col("_bad") - 1).cast("int"))).otherwise(F.col("_lines"))
     items = F.filter(head, lambda line: line != "")
-    shown = staged.select("id", F.posexplode(items).alias("pos", "raw"))
+    shown = explode_computed(staged, items, "pos", "raw", "id")
     counts = staged.select(
         "id",
         F.when(F.col("_bad") > 0, F.size("_lines")).otherwise(F.size(items)).cast("long").alias("total_count"),

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.display import first_user_message, score_text
+from evalspark.functions.jsons import json_kind
 from evalspark.operators.reports import safe_config
 from evalspark.operators.summary import badcases, run_summary
+from evalspark.plans.generators import explode_computed
 from evalspark.schemas import REPORT
 
 # Accepted report formats and the stamp inside a report.
 FORMATS = ("json", "txt", "badcases")
 STAMP = "yyyyMMdd_HHmmss"
 EXPORT_HEADER = ("得分", "用户输入", "模型输出", "参考答案")
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def report_records(results: DataFrame, config: DataFrame, stamp: Column, by: str = "run_id") -> DataFrame:
@@ -51,21 +53,22 @@ def write_report(results: DataFrame, config: DataFrame, path: str, stamp: Column
         badcases(results).write.mode("append").partitionBy(by).parquet(f"{path}/badcases")
 
 
-def explode_report(reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored documents as rows: (summaries, results, unreadable).
+def parse_reports(reports: DataFrame) -> DataFrame:
+    """Add ``doc``, the parsed document; null when ``report_content`` is not a JSON object."""
+    staged = reports.withColumn("_kind", json_kind(F.col("report_content")))
+    return staged.withColumn("doc", F.when(F.col("_kind") == "object", F.from_json("report_content", REPORT))).drop("_kind")
 
-    A document that is not a JSON object stays available as raw text.
-    """
-    from evalspark.functions.jsons import json_kind
 
-    parsed = reports.withColumn(
-        "_doc", F.when(json_kind(F.col("report_content")) == "object", F.from_json("report_content", REPORT))
-    )
-    readable = parsed.where(F.col("_doc").isNotNull())
-    summaries = readable.select("id", "_doc.timestamp", "_doc.config", "_doc.summary.*")
-    results = readable.select("id", F.posexplode("_doc.results").alias("pos", "r")).select("id", "pos", "r.*")
-    unreadable = parsed.where(F.col("_doc").isNull()).select("id", F.col("report_content").alias("raw"))
-    return summaries, results, unreadable
+def explode_report(reports: DataFrame) -> DataFrame:
+    """Result rows of stored documents."""
+    return explode_computed(parse_reports(reports), F.col("doc.results"), "pos", "r", "id").select("id", "pos", "r.*")
+
+
+def report_summaries(reports: DataFrame) -> DataFrame:
+    """One row per document: stamp, configuration and summary, or the raw text if unreadable."""
+    parsed = parse_reports(reports)
+    raw = F.when(F.col("doc").isNull(), F.col("report_content"))
+    return parsed.select("id", "doc.timestamp", "doc.config", "doc.summary.*", raw.alias("raw"))
 
 
 def export_rows(results: DataFrame) -> DataFrame:

@@ -61,10 +61,8 @@ def edit_guard(spark, sf):
     edits = samples.where(kind != 0).select(
         "original_index", F.when(kind == 4, F.concat(F.lit('{"extra": 1, '), F.substring(body, F.lit(2), F.length(body)))).otherwise(body).alias("raw")
     )
-    after, rejected = curate.apply_edits(samples.select("original_index", "raw"), edits)
-    return after.join(rejected, "original_index", "left").select(
-        "original_index", "edited", "reason", _transcript().alias("transcript")
-    )
+    after = curate.apply_edits(samples.select("original_index", "raw"), edits)
+    return after.select("original_index", "edited", "reason", _transcript().alias("transcript"))
 
 
 def append_items(spark, sf):

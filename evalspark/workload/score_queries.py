@@ -17,7 +17,7 @@ ORDER = ["o_orderkey"]
 
 def _scored(fixture, name, keys, threshold=1.0, details=(), **renamed):
     def query(spark, sf):
-        rows = fixture.frame(spark, sf)
+        rows = fixture.heavy(spark, sf)
         for new, old in renamed.items():
             rows = rows.withColumn(new, F.col(old))
         out = score(rows, name, threshold, keys=keys)
@@ -169,11 +169,11 @@ IFEVAL = Fixture("documents", {
 
 
 def ifeval_checks(spark, sf):
-    return ifeval.ifeval_checks(CHECKS.frame(spark, sf), ["doc_id"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "instruction_id", "passed")
+    return ifeval.ifeval_checks(CHECKS.heavy(spark, sf), ["doc_id"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "instruction_id", "passed")
 
 
 def score_ifeval(spark, sf):
-    out = score(IFEVAL.frame(spark, sf), "ifeval_full_scorer")
+    out = score(IFEVAL.heavy(spark, sf), "ifeval_full_scorer")
     return out.select("doc_id", F.round("score", 9).alias("score"), "is_badcase")
 
 
@@ -184,7 +184,7 @@ QUERIES = {
     "score_json_check": _scored(JSON, "json_check", ORDER),
     "score_list_check": _scored(LIST, "list_check", ORDER),
     "score_tool_call": _scored(TOOL, "toolbench_evaluation", ORDER, 0.5, ("overall_assessment", "model_tool_used", "reference_tool_expected")),
-    "score_tool_tags": lambda spark, sf: score(TOOL.frame(spark, sf), "toolbench_evaluation").select(
+    "score_tool_tags": lambda spark, sf: score(TOOL.heavy(spark, sf), "toolbench_evaluation").select(
         "o_orderkey", F.array_join("details.assessment_parts", ",").alias("tags")),
     "score_agent": _scored(AGENT, "agent_instruct_score", TURN, 0.5),
     "score_reference_verdict": _scored(BOXED, "llm_judge_with_answer", TURN),
