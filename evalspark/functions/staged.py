@@ -7,25 +7,35 @@ stage back only where it is used once or costs nothing.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 class Stages:
+    """Collects named expressions; each goes one projection above the stages it mentions."""
+
     def __init__(self, prefix: str = "_let"):
         self._prefix = prefix
-        self._steps: list[tuple[str, Column]] = []
+        self._levels: list[dict[str, Column]] = []
+        self._level_of: dict[str, int] = {}
 
     def __call__(self, expr: Column) -> Column:
-        name = f"{self._prefix}{len(self._steps)}"
-        self._steps.append((name, expr))
+        mentioned = re.findall(rf"{self._prefix}[0-9]+", str(expr))
+        level = max((self._level_of[m] + 1 for m in mentioned), default=0)
+        name = f"{self._prefix}{len(self._level_of)}"
+        if level == len(self._levels):
+            self._levels.append({})
+        self._levels[level][name] = expr
+        self._level_of[name] = level
         return F.col(name)
 
     def add_to(self, df: DataFrame) -> DataFrame:
-        for name, expr in self._steps:
-            df = df.withColumn(name, expr)
+        for level in self._levels:
+            df = df.withColumns(level)
         return df
 
     @property
     def names(self) -> list[str]:
-        return [name for name, _ in self._steps]
+        return list(self._level_of)

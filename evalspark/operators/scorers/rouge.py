@@ -69,38 +69,35 @@ def _grams(tokens: Column, side: int) -> Column:
     return F.concat(singles, pairs)
 
 
-def ngram_overlap(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per row key: shared unigrams and bigrams with multiplicity."""
+def ngram_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per row key and gram length 1 and 2: grams of the reference, of the output, and shared ones."""
+    # A fixed partition count: adaptive coalescing would size tasks by the texts, not by
+    # the many grams they turn into.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = (
         df.select(*keys, "reference_output", "model_output")
-        .repartition(*keys)
+        .repartition(parts, *keys)
         .select(*keys, rouge_tokens(F.col("reference_output")).alias("_want"), rouge_tokens(F.col("model_output")).alias("_got"))
     )
     both = F.concat(_grams(F.col("_want"), 0), _grams(F.col("_got"), 1))
-    grams = explode_computed(texts, both, "_pos", "g", *keys)
-    counts = grams.groupBy(*keys, "g.n", "g.gram").agg(
-        F.count_if(F.col("g.side") == 0).alias("want"), F.count_if(F.col("g.side") == 1).alias("got")
-    )
-    shared = F.least("want", "got")
-    return counts.groupBy(*keys).agg(
-        F.sum(F.when(F.col("n") == 1, shared).otherwise(0)).alias("overlap1"),
-        F.sum(F.when(F.col("n") == 2, shared).otherwise(0)).alias("overlap2"),
+    grams = explode_computed(texts, both, "_pos", "g", *keys).select(*keys, "g.*")
+    counts = grams.groupBy(*keys, "n", "gram").agg(
+        F.count_if(F.col("side") == 0).alias("want"), F.count_if(F.col("side") == 1).alias("got")
     )
+    sums = {"want": F.col("want"), "got": F.col("got"), "shared": F.least("want", "got")}
+    return counts.groupBy(*keys).agg(*[
+        F.sum(F.when(F.col("n") == n, value).otherwise(0)).alias(f"_{name}{n}") for n in (1, 2) for name, value in sums.items()
+    ])
 
 
 def rouge_n(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``rouge1`` and ``rouge2``."""
-    target, predicted = (F.size(rouge_tokens(F.col(c))) for c in ("reference_output", "model_output"))
-    sized = df.withColumns({"_target": target, "_predicted": predicted})
-    joined = sized.join(ngram_overlap(df, keys), list(keys), "left")
-    return joined.withColumns({
-        f"rouge{n}": f_measure(
-            F.coalesce(F.col(f"overlap{n}"), F.lit(0)),
-            F.greatest(F.col("_predicted") - (n - 1), F.lit(0)),
-            F.greatest(F.col("_target") - (n - 1), F.lit(0)),
-        )
+    """Add ``rouge1`` and ``rouge2``; a row without any token has 0 for both."""
+    joined = df.join(ngram_counts(df, keys), list(keys), "left")
+    measures = {
+        f"rouge{n}": F.coalesce(f_measure(F.col(f"_shared{n}"), F.col(f"_got{n}"), F.col(f"_want{n}")), F.lit(0.0))
         for n in (1, 2)
-    }).drop("_target", "_predicted", "overlap1", "overlap2")
+    }
+    return joined.select(*df.columns, *[c.alias(name) for name, c in measures.items()])
 
 
 def rouge_l(df: DataFrame) -> DataFrame:
