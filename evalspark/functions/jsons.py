@@ -37,7 +37,24 @@ def json_kind(text: Column) -> Column:
 
 def json_map(text: Column) -> Column:
     """Object members as text: scalars bare, nested values as JSON text, null as null."""
-    return F.from_json(text, "map<string,string>", STRICT)
+    return last_wins(F.from_json(text, "map<string,string>", STRICT))
+
+
+def last_wins(members: Column) -> Column:
+    """Of a repeated member name keep the last; a parsed map would be read by its first."""
+
+    def dedup(m: Column) -> Column:
+        entries = F.map_entries(m)
+
+        def is_last(entry: Column, i: Column) -> Column:
+            later = F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0)))
+            return ~F.exists(later, lambda other: other["key"] == entry["key"])
+
+        repeated = F.size(F.array_distinct(F.map_keys(m))) < F.size(m)
+        return F.when(repeated, F.map_from_entries(F.filter(entries, is_last))).otherwise(m)
+
+    # One-element transform: binds the parsed map, so the text is parsed once.
+    return F.get(F.transform(F.array(members), dedup), F.lit(0))
 
 
 def json_string(text: Column) -> Column:
@@ -47,7 +64,7 @@ def json_string(text: Column) -> Column:
 
 def json_member_raw(text: Column, key: str) -> Column:
     """Member of a top-level object as JSON text that keeps its type (strings quoted)."""
-    members = F.from_json(text, "map<string,variant>", STRICT)
+    members = last_wins(F.from_json(text, "map<string,variant>", STRICT))
     return F.to_json(F.try_element_at(members, F.lit(key)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +67,6 @@ def register_scorer(name: str, description: str = "", over_frame: bool = False)
 
 def register_python_scorer(name: str, fn: Callable[[str, str], float], description: str = "") -> None:
     """Register a plain ``fn(model_output, reference_output) -> score`` as an Arrow-batched scorer."""
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def run(output: pd.Series, reference: pd.Series) -> pd.Series:
         return pd.Series([fn(o, r) for o, r in zip(output, reference)], dtype="float64")

@@ -31,39 +31,62 @@ def _segments(events: DataFrame, key: str, micros: str, window_us: int) -> DataF
 
 def sliding_admission(events: DataFrame, key: str, ts: str, window: str = "5 minutes", n: int = 10,
                       tie: str = "event_id") -> DataFrame:
-    """Add ``accepted``. Batch form.
+    """Add ``accepted``. Batch form; ``tie`` is the unique event id that orders equal times.
 
-    Keys are cut into independent segments, so a hot key is spread over tasks wherever
-    it pauses for one window. Each partition is scanned in time order holding at most
-    N times, never a whole group.
+    Decisions of one key are sequential, so as little as possible goes through that scan:
+    events are first counted per (key, time), map-side, and only distinct times are
+    shuffled, cut into independent segments and scanned with at most N times in memory.
+    At most N times per window are accepted, so the verdicts are a small table to join
+    back, whatever share of the events a hot key holds.
     """
     window_us = int(pd.Timedelta(window).total_seconds() * 1_000_000)
-    timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
+    timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    times = timed.groupBy(key, "_us").agg(F.count(F.lit(1)).alias("_events")).withColumn(
         "_slot", F.col("_us") - F.pmod(F.col("_us"), F.lit(window_us))
     )
-    segments = _segments(timed, key, "_us", window_us)
-    ordered = (
-        timed.join(segments, [key, "_slot"])
-        .repartition(key, "_segment")
-        .sortWithinPartitions(key, "_segment", "_us", tie)
+    admitted = _admitted_times(times.join(_segments(timed, key, "_us", window_us), [key, "_slot"]), key, window_us, n)
+    # Of equal times the lowest ids go first; rank <= n is pruned per task before the shuffle.
+    rank = F.row_number().over(Window.partitionBy(key, "_us").orderBy(tie))
+    chosen = (
+        timed.select(key, "_us", tie).join(admitted, [key, "_us"]).withColumn("_rank", rank)
+        .where(F.col("_rank") <= n).where(F.col("_rank") <= F.col("_room"))
+        .select(key, tie, F.lit(True).alias("accepted"))
     )
+    joined = events.join(chosen, [key, tie], "left")
+    return joined.select(*events.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def _admitted_times(times: DataFrame, key: str, window_us: int, n: int) -> DataFrame:
+    """(key, _us, _room): how many events of a time are accepted, times with none left out."""
+    key_type = times.schema[key].dataType.simpleString()
+    ordered = times.repartition(key, "_segment").sortWithinPartitions(key, "_segment", "_us")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = None, []
+        current, recent = None, []  # the segment being read and its accepted times still in the window
         for batch in batches:
-            verdicts = []
-            for group, at in zip(zip(batch[key], batch["_segment"]), batch["_us"]):
-                if group != current:
-                    current, recent = group, []
-                recent, ok = _admit(recent, at, window_us, n)
-                verdicts.append(ok)
-            out = batch.drop(columns=["_us", "_slot", "_segment"])
-            out["accepted"] = verdicts
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-    # mapInPandas returns columns by position of the schema, so fix their order first.
-    return ordered.select(*events.columns, "_us", "_slot", "_segment").mapInPandas(scan, f"{fields}, accepted boolean")
+            kept_rows, rooms = [], []
+            changes = (batch[key].ne(batch[key].shift()) | batch["_segment"].ne(batch["_segment"].shift())).to_numpy()
+            starts = [*changes.nonzero()[0].tolist(), len(batch)]
+            micros, events_at = batch["_us"].to_numpy(), batch["_events"].to_numpy()
+            for lo, hi in zip(starts, starts[1:]):
+                segment = (batch[key].iloc[lo], batch["_segment"].iloc[lo])
+                if segment != current:
+                    current, recent = segment, []
+                i = lo
+                while i < hi:
+                    at = int(micros[i])
+                    recent = [t for t in recent if at - t < window_us]
+                    room = min(n - len(recent), int(events_at[i]))
+                    if room > 0:
+                        recent += [at] * room
+                        kept_rows.append(i)
+                        rooms.append(room)
+                        i += 1
+                    else:  # full: nothing is accepted before the oldest accepted time leaves the window
+                        i = lo + int(micros[lo:hi].searchsorted(recent[0] + window_us))
+            yield pd.DataFrame({key: batch[key].iloc[kept_rows], "_us": micros[kept_rows], "_room": rooms})
+
+    return ordered.select(key, "_segment", "_us", "_events").mapInPandas(scan, f"`{key}` {key_type}, _us bigint, _room int")
 
 
 def _admit(recent: Sequence[int], at: int, window_us: int, n: int) -> tuple[list[int], bool]:
