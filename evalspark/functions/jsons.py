@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.staged import Stages
+from evalspark.functions.staged import Stages, bind
 from evalspark.functions.text import S, strip
 
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
@@ -53,8 +53,7 @@ def last_wins(members: Column) -> Column:
         repeated = F.size(F.array_distinct(F.map_keys(m))) < F.size(m)
         return F.when(repeated, F.map_from_entries(F.filter(entries, is_last))).otherwise(m)
 
-    # One-element transform: binds the parsed map, so the text is parsed once.
-    return F.get(F.transform(F.array(members), dedup), F.lit(0))
+    return bind(members, dedup)
 
 
 def json_string(text: Column) -> Column:

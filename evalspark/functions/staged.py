@@ -8,11 +8,17 @@ stage back only where it is used once or costs nothing.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bind(expr: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(expr)`` with ``expr`` evaluated once, for use inside one expression."""
+    return F.get(F.transform(F.array(expr), body), F.lit(0))
+
+
 class Stages:
     """Collects named expressions; each goes one projection above the stages it mentions."""
 

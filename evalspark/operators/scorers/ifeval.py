@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.jsons import json_kind, json_valid
+from evalspark.functions.staged import bind
 from evalspark.functions.text import (
     D,
     S,
+    W,
     collapse_ws,
     contains_ci,
     count_substr,
@@ -25,7 +27,6 @@ from evalspark.functions.text import (
     sentences,
     strip,
     word_count,
-    words,
 )
 from evalspark.operators.scoring import Case, bad_unless, outcome, register_scorer
 from evalspark.plans.generators import explode_computed
@@ -36,6 +37,7 @@ BULLET = rf"^([-*]|{D}+\.){S}+"
 HIGHLIGHT = r"\*[^*]+\*|\*\*[^*]+\*\*"
 SECTION = rf"(?md)^{S}*#+{S}+.+"
 PLACEHOLDER = r"(?d)\[.*?\]|<.*?>"
+NO_LOWER_WORD = rf"(?<!{W})([\p{{L}}&&[^\p{{Ll}}]]+)(?!{W})"
 RESPONSE_MARKERS = ("response 1", "response 2", "part 1", "part 2")
 MAX_TITLE = 150
 MIN_LANGUAGE_CHARS = 5
@@ -61,15 +63,19 @@ def _holds_all(text: Column, keywords: Column) -> Column:
 
 
 def _letter_share(text: Column, a: _Args) -> Column:
-    letters = F.lower(F.regexp_replace(text, "[^a-zA-Z]", ""))
-    total = F.nullif(F.length(letters), F.lit(0))
-    share = count_substr(letters, a.get("letter")) / total * 100.0
-    return share.isNotNull() & relation_cmp(share, a.get("let_frequency"), a.get("let_relation"))
+    letter, target, relation = a.get("letter"), a.get("let_frequency"), a.get("let_relation")
+
+    def compare(letters: Column) -> Column:
+        share = count_substr(letters, letter) / F.nullif(F.length(letters), F.lit(0)) * 100.0
+        return share.isNotNull() & relation_cmp(share, target, relation)
+
+    return bind(F.regexp_replace(text, "[^a-zA-Z]+", ""), compare)
 
 
 def _capital_words(text: Column, a: _Args) -> Column:
-    shouted = F.filter(words(text), lambda w: w.rlike(r"^\p{L}+$") & (w == F.upper(w)) & (w != F.lower(w)))
-    return (word_count(text) > 0) & relation_cmp(F.size(shouted), a.get("capital_frequency"), a.get("relation"))
+    candidates = F.regexp_extract_all(text, F.lit(NO_LOWER_WORD), F.lit(1))
+    shouted = F.filter(candidates, lambda w: (w == F.upper(w)) & (w != F.lower(w)))
+    return (first_word(text) != "") & relation_cmp(F.size(shouted), a.get("capital_frequency"), a.get("relation"))
 
 
 def _nth_first_word(text: Column, a: _Args) -> Column:
