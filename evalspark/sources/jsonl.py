@@ -24,10 +24,11 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """
     scan = spark.read.text(path).select(strip(F.col("value")).alias("raw"), "_metadata").where(F.col("raw") != "")
     numbered = number_lines(with_positions(scan).drop("_metadata"))
-    checked = F.when(json_valid(F.col("raw")), F.col("raw")).otherwise(
-        F.raise_error(F.concat(F.lit("not valid JSON: "), F.substring("raw", 1, 200)))
-    )
-    return _with_fields(numbered.withColumn("raw", checked))
+    return _with_fields(numbered.withColumn("raw", _checked(F.col("raw"))))
+
+
+def _checked(raw: Column) -> Column:
+    return F.when(json_valid(raw), raw).otherwise(F.raise_error(F.concat(F.lit("not valid JSON: "), F.substring(raw, 1, 200))))
 
 
 def _with_fields(df: DataFrame) -> DataFrame:
@@ -45,11 +46,20 @@ def dataset_lines(datasets: DataFrame) -> DataFrame:
 def explode_dataset(datasets: DataFrame) -> DataFrame:
     """Samples of each dataset blob, numbered densely inside the dataset.
 
-    A blob is one row, so blanks are dropped and lines numbered inside the row.
+    A blob is one row, so blanks are dropped and lines numbered inside the row. A line
+    that is not valid JSON fails the job; see :func:`readable_datasets`.
     """
-    kept = F.filter(F.transform(F.split("file_content", "\n", -1), strip), lambda line: line != "")
-    exploded = explode_computed(datasets, kept, "original_index", "raw", "id")
-    return _with_fields(exploded.withColumn("original_index", F.col("original_index").cast("long")))
+    exploded = explode_computed(datasets, _items(), "original_index", "raw", "id")
+    return _with_fields(exploded.withColumns({"original_index": F.col("original_index").cast("long"), "raw": _checked(F.col("raw"))}))
+
+
+def readable_datasets(datasets: DataFrame) -> DataFrame:
+    """Blobs whose non-blank lines are all valid JSON."""
+    return datasets.where(F.forall(_items(), json_valid))
+
+
+def _items() -> Column:
+    return F.filter(F.transform(F.split("file_content", "\n", -1), strip), lambda line: line != "")
 
 
 def preview_dataset(datasets: DataFrame) -> tuple[DataFrame, DataFrame]:

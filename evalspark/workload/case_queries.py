@@ -64,7 +64,7 @@ def sample_cap(spark, sf):
 
 
 def smoke_cap(spark, sf):
-    return ops.smoke_cap(ops.turn_case_index(_turns(spark, sf)).where(F.col("index") % 3 != 0)).select("index", "conv_id", "turn", "test_mode")
+    return ops.smoke_cap(ops.turn_case_index(_turns(spark, sf)).where("turn > 1")).select("index", "conv_id", "turn", "test_mode")
 
 
 def endpoint_assign(spark, sf):
@@ -114,7 +114,7 @@ def generate_outputs(spark, sf):
 def attach_outputs(spark, sf):
     from evalspark.operators.joins import attach_outputs as attach
 
-    outputs = TEXT.frame(spark, sf).where("turn % 5 <> 4").selectExpr(
+    outputs = TEXT.frame(spark, sf).where("turn < 5").selectExpr(
         "conv_id", "turn", "CASE WHEN conv_id % 6 = 5 THEN NULL ELSE model_output END AS model_output", "inference_time",
         "CASE WHEN conv_id % 6 = 5 THEN 'timeout' END AS error",
     )
@@ -150,7 +150,7 @@ ORACLES = {
     "prompt_reference": f"WITH {_CASES} SELECT conv_id, expanded_index, CAST(n_prompt AS BIGINT) AS n_prompt, last_prompt, reference_output FROM cases",
     "case_index": f"WITH {_INDEX} SELECT conv_id, turn, original_index, expanded_index, index FROM numbered",
     "sample_cap": f"WITH {_SAMPLES} SELECT original_index, conv_id, n_turns FROM samples WHERE original_index < {SAMPLE_LIMIT}",
-    "smoke_cap": f"WITH {_INDEX} SELECT index, conv_id, turn, false AS test_mode FROM numbered WHERE index % 3 <> 0 ORDER BY index LIMIT 16",
+    "smoke_cap": f"WITH {_INDEX} SELECT index, conv_id, turn, false AS test_mode FROM numbered WHERE turn > 1 ORDER BY index LIMIT 16",
     "endpoint_assign": f"WITH {_INDEX} SELECT index, ['http://a/v1', 'http://b/v1', 'http://c/v1'][CAST(index % 3 AS INT) + 1] AS endpoint FROM numbered",
     "history_window": """SELECT conv_id, turn, CAST(count(*) OVER w AS BIGINT) AS n_messages,
         string_agg('[' || role || ']: ' || text, chr(10) || chr(10)) OVER w AS transcript FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
@@ -159,7 +159,7 @@ ORACLES = {
     "generate_outputs": f"""WITH {_CASES} SELECT conv_id, expanded_index, CASE WHEN n_prompt % 5 <> 0 THEN CAST(n_prompt AS VARCHAR) || ':' || last_prompt END AS model_output,
         CASE WHEN n_prompt % 5 = 0 THEN 'refused' END AS error FROM cases""",
     "attach_outputs": f"""WITH fx AS ({TEXT.sql()}), o AS (SELECT conv_id, turn, CASE WHEN conv_id % 6 = 5 THEN NULL ELSE model_output END AS model_output, inference_time,
-        CASE WHEN conv_id % 6 = 5 THEN 'timeout' END AS error FROM fx WHERE turn % 5 <> 4)
+        CASE WHEN conv_id % 6 = 5 THEN 'timeout' END AS error FROM fx WHERE turn < 5)
         SELECT c.conv_id, c.turn, c.text AS reference_output, o.model_output, CASE WHEN o.model_output IS NOT NULL THEN o.inference_time END AS inference_time,
         CASE WHEN o.model_output IS NULL THEN coalesce(o.error, 'no model output') END AS error
         FROM conversations c LEFT JOIN o ON o.conv_id = c.conv_id AND o.turn = c.turn WHERE c.role = 'assistant'""",

@@ -39,7 +39,7 @@ def edit_turn_text(spark, sf):
 
 def delete_items(spark, sf):
     samples = _samples(spark, sf)
-    victims = samples.select("original_index").where(F.col("original_index") % 3 == 0)
+    victims = samples.where(F.size("turns") > 4)
     return curate.delete_items(samples, victims).select("original_index", "conv_id")
 
 
@@ -81,11 +81,11 @@ def append_counts(spark, sf):
 
 
 def _checkpoint(spark, sf):
-    """Unscored checkpoint rows; every fourth one was appended twice."""
-    cases = turn_case_index(table(spark, sf, "conversations")).where("index % 3 <> 0")
-    first = cases.select("index", F.lit(1).alias("attempt"), F.concat(F.lit("out"), F.col("index")).alias("model_output"))
-    again = first.where("index % 4 = 1").withColumns({"attempt": F.lit(2), "model_output": F.concat(F.col("model_output"), F.lit("b"))})
-    return first.unionByName(again)
+    """Unscored checkpoint rows; those of late turns were appended twice."""
+    cases = turn_case_index(table(spark, sf, "conversations")).where("turn > 1")
+    first = cases.select("index", "turn", F.lit(1).alias("attempt"), F.concat(F.lit("out"), F.col("index")).alias("model_output"))
+    again = first.where("turn > 3").withColumns({"attempt": F.lit(2), "model_output": F.concat(F.col("model_output"), F.lit("b"))})
+    return first.unionByName(again).drop("turn")
 
 
 def resume_pending(spark, sf):
@@ -96,7 +96,7 @@ def resume_pending(spark, sf):
 
 def union_checkpoint(spark, sf):
     done = _checkpoint(spark, sf)
-    new = turn_case_index(table(spark, sf, "conversations")).where("index % 3 = 0").select("index", F.lit("new").alias("model_output"))
+    new = turn_case_index(table(spark, sf, "conversations")).where("turn <= 1").select("index", F.lit("new").alias("model_output"))
     return resume.union_checkpoint(done, new).select("index", F.coalesce("attempt", F.lit(0)).alias("attempt"), "model_output")
 
 
@@ -151,7 +151,7 @@ def rejected_requests(spark, sf):
 
 
 OWNED = Fixture("orders", {"id": "o_orderkey", "task_id": "o_orderkey", "user_id": "o_custkey", "status": "o_orderstatus"})
-USERS = Fixture("customer", {"id": "c_custkey", "username": "c_name"}, "c_custkey % 10 <> 9")
+USERS = Fixture("customer", {"id": "c_custkey", "username": "c_name"}, "c_acctbal >= 0")
 TASK_REPORTS = Fixture("lineitem", {"id": "l_orderkey * 10 + l_linenumber", "task_id": "l_orderkey", "user_id": "l_suppkey"})
 
 
@@ -167,8 +167,8 @@ def owned_subset(spark, sf):
 def cascade_delete(spark, sf):
     """Deleting some users and some runs: what is left per table."""
     tables = {"users": USERS.frame(spark, sf), "runs": OWNED.frame(spark, sf), "reports": TASK_REPORTS.frame(spark, sf)}
-    users = table(spark, sf, "customer").where("c_custkey % 7 = 3").select(F.col("c_custkey").alias("user_id"))
-    tasks = table(spark, sf, "orders").where("o_orderkey % 11 = 5").select(F.col("o_orderkey").alias("task_id"))
+    users = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    tasks = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("task_id"))
     left = joins.cascade_delete(tables, users, tasks)
     sized = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("long")).alias("id_sum")) for name, df in left.items()]
     return sized[0].unionByName(sized[1]).unionByName(sized[2])
@@ -179,8 +179,8 @@ QUERIES = {f.__name__: f for f in (
     union_checkpoint, checkpoint_dedup, resolve_run_config, rejected_requests, owner_enrich, owned_subset, cascade_delete,
 )}
 
-_CKPT = f"""WITH {_INDEX}, ck AS (SELECT index, CAST(1 AS INTEGER) AS attempt, 'out' || index AS model_output FROM numbered WHERE index % 3 <> 0
-    UNION ALL SELECT index, CAST(2 AS INTEGER), 'out' || index || 'b' FROM numbered WHERE index % 3 <> 0 AND index % 4 = 1)"""
+_CKPT = f"""WITH {_INDEX}, ck AS (SELECT index, CAST(1 AS INTEGER) AS attempt, 'out' || index AS model_output FROM numbered WHERE turn > 1
+    UNION ALL SELECT index, CAST(2 AS INTEGER), 'out' || index || 'b' FROM numbered WHERE turn > 3)"""
 _MERGED = f"""WITH q AS ({REQUESTS.sql()}), c AS ({CONFIGS.sql()}), j AS (SELECT q.*, c.url, c.api_key AS c_key, c.timeout AS c_timeout, c.max_tokens AS c_tokens, c.temperature AS c_temp, c.top_p AS c_top, c.is_vllm, c.model_name
     FROM q LEFT JOIN c ON q.model = c.model_name)"""
 _RENDER = "string_agg('[' || {0} || ']: ' || {1}, chr(10) || chr(10) ORDER BY turn)"
@@ -192,15 +192,15 @@ ORACLES = {
     "distinct_roles": f"WITH {_SAMPLES}, p AS (SELECT role, original_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations JOIN samples USING (conv_id)) SELECT role, CAST(min(original_index) AS BIGINT) AS original_index, CAST(arg_min(pos, original_index * 1000 + pos) AS INTEGER) AS pos FROM p GROUP BY role",
     "edit_meta": f"WITH {_SAMPLES} SELECT conv_id, '{META}' AS meta_description, n_turns FROM samples",
     "edit_turn_text": f"SELECT conv_id, {_RENDER.format('role', f'CASE WHEN role = {chr(39)}assistant{chr(39)} THEN {chr(39)}{REPLY}{chr(39)} ELSE text END')} AS transcript FROM conversations GROUP BY conv_id",
-    "delete_items": f"WITH {_SAMPLES} SELECT row_number() OVER (ORDER BY original_index) - 1 AS original_index, conv_id FROM samples WHERE original_index % 3 <> 0",
+    "delete_items": f"WITH {_SAMPLES} SELECT row_number() OVER (ORDER BY original_index) - 1 AS original_index, conv_id FROM samples WHERE n_turns <= 4",
     "edit_guard": f"""WITH {_SAMPLES}, {_EDITED} SELECT original_index, kind = 1 AS edited,
         CASE kind WHEN 2 THEN 'role changed' WHEN 3 THEN 'turns length changed' WHEN 4 THEN 'structure changed' WHEN 5 THEN 'no allowed change' END AS reason,
         {_RENDER.format('role', 'text')} AS transcript FROM e GROUP BY original_index, kind""",
     "append_items": f"""WITH {_SAMPLES}, n AS (SELECT count(*) AS n FROM samples) SELECT original_index, n_turns, md5((SELECT min_by(text, turn) FROM conversations c WHERE c.conv_id = s.conv_id)) AS first_text FROM samples s
         UNION ALL SELECT (SELECT n FROM n) + row_number() OVER (ORDER BY doc_id) - 1, CAST(1 AS BIGINT), md5(text) FROM documents""",
     "append_counts": "SELECT (SELECT count(*) FROM documents) AS added_count, (SELECT count(*) FROM documents) + (SELECT count(*) FROM orders) AS total_count",
-    "resume_pending": f"WITH {_INDEX} SELECT index, conv_id, turn FROM numbered WHERE index % 3 = 0",
-    "union_checkpoint": f"{_CKPT} SELECT index, attempt, model_output FROM ck UNION ALL SELECT index, CAST(0 AS INTEGER), 'new' FROM numbered WHERE index % 3 = 0",
+    "resume_pending": f"WITH {_INDEX} SELECT index, conv_id, turn FROM numbered WHERE turn <= 1",
+    "union_checkpoint": f"{_CKPT} SELECT index, attempt, model_output FROM ck UNION ALL SELECT index, CAST(0 AS INTEGER), 'new' FROM numbered WHERE turn <= 1",
     "checkpoint_dedup": f"{_CKPT} SELECT index, max(attempt) AS attempt, max_by(model_output, attempt) AS model_output FROM ck GROUP BY index",
     "resolve_run_config": f"""{_MERGED} SELECT request_id, model, CASE WHEN n_urls > 0 THEN 'http://own' ELSE url END AS urls,
         coalesce(CASE WHEN api_key = 'own' THEN api_key END, nullif(c_key, ''), 'sk-' || repeat('x', 48)) AS api_key,
@@ -210,8 +210,8 @@ ORACLES = {
     "rejected_requests": f"{_MERGED} SELECT request_id, model, CASE WHEN data_file = '' THEN 'model, data_file and scoring are required' ELSE 'unknown model' END AS reason FROM j WHERE model_name IS NULL OR data_file = ''",
     "owner_enrich": f"WITH r AS ({OWNED.sql()}), u AS ({USERS.sql()}) SELECT r.id, r.user_id, u.username FROM r LEFT JOIN u ON r.user_id = u.id",
     "owned_subset": f"WITH r AS ({OWNED.sql()}) SELECT id, status FROM r WHERE user_id = 7 AND id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)",
-    "cascade_delete": f"""WITH u AS ({USERS.sql()}), r AS ({OWNED.sql()}), p AS ({TASK_REPORTS.sql()}), gone AS (SELECT id FROM r WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3) OR id % 11 = 5)
-        SELECT 'users' AS table_name, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM u WHERE id % 7 <> 3
+    "cascade_delete": f"""WITH u AS ({USERS.sql()}), r AS ({OWNED.sql()}), p AS ({TASK_REPORTS.sql()}), du AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), gone AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM du) OR o_orderpriority = '1-URGENT')
+        SELECT 'users' AS table_name, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM u WHERE id NOT IN (SELECT c_custkey FROM du)
         UNION ALL SELECT 'runs', count(*), CAST(sum(id) AS BIGINT) FROM r WHERE id NOT IN (SELECT id FROM gone)
-        UNION ALL SELECT 'reports', count(*), CAST(sum(id) AS BIGINT) FROM p WHERE task_id NOT IN (SELECT id FROM gone) AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3)""",
+        UNION ALL SELECT 'reports', count(*), CAST(sum(id) AS BIGINT) FROM p WHERE task_id NOT IN (SELECT id FROM gone) AND user_id NOT IN (SELECT c_custkey FROM du)""",
 }

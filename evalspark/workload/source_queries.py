@@ -28,8 +28,7 @@ def samples_jsonl(spark, sf):
 
 
 def dataset_explode(spark, sf):
-    readable = DATASETS.frame(spark, sf).where("id % 5 > 1")
-    return jsonl.explode_dataset(readable).select(
+    return jsonl.explode_dataset(jsonl.readable_datasets(DATASETS.frame(spark, sf))).select(
         "id", "original_index", "meta.meta_description", F.size("turns").cast("long").alias("n_turns"), F.get("turns", F.lit(0))["text"].alias("first_text")
     )
 
@@ -91,8 +90,8 @@ def csv_preview(spark, sf):
 def checkpoint_roundtrip(spark, sf):
     path = fresh_path(spark, "checkpoint")
     rows = BOXED.frame(spark, sf).select("conv_id", "turn", "model_output")
-    for parity in (0, 1):
-        checkpoints.append_checkpoint(rows.where(F.col("conv_id") % 2 == parity), path)
+    for part in ("turn < 2", "turn >= 2"):
+        checkpoints.append_checkpoint(rows.where(part), path)
     return checkpoints.load_checkpoint(spark, path, rows.schema)
 
 
@@ -195,7 +194,7 @@ _EXPORT = f"""WITH fx AS ({EXPORT.sql()}), e AS (SELECT CASE WHEN score IS NULL
 
 ORACLES = {
     "samples_jsonl": """SELECT row_number() OVER (ORDER BY conv_id) - 1 AS original_index, conv_id, string_agg('[' || role || ']: ' || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""",
-    "dataset_explode": f"""WITH {_LINES}, k AS (SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS original_index FROM l WHERE line <> '' AND id % 5 > 1)
+    "dataset_explode": f"""WITH {_LINES}, k AS (SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS original_index FROM l WHERE line <> '' AND id IN (SELECT id FROM n WHERE bad IS NULL))
         SELECT id, original_index, json_extract_string(line, '$.meta.meta_description') AS meta_description, CAST(json_array_length(line, '$.turns') AS BIGINT) AS n_turns, json_extract_string(line, '$.turns[0].text') AS first_text FROM k""",
     "dataset_preview": f"""WITH {_LINES} SELECT id, CAST(CASE WHEN bad IS NOT NULL THEN raw_lines ELSE len(list_filter(lines, lambda x: x <> '')) END AS BIGINT) AS total_count,
         CASE WHEN bad IS NOT NULL THEN lines[bad + 1] END AS bad_line FROM n""",

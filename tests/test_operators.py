@@ -211,6 +211,9 @@ def test_dataset_blobs(spark):
     df = spark.createDataFrame([(1, '{"turns":[]}\r\n\n {"a":1}'), (2, '{"a":1}\n\n{bad\n{"b":1}\n'), (3, "")], "id long, file_content string")
     ok = jsonl.explode_dataset(df.where("id <> 2")).orderBy("id", "original_index").collect()
     assert [(r["id"], r["original_index"], r["raw"]) for r in ok] == [(1, 0, '{"turns":[]}'), (1, 1, '{"a":1}')]
+    assert sorted(r["id"] for r in jsonl.readable_datasets(df).collect()) == [1, 3]
+    with pytest.raises(Exception, match="not valid JSON"):
+        jsonl.explode_dataset(df).collect()
     items, counts = jsonl.preview_dataset(df)
     assert [(r["id"], r["total_count"], r["bad_line"]) for r in counts.orderBy("id").collect()] == [(1, 2, None), (2, 5, "{bad"), (3, 0, None)]
     assert sorted((r["id"], r["raw"]) for r in items.collect()) == [(1, '{"a":1}'), (1, '{"turns":[]}'), (2, '{"a":1}')]
