@@ -14,8 +14,18 @@ from evalspark.plans.numbering import shift_ranges
 BLOCK = ["_file", "_block"]
 
 
+PINNED = "spark.sql.files.minPartitionNum"
+
+
 def with_positions(scan: DataFrame) -> DataFrame:
-    """Add the scan position columns right at the source."""
+    """Add the scan position columns right at the source.
+
+    The scan is read twice, once to count lines per block. Split sizes follow the number
+    of cores unless pinned, so the number is fixed before executors come or go.
+    """
+    spark = scan.sparkSession
+    if spark.conf.get(PINNED, None) is None:
+        spark.conf.set(PINNED, str(spark.sparkContext.defaultParallelism))
     return scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
