@@ -56,6 +56,13 @@ def last_wins(members: Column) -> Column:
     return bind(members, dedup)
 
 
+def set_member(text: Column, key: str, member: Column) -> Column:
+    """JSON object text with one member (given as JSON text) replaced or added; the others stay."""
+    members = last_wins(F.from_json(text, "map<string,variant>", STRICT))
+    kept = F.coalesce(F.map_filter(members, lambda k, _: k != key), F.create_map().cast("map<string,variant>"))
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(member))))
+
+
 def json_string(text: Column) -> Column:
     """Value of a JSON string."""
     return F.element_at(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT), 1)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.jsons import canonical_json, json_kind, json_map
+from evalspark.functions.jsons import canonical_json, json_kind, json_map, json_member_raw, set_member
 from evalspark.functions.text import strip
 from evalspark.plans.generators import explode_computed
 from evalspark.plans.numbering import number_rows
@@ -31,19 +33,34 @@ def first_seen(df: DataFrame, column: str, order: list[str]) -> DataFrame:
 
 
 def edit_meta(samples: DataFrame, value: str) -> DataFrame:
-    """Set ``meta_description`` on every item."""
+    """Set ``meta_description`` on every item; ``raw`` follows and keeps its other members."""
     if not value.strip():
         raise ValueError("meta_description must not be blank")
-    return samples.withColumn("meta", F.struct(F.lit(value).alias("meta_description")))
+    edited = samples.withColumn("meta", F.struct(F.lit(value).alias("meta_description")))
+    if "raw" not in samples.columns:
+        return edited
+    meta = F.coalesce(json_member_raw(F.col("raw"), "meta"), F.lit("{}"))
+    return edited.withColumn("raw", set_member(F.col("raw"), "meta", set_member(meta, "meta_description", F.lit(json.dumps(value)))))
 
 
 def edit_turn_text(samples: DataFrame, role: str, value: str) -> DataFrame:
-    """Set the text of every turn with exactly this role."""
+    """Set the text of every turn with exactly this role; ``raw`` follows and keeps its other members."""
     if not role:
         raise ValueError("a role is required")
-    return samples.withColumn(
-        "turns", F.transform("turns", lambda t: F.when(t["role"] == role, t.withField("text", F.lit(value))).otherwise(t))
-    )
+
+    def edit(turn: Column) -> Column:
+        return F.when(turn["role"] == role, turn.withField("text", F.lit(value))).otherwise(turn)
+
+    def edit_raw(turn: Column) -> Column:
+        same_role = F.try_element_at(json_map(turn), F.lit("role")) == role
+        return F.when(same_role, set_member(turn, "text", F.lit(json.dumps(value)))).otherwise(turn)
+
+    edited = samples.withColumn("turns", F.transform("turns", edit))
+    if "raw" not in samples.columns:
+        return edited
+    turns = F.from_json(json_member_raw(F.col("raw"), "turns"), "array<string>")
+    joined = F.concat(F.lit("["), F.array_join(F.transform(turns, edit_raw), ","), F.lit("]"))
+    return edited.withColumn("raw", F.when(turns.isNull(), F.col("raw")).otherwise(set_member(F.col("raw"), "turns", joined)))
 
 
 def reindex(samples: DataFrame, index: str = "original_index") -> DataFrame:

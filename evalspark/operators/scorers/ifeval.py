@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.jsons import json_kind, json_valid
+from evalspark.functions.jsons import json_kind, json_map, json_valid
 from evalspark.functions.staged import bind
 from evalspark.functions.text import (
     D,
@@ -187,6 +187,12 @@ def ifeval(case: Case) -> Column:
     ids, kwargs = spec["instruction_id_list"], spec["kwargs"]
     pairs = F.arrays_zip(ids.alias("id"), kwargs.alias("kwarg"))
     total, given = let(F.coalesce(F.size(ids), F.lit(-1))), F.coalesce(F.size(kwargs), F.lit(-1))
+    members = json_map(case.reference_output)
+    # A missing argument list is a mismatch, an explicit null one cannot be read at all.
+    unreadable = F.when(
+        (total > 0) & (given < 0) & F.map_contains_key(members, F.lit("kwargs")) & F.try_element_at(members, F.lit("kwargs")).isNull(),
+        "kwargs is null",
+    )
     problem = let(
         F.when(F.coalesce(json_kind(case.reference_output) != "object", F.lit(True)), "Reference format error")
         .when(total <= 0, F.lit(None).cast("string"))
@@ -214,7 +220,7 @@ def ifeval(case: Case) -> Column:
         F.when(usable, passed).alias("passed_count"),
         results.alias("instruction_breakdown"),
     )
-    return outcome(score, bad, details)
+    return outcome(score, bad, details, unreadable)
 
 
 def ifeval_checks(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

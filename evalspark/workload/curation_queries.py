@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalspark.functions import text
 from evalspark.operators import curate, joins, resume
 from evalspark.operators.cases import turn_case_index
 from evalspark.plans.numbering import number_rows
@@ -30,11 +31,14 @@ def distinct_roles(spark, sf):
 
 
 def edit_meta(spark, sf):
-    return curate.edit_meta(_samples(spark, sf), META).select("conv_id", "meta.meta_description", F.size("turns").cast("long").alias("n_turns"))
+    return curate.edit_meta(_samples(spark, sf), META).select(
+        "conv_id", "meta.meta_description", F.size("turns").cast("long").alias("n_turns"),
+        F.get_json_object("raw", "$.meta.meta_description").alias("stored_description"))
 
 
 def edit_turn_text(spark, sf):
-    return curate.edit_turn_text(_samples(spark, sf), "assistant", REPLY).select("conv_id", _transcript().alias("transcript"))
+    return curate.edit_turn_text(_samples(spark, sf), "assistant", REPLY).select(
+        "conv_id", _transcript().alias("transcript"), text.count_substr(F.col("raw"), F.lit(REPLY)).cast("long").alias("stored_replies"))
 
 
 def delete_items(spark, sf):
@@ -190,8 +194,8 @@ _EDITED = f"""e AS (SELECT s.original_index, s.original_index % 6 AS kind, c.tur
 ORACLES = {
     "sample_search": f"WITH {_SAMPLES} SELECT conv_id, n_turns FROM samples WHERE conv_id IN (SELECT conv_id FROM conversations WHERE contains(lower(text), lower('{NEEDLE}')))",
     "distinct_roles": f"WITH {_SAMPLES}, p AS (SELECT role, original_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations JOIN samples USING (conv_id)) SELECT role, CAST(min(original_index) AS BIGINT) AS original_index, CAST(arg_min(pos, original_index * 1000 + pos) AS INTEGER) AS pos FROM p GROUP BY role",
-    "edit_meta": f"WITH {_SAMPLES} SELECT conv_id, '{META}' AS meta_description, n_turns FROM samples",
-    "edit_turn_text": f"SELECT conv_id, {_RENDER.format('role', f'CASE WHEN role = {chr(39)}assistant{chr(39)} THEN {chr(39)}{REPLY}{chr(39)} ELSE text END')} AS transcript FROM conversations GROUP BY conv_id",
+    "edit_meta": f"WITH {_SAMPLES} SELECT conv_id, '{META}' AS meta_description, n_turns, '{META}' AS stored_description FROM samples",
+    "edit_turn_text": f"SELECT conv_id, {_RENDER.format('role', f'CASE WHEN role = {chr(39)}assistant{chr(39)} THEN {chr(39)}{REPLY}{chr(39)} ELSE text END')} AS transcript, count(*) FILTER (role = 'assistant') AS stored_replies FROM conversations GROUP BY conv_id",
     "delete_items": f"WITH {_SAMPLES} SELECT row_number() OVER (ORDER BY original_index) - 1 AS original_index, conv_id FROM samples WHERE n_turns <= 4",
     "edit_guard": f"""WITH {_SAMPLES}, {_EDITED} SELECT original_index, kind = 1 AS edited,
         CASE kind WHEN 2 THEN 'role changed' WHEN 3 THEN 'turns length changed' WHEN 4 THEN 'structure changed' WHEN 5 THEN 'no allowed change' END AS reason,

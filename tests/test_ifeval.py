@@ -77,6 +77,9 @@ def test_language_needs_a_detected_column(spark):
     ("{}", (1.0, 0)),
     ('{"instruction_id_list": []}', (1.0, 0)),
     ('{"instruction_id_list": ["a"], "kwargs": []}', (0.0, 1)),
+    ('{"instruction_id_list": ["a"]}', (0.0, 1)),
+    ('{"instruction_id_list": ["a"], "kwargs": null}', (None, 1)),
+    ('{"instruction_id_list": null}', (1.0, 0)),
     (spec(("punctuation:no_comma", {}), ("punctuation:no_comma", X)), (0.5, 1)),  # no arguments: skipped but counted
     (spec(("punctuation:no_comma", None)), (0.0, 1)),
     (spec(("unknown:rule", X), ("keywords:frequency", {"keyword": "a"})), (0.0, 1)),  # unknown id, missing arguments

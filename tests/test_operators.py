@@ -166,6 +166,16 @@ def test_curation(spark):
         curate.edit_meta(df, "  ")
 
 
+def test_edits_keep_unknown_members_of_raw(spark):
+    item = {"meta": {"meta_description": "m", "k": [1]}, "turns": [{"role": "u", "text": "a", "n": 2}, {"role": "v", "text": "b"}], "id": {"x": "é"}}
+    raws = spark.createDataFrame([(0, json.dumps(item)), (1, '{"id": 1}')], "original_index long, raw string")
+    df = jsonl._with_fields(raws)
+    meta = [json.loads(r["raw"]) for r in curate.edit_meta(df, 'new "q"').orderBy("original_index").collect()]
+    assert meta == [{**item, "meta": {"meta_description": 'new "q"', "k": [1]}}, {"id": 1, "meta": {"meta_description": 'new "q"'}}]
+    turns = [json.loads(r["raw"]) for r in curate.edit_turn_text(df, "u", "z").orderBy("original_index").collect()]
+    assert turns == [{**item, "turns": [{"role": "u", "text": "z", "n": 2}, {"role": "v", "text": "b"}]}, {"id": 1}]
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     path = tmp_path / "s.jsonl"
     good = ['{"meta": {"meta_description": "m"}, "turns": [{"role": "Human", "text": "a"}], "extra": [1]}', "", "  ", '{"turns": []}', ' {"meta": null} ']
