@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.jsons import canonical_json, json_kind, json_map, json_member_raw, set_member
-from evalspark.functions.text import strip
 from evalspark.plans.generators import explode_computed
 from evalspark.plans.numbering import number_rows
 from evalspark.schemas import SAMPLE
@@ -152,7 +151,3 @@ def _edit_problem() -> Column:
         .when(other_changed, "another field changed")
         .when(~(meta_changed | text_changed), "no allowed change")
     )
-
-
-def blank(text: Column) -> Column:
-    return strip(F.coalesce(text, F.lit(""))) == ""

@@ -11,7 +11,7 @@ from evalspark.plans.numbering import number_rows
 from evalspark.schemas import TURN
 from evalspark.sources.turns import samples_from_turns
 from evalspark.workload.case_queries import _INDEX, _SAMPLES, _transcript
-from evalspark.workload.fixtures import BOXED, Fixture, table
+from evalspark.workload.fixtures import Fixture, table
 
 NEEDLE = "NICHT"
 META = "fresh description"
