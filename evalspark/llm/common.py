@@ -81,7 +81,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes. Minima are partial
     aggregates and hubs meet their minimum in a join, which adaptive execution splits, so one
-    node may carry any share of the edges. Every round is cut with a checkpoint. Null ends and
+    node may carry any share of the edges. The minima are stored before they are joined: a join
+    right on top of an aggregate keeps its partitioning, which cannot be split. Null ends and
     self loops are ignored.
     """
     now = durable(
@@ -92,14 +93,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     seen = _digest(now)
     while seen[0]:
         both = now.union(now.select("root", "node"))
-        low = both.groupBy("node").agg(F.min("root").alias("low")).select(F.col("node").alias("_n"), F.least("node", "low").alias("_low"))
+        low = durable(both.groupBy("node").agg(F.min("root").alias("low")).select(F.col("node").alias("_n"), F.least("node", "low").alias("_low")))
         large = (
             both.where(F.col("root") > F.col("node"))
             .join(low, F.col("node") == F.col("_n"))
             .select(F.col("root").alias("node"), F.col("_low").alias("root"))
             .distinct()
         )
-        least = large.groupBy("node").agg(F.min("root").alias("_low"))
+        large = durable(large)
+        least = durable(large.groupBy("node").agg(F.min("root").alias("_low")))
         small = (
             large.join(least.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
             .where(F.col("root") != F.col("_low"))

@@ -109,7 +109,7 @@ def links(fps: DataFrame, bits: int = BITS, pivot_count: int = PIVOTS, chunk: in
     masks = block_masks(bits, bits + 2)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("_k")).select("fp", "_k.kind", "_k.key")
-    sizes = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = durable(keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     cuts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), cuts).cast("int")
     met = (
@@ -147,6 +147,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = durable(marked.groupBy("fp").agg(F.min(id_col).alias("low")))
     joined = components(links(classes.select("fp"), bits), "a", "b")
     labelled = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("low").alias("component"))
+    smallest = durable(labelled.groupBy("root").agg(F.min("low").alias("component")))
     by_fp = labelled.join(smallest, "root").select("fp", "component")
     return marked.join(by_fp, "fp").select(id_col, "fp", "component")
