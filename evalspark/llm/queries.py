@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import decontaminate, simhash, tokens
+from evalspark.llm import bwt, debruijn, decontaminate, simhash, tokens
 from evalspark.llm.common import table
 
 
@@ -25,10 +25,22 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bwt.drop_repeats(table(spark, sf_dir, "documents"), "doc_id")
+    return found.select("_row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.drop_repeats(table(spark, sf_dir, "documents"), "doc_id")
+    return found.select("_row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_token_counts": op3_token_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op8_suffix_merge": op8_suffix_merge,
+    "op9_debruijn": op9_debruijn,
 }
 
 ORACLES: dict[str, str] = {}
