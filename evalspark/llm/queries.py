@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bwt, debruijn, decontaminate, simhash, tokens
+from evalspark.llm import bwt, debruijn, decontaminate, simhash, tokens, toxicity
 from evalspark.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contaminated(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -38,6 +43,7 @@ def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op8_suffix_merge": op8_suffix_merge,
     "op9_debruijn": op9_debruijn,
