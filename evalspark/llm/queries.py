@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bwt, debruijn, decontaminate, simhash, tokens, toxicity
+from evalspark.llm import bwt, debruijn, decontaminate, mixing, simhash, tokens, toxicity, vectors
 from evalspark.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+
+
 def op8_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bwt.drop_repeats(table(spark, sf_dir, "documents"), "doc_id")
     return found.select("_row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -45,6 +53,8 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op6_mixing": op6_mixing,
+    "op7_vectors": op7_vectors,
     "op8_suffix_merge": op8_suffix_merge,
     "op9_debruijn": op9_debruijn,
 }

@@ -26,8 +26,10 @@ DIM = 8
 GRAMS = (3, 4, 5)
 SAMPLE = 4000
 SAMPLE_WORDS = 1_000_000
-EPOCHS = 10
-RATE = 0.5
+EPOCHS = 8
+RATE = 1.0
+SEGMENT = 16  # words
+WEIGHT = {"toxic": 0.3, "clean": 0.25, "segment": 0.45}
 PART = 1 << 20  # bytes of text worked on at once
 
 
@@ -98,10 +100,8 @@ class Model:
         self.softmax = rng.normal(0, 1, (2, DIM)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 32, seed: int = 7) -> Model:
-        """Adagrad on the cross entropy of both layers together. Classes weigh the same."""
-        share = np.bincount(labels, minlength=2) / max(1, len(labels))
-        weight = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0.0)
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 256, seed: int = 7) -> Model:
+        """Adagrad on the weighted cross entropy of both layers together."""
         rng = np.random.default_rng(seed)
         seen_e = np.full(BUCKETS, 1e-6, np.float32)
         seen_w, seen_b = np.full((2, DIM), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -121,7 +121,7 @@ class Model:
                 p /= p.sum(axis=1, keepdims=True)
                 error = p.copy()
                 error[np.arange(len(rows)), labels[rows]] -= 1
-                error *= (weight[labels[rows]] / len(rows))[:, None]
+                error *= (weight[rows] / len(rows))[:, None]
                 back = error @ self.softmax
                 grad_w, grad_b = error.T @ hidden, error.sum(axis=0)
                 touched, inverse = np.unique(place, return_inverse=True)
@@ -180,8 +180,8 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Model:
     """Fit on the labelled rows of smallest id hash that are not held out, at most ``sample``,
     a quarter of them toxic; the driver never holds more than ``sample_words`` words of them. Null labels and ids
-    and labels other than 0 and 1 do not count. Without labels of both kinds every score is a
-    half."""
+    and labels other than 0 and 1 do not count. Without labels of both kinds the model is not
+    trained and scores mean nothing."""
     known = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(id_col).agg(F.max(label_col).alias("_label"))
@@ -200,15 +200,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen: set[int] = set()
     for r in rows.repartition(32, F.xxhash64(id_col)).sortWithinPartitions(F.xxhash64(id_col, F.lit(12)), id_col).toLocalIterator():
         data = clean(r["_text"])
-        key, words = text_key(data), len(data.split())
-        if total + words <= sample_words and words and key not in seen:
+        key, words = text_key(data), data.split()
+        if total + len(words) <= sample_words and words and key not in seen:
             seen.add(key)
+            total += len(words)
             bags.append(Subwords(b" " + data + b" ", hasher).bag())
-            kinds.append(int(r["_label"]))
-            total += words
+            kinds.append("toxic" if r["_label"] == 1 else "clean")
+            # Short segments of clean texts are clean too. They keep the words of short texts,
+            # where each counts for much, from looking like evidence.
+            if kinds[-1] == "clean" and len(words) > SEGMENT:
+                for at in range(0, len(words), SEGMENT):
+                    bags.append(Subwords(b" " + b" ".join(words[at : at + SEGMENT]) + b" ", hasher).bag())
+                    kinds.append("segment")
     model = Model()
-    kinds = np.array(kinds, np.int64)
-    return model.fit(bags, kinds) if len(set(kinds.tolist())) == 2 else model
+    kinds = np.array(kinds)
+    counts = {k: int((kinds == k).sum()) for k in WEIGHT}
+    if not counts["toxic"] or not counts["clean"]:
+        return model
+    each = {k: WEIGHT[k] / max(1, counts[k]) * len(bags) for k in WEIGHT}
+    return model.fit(bags, (kinds == "toxic").astype(np.int64), np.array([each[k] for k in kinds]))
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
