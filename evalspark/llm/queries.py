@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bwt, debruijn, decontaminate, mixing, simhash, tokens, toxicity, vectors
+from evalspark.llm import bwt, debruijn, decontaminate, licenses, mixing, simhash, tokens, toxicity, urls, vectors
 from evalspark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,8 +52,13 @@ def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_urls": op2_urls,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
@@ -57,6 +66,7 @@ QUERIES = {
     "op7_vectors": op7_vectors,
     "op8_suffix_merge": op8_suffix_merge,
     "op9_debruijn": op9_debruijn,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_urls": urls.ORACLE, "op10_licenses": licenses.oracle()}
