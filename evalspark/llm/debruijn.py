@@ -23,12 +23,12 @@ def cut_edges(repeats: Repeats, classes: DataFrame) -> DataFrame:
     return compare_windows(repeats, repeats.kinds(classes, repeats.branchings(classes)))
 
 
-def drop_repeats(docs: DataFrame, *keep: str, text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def drop_repeats(docs: DataFrame, *keep: str, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, as_is: bool = False) -> DataFrame:
     """(_row, n_units, n_removed, kept, spans) per input row: the words that stay after every
     word of a ``window``-word sequence that also starts elsewhere is gone, joined by one space.
 
     ``_row`` holds the columns ``keep``. Null and blank texts have no words. Texts of fewer
     words than the window lose nothing; of repeated rows all lose everything from that length
-    on. Windows are judged on the input, take words unchanged and may overlap.
+    on. With ``as_is``, texts that lose nothing keep their blanks. Windows are judged on the input, take words unchanged and may overlap.
     """
-    return Repeats(docs, text_col, window, gram, words=True).cut(cut_edges, *keep)
+    return Repeats(docs, text_col, window, gram, words=True).cut(cut_edges, *keep, as_is=as_is)

@@ -94,16 +94,16 @@ def shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_word
     yield shard
 
 
-def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, items, spans) per document row.
+def find_passages(docs: DataFrame, items: DataFrame, *keep: str, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(_row, n_words, n_hit, n_items, items_sha256, items, spans) per document row.
 
-    ``spans`` are the hit passages as [from, to) characters of the original text; ``items`` the
-    occurring item ids as sorted strings. Null and empty texts have no words. Items without
-    words, or with a null id, match nothing. Items of equal text all occur together. Repeated
-    rows and null ids keep their rows.
+    ``_row`` holds the columns ``keep``. ``spans`` are the hit passages as [from, to) characters
+    of the original text; ``items`` the occurring item ids as sorted strings. Null and empty
+    texts have no words. Items without words, or with a null id, match nothing. Items of equal
+    text all occur together. Repeated rows keep their rows. No input: no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+    found = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"), F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+    kind = found.schema[0].dataType.simpleString()
     passes = shards(items, item_col, item_text, window, shard_words)
     shard = next(passes)
     while True:
@@ -112,8 +112,8 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             break
         found = durable(found.mapInArrow(_pass(docs.sparkSession, shard, window), found.schema))
         shard = following
-    schema = f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<struct<lo:long,hi:long>>"
-    return found.mapInArrow(_last(docs.sparkSession, shard, window, id_col), schema)
+    schema = f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<struct<lo:long,hi:long>>"
+    return found.mapInArrow(_last(docs.sparkSession, shard, window), schema)
 
 
 def _scan(batch: pa.RecordBatch, matcher: Matcher):
@@ -143,7 +143,7 @@ def _pass(spark, shard, window):
     return run
 
 
-def _last(spark, shard, window, id_col):
+def _last(spark, shard, window):
     sent = spark.sparkContext.broadcast(shard)
 
     def run(batches):
@@ -157,7 +157,7 @@ def _last(spark, shard, window, id_col):
                 at = [m.span() for m in WORD_SPAN.finditer(text)] if spans else []
                 chars.append([{"lo": at[lo][0], "hi": at[hi - 1][1]} for lo, hi in spans])
             yield pa.RecordBatch.from_pydict({
-                id_col: batch.column(0),
+                "_row": batch.column(0),
                 "n_words": pa.array(n_words, pa.int64()),
                 "n_hit": pa.array(n_hit, pa.int64()),
                 "n_items": pa.array(list(map(len, items)), pa.int64()),

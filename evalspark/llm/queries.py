@@ -30,8 +30,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.contaminated(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
+    return decontaminate.contaminated(found).select("_row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,7 +240,12 @@ class Repeats:
         """(_tkey, _size, _runs): per text its runs with repeated windows; ``ks`` null is all."""
         runs = self.runs()
         shared = durable(runs.groupBy("mkey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mkey"))
-        kept = durable(runs.join(shared, "mkey").groupBy("_tkey", "_size", "at", "n", "off", "mkey", "fkey").agg(F.count(F.lit(1)).alias("c")))
+        # Not grouped by mkey too: the aggregate would then ride on the join's partitioning, and
+        # the join could not be split where an anchor is hot.
+        kept = durable(
+            runs.join(shared, "mkey").groupBy("_tkey", "_size", "at", "n", "off", "fkey")
+            .agg(F.max("mkey").alias("mkey"), F.count(F.lit(1)).alias("c"))
+        )
         classes = durable(kept.groupBy("mkey", "fkey").agg(F.sum("c").alias("total"), F.min(F.struct("_tkey", "_size", "at", "n", "off")).alias("rep")))
         whole = classes.where("total > 1").select("mkey", "fkey", F.lit(None).cast("array<int>").alias("ks"))
         marks = durable(whole.union(branches(self, classes).select("mkey", "fkey", "ks")))
@@ -249,10 +254,11 @@ class Repeats:
             .groupBy("_tkey", "_size").agg(F.collect_list(F.struct("at", "n", "ks")).alias("_runs"))
         )
 
-    def cut(self, branches: Callable[[Repeats, DataFrame], DataFrame], *keep: str) -> DataFrame:
+    def cut(self, branches: Callable[[Repeats, DataFrame], DataFrame], *keep: str, as_is: bool = False) -> DataFrame:
         """(_row, n_units, n_removed, kept, spans): each input row without its repeated units.
 
         ``kept`` is the text that stays: the bytes in order, or the words joined by one space.
+        With ``as_is``, a text that loses nothing stays as it was, blanks included.
         ``spans`` are the maximal removed runs [lo, hi) in units.
         """
         spans = self.spans(branches)
@@ -274,6 +280,9 @@ class Repeats:
                     total.append(len(parts))
                     gone.append(int((edge[1] - edge[0]).sum()))
                     where.append([{"lo": a, "hi": b} for a, b in zip(edge[0].tolist(), edge[1].tolist())])
+                    if as_is and not gone[-1]:
+                        kept.append(data)
+                        continue
                     between = zip([0, *edge[1].tolist()], [*edge[0].tolist(), len(parts)])
                     kept.append(b" ".join([w for a, b in between for w in parts[a:b]]) if words else b"".join(data[a:b] for a, b in between))
                 yield pa.RecordBatch.from_arrays(

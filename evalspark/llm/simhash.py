@@ -52,15 +52,16 @@ def simhash(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp) with the fingerprint as a signed long; one row per input row, in whole texts."""
+def fingerprints(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", words: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(_row, fp) with the fingerprint of the whole text as a signed long; one row per input
+    row. ``_row`` holds the id, or every column."""
 
     def step(batch: pa.RecordBatch) -> dict:
         found = np.array([simhash(t, words, seed) for t in batch.column(1).to_pylist()], np.uint64)
-        return {id_col: batch.column(0), "fp": pa.array(found.view(np.int64))}
+        return {"_row": batch.column(0), "fp": pa.array(found.view(np.int64))}
 
-    narrow = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    return map_batches(narrow, f"{id_col} {narrow.schema[0].dataType.simpleString()}, fp long", step)
+    narrow = docs.select(F.struct(*([id_col] if id_col else docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
+    return map_batches(narrow, f"_row {narrow.schema[0].dataType.simpleString()}, fp long", step)
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -136,6 +137,15 @@ def links(fps: DataFrame, bits: int = BITS, pivot_count: int = PIVOTS, chunk: in
     return met.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 
 
+def fingerprint_classes(marked: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """(fp, component) of every fingerprint: the smallest id of the component, stored."""
+    classes = durable(marked.groupBy("fp").agg(F.min(id_col).alias("low")))
+    joined = components(links(classes.select("fp"), bits), "a", "b")
+    labelled = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    smallest = durable(labelled.groupBy("root").agg(F.min("low").alias("component")))
+    return labelled.join(smallest, "root").select("fp", "root", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = SHINGLE) -> DataFrame:
     """(id, fp, component): the smallest id reachable over links of at most ``bits`` bits.
 
@@ -143,10 +153,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zero and link like any other. Rows with a null id keep their row; they join their component
     and get its smallest id, null if it has none. Repeated rows repeat. No input: no rows.
     """
-    marked = durable(fingerprints(docs, id_col, text_col, words))
-    classes = durable(marked.groupBy("fp").agg(F.min(id_col).alias("low")))
-    joined = components(links(classes.select("fp"), bits), "a", "b")
-    labelled = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    smallest = durable(labelled.groupBy("root").agg(F.min("low").alias("component")))
-    by_fp = labelled.join(smallest, "root").select("fp", "component")
-    return marked.join(by_fp, "fp").select(id_col, "fp", "component")
+    marked = durable(fingerprints(docs, id_col, text_col, words).select(F.col(f"_row.{id_col}").alias(id_col), "fp"))
+    return marked.join(fingerprint_classes(marked, id_col, bits).select("fp", "component"), "fp").select(id_col, "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each component: that of the smallest id. Where
+    several rows have that id, or none has an id, any one of them stays."""
+    marked = durable(fingerprints(docs, id_col, text_col, words).select(F.col(f"_row.{id_col}").alias("_id"), "fp"))
+    classes = durable(fingerprint_classes(marked, "_id", bits))
+    first = marked.join(classes, "fp").where(F.col("_id").eqNullSafe(F.col("component")))
+    tied = not first.groupBy("root").count().where("count > 1").isEmpty()
+    rows = fingerprints(docs, None, text_col, words)
+    kept = rows.join(classes, "fp").where(F.col(f"_row.{id_col}").eqNullSafe(F.col("component")))
+    # Only tables with repeated or missing ids need the texts dealt out once more.
+    return (kept.dropDuplicates(["root"]) if tied else kept).select(*[F.col(f"_row.{c}") for c in docs.columns])

@@ -26,6 +26,7 @@ DIM = 8
 GRAMS = (3, 4, 5)
 SAMPLE = 4000
 SAMPLE_WORDS = 1_000_000
+THRESHOLD = 0.5
 EPOCHS = 8
 RATE = 1.0
 SEGMENT = 16  # words
@@ -221,17 +222,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model.fit(bags, (kinds == "toxic").astype(np.int64), np.array([each[k] for k in kinds]))
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Add nothing but (id, held_out, score, predicted): one row per input row, in whole texts.
+def with_scores(docs: DataFrame, model: Model, *keep: str, text_col: str = "text") -> DataFrame:
+    """(_row, score) per input row, in whole texts; ``_row`` holds the columns ``keep``.
 
-    Null and blank texts get the score of the bias. Repeated rows repeat, null ids stay.
+    Null and blank texts get the score of the bias. Repeated rows repeat. No input: no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model.scorer())
+    narrow = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
 
     def step(batch: pa.RecordBatch) -> dict:
-        return {id_col: batch.column(0), "score": pa.array(sent.value.score(batch.column(1).to_pylist(), Hasher()), pa.float64())}
+        return {"_row": batch.column(0), "score": pa.array(sent.value.score(batch.column(1).to_pylist(), Hasher()), pa.float64())}
 
-    narrow = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    kind = narrow.schema[0].dataType.simpleString()
-    scored = map_batches(narrow, f"{id_col} {kind}, score double", step)
+    return map_batches(narrow, f"_row {narrow.schema[0].dataType.simpleString()}, score double", step)
+
+
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, held_out, score, predicted) per input row; see ``with_scores``."""
+    scored = with_scores(docs, model, id_col, text_col=text_col).select(f"_row.{id_col}", "score")
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

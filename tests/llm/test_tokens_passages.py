@@ -116,13 +116,13 @@ def test_decontamination_equals_brute_force(spark, shard_words):
     items = [(10, "a b c d e f g"), (9, "c D, e"), (2, "xÉ y"), (3, None), (4, ""), (5, "q r s"), (6, "q r s"), (7, "!!")]
     rows = [(1, "zz A b C! d e f g h"), (2, None), (3, ""), (4, "c d e c d e"), (5, "xÉ-y xé y"), (None, "b c d e f q r s"), (5, "xÉ-y xé y"), (6, "c.d.e " * 3000)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
-    found = decontaminate.contaminated(decontaminate.find_passages(docs(spark, rows), bench, window=4, shard_words=shard_words)).collect()
+    found = decontaminate.contaminated(decontaminate.find_passages(docs(spark, rows), bench, "doc_id", window=4, shard_words=shard_words)).collect()
     want = sorted((i or -1, *brute_hits(t, items, 4)) for i, t in rows)
-    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in found) == want
+    assert sorted((r._row.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in found) == want
     for r in found:
         assert r.n_items == len(r["items"]) and r.items_sha256 == hashlib.sha256(",".join(r["items"]).encode()).hexdigest()
         assert r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words)
-    assert [r.spans for r in found if r.doc_id == 1] == [[(3, 17)]]
+    assert [r.spans for r in found if r._row.doc_id == 1] == [[(3, 17)]]
     none = spark.createDataFrame([], "item_id long, text string")
-    assert {r.n_hit for r in decontaminate.find_passages(docs(spark, rows), none).collect()} == {0}
-    assert decontaminate.find_passages(docs(spark, []), bench).count() == 0
+    assert {r.n_hit for r in decontaminate.find_passages(docs(spark, rows), none, "doc_id").collect()} == {0}
+    assert decontaminate.find_passages(docs(spark, []), bench, "doc_id").count() == 0
