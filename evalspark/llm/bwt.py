@@ -87,10 +87,17 @@ def merge_branches(repeats: Repeats, classes: DataFrame, most: int = MERGE) -> D
                 ks = [(off[r] - np.flatnonzero(found[r])).astype(np.int32) for r in row]
                 yield pa.RecordBatch.from_pydict({"mkey": batch.column("mkey").take(pa.array(row)), "fkey": batch.column("fkey").take(pa.array(row)), "ks": pa.array(ks, pa.list_(pa.int32()))})
 
-    shards = repeats.kinds(classes, anchors.where(F.col("kinds") <= most)).select("mkey", "fkey", "total", "off", "n", "span")
+    columns = ("mkey", "fkey", "total", "off", "n", "span")
+    arrow = pa.schema([(c, pa.binary() if c == "span" else pa.int64()) for c in columns])
+
+    def shard(kinds: list[dict]):
+        yield pa.RecordBatch.from_pydict({c: [r[c] for r in kinds] for c in columns}, schema=arrow)
+
+    schema = ", ".join(f"{c} {'binary' if c == 'span' else 'long'}" for c in columns)
+    shards = repeats.kinds(classes, anchors.where(F.col("kinds") <= most), shard, schema)
     found = shards.repartition("mkey").sortWithinPartitions("mkey").mapInArrow(run, "mkey long, fkey long, ks array<int>")
     crowded = anchors.where(F.col("kinds") > most)
-    return found if crowded.isEmpty() else found.union(compare_windows(repeats, repeats.kinds(classes, crowded)))
+    return found if crowded.isEmpty() else found.union(compare_windows(repeats, classes, crowded).select("mkey", "fkey", "ks"))
 
 
 def drop_repeats(docs: DataFrame, *keep: str, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = MERGE) -> DataFrame:

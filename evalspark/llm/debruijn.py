@@ -20,7 +20,7 @@ GRAM = 8
 
 
 def cut_edges(repeats: Repeats, classes: DataFrame) -> DataFrame:
-    return compare_windows(repeats, repeats.kinds(classes, repeats.branchings(classes)))
+    return compare_windows(repeats, classes, repeats.branchings(classes))
 
 
 def drop_repeats(docs: DataFrame, *keep: str, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, as_is: bool = False) -> DataFrame:

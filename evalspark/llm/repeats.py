@@ -24,15 +24,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import utf8
 from evalspark.plans.durable import durable
 
-SEGMENT = 1 << 20  # units hashed at once; longer texts are cut with an overlap of a window
+SEGMENT = 1 << 19  # units hashed at once; longer texts are cut with an overlap of a window
 PLACE = (1 << 24) - 1  # low bits of a packed minimum hold its place, the others its hash
-RUN = "_tkey long, _size long, at int, n int, off int, mkey long, fkey long"
+RUN = "_tkey long, _size long, pos long, mkey long, fkey long"
+SHORT = 10  # bits of a run's length and anchor in ``pos``, behind its place
+MAP_BITS = 1 << 26  # of the bitmap that spares texts without repeats their shuffle: 8 MB at any scale
+OUTPUT = 4 << 20  # bytes of kept text per output batch
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -153,11 +157,10 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame, text_col: str, window: int, gram: int, words: bool):
+        if not 0 < gram <= window < 1 << SHORT:
+            raise ValueError(f"windows hold {gram} to {(1 << SHORT) - 1} units")
         self.docs, self.text_col, self.window, self.gram, self.words = docs, text_col, window, gram, words
 
-    def units(self, hasher: Hasher) -> Callable[[bytes], np.ndarray]:
-        return hasher.words if self.words else hasher.bytes
-
     def runs(self) -> DataFrame:
         window, gram, words = self.window, self.gram, self.words
 
@@ -183,26 +186,31 @@ class Repeats:
             sizes = np.array([len(d) for d in held], np.int64)
             for found in runs_of([units(d) for d in held], window, gram, hasher):
                 doc = found.pop("doc")
-                narrow = {k: v.astype(np.int32) for k, v in found.items() if k in ("at", "n", "off")}
-                yield pa.RecordBatch.from_pydict({"_tkey": keys[doc], "_size": sizes[doc], **narrow, "mkey": found["mkey"], "fkey": found["fkey"]})
+                pos = (found["at"] << 2 * SHORT) | (found["n"] << SHORT) | found["off"]
+                yield pa.RecordBatch.from_pydict({"_tkey": keys[doc], "_size": sizes[doc], "pos": pos, "mkey": found["mkey"], "fkey": found["fkey"]})
 
         return self.docs.select(F.col(self.text_col)).mapInArrow(run, RUN)
 
-    def packed(self, *keep: str) -> DataFrame:
-        """(_row, _tkey, _size, _z): the kept columns, and the text compressed for its shuffle."""
+    def texts(self, *keep: str) -> DataFrame:
+        row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(True).alias("_"))
+        return self.docs.select(row.alias("_row"), F.col(self.text_col).alias("_text"))
+
+    def packed(self, only: Broadcast, *keep: str) -> DataFrame:
+        """(_row, _tkey, _size, _z) of the texts in the bitmap: the kept columns, and the text
+        compressed for its shuffle."""
 
         def run(batches):
             press = zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                if batch.num_rows:
-                    data = [utf8(t) for t in batch.column(1).to_pylist()]
+                found = [(row, key, data) for row, key, data in keyed(batch) if marked(only.value, key)]
+                if found:
+                    rows, keys, data = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array([text_key(d) for d in data], pa.int64()), pa.array(list(map(len, data)), pa.int64()), pa.array([press.compress(d) for d in data], pa.binary())],
+                        [batch.column(0).take(pa.array(rows)), pa.array(keys, pa.int64()), pa.array(list(map(len, data)), pa.int64()), pa.array([press.compress(d) for d in data], pa.binary())],
                         names=["_row", "_tkey", "_size", "_z"],
                     )
 
-        row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(True).alias("_"))
-        narrow = self.docs.select(row.alias("_row"), F.col(self.text_col).alias("_text"))
+        narrow = self.texts(*keep)
         return narrow.mapInArrow(run, f"_row {narrow.schema[0].dataType.simpleString()}, _tkey long, _size long, _z binary")
 
     @staticmethod
@@ -211,29 +219,37 @@ class Repeats:
         counts = classes.groupBy("mkey").agg(F.count(F.lit(1)).alias("kinds"), F.min("total").alias("least"))
         return durable(counts.where("kinds > 1 and least = 1").select("mkey", "kinds"))
 
-    def kinds(self, classes: DataFrame, anchors: DataFrame) -> DataFrame:
-        """One row per kind of run at one of ``anchors``, with its text span."""
+    def kinds(self, classes: DataFrame, anchors: DataFrame, read: Callable, schema: str) -> DataFrame:
+        """What ``read`` makes of the kinds of run at ``anchors``: it takes lists of dicts (mkey,
+        fkey, total, n, off, span), in bounded batches, and yields record batches."""
         wanted = durable(
             classes.join(anchors.select("mkey"), "mkey")
             .groupBy(F.col("rep._tkey").alias("_tkey"), F.col("rep._size").alias("_size"))
-            .agg(F.collect_list(F.struct("mkey", "fkey", "total", "rep.at", "rep.n", "rep.off")).alias("_runs"))
+            .agg(F.collect_list(F.struct("mkey", "fkey", "total", "rep.pos")).alias("_runs"))
         )
         window, words = self.window, self.words
-        schema = "mkey long, fkey long, total long, at int, n int, off int, span binary"
 
         def run(batches):
             press = zstandard.ZstdDecompressor()
+            held, size = [], 0
             for batch in batches:
                 for z, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     data = press.decompress(z)
                     parts = data.split() if words else None
                     for r in runs:
+                        r["at"], r["n"], r["off"] = unpack(r.pop("pos"))
                         lo, hi = r["at"], r["at"] + r["n"] - 1 + window
                         r["span"] = b" ".join(parts[lo:hi]) if words else data[lo:hi]
-                    yield pa.RecordBatch.from_pylist(runs, schema=ARROW_KINDS)
+                        held.append(r)
+                        size += len(r["span"])
+                        if size >= SEGMENT:
+                            yield from read(held)
+                            held, size = [], 0
+            if held:
+                yield from read(held)
 
         # One copy of each text is enough, and it is chosen before the text travels.
-        once = self.packed().groupBy("_tkey", "_size").agg(F.first("_z").alias("_z"))
+        once = self.packed(bitmap(wanted)).groupBy("_tkey", "_size").agg(F.first("_z").alias("_z"))
         return once.join(wanted, ["_tkey", "_size"]).select("_z", "_runs").mapInArrow(run, schema)
 
     def spans(self, branches: Callable[[Repeats, DataFrame], DataFrame]) -> DataFrame:
@@ -243,15 +259,15 @@ class Repeats:
         # Not grouped by mkey too: the aggregate would then ride on the join's partitioning, and
         # the join could not be split where an anchor is hot.
         kept = durable(
-            runs.join(shared, "mkey").groupBy("_tkey", "_size", "at", "n", "off", "fkey")
+            runs.join(shared, "mkey").groupBy("_tkey", "_size", "pos", "fkey")
             .agg(F.max("mkey").alias("mkey"), F.count(F.lit(1)).alias("c"))
         )
-        classes = durable(kept.groupBy("mkey", "fkey").agg(F.sum("c").alias("total"), F.min(F.struct("_tkey", "_size", "at", "n", "off")).alias("rep")))
+        classes = durable(kept.groupBy("mkey", "fkey").agg(F.sum("c").alias("total"), F.min(F.struct("_tkey", "_size", "pos")).alias("rep")))
         whole = classes.where("total > 1").select("mkey", "fkey", F.lit(None).cast("array<int>").alias("ks"))
         marks = durable(whole.union(branches(self, classes).select("mkey", "fkey", "ks")))
         return durable(
             kept.join(marks, ["mkey", "fkey"])
-            .groupBy("_tkey", "_size").agg(F.collect_list(F.struct("at", "n", "ks")).alias("_runs"))
+            .groupBy("_tkey", "_size").agg(F.collect_list(F.struct("pos", "ks")).alias("_runs"))
         )
 
     def cut(self, branches: Callable[[Repeats, DataFrame], DataFrame], *keep: str, as_is: bool = False) -> DataFrame:
@@ -262,50 +278,91 @@ class Repeats:
         ``spans`` are the maximal removed runs [lo, hi) in units.
         """
         spans = self.spans(branches)
-        packed = self.packed(*keep)
+        only = bitmap(spans)
         window, words = self.window, self.words
-        row = packed.schema["_row"].dataType.simpleString()
-        span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        narrow = self.texts(*keep)
+        schema = f"_row {narrow.schema[0].dataType.simpleString()}, n_units long, n_removed long, kept binary, spans array<struct<lo:long,hi:long>>"
+        where = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+        def finish(rows: pa.Array, texts: Iterator[tuple[bytes, list | None]]) -> Iterator[pa.RecordBatch]:
+            done, size, at = [], 0, 0
+            for data, runs in texts:
+                parts = data.split() if words else np.frombuffer(data, np.uint8)
+                lo, hi = (x.tolist() for x in covered(len(parts), runs or [], window))
+                if as_is and not lo:
+                    kept = data
+                else:
+                    between = list(zip([0, *hi], [*lo, len(parts)]))
+                    kept = b" ".join([w for a, b in between for w in parts[a:b]]) if words else b"".join(data[a:b] for a, b in between)
+                done.append((len(parts), sum(hi) - sum(lo), kept, [{"lo": a, "hi": b} for a, b in zip(lo, hi)]))
+                size += len(kept)
+                if size >= OUTPUT:
+                    yield flush(rows.slice(at, len(done)), done)
+                    at, done, size = at + len(done), [], 0
+            if done:
+                yield flush(rows.slice(at, len(done)), done)
+
+        def flush(rows: pa.Array, done: list[tuple]) -> pa.RecordBatch:
+            total, gone, kept, spans = zip(*done)
+            return pa.RecordBatch.from_arrays(
+                [rows, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, where)],
+                names=["_row", "n_units", "n_removed", "kept", "spans"],
+            )
+
+        def untouched(batches):
+            for batch in batches:
+                found = [(row, data) for row, key, data in keyed(batch) if not marked(only.value, key)]
+                yield from finish(batch.column(0).take(pa.array([r for r, _ in found], pa.int64())), ((data, None) for _, data in found))
 
-        def run(batches):
+        def joined(batches):
             press = zstandard.ZstdDecompressor()
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                total, gone, kept, where = [], [], [], []
-                for z, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    data = press.decompress(z)
-                    parts = data.split() if words else np.frombuffer(data, np.uint8)
-                    edge = covered(len(parts), runs or [], window)
-                    total.append(len(parts))
-                    gone.append(int((edge[1] - edge[0]).sum()))
-                    where.append([{"lo": a, "hi": b} for a, b in zip(edge[0].tolist(), edge[1].tolist())])
-                    if as_is and not gone[-1]:
-                        kept.append(data)
-                        continue
-                    between = zip([0, *edge[1].tolist()], [*edge[0].tolist(), len(parts)])
-                    kept.append(b" ".join([w for a, b in between for w in parts[a:b]]) if words else b"".join(data[a:b] for a, b in between))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(where, span)],
-                    names=["_row", "n_units", "n_removed", "kept", "spans"],
-                )
+                yield from finish(batch.column(0), ((press.decompress(z), runs) for z, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
 
-        joined = packed.join(spans, ["_tkey", "_size"], "left").select("_row", "_z", "_runs")
-        return joined.mapInArrow(run, f"_row {row}, n_units long, n_removed long, kept binary, spans array<struct<lo:long,hi:long>>")
+        met = self.packed(only, *keep).join(spans, ["_tkey", "_size"], "left").select("_row", "_z", "_runs")
+        return narrow.mapInArrow(untouched, schema).union(met.mapInArrow(joined, schema))
 
 
-ARROW_KINDS = pa.schema([("mkey", pa.int64()), ("fkey", pa.int64()), ("total", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("off", pa.int32()), ("span", pa.binary())])
+def unpack(pos: int) -> tuple[int, int, int]:
+    mask = (1 << SHORT) - 1
+    return pos >> 2 * SHORT, pos >> SHORT & mask, pos & mask
+
+
+def keyed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+    """(row, text key, text) of a batch (_row, _text)."""
+    texts = batch.column(1)
+    for row in range(len(texts)):
+        data = utf8(texts[row].as_py())
+        yield row, text_key(data), data
+
+
+def marked(bits: np.ndarray, key: int) -> bool:
+    place = key % MAP_BITS
+    return bool(bits[place >> 3] >> (place & 7) & 1)
+
+
+def bitmap(frame: DataFrame) -> Broadcast:
+    """A bitmap of the text keys modulo its size, which does not depend on the data. A text
+    whose bit is not set has no row in ``frame``; of the others, the join decides."""
+    place = F.pmod("_tkey", F.lit(MAP_BITS)) + 1
+    parts = frame.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in parts:
+        at = (r["b"] - 1) * len(r["m"])
+        bits[at : at + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
+    return frame.sparkSession.sparkContext.broadcast(bits)
 
 
 def covered(length: int, runs: list[dict], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal stretches that repeated windows cover."""
     step = np.zeros(length + 1, np.int64)
     for r in runs:
+        at, n, _ = unpack(r["pos"])
         if r["ks"] is None:
-            step[r["at"]] += 1
-            step[r["at"] + r["n"] - 1 + window] -= 1
+            step[at] += 1
+            step[at + n - 1 + window] -= 1
         else:
-            lo = r["at"] + np.array(r["ks"], np.int64)
+            lo = at + np.array(r["ks"], np.int64)
             np.add.at(step, lo, 1)
             np.add.at(step, lo + window, -1)
     inside = np.concatenate(([False], np.cumsum(step[:length]) > 0, [False]))
@@ -313,25 +370,27 @@ def covered(length: int, runs: list[dict], window: int) -> tuple[np.ndarray, np.
     return edge[::2], edge[1::2]
 
 
-def compare_windows(repeats: Repeats, kinds: DataFrame) -> DataFrame:
-    """(mkey, fkey, ks) by one row per window of each kind: its place before the anchor and its
-    hash. A window is repeated if two kinds have it. The counts are partial aggregates, so an
-    anchor may have any number of kinds."""
+def compare_windows(repeats: Repeats, classes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(mkey, fkey, ks) by one row per window of each kind of run at ``anchors``. A window is
+    repeated if two kinds have it. Counts are partial aggregates, so an anchor may have any
+    number of kinds."""
     window, words = repeats.window, repeats.words
-
-    def run(batches):
-        hasher = Hasher()
-        units = hasher.words if words else hasher.bytes
-        for batch in batches:
-            for mkey, fkey, total, n, off, data in zip(*[batch.column(c).to_pylist() for c in ("mkey", "fkey", "total", "n", "off", "span")]):
-                prefix = hasher.prefix(units(data))
-                k = np.arange(n)
-                hashes = mix(hasher.ranges(prefix, k, k + window)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"mkey": np.full(n, mkey), "fkey": np.full(n, fkey), "one": np.full(n, total == 1), "k": k.astype(np.int32), "d": (off - k).astype(np.int32), "h": hashes})
-
-    windows = durable(kinds.mapInArrow(run, "mkey long, fkey long, one boolean, k int, d int, h long"))
-    edges = durable(
-        windows.groupBy("mkey", "d", "h").agg(F.min("fkey").alias("lo"), F.max("fkey").alias("hi"))
-        .where(F.col("lo") != F.col("hi")).select("mkey", "d", "h")
-    )
-    return windows.where("one").join(edges, ["mkey", "d", "h"]).groupBy("mkey", "fkey").agg(F.collect_list("k").alias("ks"))
+    hasher = Hasher()
+
+    def read(kinds: list[dict]) -> Iterator[pa.RecordBatch]:
+        units = hasher.words(b" ".join(r["span"] for r in kinds)) if words else hasher.bytes(b"".join(r["span"] for r in kinds))
+        n = np.array([r["n"] for r in kinds])
+        length = n - 1 + window
+        prefix = hasher.prefix(units)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(np.cumsum(length) - length, n) + k
+        each = lambda c, kind: np.repeat(np.array([r[c] for r in kinds], kind), n)
+        yield pa.RecordBatch.from_pydict({
+            "mkey": each("mkey", np.int64), "h": mix(hasher.ranges(prefix, start, start + window)).view(np.int64),
+            "fkey": each("fkey", np.int64), "k": np.where(each("total", np.int64) == 1, k, -1).astype(np.int32),
+        })
+
+    # A window of a run that has a copy is repeated anyway; it counts here, with number -1.
+    windows = durable(repeats.kinds(classes, anchors, read, "mkey long, h long, fkey long, k int"))
+    twice = durable(windows.groupBy("mkey", "h").agg(F.min("fkey").alias("lo"), F.max("fkey").alias("hi")).where("lo != hi").select("mkey", "h"))
+    return windows.where("k >= 0").join(twice, ["mkey", "h"]).groupBy("mkey", "fkey").agg(F.collect_list("k").alias("ks"))
