@@ -57,10 +57,18 @@ def last_wins(members: Column) -> Column:
 
 
 def set_member(text: Column, key: str, member: Column) -> Column:
-    """JSON object text with one member (given as JSON text) replaced or added; the others stay."""
-    members = last_wins(F.from_json(text, "map<string,variant>", STRICT))
-    kept = F.coalesce(F.map_filter(members, lambda k, _: k != key), F.create_map().cast("map<string,variant>"))
-    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(member))))
+    """JSON object text with one member (given as JSON text) replaced or added; the others stay.
+
+    Numbers keep their spelling (1.0, 1e2): they pass the variant as marked strings.
+    """
+    members = last_wins(F.from_json(_mark_numbers(text), "map<string,variant>", STRICT))
+    new = F.parse_json(_mark_numbers(member))
+
+    def put(m: Column) -> Column:
+        replaced = F.transform_values(m, lambda k, v: F.when(k == key, new).otherwise(v))
+        return F.when(F.map_contains_key(m, F.lit(key)), replaced).otherwise(F.map_concat(m, F.create_map(F.lit(key), new)))
+
+    return _unmark_numbers(F.to_json(bind(F.coalesce(members, F.create_map().cast("map<string,variant>")), put)))
 
 
 def json_string(text: Column) -> Column:
@@ -70,10 +78,32 @@ def json_string(text: Column) -> Column:
 
 def json_member_raw(text: Column, key: str) -> Column:
     """Member of a top-level object as JSON text that keeps its type (strings quoted)."""
-    members = last_wins(F.from_json(text, "map<string,variant>", STRICT))
+    return _unmark_numbers(_marked_member(text, key))
+
+
+def json_items_raw(text: Column, key: str) -> Column:
+    """Items of an array member as JSON texts whose numbers are marked, for ``set_member``, which
+    takes them back; null if the member is no array."""
+    return F.from_json(_marked_member(text, key), "array<string>", STRICT)
+
+
+def _marked_member(text: Column, key: str) -> Column:
+    members = last_wins(F.from_json(_mark_numbers(text), "map<string,variant>", STRICT))
     return F.to_json(F.try_element_at(members, F.lit(key)))
 
 
+# A private-use character marks a number that travels as a string.
+_MARK = "\ue0f1"
+
+
+def _mark_numbers(text: Column) -> Column:
+    return _rewrite(text, lambda t: F.when(t.rlike("^-?[0-9]"), F.concat(F.lit(f'"{_MARK}'), t, F.lit('"'))).otherwise(t))
+
+
+def _unmark_numbers(text: Column) -> Column:
+    return F.regexp_replace(text, f'"{_MARK}([-+.0-9eE]+)"', "$1")
+
+
 # Tokens of valid JSON text: a string, a number, or anything between them.
 _TOKEN = r'("(?:[^"\\]|\\.)*+"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[^"0-9-]+)'
 

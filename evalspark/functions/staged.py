@@ -27,6 +27,14 @@ class Stages:
         self._levels: list[dict[str, Column]] = []
         self._level_of: dict[str, int] = {}
 
+    @classmethod
+    def for_frame(cls, df: DataFrame) -> Stages:
+        """Stages whose names no column of ``df`` has."""
+        prefix = "_let"
+        while any(c.startswith(prefix) for c in df.columns):
+            prefix = "_" + prefix
+        return cls(prefix)
+
     def __call__(self, expr: Column) -> Column:
         mentioned = re.findall(rf"{self._prefix}[0-9]+", str(expr))
         level = max((self._level_of[m] + 1 for m in mentioned), default=0)

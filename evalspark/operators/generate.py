@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,29 +19,34 @@ class PermanentError(Exception):
 
 def generate(
     cases: DataFrame,
-    fn: Callable[[list[dict]], str],
+    fn: Callable[..., str],
     keys: Sequence[str] = ("index",),
     retries: int = 3,
     backoff: float = 1.0,
     store: bool = True,
+    concurrency: int = 1,
+    endpoint: str | None = None,
 ) -> DataFrame:
     """(keys, model_output, inference_time, error) for every case.
 
-    ``fn`` gets the prompt as a list of ``{role, content}``. Failures are retried with
+    ``fn`` gets the prompt as a list of ``{role, content}``, and with ``endpoint`` the value of
+    that column (see ``assign_endpoint``) as second argument. Each task keeps ``concurrency``
+    calls in flight; rows come out in their order, whichever call ends first. Failures are retried with
     doubling pauses; the last failure is kept as error text, never raised. With
     ``store`` the outputs are written to the checkpoint folder first, so a lost executor
     or a second action does not call the model again.
     """
-    prompts = cases.select(*keys, F.slice("messages", F.lit(1), F.size("messages") - 1).alias("prompt"))
+    target = F.col(endpoint) if endpoint else F.lit(None)
+    prompts = cases.select(*keys, F.slice("messages", F.lit(1), F.size("messages") - 1).alias("prompt"), target.cast("string").alias("_endpoint"))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.select(*keys).schema)
 
-    def call(prompt) -> tuple[str | None, str | None, float]:
+    def call(prompt, url) -> tuple[str | None, str | None, float]:
         messages = [{"role": m["role"], "content": m["content"]} for m in prompt]
         started = time.monotonic()
         problem = None
         for attempt in range(retries):
             try:
-                return fn(messages), None, time.monotonic() - started
+                return (fn(messages, url) if endpoint else fn(messages)), None, time.monotonic() - started
             except PermanentError as caught:
                 problem = str(caught)
                 break
@@ -51,13 +57,14 @@ def generate(
         return None, problem or "model call failed", time.monotonic() - started
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers = [call(p) for p in batch["prompt"]]
-            out = batch[list(keys)].copy()
-            out["model_output"] = [a[0] for a in answers]
-            out["inference_time"] = [a[2] for a in answers]
-            out["error"] = [a[1] for a in answers]
-            yield out
+        with ThreadPoolExecutor(max_workers=concurrency) as pool:
+            for batch in batches:
+                answers = list(pool.map(call, batch["prompt"], batch["_endpoint"]))
+                out = batch[list(keys)].copy()
+                out["model_output"] = [a[0] for a in answers]
+                out["inference_time"] = [a[2] for a in answers]
+                out["error"] = [a[1] for a in answers]
+                yield out
 
     answered = prompts.mapInPandas(run, f"{key_schema}, model_output string, inference_time double, error string")
     return durable(answered) if store else answered

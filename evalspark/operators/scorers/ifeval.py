@@ -231,11 +231,13 @@ def ifeval_checks(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     given = ["detected_lang"] if detected is not None else []
     staged = df.select(*keys, "model_output", *given, strip(F.col("model_output")).alias("_text"), spec.alias("_spec"))
     pairs = F.arrays_zip(F.col("_spec.instruction_id_list").alias("id"), F.col("_spec.kwargs").alias("kwarg"))
-    checks = explode_computed(staged, pairs, "pos", "_pair", *keys, "model_output", *given, "_text")
-    passed = check(F.col("_pair.id"), F.col("_pair.kwarg"), F.col("model_output"), F.col("_text"), detected)
-    return checks.where(_has_kwargs(F.col("_pair.kwarg"))).select(
-        *keys, "pos", F.col("_pair.id").alias("instruction_id"), passed.alias("passed")
-    )
+    # Judged inside the row: only names and verdicts are exploded, never the texts.
+    verdicts = F.transform(pairs, lambda p: F.struct(
+        p["id"].alias("id"), _has_kwargs(p["kwarg"]).alias("given"),
+        F.when(_has_kwargs(p["kwarg"]), check(p["id"], p["kwarg"], F.col("model_output"), F.col("_text"), detected)).alias("passed"),
+    ))
+    checks = explode_computed(staged, verdicts, "pos", "_v", *keys)
+    return checks.where("_v.given").select(*keys, "pos", F.col("_v.id").alias("instruction_id"), F.col("_v.passed").alias("passed"))
 
 
 def ifeval_rollup(checks: DataFrame, totals: DataFrame, keys: list[str] | None = None) -> DataFrame:

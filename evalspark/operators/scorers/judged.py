@@ -47,7 +47,7 @@ def attach_verdicts(results: DataFrame, verdicts: DataFrame, keys: list[str] | N
     return results.join(verdicts.select(*keys, "verdict"), keys, "left")
 
 
-@register_scorer("llm_judge_with_answer", "Judge verdict 0, 1 or 2 against a reference answer")
+@register_scorer("verdict_with_answer", "Judge verdict 0, 1 or 2 against a reference answer")
 def reference_verdict(case: Case) -> Column:
     points = case.let(F.nullif(boxed_int(case.verdict), F.lit("")).try_cast("double"))
     return outcome(points, bad_unless(points.isNotNull()), F.struct(case.verdict.alias("content")))

@@ -1,22 +1,22 @@
 """ROUGE-1, ROUGE-2 and ROUGE-L F-measures.
 
-N-gram overlap is explode and aggregate: texts are shuffled once by the row key, after
-which counting n-grams and summing overlaps both happen inside that partitioning.
-The longest common subsequence is the one per-row Python helper (Arrow batches).
+Both texts of a case are in one row, so all three are a narrow map: one Arrow batch step counts
+shared n-grams and the longest common subsequence of the token arrays. Nothing is shuffled and
+rows need no key.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from evalspark.functions.staged import Stages
 from evalspark.functions.text import rouge_tokens
-from evalspark.plans.generators import explode_computed
-from evalspark.operators.scoring import outcome, register_scorer
+from evalspark.operators.scoring import Case, outcome, register_scorer
 
 
 def _lcs(left: Sequence[str], right: Sequence[str]) -> int:
@@ -39,13 +39,21 @@ def _lcs(left: Sequence[str], right: Sequence[str]) -> int:
     return width - row.bit_count()
 
 
-def lcs_len(left: Column, right: Column) -> Column:
-    """Longest common subsequence length of two token arrays."""
+def _shared(left: Sequence[str], right: Sequence[str], n: int) -> int:
+    """Common n-grams, each counted as often as both sides have it."""
+    grams = [Counter(zip(*(tokens[i:] for i in range(n)))) for tokens in (left, right)]
+    return (grams[0] & grams[1]).total()
+
+
+def overlaps(left: Column, right: Column) -> Column:
+    """Struct of shared unigrams ``one``, shared bigrams ``two`` and subsequence length ``lcs``."""
     # Built per call: a module-level pandas_udf would need a running session at import.
-    @F.pandas_udf(T.LongType())
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("one long, two long, lcs long")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for lefts, rights in batches:
-            yield pd.Series([_lcs(a, b) for a, b in zip(lefts, rights)], dtype="int64")
+            pairs = [(list(a), list(b)) for a, b in zip(lefts, rights)]
+            rows = [(_shared(a, b, 1), _shared(a, b, 2), _lcs(a, b)) for a, b in pairs]
+            yield pd.DataFrame(rows, columns=["one", "two", "lcs"], dtype="int64")
 
     return run(left, right)
 
@@ -56,71 +64,26 @@ def f_measure(overlap: Column, predicted: Column, target: Column) -> Column:
     return F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0))
 
 
-def _grams(tokens: Column, side: int) -> Column:
-    def tag(n: int, gram: Column) -> Column:
-        return F.struct(F.lit(n).alias("n"), gram.alias("gram"), F.lit(side).alias("side"))
-
-    singles = F.transform(tokens, lambda t: tag(1, t))
-    followers = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    pairs = F.transform(
-        F.arrays_zip(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))).alias("a"), followers.alias("b")),
-        lambda p: tag(2, F.concat_ws(" ", p["a"], p["b"])),
-    )
-    return F.concat(singles, pairs)
-
-
-def ngram_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per row key and gram length 1 and 2: grams of the reference, of the output, and shared ones."""
-    # A fixed partition count: adaptive coalescing would size tasks by the texts, not by
-    # the many grams they turn into.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = (
-        df.select(*keys, "reference_output", "model_output")
-        .repartition(parts, *keys)
-        .select(*keys, rouge_tokens(F.col("reference_output")).alias("_want"), rouge_tokens(F.col("model_output")).alias("_got"))
-    )
-    both = F.concat(_grams(F.col("_want"), 0), _grams(F.col("_got"), 1))
-    grams = explode_computed(texts, both, "_pos", "g", *keys).select(*keys, "g.*")
-    counts = grams.groupBy(*keys, "n", "gram").agg(
-        F.count_if(F.col("side") == 0).alias("want"), F.count_if(F.col("side") == 1).alias("got")
-    )
-    sums = {"want": F.col("want"), "got": F.col("got"), "shared": F.least("want", "got")}
-    return counts.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("n") == n, value).otherwise(0)).alias(f"_{name}{n}") for n in (1, 2) for name, value in sums.items()
-    ])
-
-
-def rouge_n(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``rouge1`` and ``rouge2``; a row without any token has 0 for both."""
-    joined = df.join(ngram_counts(df, keys), list(keys), "left")
-    measures = {
-        f"rouge{n}": F.coalesce(f_measure(F.col(f"_shared{n}"), F.col(f"_got{n}"), F.col(f"_want{n}")), F.lit(0.0))
-        for n in (1, 2)
+def measures(reference: Column, output: Column, let: Stages) -> dict[str, Column]:
+    """``rouge1``, ``rouge2`` and ``rougeL``; 0 where a side has no such grams."""
+    want, got = let(rouge_tokens(F.coalesce(reference, F.lit("")))), let(rouge_tokens(F.coalesce(output, F.lit(""))))
+    found = let(overlaps(want, got))
+    pairs = lambda tokens: F.greatest(F.size(tokens) - 1, F.lit(0))
+    return {
+        "rouge1": f_measure(found["one"], F.size(got), F.size(want)),
+        "rouge2": f_measure(found["two"], pairs(got), pairs(want)),
+        "rougeL": f_measure(found["lcs"], F.size(got), F.size(want)),
     }
-    return joined.select(*df.columns, *[c.alias(name) for name, c in measures.items()])
-
-
-def rouge_l(df: DataFrame) -> DataFrame:
-    """Add ``rougeL``; a narrow map."""
-    want, got = rouge_tokens(F.col("reference_output")), rouge_tokens(F.col("model_output"))
-    return (
-        df.withColumns({"_want": want, "_got": got})
-        .withColumn("_lcs", lcs_len(F.col("_want"), F.col("_got")))
-        .withColumn("rougeL", f_measure(F.col("_lcs"), F.size("_got"), F.size("_want")))
-        .drop("_want", "_got", "_lcs")
-    )
-
-
-@register_scorer("rouge", "ROUGE-1, -2 and -L F-measures; the score is ROUGE-L", over_frame=True)
-def rouge(df: DataFrame, keys: list[str]) -> DataFrame:
-    # Missing texts are resolved to error rows by the wrapper; they only need a value here.
-    texts = {c: F.coalesce(F.col(c), F.lit("")) for c in ("reference_output", "model_output")}
-    filled = df.withColumns({f"_{c}": F.col(c) for c in texts}).withColumns(texts)
-    measured = rouge_n(rouge_l(filled), keys)
-    details = F.struct("rouge1", "rouge2", "rougeL")
-    restored = {c: F.col(f"_{c}") for c in texts}
-    return (
-        measured.withColumn("_outcome", outcome(F.col("rougeL"), F.lit(0), details))
-        .withColumns(restored)
-        .drop("rouge1", "rouge2", "rougeL", *[f"_{c}" for c in texts])
-    )
+
+
+def with_rouge(df: DataFrame) -> DataFrame:
+    """Add the three measures of ``model_output`` against ``reference_output``."""
+    let = Stages.for_frame(df)
+    found = measures(F.col("reference_output"), F.col("model_output"), let)
+    return let.add_to(df).withColumns(found).drop(*let.names)
+
+
+@register_scorer("rouge", "ROUGE-1, -2 and -L F-measures; the score is ROUGE-L")
+def rouge(case: Case) -> Column:
+    found = measures(case.reference_output, case.model_output, case.let)
+    return outcome(found["rougeL"], F.lit(0), F.struct(*[c.alias(name) for name, c in found.items()]))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalspark.functions.staged import Stages
 
@@ -22,6 +22,7 @@ class Case:
     reference_output: Column
     verdict: Column
     detected_lang: Column
+    error: Column
     let: Stages
 
 
@@ -30,7 +31,6 @@ class Scorer:
     name: str
     description: str
     build: Callable
-    over_frame: bool = False
 
 
 _REGISTRY: dict[str, Scorer] = {}
@@ -50,30 +50,54 @@ def bad_unless(ok: Column) -> Column:
     return F.when(ok, 0).otherwise(1)
 
 
-def register_scorer(name: str, description: str = "", over_frame: bool = False) -> Callable:
-    """Decorator for a scorer.
-
-    By default the function gets a :class:`Case` and returns an :func:`outcome` column.
-    With ``over_frame`` it gets (frame, key columns) and returns the frame with an added
-    ``_outcome`` column, for scorers that need joins or aggregates.
-    """
+def register_scorer(name: str, description: str = "") -> Callable:
+    """Decorator for a scorer: a function from a :class:`Case` to an :func:`outcome` column."""
 
     def add(build: Callable) -> Callable:
-        _REGISTRY[name] = Scorer(name, description or (build.__doc__ or "").strip().split("\n")[0], build, over_frame)
+        _REGISTRY[name] = Scorer(name, description or (build.__doc__ or "").strip().split("\n")[0], build)
         return build
 
     return add
 
 
-def register_python_scorer(name: str, fn: Callable[[str, str], float], description: str = "") -> None:
-    """Register a plain ``fn(model_output, reference_output) -> score`` as an Arrow-batched scorer."""
-    @F.pandas_udf(T.DoubleType())
-    def run(output: pd.Series, reference: pd.Series) -> pd.Series:
-        return pd.Series([fn(o, r) for o, r in zip(output, reference)], dtype="float64")
+NO_RESULT = "scorer returned no result"
+
+
+def register_python_scorer(name: str, fn: Callable[[list[dict], str, str], dict], description: str = "") -> None:
+    """Register a plain Python function as an Arrow-batched scorer.
+
+    ``fn(messages, model_output, reference_output)`` returns a dict with ``score``,
+    ``is_badcase`` and ``details`` (any JSON value), each optional. ``messages`` is the prompt as
+    ``{role, content}`` dicts. A row on which it raises, or returns neither score nor verdict,
+    becomes an error row; the others are not touched. Rows that failed before, or miss a text,
+    are not passed to it. ``details`` come back as JSON text.
+    """
+
+    def one(messages, output, reference) -> tuple:
+        if output is None or reference is None:
+            return None, None, None, None
+        try:
+            turns = [{"role": m["role"], "content": m["content"]} for m in messages] if messages is not None else []
+            got = fn(turns, output, reference) or {}
+            value, bad, details = got.get("score"), got.get("is_badcase"), got.get("details")
+            return (
+                None if value is None else float(value), None if bad is None else int(bad),
+                None if details is None else json.dumps(details, ensure_ascii=False), None,
+            )
+        except Exception as caught:  # foreign code: only this row fails
+            return None, None, None, str(caught) or type(caught).__name__
+
+    @F.pandas_udf("score double, is_badcase int, details string, error string")
+    def run(messages: pd.Series, output: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        rows = [one(*r) for r in zip(messages, output, reference)]
+        frame = pd.DataFrame(rows, columns=["score", "is_badcase", "details", "error"], dtype=object)
+        return frame.astype({"score": "float64", "is_badcase": "Int32"})
 
     @register_scorer(name, description)
     def build(case: Case) -> Column:
-        return outcome(run(case.model_output, case.reference_output), F.lit(0), F.lit(None).cast("string"))
+        fit = F.when(case.error.isNull(), case.model_output)
+        got = case.let(run(case.user_input, fit, case.reference_output))
+        return outcome(F.nanvl(got["score"], F.lit(None).cast("double")), got["is_badcase"], got["details"], got["error"])
 
 
 def get_scorer(name: str) -> Scorer:
@@ -87,36 +111,34 @@ def list_scorers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, description string")
 
 
-def score(df: DataFrame, name: str, threshold: float = 1.0, keys: list[str] | None = None) -> DataFrame:
-    """Add ``score, is_badcase, details, error``.
+def score(df: DataFrame, name: str, threshold: float = 1.0) -> DataFrame:
+    """Add ``score, is_badcase, details, error``; a narrow map for every scorer.
 
-    ``keys`` name the unique row key; only scorers that aggregate need it. A row whose
-    generation failed (``error`` set, or no output) is bad and has no score.
+    A row whose generation failed (``error`` set, or no output) is bad and has no score.
     """
     scorer = get_scorer(name)
     optional = {
         c: F.col(c) if c in df.columns else F.lit(None).cast(t)
-        for c, t in (("user_input", "array<struct<role:string,content:string>>"), ("verdict", "string"), ("detected_lang", "string"))
+        for c, t in (
+            ("user_input", "array<struct<role:string,content:string>>"), ("verdict", "string"), ("detected_lang", "string"), ("error", "string"),
+        )
     }
-    if scorer.over_frame:
-        scored = scorer.build(df, keys or ["index"])
-    else:
-        let = Stages()
-        case = Case(model_output=F.col("model_output"), reference_output=F.col("reference_output"), let=let, **optional)
-        built = scorer.build(case)
-        scored = let.add_to(df).withColumn("_outcome", built).drop(*let.names)
-    return apply_threshold(scored, threshold)
+    let = Stages.for_frame(df)
+    built = scorer.build(Case(model_output=F.col("model_output"), reference_output=F.col("reference_output"), let=let, **optional))
+    return apply_threshold(let.add_to(df).withColumn("_outcome", built).drop(*let.names), threshold)
 
 
 def apply_threshold(scored: DataFrame, threshold: float) -> DataFrame:
-    """Resolve ``_outcome``: bad if the scorer says so, or the score is below the threshold, or it failed."""
+    """Resolve ``_outcome``: bad if the scorer says so, or the score is below the threshold, or it
+    failed. A scorer that gives neither a score nor a verdict has failed."""
     failed = F.when(F.col("model_output").isNull(), "missing model_output").when(
         F.col("reference_output").isNull(), "missing reference_output"
     )
     if "error" in scored.columns:
         failed = F.coalesce(F.col("error"), failed)
     got = F.col("_outcome")
-    error = F.coalesce(failed, got["error"])
+    silent = F.when(got["score"].isNull() & got["is_badcase"].isNull(), NO_RESULT)
+    error = F.coalesce(failed, got["error"], silent)
     kept = [c for c in scored.columns if c not in ("_outcome", "error", "score", "is_badcase", "details")]
     with_error = scored.withColumn("_error", error)
     error = F.col("_error")

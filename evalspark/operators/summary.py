@@ -52,8 +52,9 @@ def run_summary(results: DataFrame, by: str | list[str] | None = "run_id") -> Da
 
 
 def badcases(results: DataFrame) -> DataFrame:
-    """All bad rows, whether scored now or loaded from a checkpoint."""
-    return results.where(F.col("is_badcase") == 1)
+    """All bad rows, whether scored now or loaded from a checkpoint, by ``index`` where there is one."""
+    bad = results.where(F.col("is_badcase") == 1)
+    return bad.orderBy("index") if "index" in results.columns else bad
 
 
 def run_results(results: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exploding computed arrays, and spreading small scans."""
+"""Exploding computed arrays."""
 
 from __future__ import annotations
 
@@ -15,13 +15,3 @@ def explode_computed(df: DataFrame, array: Column, pos: str, item: str, *keep: C
     """
     exploded = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
     return exploded.where(F.col(pos).isNotNull())
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a plain scan at least one partition per core before CPU-heavy work.
-
-    Only files with fewer splits than cores (one small row group, say) are shuffled; a
-    large table already has more splits and is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

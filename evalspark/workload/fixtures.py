@@ -7,13 +7,10 @@ line break.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.plans.generators import spread
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -28,15 +25,6 @@ class Fixture:
     def frame(self, spark: SparkSession, sf: str) -> DataFrame:
         return self.project(table(spark, sf, self.source))
 
-    def heavy(self, spark: SparkSession, sf: str) -> DataFrame:
-        """The same rows, spread over all cores for CPU-heavy operators."""
-        return self.project(spread(table(spark, sf, self.source).select(*self._inputs(spark, sf))))
-
-    def _inputs(self, spark: SparkSession, sf: str) -> list[str]:
-        """Columns of the source the expressions mention, so that only they are moved."""
-        mentioned = " ".join([*self.columns.values(), self.where or ""])
-        return [c for c in table(spark, sf, self.source).columns if re.search(rf"\b{c}\b", mentioned)]
-
     def project(self, df: DataFrame) -> DataFrame:
         kept = df.where(self.where) if self.where else df
         return kept.selectExpr(*[f"{e} AS {c}" for c, e in self.columns.items()])
@@ -64,10 +52,11 @@ TEXT = Fixture("conversations", {
 
 BOXED = Fixture("conversations", {
     **TURN_KEY,
+    "text": "text",
     "run_id": "conv_id % 7",
     "inference_time": "CAST((conv_id * 13 + turn) % 100 AS DOUBLE) / 10",
-    "reference_output": f"concat('so ', {BOX % text('conv_id % 5')}, ' end')",
-    "model_output": f"CASE WHEN turn % 7 = 6 THEN 'no box' ELSE {BOX % text('(conv_id + turn % 2) % 5')} END",
+    "reference_output": f"concat(text, ' so ', {BOX % text('conv_id % 5')}, ' end')",
+    "model_output": f"CASE WHEN turn % 7 = 6 THEN concat(text, ' no box') ELSE concat({BOX % text('(conv_id + turn % 2) % 5')}, ' ', text) END",
     "verdict": f"CASE WHEN conv_id % 9 = 8 THEN 'undecided' ELSE concat('because ', {BOX % text('(conv_id + turn) % 3')}) END",
     "graded": f"CASE WHEN conv_id % 4 = 3 THEN {BOX % text('turn % 3')} ELSE {BOX % ('concat(' + text('turn % 2') + ', ' + chr(39) + '.' + chr(39) + ', ' + text('conv_id % 10') + ')')} END",
 })

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.operators import summary
-from evalspark.operators.scorers import ifeval, rouge
+from evalspark.operators.scorers import ifeval, judged, rouge
 from evalspark.operators.scoring import apply_threshold as threshold_rule
-from evalspark.operators.scoring import list_scorers, outcome, register_scorer, score
+from evalspark.operators.scoring import outcome, register_python_scorer, register_scorer, score
 from evalspark.workload.fixtures import AGENT, BOXED, JSON, LIST, REFUSAL, TEXT, TOOL, Fixture, table
 from evalspark.workload.text_queries import BOXED_SQL, STRIPPED, WORD, WS, agent_sql, extract_json_sql, nonblank_parts, solution_sql
 
@@ -17,25 +17,25 @@ ORDER = ["o_orderkey"]
 
 def _scored(fixture, name, keys, threshold=1.0, details=(), **renamed):
     def query(spark, sf):
-        rows = fixture.heavy(spark, sf)
+        rows = fixture.frame(spark, sf)
         for new, old in renamed.items():
             rows = rows.withColumn(new, F.col(old))
-        out = score(rows, name, threshold, keys=keys)
+        out = score(rows, name, threshold)
         return out.select(*keys, F.round("score", 9).alias("score"), "is_badcase", *[F.col(f"details.{d}") for d in details])
 
     return query
 
 
 def score_rouge_n(spark, sf):
-    return rouge.rouge_n(TEXT.frame(spark, sf), TURN).select(*TURN, *[F.round(c, 9).alias(c) for c in ("rouge1", "rouge2")])
+    return rouge.with_rouge(TEXT.frame(spark, sf)).select(*TURN, *[F.round(c, 9).alias(c) for c in ("rouge1", "rouge2")])
 
 
 def score_rouge_l(spark, sf):
-    return rouge.rouge_l(TEXT.frame(spark, sf)).select(*TURN, F.round("rougeL", 9).alias("rougeL"))
+    return rouge.with_rouge(TEXT.frame(spark, sf)).select(*TURN, F.round("rougeL", 9).alias("rougeL"))
 
 
 def score_rouge(spark, sf):
-    out = score(TEXT.frame(spark, sf), "rouge", 0.5, keys=TURN)
+    out = score(TEXT.frame(spark, sf), "rouge", 0.5)
     return out.select(*TURN, F.round("score", 9).alias("score"), "is_badcase",
                       *[F.round(f"details.{k}", 9).alias(k) for k in ("rouge1", "rouge2", "rougeL")])
 
@@ -72,7 +72,7 @@ def run_summary(spark, sf):
 
 
 def run_summary_rouge(spark, sf):
-    out = summary.run_summary(score(TEXT.frame(spark, sf), "rouge", 0.5, keys=TURN))
+    out = summary.run_summary(score(TEXT.frame(spark, sf), "rouge", 0.5))
     return out.select("run_id", "total_count", "correct_count", F.round("average_score", 6).alias("average_score"),
                       *[F.round(F.try_element_at("rouge_scores", F.lit(k)), 6).alias(k) for k in summary.ROUGE_KEYS], "badcase_count")
 
@@ -95,17 +95,31 @@ def custom_scorer(spark, sf):
     return score(TEXT.frame(spark, sf), "length_ratio", 0.9).select(*TURN, F.round("score", 9).alias("score"), "is_badcase")
 
 
-BUILT_IN = ("agent_instruct_score", "box", "equal_check", "exact_match", "ifeval_full_scorer", "json_check", "list_check",
-            "llm_judge_with_answer", "reject", "rouge", "str_check", "toolbench_evaluation")
+def custom_python_scorer(spark, sf):
+    """A plain Python scorer over all replies; the rows on which it fails do so alone."""
 
+    def overlap(messages, output, reference):
+        if len(output) % 7 == 0:
+            raise ValueError("unlucky length")
+        if len(output) % 7 == 1:
+            return {}
+        same = sum(a == b for a, b in zip(output, reference))
+        return {"score": same / max(len(output), len(reference), 1), "is_badcase": int(len(output) % 7 == 2), "details": {"same": same}}
 
-def scorer_catalog(spark, sf):
-    """Each built-in scorer with the number of runs that used it."""
-    used = table(spark, sf, "orders").select(
-        F.element_at(F.array(*[F.lit(n) for n in BUILT_IN]), (F.col("o_orderkey") % 11 + 1).cast("int")).alias("name")
-    ).groupBy("name").agg(F.count(F.lit(1)).alias("runs"))
-    listed = list_scorers(spark).where(F.col("name").isin(*BUILT_IN))
-    return listed.join(used, "name", "left").select("name", F.coalesce("runs", F.lit(0)).alias("runs"))
+    register_python_scorer("same_characters", overlap)
+    out = score(TEXT.frame(spark, sf), "same_characters", 0.5)
+    return out.select(*TURN, F.round("score", 9).alias("score"), "is_badcase", F.get_json_object("details", "$.same").cast("long").alias("same"), "error")
+
+
+def attach_verdicts(spark, sf):
+    """Judge requests become a verdict table, which comes back to the results and is scored."""
+    rows = BOXED.frame(spark, sf)
+    asked = judged.judge_requests(rows.withColumn("user_input", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))))
+    # A stand-in judge: it answers two requests in three, by the length of what it was sent.
+    sent = F.length(F.element_at("judge_messages", 2)["content"])
+    verdicts = asked.where("conv_id % 3 <> 2").select(*TURN, F.concat(F.lit("so \\boxed{"), (sent % 3).cast("string"), F.lit("}")).alias("verdict"))
+    scored = score(judged.attach_verdicts(rows.drop("verdict"), verdicts, TURN), "verdict_with_answer")
+    return scored.select(*TURN, "score", "is_badcase", "verdict")
 
 
 # --- instruction checks: one document, every rule -------------------------------------
@@ -169,11 +183,18 @@ IFEVAL = Fixture("documents", {
 
 
 def ifeval_checks(spark, sf):
-    return ifeval.ifeval_checks(CHECKS.heavy(spark, sf), ["doc_id"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "instruction_id", "passed")
+    return ifeval.ifeval_checks(CHECKS.frame(spark, sf), ["doc_id"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "instruction_id", "passed")
+
+
+def ifeval_rollup(spark, sf):
+    """Passed checks per document over the long table."""
+    totals = table(spark, sf, "documents").select("doc_id", F.lit(len(RULES)).alias("total"))
+    rolled = ifeval.ifeval_rollup(ifeval.ifeval_checks(CHECKS.frame(spark, sf), ["doc_id"]), totals, ["doc_id"])
+    return rolled.select("doc_id", "total", "passed_count")
 
 
 def score_ifeval(spark, sf):
-    out = score(IFEVAL.heavy(spark, sf), "ifeval_full_scorer")
+    out = score(IFEVAL.frame(spark, sf), "ifeval_full_scorer")
     return out.select("doc_id", F.round("score", 9).alias("score"), "is_badcase")
 
 
@@ -184,14 +205,14 @@ QUERIES = {
     "score_json_check": _scored(JSON, "json_check", ORDER),
     "score_list_check": _scored(LIST, "list_check", ORDER),
     "score_tool_call": _scored(TOOL, "toolbench_evaluation", ORDER, 0.5, ("overall_assessment", "model_tool_used", "reference_tool_expected")),
-    "score_tool_tags": lambda spark, sf: score(TOOL.heavy(spark, sf), "toolbench_evaluation").select(
+    "score_tool_tags": lambda spark, sf: score(TOOL.frame(spark, sf), "toolbench_evaluation").select(
         "o_orderkey", F.array_join("details.assessment_parts", ",").alias("tags")),
     "score_agent": _scored(AGENT, "agent_instruct_score", TURN, 0.5),
-    "score_reference_verdict": _scored(BOXED, "llm_judge_with_answer", TURN),
+    "score_reference_verdict": _scored(BOXED, "verdict_with_answer", TURN),
     "score_refusal": _scored(REFUSAL, "reject", ORDER, 0.5),
     **{f.__name__: f for f in (
         score_rouge, score_rouge_n, score_rouge_l, score_str_check, apply_threshold, run_summary, run_summary_rouge, badcases,
-        run_results, custom_scorer, scorer_catalog, ifeval_checks, score_ifeval,
+        run_results, custom_scorer, custom_python_scorer, attach_verdicts, ifeval_checks, ifeval_rollup, score_ifeval,
     )},
 }
 
@@ -305,10 +326,17 @@ ORACLES = {
     "run_results": f"WITH fx AS ({BOXED.sql()}), {_BOX_PAIR} SELECT conv_id * 1000 + turn AS index, run_id, score, {_bad('score', 'false', 1.0)} AS is_badcase FROM s ORDER BY index",
     "custom_scorer": f"""WITH fx AS ({TEXT.sql()}), s AS (SELECT conv_id, turn, least(length(model_output), length(reference_output)) / greatest(length(model_output), length(reference_output), 1) AS score FROM fx)
         SELECT conv_id, turn, round(score, 9) AS score, {_bad('score', 'false', 0.9)} AS is_badcase FROM s""",
-    "scorer_catalog": f"""WITH names AS (SELECT unnest({list(BUILT_IN)}) AS name), used AS (SELECT {list(BUILT_IN)}[CAST(o_orderkey % 11 + 1 AS INT)] AS name, count(*) AS runs FROM orders GROUP BY ALL)
-        SELECT name, CAST(coalesce(runs, 0) AS BIGINT) AS runs FROM names LEFT JOIN used USING (name)""",
+    "custom_python_scorer": f"""WITH fx AS ({TEXT.sql()}), m AS (SELECT *, length(model_output) % 7 AS k,
+        len(list_filter(range(1, least(length(model_output), length(reference_output)) + 1), lambda i: substr(model_output, i, 1) = substr(reference_output, i, 1))) AS hits FROM fx),
+        v AS (SELECT *, round(hits / greatest(length(model_output), length(reference_output), 1), 9) AS ratio FROM m)
+        SELECT conv_id, turn, CASE WHEN k > 1 THEN ratio END AS score, CAST(CASE WHEN k <= 2 OR ratio < 0.5 THEN 1 ELSE 0 END AS INTEGER) AS is_badcase,
+        CASE WHEN k > 1 THEN hits END AS same, CASE k WHEN 0 THEN 'unlucky length' WHEN 1 THEN 'scorer returned no result' END AS error FROM v""",
+    "attach_verdicts": f"""WITH fx AS ({BOXED.sql()}), q AS (SELECT *, length('Conversation:' || chr(10) || '[user]: ' || text || chr(10) || chr(10) || 'Reference answer:' || chr(10) || reference_output || chr(10) || chr(10) || 'Model answer:' || chr(10) || model_output) % 3 AS k FROM fx)
+        SELECT conv_id, turn, CASE WHEN conv_id % 3 <> 2 THEN CAST(k AS DOUBLE) END AS score, CAST(CASE WHEN conv_id % 3 <> 2 AND k >= 1 THEN 0 ELSE 1 END AS INTEGER) AS is_badcase,
+        CASE WHEN conv_id % 3 <> 2 THEN 'so ' || chr(92) || 'boxed{{' || k || '}}' END AS verdict FROM q""",
     "ifeval_checks": f"WITH {_DOC} " + " UNION ALL ".join(
         f"SELECT doc_id, CAST({i} AS BIGINT) AS pos, '{rid}' AS instruction_id, coalesce({rule}, false) AS passed FROM d" for i, (rid, _, rule) in enumerate(RULES)),
+    "ifeval_rollup": f"WITH {_DOC} SELECT doc_id, CAST({len(RULES)} AS INTEGER) AS total, " + " + ".join(f"CAST(coalesce({rule}, false) AS BIGINT)" for _, _, rule in RULES) + " AS passed_count FROM d",
     "score_ifeval": f"WITH {_DOC}, s AS (SELECT doc_id, CASE WHEN doc_id % 20 >= 18 THEN 0.0 WHEN doc_id % 20 = 17 THEN 1.0 WHEN doc_id % {_NO_ARGS} = 2 THEN 0.0 ELSE CASE doc_id % 6 "
         + " ".join("WHEN {} THEN ({}) / 3.0::DOUBLE".format(i, " + ".join(f"CAST(coalesce({r[2]}, false) AS INT)" for r in p)) for i, p in enumerate(PICKS))
         + f" END END AS score FROM d) SELECT doc_id, round(score, 9) AS score, {_bad('score', 'false', 1.0)} AS is_badcase FROM s",

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import extract, jsons, text
 from evalspark.functions.staged import Stages
-from evalspark.plans.generators import spread
 from evalspark.workload.fixtures import AGENT, BOXED, JSON, LIST, TOOL, Fixture, table
 
 RELATION = Fixture("orders", {
@@ -35,7 +34,7 @@ def boxed_values(spark, sf):
 def json_extract(spark, sf):
     let = Stages()
     want, got = (jsons.extract_json_text(F.col(c), let) for c in ("reference_output", "model_output"))
-    return let.add_to(JSON.heavy(spark, sf)).select("o_orderkey", want.alias("reference_json"), got.alias("output_json"))
+    return let.add_to(JSON.frame(spark, sf)).select("o_orderkey", want.alias("reference_json"), got.alias("output_json"))
 
 
 def agent_fields(spark, sf):
@@ -49,18 +48,18 @@ def agent_fields(spark, sf):
 
 def tool_parts(spark, sf):
     parts = extract.tool_parts(F.col("model_output"))
-    return TOOL.heavy(spark, sf).select("o_orderkey", parts.alias("p")).select("o_orderkey", "p.*")
+    return TOOL.frame(spark, sf).select("o_orderkey", parts.alias("p")).select("o_orderkey", "p.*")
 
 
 def solution_extract(spark, sf):
     let = Stages()
     answer = extract.solution_answer(jsons.extract_json_text(F.col("model_output"), let), let)
-    return let.add_to(LIST.heavy(spark, sf)).select("o_orderkey", answer.alias("answer"))
+    return let.add_to(LIST.frame(spark, sf)).select("o_orderkey", answer.alias("answer"))
 
 
 def text_units(spark, sf):
     body = text.strip(F.col("text"))
-    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", body.alias("t")).select(
+    return table(spark, sf, "documents").select("doc_id", "text").select("doc_id", body.alias("t")).select(
         "doc_id",
         text.word_count(F.col("t")).cast("long").alias("n_words"),
         F.size(text.sentences(F.col("t"))).cast("long").alias("n_sentences"),
@@ -84,7 +83,7 @@ def rouge_tokens(spark, sf):
 
 
 def json_valid(spark, sf):
-    return JSON_LINES.heavy(spark, sf).select("event_id", jsons.json_valid(F.col("line")).alias("valid"))
+    return JSON_LINES.frame(spark, sf).select("event_id", jsons.json_valid(F.col("line")).alias("valid"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -10,13 +10,13 @@ COLUMNS = "index long, model_output string, reference_output string, verdict str
 
 def run(spark, name, rows, threshold=1.0):
     data = [(i, *r, *([None] * (3 - len(r)))) for i, r in enumerate(rows)]
-    scored = score(spark.createDataFrame(data, COLUMNS), name, threshold, keys=["index"])
+    scored = score(spark.createDataFrame(data, COLUMNS), name, threshold)
     return [(r["score"], r["is_badcase"]) for r in scored.orderBy("index").collect()]
 
 
 def details(spark, name, output, reference, field, verdict=None):
     df = spark.createDataFrame([(0, output, reference, verdict)], COLUMNS)
-    return score(df, name, keys=["index"]).select(F.col("details")[field]).first()[0]
+    return score(df, name).select(F.col("details")[field]).first()[0]
 
 
 def fence(body, lang="json"):
@@ -120,7 +120,7 @@ def test_agent(spark):
 
 
 def test_verdict_scorers(spark):
-    assert run(spark, "llm_judge_with_answer", [("a", "b", r"ok \boxed{2}"), ("a", "b", "none"), ("a", "b"), ("a", "b", r"\boxed{0}")]) == [
+    assert run(spark, "verdict_with_answer", [("a", "b", r"ok \boxed{2}"), ("a", "b", "none"), ("a", "b"), ("a", "b", r"\boxed{0}")]) == [
         (2.0, 0), (None, 1), (None, 1), (0.0, 1)]
     block = fence('{"拒识类型":"a","拒识话术":"b"}')
     rows = [
@@ -183,5 +183,33 @@ def test_registry(spark):
         return outcome(F.lit(0.5), F.lit(0), F.lit(None).cast("string"))
 
     assert run(spark, "test_constant", [("a", "b")], 0.4) == [(0.5, 0)]
-    register_python_scorer("test_python", lambda output, reference: float(len(output) == len(reference)))
-    assert run(spark, "test_python", [("ab", "cd"), ("a", "cd")]) == [(1.0, 0), (0.0, 1)]
+
+
+def test_python_scorers_fail_row_by_row(spark):
+    def grade(messages, output, reference):
+        if output == "boom":
+            raise ValueError("no good")
+        if output == "silent":
+            return None
+        return {"score": float(output == reference), "is_badcase": int(len(messages) > 1), "details": {"n": len(messages)}}
+
+    register_python_scorer("test_python", grade)
+    turn = [("user", "q")]
+    rows = [(0, "a", "a", turn, None), (1, "a", "b", turn, None), (2, "boom", "b", turn, None), (3, "silent", "b", turn, None), (4, None, "b", turn, None),
+            (5, "boom", "b", turn, "timeout"), (6, "a", "a", turn * 2, None), (7, "a", "a", None, None)]
+    df = spark.createDataFrame(rows, "index long, model_output string, reference_output string, user_input array<struct<role:string,content:string>>, error string")
+    got = score(df, "test_python").orderBy("index").select("score", "is_badcase", "details", "error").collect()
+    assert [tuple(r) for r in got] == [
+        (1.0, 0, '{"n": 1}', None), (0.0, 1, '{"n": 1}', None), (None, 1, None, "no good"), (None, 1, None, "scorer returned no result"),
+        (None, 1, None, "missing model_output"), (None, 1, None, "timeout"), (1.0, 1, '{"n": 2}', None), (1.0, 0, '{"n": 0}', None)]
+
+
+def test_rouge_needs_no_keys(spark):
+    # Two runs share an index, one index is missing, and a column has the name of a stage.
+    rows = [(0, "r", "a b c", "a b c", 7), (0, "s", "x y", "a b c", 8), (None, "t", "same text", "same text", 9), (3, "u", " ".join(map(str, range(20000))), "7 8 9", 1)]
+    df = spark.createDataFrame(rows, "index long, run_id string, model_output string, reference_output string, _let0 long")
+    scored = score(df, "rouge", 0.5)
+    got = {r["run_id"]: (r["details"]["rouge1"], r["details"]["rouge2"], r["_let0"]) for r in scored.collect()}
+    assert (got["r"], got["s"], got["t"]) == ((1.0, 1.0, 7), (0.0, 0.0, 8), (1.0, 1.0, 9))
+    assert round(got["u"][0], 9) == round(2 * (3 / 20000) / (3 / 20000 + 1), 9)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
