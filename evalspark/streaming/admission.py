@@ -97,9 +97,12 @@ def _admit(recent: Sequence[int], at: int, window_us: int, n: int) -> tuple[list
 
 
 def sliding_admission_stream(stream: DataFrame, key: str, ts: str, window: str = "5 minutes", n: int = 10,
-                             tie: str = "event_id", late: str = "1 minute") -> DataFrame:
+                             *, late: str, tie: str = "event_id") -> DataFrame:
     """Streaming form: ``key, tie, ts, accepted`` in append mode.
 
+    Events more than ``late`` behind the newest get no verdict; an anti join of the events with
+    the verdicts finds them. ``tie`` may be of any type with an order.
+
     State per key is at most N accepted times plus the events not yet passed by the
     watermark; a timer drops the key one window after its last accepted event.
     """
@@ -107,7 +110,7 @@ def sliding_admission_stream(stream: DataFrame, key: str, ts: str, window: str =
     types = {f.name: f.dataType.simpleString() for f in stream.schema}
     watermarked = stream.withWatermark(ts, late)
     out_schema = f"`{key}` {types[key]}, `{tie}` {types[tie]}, `{ts}` timestamp, accepted boolean"
-    state_schema = "accepted array<bigint>, waiting_us array<bigint>, waiting_tie array<bigint>"
+    state_schema = f"accepted array<bigint>, waiting_us array<bigint>, waiting_tie array<{types[tie]}>"
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         accepted, waiting_us, waiting_tie = state.get if state.exists else ([], [], [])
@@ -115,7 +118,7 @@ def sliding_admission_stream(stream: DataFrame, key: str, ts: str, window: str =
         if not state.hasTimedOut:
             for batch in batches:
                 micros = batch[ts].astype("datetime64[us]").astype("int64")
-                waiting += [(int(at), int(name)) for at, name in zip(micros, batch[tie])]
+                waiting += list(zip(micros.tolist(), batch[tie].tolist()))
         # Only events the watermark has passed are final; later ones may still get a predecessor.
         passed_us = state.getCurrentWatermarkMs() * 1000
         ready = sorted(w for w in waiting if w[0] < passed_us)

@@ -7,39 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from evalspark.operators.scoring import get_scorer, score
+from evalspark.operators.scoring import score
 
 
-def score_stream(stream: DataFrame, scorer: str, threshold: float = 1.0, keys: Sequence[str] = ("run_id", "index"),
-                 time: str = "ts", late: str = "1 hour") -> DataFrame:
+def score_stream(stream: DataFrame, scorer: str, late: str, threshold: float = 1.0, keys: Sequence[str] = ("run_id", "index"),
+                 time: str = "ts") -> DataFrame:
     """Score outputs as they arrive; a key repeated within the watermark is scored once.
 
-    The same column scorers as in batch. State is one entry per key and expires with
-    the watermark. Rows later than ``late`` are dropped. Scorers that aggregate over a
-    frame have no streaming form; use :func:`start_scoring`, which scores micro-batches.
+    The same scorers as in batch. State is one entry per key and expires with the watermark.
+    ``late`` is the caller's choice: rows that much behind the newest are not scored, and
+    :func:`unscored` finds them.
     """
-    if get_scorer(scorer).over_frame:
-        raise ValueError(f"{scorer} aggregates over rows; use start_scoring")
     unique = stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
     return score(unique, scorer, threshold)
 
 
-def start_scoring(stream: DataFrame, scorer: str, path: str, checkpoint: str, threshold: float = 1.0,
-                  keys: Sequence[str] = ("run_id", "index"), time: str = "ts", late: str = "1 hour",
-                  available_now: bool = True) -> StreamingQuery:
+def unscored(source: DataFrame, scored: DataFrame, keys: Sequence[str] = ("run_id", "index")) -> DataFrame:
+    """Rows of the source, read as a table, whose key was never scored: those that came too late."""
+    return source.join(scored.select(*keys), list(keys), "left_anti")
+
+
+def start_scoring(stream: DataFrame, scorer: str, path: str, checkpoint: str, late: str, threshold: float = 1.0,
+                  keys: Sequence[str] = ("run_id", "index"), time: str = "ts", available_now: bool = True) -> StreamingQuery:
     """Score to a Parquet folder; restarts continue from ``checkpoint``."""
-    if get_scorer(scorer).over_frame:
-        unique = stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
-
-        def write(batch: DataFrame, epoch: int) -> None:
-            # One folder per epoch: a replayed epoch overwrites itself.
-            score(batch, scorer, threshold, list(keys)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-        writer = unique.writeStream.foreachBatch(write)
-    else:
-        scored = score_stream(stream, scorer, threshold, keys, time, late)
-        writer = scored.writeStream.format("parquet").option("path", path).outputMode("append")
-    writer = writer.option("checkpointLocation", checkpoint)
+    scored = score_stream(stream, scorer, late, threshold, keys, time)
+    writer = scored.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalspark.operators.reports import newest_by
 from evalspark.plans.durable import fresh_path
 from evalspark.streaming import admission, incremental
 from evalspark.workload.fixtures import BOXED, UPDATES, table
@@ -20,10 +21,10 @@ def _stream(spark, sf, name):
 def stream_scoring(spark, sf):
     """Stream the conversations through a scorer to a table; equals the batch result."""
     source = _stream(spark, sf, "conversations")
-    rows = BOXED.project(source).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")))
+    # The time of arrival: nothing is late, and a key's state expires an hour after it came.
+    rows = BOXED.project(source).withColumn("ts", F.current_timestamp())
     path = fresh_path(spark, "stream")
-    # The watermark is longer than the whole input, so nothing counts as late here.
-    query = incremental.start_scoring(rows, "exact_match", f"{path}/out", f"{path}/state", keys=["conv_id", "turn"], late="10000 days")
+    query = incremental.start_scoring(rows, "exact_match", f"{path}/out", f"{path}/state", "1 hour", keys=["conv_id", "turn"])
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("conv_id", "turn", "score", "is_badcase")
 
@@ -35,11 +36,13 @@ def task_state_live(spark, sf):
     path = fresh_path(spark, "state")
 
     def write(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{path}/out")
+        # Only the tasks that changed; a replayed epoch overwrites itself.
+        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
 
-    query = state.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
+    query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("task_id", "status", "current", "message")
+    newest = newest_by(spark.read.parquet(f"{path}/out"), ["task_id"], F.desc("epoch"))
+    return newest.select("task_id", "status", "current", "message")
 
 
 def sliding_admission(spark, sf):
@@ -47,7 +50,22 @@ def sliding_admission(spark, sf):
     return admission.sliding_admission(events, "user_id", "ts", WINDOW, ACCEPTED).select("event_id", "user_id", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (stream_scoring, task_state_live, sliding_admission)}
+def sliding_admission_stream(spark, sf):
+    """The streaming form over all events; equals the batch form."""
+    path = fresh_path(spark, "admission")
+    events = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(f"{path}/in")
+    # A last event far behind all others lets the watermark pass them.
+    closing = events.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("interval 30 days")).alias("ts"))
+    closing.write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+    verdicts = admission.sliding_admission_stream(stream, "user_id", "ts", WINDOW, ACCEPTED, late="1 minute")
+    query = verdicts.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("event_id >= 0").select("event_id", "user_id", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (stream_scoring, task_state_live, sliding_admission, sliding_admission_stream)}
 
 ORACLES = {
     "stream_scoring": f"WITH fx AS ({BOXED.sql()}), {_BOX_PAIR} SELECT conv_id, turn, score, {_bad('score', 'false', 1.0)} AS is_badcase FROM s",
@@ -59,3 +77,4 @@ ORACLES = {
         FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1, LATERAL (SELECT list_filter(w.kept, lambda t: e.us - t < 2 * 86400000000) AS kept) k)
         SELECT event_id, user_id, accepted FROM w""",
 }
+ORACLES["sliding_admission_stream"] = ORACLES["sliding_admission"]

@@ -50,7 +50,7 @@ def test_sliding_admission_stream(spark, tmp_path):
         part = rows[i:i + 300] + ([closing] if i + 300 >= len(rows) else [])
         spark.createDataFrame(part, "event_id long, user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = admission.sliding_admission_stream(stream, "user_id", "ts", "5 minutes", 3)
+    out = admission.sliding_admission_stream(stream, "user_id", "ts", "5 minutes", 3, late="1 minute")
     query = out.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = {r["event_id"]: r["accepted"] for r in spark.table("admitted").collect() if r["event_id"] < 10**6}
@@ -67,13 +67,13 @@ def test_stream_scoring_equals_batch_and_restarts(spark, tmp_path, name):
     def push(part):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        incremental.start_scoring(stream, name, out, checkpoint, keys=keys).awaitTermination()
+        incremental.start_scoring(stream, name, out, checkpoint, "1 hour", keys=keys).awaitTermination()
 
     push(rows[:25] + rows[:5])
     push(rows[20:])  # overlaps what was scored before the restart
     columns = [*keys, "score", "is_badcase"]
     got = sorted(map(tuple, spark.read.parquet(out).select(columns).collect()))
-    want = sorted(map(tuple, score(spark.createDataFrame(rows, schema), name, keys=keys).select(columns).collect()))
+    want = sorted(map(tuple, score(spark.createDataFrame(rows, schema), name).select(columns).collect()))
     assert got == want
 
 
@@ -91,8 +91,7 @@ def test_state_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("state").select(fields).collect())) == sorted(map(tuple, task_state(df).select(fields).collect()))
 
 
-def test_aggregating_scorer_is_refused_as_plain_stream(spark, tmp_path):
-    stream = spark.readStream.schema("run_id long, index long, model_output string, reference_output string, ts timestamp").parquet(str(tmp_path))
-    with pytest.raises(ValueError):
-        incremental.score_stream(stream, "rouge")
-
+def test_rows_that_came_too_late_can_be_found(spark):
+    source = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "run_id long, index long")
+    scored = source.where("index = 1")
+    assert [tuple(r) for r in incremental.unscored(source, scored).collect()] == [(1, 2)]
