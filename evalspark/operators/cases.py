@@ -66,7 +66,8 @@ def expand_cases(samples: DataFrame, role_test: str = "assistant") -> DataFrame:
 def index_cases(samples: DataFrame, role_test: str = "assistant") -> DataFrame:
     """``expand_cases`` plus the global dense ``index`` in (original, expanded) order.
 
-    Only (sample index, case count) pairs are numbered; texts never move for it.
+    Only (sample index, case count) pairs are numbered; the samples are then shuffled once to
+    meet their first index. From a turn table use ``cases_from_turns``, which saves that.
     """
     counts = samples.select("original_index", F.size(target_positions(role_test)).cast("long").alias("_cases"))
     starts = number_rows(counts, ["original_index"], "_seq", "_cases", "_start").select("original_index", "_start")
@@ -92,6 +93,22 @@ def turn_case_index(
     )
 
 
+def cases_from_turns(
+    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", role_test: str = "assistant"
+) -> DataFrame:
+    """``expand_cases`` with all indexes, from a turn table.
+
+    Cases are counted on the narrow turn columns, so the texts move once, to be grouped, and
+    meet their numbers on that partitioning.
+    """
+    from evalspark.sources.turns import group_turns
+
+    per_conv = turns.groupBy(conv).agg(F.count_if(is_target(F.col(role), role_test)).alias("_cases"))
+    starts = number_rows(per_conv, [conv], "original_index", "_cases", "_start").select(conv, "original_index", "_start")
+    cases = expand_cases(group_turns(turns, conv, turn, role, text).join(starts, conv), role_test)
+    return cases.withColumn("index", F.col("_start") + F.col("expanded_index")).drop("_start")
+
+
 def split_reference(cases: DataFrame) -> DataFrame:
     """Prompt = all messages but the last; reference = content of the last."""
     return cases.withColumns({
@@ -128,11 +145,14 @@ def limit_samples(samples: DataFrame, n: int) -> DataFrame:
     return samples.where(F.col("original_index") < n) if n > 0 else samples
 
 
-def smoke_cap(pending: DataFrame, test_mode: bool = True, cap: int = 16) -> DataFrame:
-    """In test mode with more than ``cap`` pending cases keep the first ones by index.
+def smoke_cap(pending: DataFrame, test_mode: bool = False, cap: int | None = None) -> DataFrame:
+    """For a trial run: in test mode keep only the first ``cap`` pending cases by index.
 
-    The output column ``test_mode`` is cleared for a capped run.
+    Nothing is dropped unless ``test_mode`` asks for it, and then ``cap`` must be given. The
+    output column ``test_mode`` is cleared for a capped run, as its results are real ones.
     """
+    if test_mode and cap is None:
+        raise ValueError("test mode needs a cap")
     if not test_mode:
         return pending.withColumn("test_mode", F.lit(False))
     head = pending.orderBy("index").limit(cap + 1)  # top-k, not a full sort

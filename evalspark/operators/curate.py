@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.jsons import canonical_json, json_kind, json_map, json_member_raw, set_member
+from evalspark.functions.jsons import canonical_json, json_items_raw, json_kind, json_map, json_member_raw, set_member
 from evalspark.plans.generators import explode_computed
 from evalspark.plans.numbering import number_rows
 from evalspark.schemas import SAMPLE
@@ -57,7 +57,7 @@ def edit_turn_text(samples: DataFrame, role: str, value: str) -> DataFrame:
     edited = samples.withColumn("turns", F.transform("turns", edit))
     if "raw" not in samples.columns:
         return edited
-    turns = F.from_json(json_member_raw(F.col("raw"), "turns"), "array<string>")
+    turns = json_items_raw(F.col("raw"), "turns")
     joined = F.concat(F.lit("["), F.array_join(F.transform(turns, edit_raw), ","), F.lit("]"))
     return edited.withColumn("raw", F.when(turns.isNull(), F.col("raw")).otherwise(set_member(F.col("raw"), "turns", joined)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Configuration members that never leave the process. Besides local
@@ -64,10 +64,15 @@ def page(df: DataFrame, number: int, size: int = 10) -> tuple[DataFrame, DataFra
 
 
 def latest_report(reports: DataFrame, keys: Sequence[str] = ("user_id", "dataset", "model")) -> DataFrame:
-    """Newest report per key. ``max_by`` aggregates before the shuffle, so a hot key is cheap."""
-    others = [c for c in reports.columns if c not in keys]
-    newest = F.max_by(F.struct(*others), F.struct("created_at", "id")).alias("_r")
-    return reports.groupBy(*keys).agg(newest).select(*keys, "_r.*")
+    """Newest report per key, ties by id. Each task keeps one row per key before the shuffle."""
+    return newest_by(reports, keys, F.desc("created_at"), F.desc("id"))
+
+
+def newest_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """First row per key in ``order``. The rank limit is applied in every task before the
+    shuffle, so a hot key sends one wide row per task."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def task_state(updates: DataFrame, key: str = "task_id", order: Sequence[str] = ("ts", "event_id"),
@@ -100,15 +105,14 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def compare_models(reports: DataFrame, models: Sequence[str]) -> DataFrame:
     """Newest accuracy per data set, one column per model."""
-    # ``created_at`` ties are decided by id.
-    newest = F.max_by("accuracy", F.struct("created_at", "id"))
-    return reports.groupBy("dataset").pivot("model", list(models)).agg(newest)
+    newest = latest_report(reports.select("dataset", "model", "accuracy", "created_at", "id"), ["dataset", "model"])
+    return newest.groupBy("dataset").pivot("model", list(models)).agg(F.max("accuracy"))
 
 
 def compare_models_long(reports: DataFrame) -> DataFrame:
     """The same comparison for an unknown number of models: one row per (data set, model)."""
-    newest = F.max_by("accuracy", F.struct("created_at", "id"))
-    return reports.groupBy("dataset", "model").agg(newest.alias("accuracy"))
+    narrow = reports.select("dataset", "model", "accuracy", "created_at", "id")
+    return latest_report(narrow, ["dataset", "model"]).select("dataset", "model", "accuracy")
 
 
 def accuracy_trend(reports: DataFrame, every: str = "1 day") -> DataFrame:

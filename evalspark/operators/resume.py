@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.reports import newest_by
+
 
 def pending(cases: DataFrame, done: DataFrame, keys: Sequence[str] = ("index",), retry_errors: bool = False) -> DataFrame:
     """Cases whose key is not in the checkpoint yet."""
@@ -22,11 +24,9 @@ def union_checkpoint(done: DataFrame, new: DataFrame) -> DataFrame:
 def dedup_by_index(rows: DataFrame, order: Column, keys: Sequence[str] = ("index",)) -> DataFrame:
     """Keep the last row per key.
 
-    An aggregate, not a window: repeats of a hot key collapse before the shuffle.
+    Every task keeps one row per key before the shuffle, so a hot key is cheap.
     """
-    others = [c for c in rows.columns if c not in keys]
-    last = F.max_by(F.struct(*others), order).alias("_last")
-    return rows.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*rows.columns)
+    return newest_by(rows, keys, order.desc())
 
 
 def resume(cases: DataFrame, done: DataFrame, order: Column, keys: Sequence[str] = ("index",)) -> tuple[DataFrame, DataFrame]:

@@ -8,18 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.session import checkpoint_dir
 
+_WRITTEN: list[str] = []
+
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there.
 
     Used where two branches of a plan must see the very same rows in the very same
     partitions, and after non-deterministic work that a retry must not repeat.
-    Survives executor loss because the files live outside the executors.
+    Survives executor loss because the files live outside the executors. Spark deletes them with
+    the last plan that reads them if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same through a Parquet table, whose size the planner knows."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused folder below the checkpoint folder for a written table."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete every table written below ``fresh_path`` by this process, once its results are no
+    longer read. Returns how many there were."""
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count

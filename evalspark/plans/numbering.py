@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.plans.durable import durable
+from evalspark.plans.durable import durable, stored
 
 
 def number_rows(
@@ -46,18 +46,23 @@ def shift_ranges(
     out: str,
     weight: str | None = None,
     weight_out: str = "start",
+    order: Sequence[Column | str] | None = None,
 ) -> DataFrame:
-    """Number rows given their range and an in-range position that grows by one per row."""
+    """Number rows given their range and an in-range position that grows by one per row.
+
+    ``order`` sorts the ranges, if not by their own columns.
+    """
     totals = [F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_first")]
     if weight:
         totals.append(F.sum(weight).alias("_weight"))
-    before = Window.orderBy(*range_cols).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = Window.orderBy(*(order or range_cols)).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     shifts = df.groupBy(*range_cols).agg(*totals).select(
         *range_cols,
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         *([F.coalesce(F.sum("_weight").over(before), F.lit(0)).alias("_weight_shift")] if weight else []),
     )
-    numbered = df.join(shifts, list(range_cols), "left")
+    # Written and read again, so that the planner knows its size: one row per range.
+    numbered = df.join(stored(shifts, "shifts"), list(range_cols), "left")
     numbered = numbered.withColumn(out, _present(F.col("_shift")) + F.col(at))
     if weight:
         inside = Window.partitionBy(*range_cols).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)

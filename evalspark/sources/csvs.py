@@ -11,15 +11,18 @@ from evalspark.sources.positions import number_lines, with_positions
 # Marker a valid row starts with, and the roles written to samples.
 MARKER = "meta"
 ROLES = ("Human", "Assistant")
-PREVIEW_ROWS = 5
 
 
-def read_csv_rows(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Data rows as ``row_index, cells``; a row of another width than the header fails the job.
 
-    Quoted line breaks need ``multiline``, which reads each file in one task; turn it
-    off to split large files that have none.
+    Files are split. Line breaks inside quotes need ``multiline``, which reads each file in one
+    task; without it such a row has the wrong width and fails the job.
     """
+    return number_lines(with_positions(_cells(spark, path, multiline)).drop("_metadata"), "row_index")
+
+
+def _cells(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     scan = (
         spark.read.option("header", True)
         .option("multiLine", multiline)
@@ -30,8 +33,7 @@ def read_csv_rows(spark: SparkSession, path: str, multiline: bool = True) -> Dat
         .csv(path)
     )
     cells = F.array(*[F.coalesce(F.col(f"`{c.replace('`', '``')}`"), F.lit("")) for c in scan.columns])
-    positioned = with_positions(scan.select(cells.alias("cells"), "_metadata")).drop("_metadata")
-    return number_lines(positioned, "row_index")
+    return scan.select(cells.alias("cells"), "_metadata")
 
 
 def csv_turns(cells: Column) -> Column:
@@ -56,17 +58,20 @@ def _as_sample(rows: DataFrame) -> DataFrame:
     }).withColumn("raw", F.to_json(F.struct("meta", "turns")))
 
 
-def csv_to_samples(rows: DataFrame) -> DataFrame:
-    """Samples of ``row_index, cells``: rows with two columns or more and a non-blank first one."""
-    from evalspark.operators.curate import reindex
+def _usable() -> Column:
+    return (F.size("cells") >= 2) & (strip(F.get("cells", F.lit(0))) != "")
 
-    usable = rows.where((F.size("cells") >= 2) & (strip(F.get("cells", F.lit(0))) != ""))
-    samples = _as_sample(usable).select(F.col("row_index").alias("original_index"), "meta", "turns", "raw")
-    return reindex(samples)
+
+def csv_to_samples(rows: DataFrame) -> DataFrame:
+    """Samples of already numbered ``row_index, cells``; numbers keep the gaps of unusable rows."""
+    return _as_sample(rows.where(_usable())).select(F.col("row_index").alias("original_index"), "meta", "turns", "raw")
 
 
-def read_samples_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    return csv_to_samples(read_csv_rows(spark, path, multiline))
+def read_samples_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Samples of a CSV file, numbered densely: rows with two columns or more and a non-blank
+    first one. Unusable rows go before the numbering, so nothing is numbered twice."""
+    positioned = with_positions(_cells(spark, path, multiline).where(_usable())).drop("_metadata")
+    return _as_sample(number_lines(positioned)).select("original_index", "meta", "turns", "raw")
 
 
 def classify_rows(rows: DataFrame) -> DataFrame:
@@ -94,7 +99,7 @@ def validate_csv(rows: DataFrame, by: list[str] | None = None) -> tuple[DataFram
     return report, invalid
 
 
-def preview_csv(rows: DataFrame) -> DataFrame:
-    """First five valid rows as samples."""
-    valid = classify_rows(rows).where(F.col("status") == "valid").orderBy("row").limit(PREVIEW_ROWS)
+def preview_csv(rows: DataFrame, n: int = 5) -> DataFrame:
+    """First ``n`` valid rows as samples."""
+    valid = classify_rows(rows).where(F.col("status") == "valid").orderBy("row").limit(n)
     return _as_sample(valid).select("row", "meta", "turns", "raw")

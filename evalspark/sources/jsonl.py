@@ -47,15 +47,24 @@ def explode_dataset(datasets: DataFrame) -> DataFrame:
     """Samples of each dataset blob, numbered densely inside the dataset.
 
     A blob is one row, so blanks are dropped and lines numbered inside the row. A line
-    that is not valid JSON fails the job; see :func:`readable_datasets`.
+    that is not valid JSON fails the job; see :func:`explode_readable`.
     """
     exploded = explode_computed(datasets, _items(), "original_index", "raw", "id")
     return _with_fields(exploded.withColumns({"original_index": F.col("original_index").cast("long"), "raw": _checked(F.col("raw"))}))
 
 
-def readable_datasets(datasets: DataFrame) -> DataFrame:
-    """Blobs whose non-blank lines are all valid JSON."""
-    return datasets.where(F.forall(_items(), json_valid))
+def explode_readable(datasets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples of the readable blobs, rejected blobs with their first bad line).
+
+    A blob is rejected as a whole if one non-blank line is not valid JSON; ``line_number``
+    counts from 1 and ``line`` is that line.
+    """
+    lines = F.transform(F.split("file_content", "\n", -1), strip)
+    judged = datasets.withColumn("_lines", lines).withColumn(
+        "_bad", F.array_position(F.transform("_lines", lambda line: (line != "") & ~json_valid(line)), True)
+    )
+    rejected = judged.where("_bad > 0").select("id", F.col("_bad").alias("line_number"), F.element_at("_lines", F.col("_bad").cast("int")).alias("line"))
+    return explode_dataset(judged.where("coalesce(_bad, 0) = 0").drop("_lines", "_bad")), rejected
 
 
 def _items() -> Column:

@@ -14,18 +14,13 @@ from evalspark.plans.numbering import shift_ranges
 BLOCK = ["_file", "_block"]
 
 
-PINNED = "spark.sql.files.minPartitionNum"
-
-
 def with_positions(scan: DataFrame) -> DataFrame:
     """Add the scan position columns right at the source.
 
-    The scan is read twice, once to count lines per block. Split sizes follow the number
-    of cores unless pinned, so the number is fixed before executors come or go.
+    The scan is read twice, once to count lines per block. Split sizes follow the number of
+    cores; where executors come and go, set ``spark.sql.files.minPartitionNum``. Passes that
+    saw different splits fail the job, they never give wrong numbers.
     """
-    spark = scan.sparkSession
-    if spark.conf.get(PINNED, None) is None:
-        spark.conf.set(PINNED, str(spark.sparkContext.defaultParallelism))
     return scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
@@ -35,5 +30,10 @@ def with_positions(scan: DataFrame) -> DataFrame:
 
 
 def number_lines(positioned: DataFrame, out: str = "original_index") -> DataFrame:
-    """Dense number over all rows of ``positioned``, which must not be filtered afterwards."""
-    return shift_ranges(positioned, BLOCK, "_line", out)
+    """Dense number over all rows of ``positioned``, which must not be filtered in between.
+
+    Files are ordered by the length of their path, then by the path, so part-100000 follows
+    part-99999. The line counts per block are written first: the join then knows how small
+    they are, and the text need not be shuffled to meet them.
+    """
+    return shift_ranges(positioned, BLOCK, "_line", out, order=[F.length("_file"), *BLOCK])

@@ -11,6 +11,7 @@ from evalspark.functions.display import first_user_message, score_text
 from evalspark.functions.jsons import json_kind
 from evalspark.operators.reports import safe_config
 from evalspark.operators.summary import badcases, run_summary
+from evalspark.plans.durable import fresh_path, stored
 from evalspark.plans.generators import explode_computed
 from evalspark.schemas import REPORT
 
@@ -41,8 +42,12 @@ def write_report(results: DataFrame, config: DataFrame, path: str, stamp: Column
     unknown = set(formats) - set(FORMATS)
     if unknown:
         raise ValueError(f"unknown report formats {sorted(unknown)}")
+    # Scored once: everything else is read from the written rows.
+    spark, scored = results.sparkSession, fresh_path(results.sparkSession, "scored")
+    results.write.parquet(scored)
+    results = spark.read.schema(results.schema).parquet(scored)
     if "json" in formats or "txt" in formats:
-        records = report_records(results, config, stamp, by)
+        records = stored(report_records(results, config, stamp, by), "records")
         if "json" in formats:
             results.write.mode("append").partitionBy(by).parquet(f"{path}/results")
             records.write.mode("append").json(f"{path}/records")
@@ -83,9 +88,16 @@ def export_rows(results: DataFrame) -> DataFrame:
 
 
 def export_results_csv(results: DataFrame, path: str) -> None:
-    """CSV part files with every field quoted; each file starts with BOM and header."""
-    rows = export_rows(results).toDF(BOM + EXPORT_HEADER[0], *EXPORT_HEADER[1:])
-    (
-        rows.write.option("header", True).option("quoteAll", True).option("escape", '"')
-        .option("emptyValue", "").mode("overwrite").csv(path)
-    )
+    """CSV part files with every field quoted; each file starts with the BOM, then the header.
+
+    Written as text lines, because a CSV writer would put the BOM inside the first quotes.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = export_rows(results)
+    header = BOM + ",".join(f'"{name}"' for name in EXPORT_HEADER)
+    line = F.concat_ws(",", *[quoted(F.col(c)) for c in rows.columns])
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its part file
+    lines = rows.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value"))
+    if rows.isEmpty():
+        lines = rows.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value"))
+    lines.write.mode("overwrite").text(path)

@@ -11,7 +11,7 @@ from evalspark.sources.turns import group_turns, samples_from_turns as build_sam
 from evalspark.workload.fixtures import TEXT, Fixture, table
 
 ENDPOINTS = ["http://a/v1", "http://b/v1", "http://c/v1"]
-SAMPLE_LIMIT = 100
+SAMPLE_LIMIT = 37  # below the number of conversations in every table
 
 ROLES = Fixture("conversations", {
     "conv_id": "conv_id", "turn": "turn",
@@ -34,7 +34,7 @@ def samples_from_turns(spark, sf):
 
 
 def expand_cases(spark, sf):
-    expanded = ops.split_reference(ops.index_cases(build_samples(_turns(spark, sf))))
+    expanded = ops.split_reference(ops.cases_from_turns(_turns(spark, sf)))
     return expanded.select(
         "conv_id", "original_index", "expanded_index", "index",
         F.size("messages").cast("long").alias("n_messages"),
@@ -64,7 +64,7 @@ def sample_cap(spark, sf):
 
 
 def smoke_cap(spark, sf):
-    return ops.smoke_cap(ops.turn_case_index(_turns(spark, sf)).where("turn > 1")).select("index", "conv_id", "turn", "test_mode")
+    return ops.smoke_cap(ops.turn_case_index(_turns(spark, sf)), test_mode=True, cap=16).select("index", "conv_id", "turn", "test_mode")
 
 
 def endpoint_assign(spark, sf):
@@ -150,7 +150,7 @@ ORACLES = {
     "prompt_reference": f"WITH {_CASES} SELECT conv_id, expanded_index, CAST(n_prompt AS BIGINT) AS n_prompt, last_prompt, reference_output FROM cases",
     "case_index": f"WITH {_INDEX} SELECT conv_id, turn, original_index, expanded_index, index FROM numbered",
     "sample_cap": f"WITH {_SAMPLES} SELECT original_index, conv_id, n_turns FROM samples WHERE original_index < {SAMPLE_LIMIT}",
-    "smoke_cap": f"WITH {_INDEX} SELECT index, conv_id, turn, false AS test_mode FROM numbered WHERE turn > 1 ORDER BY index LIMIT 16",
+    "smoke_cap": f"WITH {_INDEX} SELECT index, conv_id, turn, false AS test_mode FROM numbered ORDER BY index LIMIT 16",
     "endpoint_assign": f"WITH {_INDEX} SELECT index, ['http://a/v1', 'http://b/v1', 'http://c/v1'][CAST(index % 3 AS INT) + 1] AS endpoint FROM numbered",
     "history_window": """SELECT conv_id, turn, CAST(count(*) OVER w AS BIGINT) AS n_messages,
         string_agg('[' || role || ']: ' || text, chr(10) || chr(10)) OVER w AS transcript FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",

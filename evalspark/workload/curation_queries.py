@@ -84,9 +84,9 @@ def append_counts(spark, sf):
     return curate.append_counts(table(spark, sf, "orders"), table(spark, sf, "documents"))
 
 
-def _checkpoint(spark, sf):
+def _checkpoint(cases):
     """Unscored checkpoint rows; those of late turns were appended twice."""
-    cases = turn_case_index(table(spark, sf, "conversations")).where("turn > 1")
+    cases = cases.where("turn > 1")
     first = cases.select("index", "turn", F.lit(1).alias("attempt"), F.concat(F.lit("out"), F.col("index")).alias("model_output"))
     again = first.where("turn > 3").withColumns({"attempt": F.lit(2), "model_output": F.concat(F.col("model_output"), F.lit("b"))})
     return first.unionByName(again).drop("turn")
@@ -94,18 +94,19 @@ def _checkpoint(spark, sf):
 
 def resume_pending(spark, sf):
     cases = turn_case_index(table(spark, sf, "conversations"))
-    todo, _ = resume.resume(cases, _checkpoint(spark, sf), F.col("attempt"))
+    todo, _ = resume.resume(cases, _checkpoint(cases), F.col("attempt"))
     return todo.select("index", "conv_id", "turn")
 
 
 def union_checkpoint(spark, sf):
-    done = _checkpoint(spark, sf)
-    new = turn_case_index(table(spark, sf, "conversations")).where("turn <= 1").select("index", F.lit("new").alias("model_output"))
+    cases = turn_case_index(table(spark, sf, "conversations"))
+    done = _checkpoint(cases)
+    new = cases.where("turn <= 1").select("index", F.lit("new").alias("model_output"))
     return resume.union_checkpoint(done, new).select("index", F.coalesce("attempt", F.lit(0)).alias("attempt"), "model_output")
 
 
 def checkpoint_dedup(spark, sf):
-    return resume.dedup_by_index(_checkpoint(spark, sf), F.col("attempt"))
+    return resume.dedup_by_index(_checkpoint(turn_case_index(table(spark, sf, "conversations"))), F.col("attempt"))
 
 
 REQUESTS = Fixture("orders", {
@@ -155,7 +156,8 @@ def rejected_requests(spark, sf):
 
 
 OWNED = Fixture("orders", {"id": "o_orderkey", "task_id": "o_orderkey", "user_id": "o_custkey", "status": "o_orderstatus"})
-USERS = Fixture("customer", {"id": "c_custkey", "username": "c_name"}, "c_acctbal >= 0")
+ALL_USERS = Fixture("customer", {"id": "c_custkey", "username": "c_name"})
+USERS = Fixture("customer", ALL_USERS.columns, "c_acctbal >= 0")  # so that some owners are unknown
 TASK_REPORTS = Fixture("lineitem", {"id": "l_orderkey * 10 + l_linenumber", "task_id": "l_orderkey", "user_id": "l_suppkey"})
 
 
@@ -170,7 +172,7 @@ def owned_subset(spark, sf):
 
 def cascade_delete(spark, sf):
     """Deleting some users and some runs: what is left per table."""
-    tables = {"users": USERS.frame(spark, sf), "runs": OWNED.frame(spark, sf), "reports": TASK_REPORTS.frame(spark, sf)}
+    tables = {"users": ALL_USERS.frame(spark, sf), "runs": OWNED.frame(spark, sf), "reports": TASK_REPORTS.frame(spark, sf)}
     users = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
     tasks = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("task_id"))
     left = joins.cascade_delete(tables, users, tasks)
@@ -214,7 +216,7 @@ ORACLES = {
     "rejected_requests": f"{_MERGED} SELECT request_id, model, CASE WHEN data_file = '' THEN 'model, data_file and scoring are required' ELSE 'unknown model' END AS reason FROM j WHERE model_name IS NULL OR data_file = ''",
     "owner_enrich": f"WITH r AS ({OWNED.sql()}), u AS ({USERS.sql()}) SELECT r.id, r.user_id, u.username FROM r LEFT JOIN u ON r.user_id = u.id",
     "owned_subset": f"WITH r AS ({OWNED.sql()}) SELECT id, status FROM r WHERE user_id = 7 AND id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)",
-    "cascade_delete": f"""WITH u AS ({USERS.sql()}), r AS ({OWNED.sql()}), p AS ({TASK_REPORTS.sql()}), du AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), gone AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM du) OR o_orderpriority = '1-URGENT')
+    "cascade_delete": f"""WITH u AS ({ALL_USERS.sql()}), r AS ({OWNED.sql()}), p AS ({TASK_REPORTS.sql()}), du AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), gone AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM du) OR o_orderpriority = '1-URGENT')
         SELECT 'users' AS table_name, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM u WHERE id NOT IN (SELECT c_custkey FROM du)
         UNION ALL SELECT 'runs', count(*), CAST(sum(id) AS BIGINT) FROM r WHERE id NOT IN (SELECT id FROM gone)
         UNION ALL SELECT 'reports', count(*), CAST(sum(id) AS BIGINT) FROM p WHERE task_id NOT IN (SELECT id FROM gone) AND user_id NOT IN (SELECT c_custkey FROM du)""",

@@ -28,11 +28,15 @@ def samples_jsonl(spark, sf):
 
 
 def dataset_explode(spark, sf):
-    return jsonl.explode_dataset(jsonl.readable_datasets(DATASETS.frame(spark, sf))).select(
+    return jsonl.explode_readable(DATASETS.frame(spark, sf))[0].select(
         "id", "original_index", "meta.meta_description", F.size("turns").cast("long").alias("n_turns"), F.get("turns", F.lit(0))["text"].alias("first_text")
     )
 
 
+def dataset_rejects(spark, sf):
+    return jsonl.explode_readable(DATASETS.frame(spark, sf))[1]
+
+
 def dataset_preview(spark, sf):
     return jsonl.preview_dataset(DATASETS.frame(spark, sf))[1]
 
@@ -62,17 +66,21 @@ CSV = Fixture("orders", {
 CSV_COLUMNS = [c for c in CSV.columns if c != "o_orderkey"]
 
 
-def _csv_rows(spark, sf):
-    """Write the rows as real CSV files (quotes, commas, line breaks), read them back."""
+def _csv_path(spark, sf):
+    """The rows as real CSV files with quotes, commas and line breaks."""
     path = fresh_path(spark, "csv")
     ordered = CSV.frame(spark, sf).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
     ordered.select(*CSV_COLUMNS).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
-    return csvs.read_csv_rows(spark, path)
+    return path
+
+
+def _csv_rows(spark, sf):
+    return csvs.read_csv_rows(spark, _csv_path(spark, sf), multiline=True)
 
 
 def csv_to_samples(spark, sf):
-    return csvs.csv_to_samples(_csv_rows(spark, sf)).select("original_index", "meta.meta_description", _transcript().alias("transcript"))
+    return csvs.read_samples_csv(spark, _csv_path(spark, sf), multiline=True).select("original_index", "meta.meta_description", _transcript().alias("transcript"))
 
 
 def csv_validate(spark, sf):
@@ -133,12 +141,12 @@ REPORT_DOCS = Fixture("orders", {
 
 
 def report_explode(spark, sf):
-    return reportsink.explode_report(REPORT_DOCS.heavy(spark, sf)).select(
+    return reportsink.explode_report(REPORT_DOCS.frame(spark, sf)).select(
         "id", F.col("pos").cast("long").alias("pos"), "index", "score", "is_badcase", "model_output", "error")
 
 
 def report_explode_summary(spark, sf):
-    summaries = reportsink.report_summaries(REPORT_DOCS.heavy(spark, sf))
+    summaries = reportsink.report_summaries(REPORT_DOCS.frame(spark, sf))
     return summaries.select("id", F.col("config")["model"].alias("model"), "total_count", "accuracy", "badcase_count", "raw")
 
 
@@ -178,7 +186,7 @@ def export_file_name(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    samples_jsonl, dataset_explode, dataset_preview, dataset_preview_items, jsonl_validate, dataset_catalog, csv_to_samples, csv_validate,
+    samples_jsonl, dataset_explode, dataset_rejects, dataset_preview, dataset_preview_items, jsonl_validate, dataset_catalog, csv_to_samples, csv_validate,
     csv_invalid_rows, csv_preview, checkpoint_roundtrip, report_record, safe_config, report_explode, report_explode_summary, export_rows,
     export_csv, export_file_name,
 )}
@@ -196,6 +204,7 @@ ORACLES = {
     "samples_jsonl": """SELECT row_number() OVER (ORDER BY conv_id) - 1 AS original_index, conv_id, string_agg('[' || role || ']: ' || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""",
     "dataset_explode": f"""WITH {_LINES}, k AS (SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS original_index FROM l WHERE line <> '' AND id IN (SELECT id FROM n WHERE bad IS NULL))
         SELECT id, original_index, json_extract_string(line, '$.meta.meta_description') AS meta_description, CAST(json_array_length(line, '$.turns') AS BIGINT) AS n_turns, json_extract_string(line, '$.turns[0].text') AS first_text FROM k""",
+    "dataset_rejects": f"WITH {_LINES} SELECT id, bad + 1 AS line_number, lines[bad + 1] AS line FROM n WHERE bad IS NOT NULL",
     "dataset_preview": f"""WITH {_LINES} SELECT id, CAST(CASE WHEN bad IS NOT NULL THEN raw_lines ELSE len(list_filter(lines, lambda x: x <> '')) END AS BIGINT) AS total_count,
         CASE WHEN bad IS NOT NULL THEN lines[bad + 1] END AS bad_line FROM n""",
     "dataset_preview_items": f"WITH {_LINES} SELECT l.id, row_number() OVER (PARTITION BY l.id ORDER BY l.pos) - 1 AS pos, l.line AS raw FROM l JOIN n USING (id) WHERE l.line <> '' AND (bad IS NULL OR l.pos < bad)",

@@ -70,11 +70,13 @@ def test_history_equals_case_messages(spark):
 
 def test_caps_and_endpoints(spark):
     df = spark.range(40).withColumnRenamed("id", "index").repartition(4)
-    capped = cases.smoke_cap(df)
+    capped = cases.smoke_cap(df, test_mode=True, cap=16)
     assert sorted(r["index"] for r in capped.collect()) == list(range(16)) and not capped.first()["test_mode"]
-    small = cases.smoke_cap(df.where("index < 16"))
+    small = cases.smoke_cap(df.where("index < 16"), test_mode=True, cap=16)
     assert small.count() == 16 and small.first()["test_mode"]
-    assert cases.smoke_cap(df, test_mode=False).count() == 40
+    assert cases.smoke_cap(df).count() == 40
+    with pytest.raises(ValueError):
+        cases.smoke_cap(df, test_mode=True)
     assert [r["endpoint"] for r in cases.assign_endpoint(df, ["a", "b", "c"]).orderBy("index").limit(4).collect()] == ["a", "b", "c", "a"]
     with pytest.raises(ValueError):
         cases.assign_endpoint(df, "abc")
@@ -124,6 +126,22 @@ def test_generate_retries_and_keeps_failures(spark):
     assert [r["error"] for r in rows.orderBy("index").collect()] == [None, "bad request", "down", "no model output"]
 
 
+def test_generate_keeps_calls_in_flight_and_passes_endpoints(spark):
+    import time
+
+    df = cases.assign_endpoint(cases.index_cases(samples(spark, [(None, [("user", f"q{i}"), ("assistant", "a")]) for i in range(8)])), ["u0", "u1"])
+
+    def model(messages, url):
+        name = messages[-1]["content"]
+        time.sleep(0.6 - 0.07 * int(name[1:]))  # the last call ends first
+        return f"{name}@{url}"
+
+    started = time.monotonic()
+    got = generate(df.coalesce(1), model, concurrency=8, endpoint="endpoint").orderBy("index").collect()
+    assert [r["model_output"] for r in got] == [f"q{i}@u{i % 2}" for i in range(8)]
+    assert max(r["inference_time"] for r in got) < 1.5 and time.monotonic() - started < 60
+
+
 def test_edit_guard(spark):
     base = {"meta": {"meta_description": "m"}, "turns": [{"role": "u", "text": "a"}, {"role": "v", "text": "b"}], "id": 1}
 
@@ -176,6 +194,13 @@ def test_edits_keep_unknown_members_of_raw(spark):
     assert turns == [{**item, "turns": [{"role": "u", "text": "z", "n": 2}, {"role": "v", "text": "b"}]}, {"id": 1}]
 
 
+def test_edits_keep_the_spelling_of_numbers(spark):
+    raw = '{"a":1.0,"b":[1.50,1e2,-0.0,{"c":10}],"meta":{"k":2.0,"meta_description":"1.0"},"turns":[{"n":3.10,"role":"u","text":"7.0"}]}'
+    df = jsonl._with_fields(spark.createDataFrame([(0, raw)], "original_index long, raw string"))
+    assert curate.edit_meta(df, "new 5.0").first()["raw"] == raw.replace('"meta_description":"1.0"', '"meta_description":"new 5.0"')
+    assert curate.edit_turn_text(df, "u", "9.0").first()["raw"] == raw.replace('"7.0"', '"9.0"')
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     path = tmp_path / "s.jsonl"
     good = ['{"meta": {"meta_description": "m"}, "turns": [{"role": "Human", "text": "a"}], "extra": [1]}', "", "  ", '{"turns": []}', ' {"meta": null} ']
@@ -203,8 +228,10 @@ def test_jsonl_numbers_across_splits_and_files(spark, tmp_path):
 def test_csv(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('h0,h1,h2,h3,h4,h5,h6\nmeta,"d ""q""",q1,a1,"q\n2",a2,odd\n ,d,q,a,,,\nother,d,q,,q2,a2,\nmeta,,,,,,\n')
-    rows = csvs.read_csv_rows(spark, str(path))
-    got = csvs.csv_to_samples(rows).orderBy("original_index").collect()
+    rows = csvs.read_csv_rows(spark, str(path), multiline=True)
+    assert [r["original_index"] for r in csvs.csv_to_samples(rows).orderBy("original_index").collect()] == [0, 2, 3]
+    got = csvs.read_samples_csv(spark, str(path), multiline=True).orderBy("original_index").collect()
+    assert [r["original_index"] for r in got] == [0, 1, 2]
     assert [r["meta"]["meta_description"] for r in got] == ['d "q"', "d", ""]
     assert [[(t["role"], t["text"]) for t in r["turns"]] for r in got] == [
         [("Human", "q1"), ("Assistant", "a1"), ("Human", "q\n2"), ("Assistant", "a2")], [("Human", "q2"), ("Assistant", "a2")], []]
@@ -221,7 +248,9 @@ def test_dataset_blobs(spark):
     df = spark.createDataFrame([(1, '{"turns":[]}\r\n\n {"a":1}'), (2, '{"a":1}\n\n{bad\n{"b":1}\n'), (3, "")], "id long, file_content string")
     ok = jsonl.explode_dataset(df.where("id <> 2")).orderBy("id", "original_index").collect()
     assert [(r["id"], r["original_index"], r["raw"]) for r in ok] == [(1, 0, '{"turns":[]}'), (1, 1, '{"a":1}')]
-    assert sorted(r["id"] for r in jsonl.readable_datasets(df).collect()) == [1, 3]
+    good, rejected = jsonl.explode_readable(df)
+    assert sorted((r["id"], r["original_index"]) for r in good.collect()) == [(1, 0), (1, 1)]
+    assert [tuple(r) for r in rejected.collect()] == [(2, 3, "{bad")]
     with pytest.raises(Exception, match="not valid JSON"):
         jsonl.explode_dataset(df).collect()
     items, counts = jsonl.preview_dataset(df)
@@ -257,10 +286,14 @@ def test_export_csv(spark, tmp_path):
     df = spark.createDataFrame([(0.5, [("system", "s"), ("user", 'a "b"\nc')], "o", ""), (None, [("system", "s")], None, "r")],
                                f"score double, user_input {message}, model_output string, reference_output string")
     reportsink.export_results_csv(df.coalesce(1), str(tmp_path / "e"))
-    part = next(p for p in (tmp_path / "e").iterdir() if p.suffix == ".csv")
-    assert part.read_text(encoding="utf-8") == (
-        '﻿"得分","用户输入","模型输出","参考答案"\n"0.5000","a ""b""\nc","o","-"\n"-","[{""role"":""system"",""content"":""s""}]","-","r"\n'
-    ) or part.read_text(encoding="utf-8").startswith('"﻿得分","用户输入","模型输出","参考答案"\n"0.5000","a ""b""\nc","o","-"\n"-","[{""role"":""system"",""content"":""s""}]","-","r"\n')
+    part = next(p for p in (tmp_path / "e").iterdir() if p.suffix == ".txt")
+    header = '"得分","用户输入","模型输出","参考答案"\n'
+    assert part.read_bytes() == b"\xef\xbb\xbf" + (
+        header + '"0.5000","a ""b""\nc","o","-"\n"-","[{""role"":""system"",""content"":""s""}]","-","r"\n'
+    ).encode()
+    reportsink.export_results_csv(df.limit(0), str(tmp_path / "none"))
+    part = next(p for p in (tmp_path / "none").iterdir() if p.suffix == ".txt")
+    assert part.read_bytes() == b"\xef\xbb\xbf" + header.encode()
 
 
 def test_latest_and_state(spark):
