@@ -134,6 +134,12 @@ def _rewrite(text: Column, token_map) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)), token_map), "")
 
 
+def fold_booleans(text: Column) -> Column:
+    """Valid JSON text with true and false outside strings, at any depth, as 1 and 0."""
+    folded = lambda t: F.replace(F.replace(t, F.lit("true"), F.lit("1")), F.lit("false"), F.lit("0"))
+    return _rewrite(text, lambda t: F.when(t.startswith('"'), t).otherwise(folded(t)))
+
+
 def dumped_json(text: Column) -> Column:
     """Valid JSON re-printed with one space after each comma and colon outside strings."""
     compact = F.element_at(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT), 1)

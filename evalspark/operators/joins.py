@@ -15,8 +15,7 @@ DEFAULT_WORKERS = 4
 DEFAULT_THRESHOLD = 1.0
 DEFAULT_TIMEOUT = 600
 DEFAULT_MAX_TOKENS = 16384
-PLACEHOLDER_KEY = "sk-" + "x" * 48
-DEFAULT_FORMATS = "json, txt, badcases"
+PLACEHOLDER_KEY = "sk-xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx"
 
 
 def attach_outputs(cases: DataFrame, outputs: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalspark.functions.extract import tool_parts
-from evalspark.functions.jsons import STRICT, json_valid, last_wins
+from evalspark.functions.jsons import STRICT, fold_booleans, json_valid, last_wins
 from evalspark.functions.text import S, strip
 from evalspark.operators.scoring import Case, bad_unless, outcome, register_scorer
 
@@ -19,12 +19,11 @@ TIERS = ((0.9, "excellent"), (0.7, "good"), (0.5, "fair"))
 
 
 def _typed_params(text: Column) -> Column:
-    """Members as JSON text that keeps types; 1, 1.0 and true compare equal."""
+    """Members as JSON text that keeps types; 1, 1.0 and true compare equal at any depth."""
     members = last_wins(F.from_json(text, "map<string,variant>", STRICT))
 
     def fold(_, member: Column) -> Column:
-        shown = F.coalesce(F.to_json(member), F.lit("null"))
-        return F.when(shown == "true", "1").when(shown == "false", "0").otherwise(shown)
+        return fold_booleans(F.coalesce(F.to_json(member), F.lit("null")))
 
     return F.transform_values(members, fold)
 

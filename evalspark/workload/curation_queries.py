@@ -115,7 +115,7 @@ REQUESTS = Fixture("orders", {
     "data_file": "CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE 'set.jsonl' END",
     "scoring": "'rouge'",
     "n_urls": "o_custkey % 2",
-    "api_key": "CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('sk-', repeat('x', 48)) ELSE 'own' END",
+    "api_key": "CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'sk-xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx' ELSE 'own' END",
     "max_workers": "CAST(o_custkey % 3 AS INT)",
     "badcase_threshold": "CAST(o_custkey % 4 AS DOUBLE) / 4",
     "timeout": "CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 600 ELSE 30 END AS INT)",
@@ -209,7 +209,7 @@ ORACLES = {
     "union_checkpoint": f"{_CKPT} SELECT index, attempt, model_output FROM ck UNION ALL SELECT index, CAST(0 AS INTEGER), 'new' FROM numbered WHERE turn <= 1",
     "checkpoint_dedup": f"{_CKPT} SELECT index, max(attempt) AS attempt, max_by(model_output, attempt) AS model_output FROM ck GROUP BY index",
     "resolve_run_config": f"""{_MERGED} SELECT request_id, model, CASE WHEN n_urls > 0 THEN 'http://own' ELSE url END AS urls,
-        coalesce(CASE WHEN api_key = 'own' THEN api_key END, nullif(c_key, ''), 'sk-' || repeat('x', 48)) AS api_key,
+        coalesce(CASE WHEN api_key = 'own' THEN api_key END, nullif(c_key, ''), 'sk-xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx') AS api_key,
         CAST(CASE WHEN max_workers = 0 THEN 4 ELSE max_workers END AS INTEGER) AS max_workers, CASE WHEN badcase_threshold = 0 THEN 1.0::DOUBLE ELSE badcase_threshold END AS badcase_threshold,
         CASE WHEN timeout IN (0, 600) THEN c_timeout ELSE timeout END AS timeout, CASE WHEN max_tokens IN (0, 16384) THEN c_tokens ELSE max_tokens END AS max_tokens,
         CASE WHEN temperature = 0 THEN c_temp ELSE temperature END AS temperature, CAST(CASE WHEN top_p = 0 THEN c_top ELSE top_p END AS DOUBLE) AS top_p, is_vllm FROM j WHERE model_name IS NOT NULL AND data_file <> ''""",

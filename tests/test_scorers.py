@@ -87,6 +87,8 @@ def test_tool_call_scores(spark):
         (CALL % '"k": 1, "s": "O"', CALL % '"k": 1.0, "s": "O"'),  # numbers compare by value
         (CALL % '"k": true', CALL % '"k": 1'),
         (CALL % '"k": "1"', CALL % '"k": 1'),  # text is not a number
+        (CALL % '"k": [true, [false, "true"]]', CALL % '"k": [1, [0, "true"]]'),
+        (CALL % '"k": ["true"]', CALL % '"k": [1]'),
         ('Action: x\nAction Input: {"k": 1}', 'Action: y\nAction Input: {"k": 1, "z": 2}'),
         ("Action Input: {bad}", 'Action Input: {"a":1}'),
         ('Action: Finish final_answer: "alpha beta"', "action: finish final_answer: 'alpha beta gamma'"),
@@ -96,7 +98,7 @@ def test_tool_call_scores(spark):
         ("Action: f action input: {}", "Action: f action input: {}"),  # parameters are case-sensitive
     ]
     got = [round(s, 9) for s, _ in run(spark, "toolbench_evaluation", rows, 0.0)]
-    assert got == [1.0, 1.0, 0.7, 0.55, 0.3, 0.6, 0.75, 0.8, 0.0, 0.7]
+    assert got == [1.0, 1.0, 0.7, 1.0, 0.7, 0.55, 0.3, 0.6, 0.75, 0.8, 0.0, 0.7]
 
 
 def test_tool_call_tags(spark):
