@@ -63,8 +63,8 @@ BOXED = Fixture("conversations", {
 
 AGENT = Fixture("conversations", {
     **TURN_KEY,
-    "reference_output": f"CASE WHEN turn % 5 = 4 THEN 'free text' ELSE concat('Final Answer: a', {text('conv_id % 3')}, chr(10), 'Action: act#', {text('turn % 2')}, chr(10), 'Value: V', {text('conv_id % 2')}) END",
-    "model_output": f"CASE WHEN turn % 5 = 4 THEN 'other text' ELSE concat('answer: a', {text('(conv_id + turn) % 3')}, chr(10), 'ACTION: act#', {text('conv_id % 2')}, chr(10), 'value: x v', {text('turn % 2')}, ' y') END",
+    "reference_output": f"CASE WHEN turn % 5 = 4 THEN text ELSE concat(text, chr(10), 'Final Answer: a', {text('conv_id % 3')}, chr(10), 'Action: act#', {text('turn % 2')}, chr(10), 'Value: V', {text('conv_id % 2')}) END",
+    "model_output": f"CASE WHEN turn % 5 = 4 THEN concat('other ', text) ELSE concat(text, chr(10), 'answer: a', {text('(conv_id + turn) % 3')}, chr(10), 'ACTION: act#', {text('conv_id % 2')}, chr(10), 'value: x v', {text('turn % 2')}, ' y') END",
 })
 
 TOOL = Fixture("orders", {
@@ -87,6 +87,14 @@ LIST = Fixture("orders", {
     "model_output": """CASE o_orderkey % 5 WHEN 0 THEN '<solution> c, B, a </solution>' WHEN 1 THEN '{"answer": "a,b"}' WHEN 2 THEN 'a,a,a' WHEN 3 THEN 'a,b,z' ELSE '' END""",
 })
 
+# JSON lists and objects: equal whatever the key order, unequal in item order or number kind.
+LIST_JSON = Fixture("orders", {
+    "o_orderkey": "o_orderkey",
+    "reference_output": """CASE WHEN o_orderkey % 4 = 3 THEN concat('["', o_orderpriority, '",', CAST(o_custkey AS STRING), ']') ELSE concat('{"a":', CAST(o_custkey AS STRING), ',"b":[1,2]}') END""",
+    "model_output": """CASE o_orderkey % 4 WHEN 0 THEN concat('{"b": [1, 2], "a": ', CAST(o_custkey AS STRING), '}') WHEN 1 THEN concat('{"a":', CAST(o_custkey AS STRING), ',"b":[2,1]}')
+    WHEN 2 THEN concat('{"a":', CAST(o_custkey AS STRING), '.0,"b":[1,2]}') ELSE concat('["', o_orderpriority, '", ', CAST(o_custkey AS STRING), ']') END""",
+})
+
 # A refusal object in most rows; the judge verdict text rides along.
 REFUSAL = Fixture("orders", {
     "o_orderkey": "o_orderkey",

@@ -8,8 +8,8 @@ from evalspark.operators import summary
 from evalspark.operators.scorers import ifeval, judged, rouge
 from evalspark.operators.scoring import apply_threshold as threshold_rule
 from evalspark.operators.scoring import outcome, register_python_scorer, register_scorer, score
-from evalspark.workload.fixtures import AGENT, BOXED, JSON, LIST, REFUSAL, TEXT, TOOL, Fixture, table
-from evalspark.workload.text_queries import BOXED_SQL, STRIPPED, WORD, WS, agent_sql, extract_json_sql, nonblank_parts, solution_sql
+from evalspark.workload.fixtures import AGENT, BOXED, JSON, LIST, LIST_JSON, REFUSAL, TEXT, TOOL, Fixture, table
+from evalspark.workload.text_queries import BOXED_SQL, SENTENCES, STRIPPED, WORD, WS, agent_sql, extract_json_sql, nonblank_parts, solution_sql
 
 TURN = ["conv_id", "turn"]
 ORDER = ["o_orderkey"]
@@ -155,6 +155,9 @@ RULES = (
     ("punctuation:no_comma", '{"x": 1}', "NOT contains(t, ',')"),
     ("combination:two_responses", '{"x": 1}',
      "CAST(contains(l, 'response 1') AS INT) + CAST(contains(l, 'response 2') AS INT) + CAST(contains(l, 'part 1') AS INT) + CAST(contains(l, 'part 2') AS INT) >= 2"),
+    ("length_constraints:number_sentences", '{"num_sentences": #, "relation": "at least"}', f"{SENTENCES} >= g"),
+    ("change_case:english_capital", '{"x": 1}', "t = upper(t)"),
+    ("language:response_language", '{"language": "fr-FR"}', "length(t) >= 5 AND lang = 'fr'"),
     ("unknown:rule", '{"x": 1}', "false"),
     ("keywords:frequency", '{"keyword": "missing arguments"}', "false"),
 )
@@ -168,14 +171,19 @@ def _spec(rules) -> str:
     return f"replace('{doc}', '#', CAST(doc_id % 50 AS STRING))"
 
 
-CHECKS = Fixture("documents", {"doc_id": "doc_id", "model_output": "text", "reference_output": _spec(RULES)})
+# Whole documents, most of them changed so that no check has one verdict throughout.
+REPLY_TEXT = """CASE doc_id % 9 WHEN 1 THEN concat(chr(34), text, chr(34)) WHEN 2 THEN concat(text, chr(10), 'P.S. one more')
+    WHEN 3 THEN concat('{"a": [1, 2], "n": ', CAST(doc_id AS STRING), '}') WHEN 4 THEN lower(text)
+    WHEN 5 THEN concat('# Part 1', chr(10), text, chr(10), chr(10), '# Part 2', chr(10), text)
+    WHEN 6 THEN concat(repeat(concat('- item', chr(10)), 60), '[name] *a* and *b*', chr(10), text) WHEN 7 THEN '   ' WHEN 8 THEN 'ALL CAPS HERE' ELSE text END"""
+CHECKS = Fixture("documents", {"doc_id": "doc_id", "model_output": REPLY_TEXT, "detected_lang": "lang", "reference_output": _spec(RULES)})
 
 # Three rules per document; some documents carry an empty argument object, a wrong length, or no object.
 PICKS = tuple((RULES[i], RULES[i + 6], RULES[i + 12]) for i in range(6))
 _NO_ARGS = 12
 IFEVAL = Fixture("documents", {
     "doc_id": "doc_id",
-    "model_output": "text",
+    "model_output": REPLY_TEXT,
     "reference_output": "CASE WHEN doc_id % 20 = 19 THEN 'free text' WHEN doc_id % 20 = 18 THEN '{\"instruction_id_list\": [\"a\"], \"kwargs\": []}' WHEN doc_id % 20 = 17 THEN '{\"instruction_id_list\": []}' "
     + "WHEN doc_id % 12 = 2 THEN '{\"instruction_id_list\": [\"punctuation:no_comma\"], \"kwargs\": [{}]}' ELSE CASE doc_id % 6 "
     + " ".join(f"WHEN {i} THEN {_spec(p)}" for i, p in enumerate(PICKS)) + " END END",
@@ -204,6 +212,7 @@ QUERIES = {
     "score_equal": score_equal,
     "score_json_check": _scored(JSON, "json_check", ORDER),
     "score_list_check": _scored(LIST, "list_check", ORDER),
+    "score_list_json": _scored(LIST_JSON, "list_check", ORDER),
     "score_tool_call": _scored(TOOL, "toolbench_evaluation", ORDER, 0.5, ("overall_assessment", "model_tool_used", "reference_tool_expected")),
     "score_tool_tags": lambda spark, sf: score(TOOL.frame(spark, sf), "toolbench_evaluation").select(
         "o_orderkey", F.array_join("details.assessment_parts", ",").alias("tags")),
@@ -286,7 +295,7 @@ _LIST = f"""p AS (SELECT o_orderkey, {solution_sql('model_output')} AS got, CASE
         list_filter(list_transform(string_split(want, ','), lambda x: trim(lower(x))), lambda x: x <> '') AS w FROM p),
     s AS (SELECT o_orderkey, CASE WHEN got <> '' AND len(g) = len(w) AND len(list_filter(g, lambda x: NOT list_contains(w, x))) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM q)"""
 
-_DOC = f"d AS (SELECT doc_id, doc_id % 50 AS g, t, lower(t) AS l, lower(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS a FROM (SELECT doc_id, {STRIPPED} AS t FROM documents))"
+_DOC = f"d AS (SELECT doc_id, lang, doc_id % 50 AS g, t, lower(t) AS l, lower(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS a FROM (SELECT doc_id, lang, {STRIPPED} AS t FROM (SELECT doc_id, lang, {REPLY_TEXT} AS text FROM documents)))"
 _SUM = "CAST(count(*) AS BIGINT) AS total_count, CAST(count(*) FILTER (bad = 0) AS BIGINT) AS correct_count"
 
 ORACLES = {
@@ -297,6 +306,8 @@ ORACLES = {
         SELECT conv_id, turn, CASE WHEN NOT failed THEN score END AS score, CAST(CASE WHEN failed OR score < 1 THEN 1 ELSE 0 END AS INTEGER) AS is_badcase, failed FROM s""",
     "score_json_check": f"WITH fx AS ({JSON.sql()}), {_JSON} SELECT o_orderkey, round(score, 9) AS score, {_bad('score', 'false', 1.0)} AS is_badcase FROM s",
     "score_list_check": f"WITH fx AS ({LIST.sql()}), {_LIST} SELECT o_orderkey, score, {_bad('score', 'false', 1.0)} AS is_badcase FROM s",
+    "score_list_json": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 3) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
+        CAST(CASE WHEN o_orderkey % 4 IN (0, 3) THEN 0 ELSE 1 END AS INTEGER) AS is_badcase FROM orders""",
     "score_tool_call": f"""WITH fx AS ({TOOL.sql()}), {_tool_sql()} SELECT o_orderkey, round(score, 9) AS score, {_bad('score', 'score < 0.6', 0.5)} AS is_badcase,
         CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.7 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END AS overall_assessment, gtool AS model_tool_used, wtool AS reference_tool_expected FROM s""",
     "score_tool_tags": f"""WITH fx AS ({TOOL.sql()}), {_tool_sql()} SELECT o_orderkey, concat_ws(',',
