@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm import bwt, debruijn, decontaminate, licenses, mixing, simhash, tokens, toxicity, urls, vectors
 from evalspark.llm.common import table
+from evalspark.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +69,3 @@ QUERIES = {
     "op9_debruijn": op9_debruijn,
     "op10_licenses": op10_licenses,
 }
-
-ORACLES: dict[str, str] = {"op2_urls": urls.ORACLE, "op10_licenses": licenses.oracle()}
