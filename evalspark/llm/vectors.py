@@ -26,19 +26,19 @@ from evalspark.plans.durable import durable
 
 COSINE = 0.95
 SAMPLE = 4096
-PREFIX = 8
-SHARED = 2
+PREFIX = 5
+SHARED = 1
 CHUNK = 2048
-PIVOTS_FROM, PIVOTS_TO = 32, 1024
+PIVOTS_FROM, PIVOTS_TO = 32, 2048
 
 
 def pivot_count(n: int) -> int:
     """Grows with the square root of the rows, so that lists do too."""
-    return int(min(PIVOTS_TO, max(PIVOTS_FROM, 2 * np.sqrt(n))))
+    return int(min(PIVOTS_TO, max(PIVOTS_FROM, 4 * np.sqrt(n))))
 
 
 def unit_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that can link, and their unit vectors in double precision, grouped by nothing."""
+    """Numbers of the rows that can link, and their unit vectors in double precision."""
     good, out = [], []
     for k, v in enumerate(lists.to_pylist()):
         if v is None or any(x is None for x in v):
@@ -89,10 +89,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     def describe(batch: pa.RecordBatch) -> dict:
         _, units = unit_rows(batch.column("_v"))
-        ranks = []
-        for v in units:
-            near = pivots.value.get(len(v), np.zeros((0, len(v)))) @ v
-            ranks.append(np.argsort(-near, kind="stable")[:prefix].astype(np.int32) if len(near) else np.zeros(1, np.int32))
+        # A dimension the sample has not seen gets one list for all its vectors.
+        ranks: list = [np.zeros(1, np.int32)] * len(units)
+        size = np.array([len(v) for v in units])
+        for dim, points in pivots.value.items():
+            rows = np.flatnonzero(size == dim)
+            for at in range(0, len(rows), 1024):
+                part = rows[at : at + 1024]
+                near = np.stack([units[k] for k in part]) @ points.T
+                for k, order in zip(part, np.argsort(-near, axis=1, kind="stable")[:, :prefix].astype(np.int32)):
+                    ranks[k] = order
         return {
             "node": batch.column("node"), "copies": batch.column("copies"),
             "unit": pa.array(units, pa.list_(pa.float64())), "ranks": pa.array(ranks, pa.list_(pa.int32())),
@@ -138,27 +144,28 @@ def verify_list(batch: pa.RecordBatch, pivot: int, crossing: bool, cosine: float
     ranks = np.array(batch.column("ranks").flatten()).reshape(batch.num_rows, -1)
     node, copies, own = (batch.column(c).to_numpy() for c in ("node", "copies", "own"))
     n = len(node)
-    seen, place = np.unique(ranks, return_inverse=True)
-    has = np.zeros((n, len(seen)), np.float32)
-    has[np.arange(n)[:, None], place.reshape(ranks.shape)] = 1
-    earlier = has[:, seen < pivot]
     links = np.zeros(n, np.int64)
     us, vs = [], []
-    for at in range(0, n, 512):
-        part = slice(at, min(n, at + 512))
-        ok = (has[part] @ has.T >= min(shared, ranks.shape[1])) & (earlier[part] @ earlier.T == 0)
-        ok[np.arange(part.stop - at), np.arange(at, part.stop)] = False
-        if crossing:
-            ok &= own[part, None] != own[None, :]
-        ok &= unit[part] @ unit.T >= cosine
-        links[part] = ok @ copies
-        u, v = np.nonzero(ok)
-        # A forest of the block is enough, so links of a dense list never pile up.
-        root = local_roots(n, u + at, v)
-        child = np.flatnonzero(root != np.arange(n))
-        us.append(child)
-        vs.append(root[child])
-    root = local_roots(n, np.concatenate(us), np.concatenate(vs))
+    for at in range(0, n, 256):
+        part = slice(at, min(n, at + 256))
+        # All rows here share this pivot. The cosine is the cheaper test, so it goes first.
+        u, v = np.nonzero(unit[part] @ unit.T >= cosine)
+        u += at
+        apart = (u != v) & (own[u] != own[v] if crossing else True)
+        u, v = u[apart], v[apart]
+        for k in range(0, len(u), 1 << 16):
+            a, b = u[k : k + (1 << 16)], v[k : k + (1 << 16)]
+            same = ranks[a][:, :, None] == ranks[b][:, None, :]
+            common = np.where(same.any(axis=2), ranks[a], np.iinfo(np.int32).max)
+            ok = (same.any(axis=2).sum(axis=1) >= min(shared, ranks.shape[1])) & (common.min(axis=1) == pivot)
+            a, b = a[ok], b[ok]
+            links += np.bincount(a, copies[b], n).astype(np.int64)
+            # A forest is enough, so links of a dense list never pile up.
+            root = local_roots(n, a, b)
+            child = np.flatnonzero(root != np.arange(n))
+            us.append(child)
+            vs.append(root[child])
+    root = local_roots(n, np.concatenate(us or [np.zeros(0, int)]), np.concatenate(vs or [np.zeros(0, int)]))
     hit = np.flatnonzero(links)
     if not len(hit):
         return None
