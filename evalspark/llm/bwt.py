@@ -27,7 +27,7 @@ from evalspark.llm.repeats import Repeats, compare_windows
 
 WINDOW = 400
 GRAM = 100
-MERGE = 20_000
+MERGE = 2_000
 
 
 def refine(interval: np.ndarray, column: np.ndarray) -> np.ndarray:
