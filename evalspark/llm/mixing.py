@@ -154,7 +154,9 @@ def mixture(numbered: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
 
     filled = map_batches(slots, "shard int, slot long, sid int, block long", step)
     named = spark.createDataFrame([(s["source"], s["sid"], s["begin"]) for s in sources], "source string, sid int, begin long")
-    return sources, filled.join(pieces(numbered, named, block), ["sid", "block"])
+    # The planner sizes the slots by the few rows they are made from; without the hint it would
+    # broadcast them all.
+    return sources, filled.hint("merge").join(pieces(numbered, named, block), ["sid", "block"])
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
