@@ -24,10 +24,10 @@ from evalspark.llm.repeats import Hasher, mix, text_key
 BUCKETS = 1 << 20
 DIM = 8
 GRAMS = (3, 4, 5)
-SAMPLE = 6000
-SAMPLE_WORDS = 2_000_000
+SAMPLE = 4000
+SAMPLE_WORDS = 1_000_000
 THRESHOLD = 0.5
-EPOCHS = 6
+EPOCHS = 8
 RATE = 1.0
 SEGMENT = 16  # words
 WEIGHT = {"toxic": 0.3, "clean": 0.25, "segment": 0.45}
