@@ -227,11 +227,13 @@ def with_scores(docs: DataFrame, model: Model, *keep: str, text_col: str = "text
 
     Null and blank texts get the score of the bias. Repeated rows repeat. No input: no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model.scorer())
+    scorer = model.scorer()
+    # Plain values: a broadcast object of this class would need the package on every executor.
+    sent = docs.sparkSession.sparkContext.broadcast((scorer.value, scorer.bias))
     narrow = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
 
     def step(batch: pa.RecordBatch) -> dict:
-        return {"_row": batch.column(0), "score": pa.array(sent.value.score(batch.column(1).to_pylist(), Hasher()), pa.float64())}
+        return {"_row": batch.column(0), "score": pa.array(Scorer(*sent.value).score(batch.column(1).to_pylist(), Hasher()), pa.float64())}
 
     return map_batches(narrow, f"_row {narrow.schema[0].dataType.simpleString()}, score double", step)
 
