@@ -44,19 +44,24 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), rest))
 
 
-def link_target(url: Column, html: Column) -> Column:
-    """Where a page's canonical link, or else its immediate refresh, leads; null without one."""
+def link_targets(url: Column, html: Column) -> Column:
+    """Where a page's canonical link and its refresh lead, each null if the page has none. Both
+    count: a page that names itself canonical may still be sent elsewhere."""
     canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = F.replace(F.when(canonical != "", canonical).when(refresh != "", refresh), F.lit("&amp;"), F.lit("&"))
     folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
-    return (
-        F.when(~html.rlike(r"(?i)canonical|http-equiv"), F.lit(None))
-        .when(F.instr(found, "://") > 0, found)
-        .when(found.startswith("//"), F.concat(F.lit("x:"), found))
-        .when(found.startswith("/"), F.concat(F.lit("x://"), host_of(url), found))
-        .otherwise(F.concat(F.lit("x://"), host_of(url), F.when(folder == "", F.lit("/")).otherwise(folder), found))
-    )
+
+    def whole(found: Column) -> Column:
+        found = F.replace(found, F.lit("&amp;"), F.lit("&"))
+        return (
+            F.when(found == "", F.lit(None))
+            .when(F.instr(found, "://") > 0, found)
+            .when(found.startswith("//"), F.concat(F.lit("x:"), found))
+            .when(found.startswith("/"), F.concat(F.lit("x://"), host_of(url), found))
+            .otherwise(F.concat(F.lit("x://"), host_of(url), F.when(folder == "", F.lit("/")).otherwise(folder), found))
+        )
+
+    return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.transform(F.array(canonical, refresh), whole))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -70,7 +75,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     """
     url = F.col("_url")
     narrow = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
-    links = pages.select(node_of(F.col(url_col)).alias("a"), node_of(link_target(F.col(url_col), F.col(html_col))).alias("b"))
+    links = pages.select(node_of(F.col(url_col)).alias("a"), F.explode_outer(link_targets(F.col(url_col), F.col(html_col))).alias("_to")).select("a", node_of(F.col("_to")).alias("b"))
     if redirects is not None:
         links = links.union(redirects.select(node_of(F.col("from_url")), node_of(F.col("to_url"))))
     stars = components(links.where("b != '' and a is not null"), "a", "b")

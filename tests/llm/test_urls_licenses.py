@@ -41,6 +41,22 @@ def test_rules_and_aliases(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_a_page_with_a_canonical_link_keeps_its_refresh(spark):
+    both = '<link rel="canonical" href="%s"><meta http-equiv="refresh" content="0; url=%s">'
+    rows = [
+        # 1 names itself canonical and leads to a blocked url; 2 leads to 1.
+        (1, "http://self.io/a", both % ("http://self.io/a", "http://b.net/x")), (2, "http://self.io/b", '<link rel="canonical" href="/a">'),
+        # 3 is as 1, but 4, its alias by a refresh beside a self link, is allowed.
+        (3, "http://self.io/c", both % ("/c", "http://b.net/y")), (4, "http://good.org/fr/z", both % ("", "http://self.io/c")),
+        # Both links lead elsewhere, the canonical one to a blocked url or the refresh.
+        (5, "http://two.io/d", both % ("http://b.net/p", "/e")), (6, "http://two.io/e", ""), (7, "http://two.io/f", both % ("/g", "http://b.net/q?a=1&amp;b=2")), (8, "http://two.io/g", None),
+        (9, "http://self.io/h", both % ("/h", "/h")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "block", 8: "block", 9: "allow"}
+
+
 def brute_scan(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, base = [], set()
