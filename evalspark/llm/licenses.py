@@ -1,14 +1,19 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates,
 in DataFrame operations only.
 
-A block is ``BLOCK`` consecutive words, one starting at every half block, so any passage of
-half a block lies in one. A block matches a template if it holds at least ``THRESHOLD`` of the
+A block is ``BLOCK`` consecutive words, wherever it starts, so a label does not depend on where
+in the text a notice stands. A block matches a template if it holds at least ``THRESHOLD`` of the
 template's distinct words. The templates are few and known, so the join runs in the row of the
 document: nothing is shuffled, and equal ids or hot documents do not matter.
 
+Blocks are judged inside stretches of two blocks, one starting at every block, so each block lies
+in one. A stretch is searched for a template only if it passes the filters itself, and there only
+the blocks that start with a template word (or end the text) are compared: a block that starts
+with another word holds no more than the next one that does.
+
 Three filters spare most comparisons and lose none. All template words have one global order,
 rarest first by the number of documents with them, counted over the whole corpus. A template of
-n words that must share a of them shares one of its first n - a + 1 (prefix); a block must hold
+n words that must share a of them shares one of its first n - a + 1 (prefix); a stretch must hold
 a template words (length); and after the first shared word, both sides must have a - 1 left
 (position).
 """
@@ -55,18 +60,29 @@ def word_order(words: DataFrame, vocabulary: Sequence[str]) -> list[str]:
     return sorted(vocabulary, key=lambda v: (count.get(v, 0), v))
 
 
-def shared_words(block: Column, template: list[str], need: int) -> Column:
-    """How many words of ``template`` the block holds, 0 where the filters rule out ``need``.
+def shared_words(stretch: Column, template: list[str], need: int) -> Column:
+    """How many words of ``template`` the stretch holds, 0 where the filters rule out ``need``.
     Both are in the global order."""
     whole = F.array(*[F.lit(w) for w in template])
     prefix = F.array(*[F.lit(w) for w in template[: len(template) - need + 1]])
-    first = F.get(F.array_intersect(prefix, block), F.lit(0))
-    left = F.least(F.lit(len(template) + 1) - F.array_position(whole, first), F.size(block) + 1 - F.array_position(block, first))
-    return F.when(first.isNotNull() & (left >= need), F.size(F.array_intersect(whole, block))).otherwise(F.lit(0))
+    first = F.get(F.array_intersect(prefix, stretch), F.lit(0))
+    left = F.least(F.lit(len(template) + 1) - F.array_position(whole, first), F.size(stretch) + 1 - F.array_position(stretch, first))
+    return F.when(first.isNotNull() & (left >= need), F.size(F.array_intersect(whole, stretch))).otherwise(F.lit(0))
+
 
+def last_start(words: str, block: int) -> Column:
+    """Where the last whole block of a text starts, from 1; later ones hold no more."""
+    return F.greatest(F.lit(1), F.size(words) - block + 1)
 
-def best_share(blocks: str, template: list[str], need: int) -> Column:
-    return F.coalesce(F.array_max(F.transform(blocks, lambda b: shared_words(b, template, need))), F.lit(0))
+
+def best_share(stretches: str, words: str, template: list[str], need: int, block: int) -> Column:
+    """The most words of ``template`` in any block of a stretch that has ``need``, else 0."""
+    whole = F.array(*[F.lit(w) for w in template])
+    last = last_start(words, block)
+    near = F.filter(stretches, lambda b: shared_words(b["words"], template, need) >= need)
+    starts = F.flatten(F.transform(near, lambda b: F.sequence(b["at"], F.least(b["at"] + block - 1, last))))
+    kept = F.filter(starts, lambda s: (s == last) | F.array_contains(whole, F.element_at(words, s)))
+    return F.coalesce(F.array_max(F.transform(kept, lambda s: F.size(F.array_intersect(whole, F.slice(words, s, F.lit(block)))))), F.lit(0))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
@@ -84,23 +100,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     need = {label: math.ceil(threshold * len(s)) for label, s in sets.items()}
     prefixes = sorted({w for label, s in ordered.items() for w in s[: len(s) - need[label] + 1]})
     known = F.array(*[F.lit(w) for w in sorted(rank, key=rank.__getitem__)])
-    step = block // 2
 
     counted = read.select(
         "_id", "_text", "_words", F.when(F.col("_norm") == "", 0).otherwise(F.size("_words")).cast("long").alias("n_words"),
         # The plain search spares most texts the pattern, which alone tells A-Z from other capitals.
         *[F.when(F.contains("_norm", F.lit(p)), F.regexp_count(text, F.lit(phrase_pattern(p)))).otherwise(0).cast("long").alias(f"_n{k}") for k, p in enumerate(phrases)],
     )
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - step), F.lit(step))
-    in_order = F.transform(starts, lambda s: F.array_intersect(known, F.slice(F.col("_words"), s, F.lit(block))))
-    blocks = F.filter(in_order, lambda b: F.size(b) >= min(need.values()))
+    starts = F.sequence(F.lit(1), last_start("_words", block), F.lit(block))
+    in_order = F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_intersect(known, F.slice(F.col("_words"), s, F.lit(2 * block))).alias("words")))
+    stretches = F.filter(in_order, lambda b: F.size(b["words"]) >= min(need.values()))
     places = counted.select(
-        "_id", "n_words", *[f"_n{k}" for k in range(len(phrases))],
+        "_id", "_words", "n_words", *[f"_n{k}" for k in range(len(phrases))],
         *[F.when(F.col(f"_n{k}") > 0, words_before(text, rf"(?s)^(.*?){phrase_pattern(p)}")).alias(f"_first{k}") for k, p in enumerate(phrases)],
         *[F.when(F.col(f"_n{k}") > 0, words_before(text, rf"(?s)^(.*){phrase_pattern(p)}")).alias(f"_last{k}") for k, p in enumerate(phrases)],
-        F.when(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in prefixes])), blocks).alias("_blocks"),
+        F.when(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in prefixes])), stretches).alias("_stretches"),
     )
-    shared = places.select("*", *[best_share("_blocks", ordered[label], need[label]).alias(f"_t{k}") for k, label in enumerate(templates)])
+    shared = places.select("*", *[best_share("_stretches", "_words", ordered[label], need[label], block).alias(f"_t{k}") for k, label in enumerate(templates)])
     base = F.array(*[F.when(F.col(f"_n{k}") > 0, label) for k, label in enumerate(phrases.values())])
     more = F.array(*[F.when(F.col(f"_t{k}") >= need[label], label) for k, label in enumerate(templates)])
     share = F.greatest(F.lit(0.0), *[F.when(F.col(f"_t{k}") >= need[label], F.col(f"_t{k}") / float(len(sets[label]))).otherwise(0.0) for k, label in enumerate(templates)])

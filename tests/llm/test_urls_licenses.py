@@ -89,3 +89,17 @@ def test_license_scan_equals_brute_force(spark):
     want = sorted((i if i is not None else -1, *(round(x, 9) if isinstance(x, float) else x for x in brute_scan(t))) for i, t in rows)
     assert got == want
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_license_labels_do_not_depend_on_the_offset(spark):
+    best = lambda words, t: max(len(t & set(words[s : s + 64])) for s in range(max(1, len(words) - 63)))
+    words = list(dict.fromkeys(licenses.TEMPLATES["mit"].split()))
+    need = -(-len(words) * 4 // 5)
+    # Just enough words of a notice, spread over one block of 64, or over one word more.
+    spread = lambda n: [f"x{k}" if k not in (at := {round(i * (n - 1) / (need - 1)): w for i, w in enumerate(words[:need])}) else at[k] for k in range(n)]
+    texts = [[f"y{k}" for k in range(lead)] + spread(n) + [f"z{k}" for k in range(tail)] for n in (64, 65) for lead in (0, 1, 15, 16, 17, 32, 63, 64, 80, 127) for tail in (0, 16, 100)]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        share = best(text, set(words))
+        assert share == (need if k < 30 else need - 1)
+        assert got[k] == (("mit", round(share / len(words), 9)) if k < 30 else ("", 0.0)), k
