@@ -4,8 +4,8 @@ A vector is described by its nearest reference points (pivots) in order. Vectors
 other see nearly the same pivots first, so each pivot keeps an inverted list of the vectors that
 rank it among their first ``PREFIX``, and two vectors are candidates if they share at least
 ``SHARED`` of those. Candidates are verified by their cosine in double precision, so no link is
-wrong; links are missed only where the prefixes differ too much (see ``tests`` and the README
-for the measured recall). A pair that shares several pivots is verified in the list of the
+wrong; links are missed only where the prefixes differ too much (see the README for the
+measured recall). A pair that shares several pivots is verified in the list of the
 smallest one, so it counts once.
 
 Pivots are chosen from at most ``SAMPLE`` vectors of smallest hash; every vector is indexed.
@@ -26,8 +26,8 @@ from evalspark.plans.durable import durable
 
 COSINE = 0.95
 SAMPLE = 4096
-PREFIX = 5
-SHARED = 1
+PREFIX = 12
+SHARED = 2
 CHUNK = 2048
 PIVOTS_FROM, PIVOTS_TO = 32, 2048
 

@@ -129,3 +129,18 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert by[5000].score == by[5001].score == by[5002].score
     empty = toxicity.train(frame, marks.limit(0))
     assert toxicity.score_texts(frame.limit(0), empty).count() == 0
+
+
+def test_no_link_is_missed_with_the_production_prefix_and_most_pivots(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PIVOTS_FROM", vectors.PIVOTS_TO)
+    rng = np.random.default_rng(5)
+    base, off = rng.normal(size=(2, 4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.96, (4000, 1))  # just above the bound, where orders of pivots differ most
+    rows = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * off])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame).collect()}
+    want = (rows @ rows.T >= vectors.COSINE).sum(axis=1) - 1
+    assert want.sum() >= 8000 and [got[k] for k in range(8000)] == want.tolist()
