@@ -1,12 +1,14 @@
-"""Removing long repeated word sequences by compacting a de Bruijn graph of word windows.
-
-Every window of W words is an edge of the graph. A row per edge would be larger than the
-corpus, so the graph is built compacted: edges that follow each other in a text and share their
-anchor are one nonbranching path (a run in ``repeats``), hashed once. Joins on anchors and paths
-then do the work: a path that occurs twice is repeated as a whole; anchors at which several
-paths meet are the branching nodes, and only there paths are cut into their single edges, which
-are counted by place and hash. Repeated paths and edges are taken back to their source
-coordinates, and neighbouring ones close up to the long repeated spans of each text.
+"""Removing long repeated word sequences by anchored runs of word windows, in place of a de
+Bruijn graph.
+
+Every window of W words would be an edge of the graph. A row per edge would be larger than the
+corpus, so no graph is built: there are no nodes and no degrees. Windows that follow each other
+in a text and share their anchor are one run (see ``repeats``), hashed once. Joins on anchors
+and run hashes then do the work: a run that occurs twice is repeated as a whole; only where
+runs with one anchor differ are they cut into their single windows, which are counted by place
+and hash. Repeated runs and windows are taken back to their source coordinates, and neighbouring
+ones close up to the long repeated spans of each text. Equality rests on hashes; the words at
+the coordinates are not compared (figures in the README).
 """
 
 from __future__ import annotations
