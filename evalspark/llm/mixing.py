@@ -8,7 +8,9 @@ more often than they ask. The slots of a source are numbered through the shards;
 permutation of the block numbers, one per pass over the source, says which block fills a slot.
 Slots and blocks then meet in a join on (source, block).
 
-The driver holds one row per source, and shards x sources counts; both come from parameters.
+The driver holds one row per source, and up to shards x sources counts; the sources are broadcast.
+How many sources there are comes from the data and is not bounded here, so they must be few: a
+column of hosts or urls is no source.
 """
 
 from __future__ import annotations
