@@ -1,6 +1,6 @@
 """SQL counterparts of the operators that SQL can state on whole tables."""
 
-from evalspark.llm import licenses, urls
+from evalspark.llm import licenses, merkle, urls
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -38,4 +38,5 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM (SELECT doc_id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op10_licenses": licenses.oracle(),
+    "op11_merkle": merkle.oracle(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bwt, debruijn, decontaminate, licenses, mixing, simhash, tokens, toxicity, urls, vectors
+from evalspark.llm import bwt, debruijn, decontaminate, licenses, merkle, mixing, simhash, tokens, toxicity, urls, vectors
 from evalspark.llm.common import table
 from evalspark.llm.oracles import ORACLES  # noqa: F401
 
@@ -57,6 +57,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("string")
+    manifest = merkle.build_manifest(table(spark, sf_dir, "documents"), changed={"n_chars": more}, where=merkle.tampered())
+    proof = F.sha2(F.concat_ws("", F.transform("path", lambda p: p["digest"])), 256)
+    return merkle.proofs(manifest).select(F.col("_id").alias("doc_id"), "leaf", "subroot", F.lit(manifest.root).alias("root"), proof.alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_urls": op2_urls,
@@ -68,4 +75,5 @@ QUERIES = {
     "op8_suffix_merge": op8_suffix_merge,
     "op9_debruijn": op9_debruijn,
     "op10_licenses": op10_licenses,
+    "op11_merkle": op11_merkle,
 }
