@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bwt, debruijn, decontaminate, licenses, merkle, mixing, simhash, tokens, toxicity, urls, vectors
+from evalspark.llm import bwt, debruijn, decontaminate, licenses, merkle, mixing, secrets, simhash, tokens, toxicity, urls, vectors, whitening
 from evalspark.llm.common import table
 from evalspark.llm.oracles import ORACLES  # noqa: F401
 
@@ -64,6 +64,26 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(manifest).select(F.col("_id").alias("doc_id"), "leaf", "subroot", F.lit(manifest.root).alias("root"), proof.alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, made = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    shares = F.array(*[F.lit(float(e / made.trace)) for e in made.eigenvalues]).cast("array<double>")
+    return rows.select("_id", "deviation", F.posexplode("whitened").alias("_k", "whitened")).select(
+        F.col("_id").alias("vec_id"), (F.col("_k") + 1).alias("component"), F.lit(made.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened", F.get(shares, F.col("_k")).alias("explained"), F.lit(made.identity_error).alias("identity_error"),
+    )
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "_row.doc_id", *[secrets.count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_urls": op2_urls,
@@ -76,4 +96,6 @@ QUERIES = {
     "op9_debruijn": op9_debruijn,
     "op10_licenses": op10_licenses,
     "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
+    "op13_secrets": op13_secrets,
 }
