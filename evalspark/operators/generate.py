@@ -7,10 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
+from evalspark.operators.resume import dedup_by_index, pending
 from evalspark.plans.durable import durable
+from evalspark.sources.checkpoints import append_as_tasks_end, load_checkpoint
 
 
 class PermanentError(Exception):
@@ -68,3 +71,46 @@ def generate(
 
     answered = prompts.mapInPandas(run, f"{key_schema}, model_output string, inference_time double, error string")
     return durable(answered) if store else answered
+
+
+def generate_resumable(
+    cases: DataFrame,
+    fn: Callable[..., str],
+    path: str,
+    keys: Sequence[str] = ("index",),
+    interval: int = 1000,
+    retry_errors: bool = False,
+    **how,
+) -> DataFrame:
+    """``generate`` with answers that are durable after about every ``interval`` calls of a task.
+
+    Cases without an answer below ``path`` are dealt by key into tasks of about ``interval`` rows,
+    and every task commits its own rows (``append_as_tasks_end``). A run that dies loses only the
+    calls of tasks that had not ended; calling this again makes those, and no committed call twice.
+    Failed calls are answers too, unless ``retry_errors`` has them asked again; the newer answer
+    counts then. ``how`` goes to ``generate``. ``path`` takes one run at a time.
+    """
+    spark = cases.sparkSession
+    found = load_checkpoint(spark, path, _answer_schema(cases, keys))
+    newest = dedup_by_index(found, F.col("run"), keys)
+    left = pending(cases, newest, keys, retry_errors)
+    size = left.count()
+    if size:
+        run = found.agg(F.coalesce(F.max("run"), F.lit(-1)) + 1).first()[0]
+        dealt = left.repartition(-(-size // interval), *keys)
+        answers = generate(dealt, fn, keys, store=False, **how).withColumn("run", F.lit(run).cast("long"))
+        append_as_tasks_end(answers, path)
+    return load_answers(spark, path, cases, keys)
+
+
+def load_answers(spark: SparkSession, path: str, cases: DataFrame, keys: Sequence[str] = ("index",)) -> DataFrame:
+    """The answers committed so far, one per key, also while a run is going on."""
+    found = load_checkpoint(spark, path, _answer_schema(cases, keys))
+    return dedup_by_index(found, F.col("run"), keys).drop("run")
+
+
+def _answer_schema(cases: DataFrame, keys: Sequence[str]) -> StructType:
+    schema = StructType()
+    for k in keys:
+        schema = schema.add(k, cases.schema[k].dataType)
+    return schema.add("model_output", StringType()).add("inference_time", DoubleType()).add("error", StringType()).add("run", LongType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.display import render_messages
 from evalspark.operators import cases as ops
 from evalspark.operators.scorers.judged import AGREEMENT_RUBRIC, judge_requests
+from evalspark.plans.durable import fresh_path
 from evalspark.sources.turns import group_turns, samples_from_turns as build_samples
 from evalspark.workload.fixtures import TEXT, Fixture, table
 
@@ -97,16 +98,28 @@ def judge_request_rows(spark, sf):
     )
 
 
+def _shout(messages: list[dict]) -> str:
+    if len(messages) % 5 == 0:
+        raise ValueError("refused")
+    return f"{len(messages)}:{messages[-1]['content']}"
+
+
+def generate_checkpointed(spark, sf):
+    """Answers committed task by task; the second call finds nothing left to ask."""
+    from evalspark.operators.generate import generate_resumable
+
+    cases = ops.expand_cases(group_turns(_turns(spark, sf)))
+    path = fresh_path(spark, "answers")
+    for _ in range(2):
+        rows = generate_resumable(cases, _shout, path, ["conv_id", "expanded_index"], interval=200, retries=2, backoff=0.0)
+    return rows.select("conv_id", "expanded_index", "model_output", "error")
+
+
 def generate_outputs(spark, sf):
     from evalspark.operators.generate import generate
 
-    def shout(messages: list[dict]) -> str:
-        if len(messages) % 5 == 0:
-            raise ValueError("refused")
-        return f"{len(messages)}:{messages[-1]['content']}"
-
     cases = ops.expand_cases(group_turns(_turns(spark, sf)))
-    return generate(cases, shout, keys=["conv_id", "expanded_index"], retries=2, backoff=0.0).select(
+    return generate(cases, _shout, keys=["conv_id", "expanded_index"], retries=2, backoff=0.0).select(
         "conv_id", "expanded_index", "model_output", "error"
     )
 
@@ -125,7 +138,7 @@ def attach_outputs(spark, sf):
 QUERIES = {
     **{f.__name__: f for f in (
         samples_from_turns, expand_cases, role_normalize, prompt_reference, case_index, sample_cap, smoke_cap, endpoint_assign,
-        history_window, render_transcript, generate_outputs, attach_outputs,
+        history_window, render_transcript, generate_outputs, generate_checkpointed, attach_outputs,
     )},
     "judge_requests": judge_request_rows,
 }
@@ -166,3 +179,4 @@ ORACLES = {
     "judge_requests": f"""WITH {_CASES} SELECT conv_id, expanded_index, '{AGREEMENT_RUBRIC}' AS system_text,
         'Conversation:' || chr(10) || prompt || chr(10) || chr(10) || 'Reference answer:' || chr(10) || reference_output || chr(10) || chr(10) || 'Model answer:' || chr(10) || 'model: ' || reference_output AS user_text FROM cases""",
 }
+ORACLES["generate_checkpointed"] = ORACLES["generate_outputs"]
