@@ -66,11 +66,12 @@ CSV = Fixture("orders", {
 CSV_COLUMNS = [c for c in CSV.columns if c != "o_orderkey"]
 
 
-def _csv_path(spark, sf):
+def _csv_path(spark, sf, columns=CSV_COLUMNS, limit=None):
     """The rows as real CSV files with quotes, commas and line breaks."""
     path = fresh_path(spark, "csv")
-    ordered = CSV.frame(spark, sf).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
-    ordered.select(*CSV_COLUMNS).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+    rows = CSV.frame(spark, sf)
+    ordered = (rows if limit is None else rows.limit(limit)).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    ordered.select(*columns).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
     return path
 
@@ -84,7 +85,11 @@ def csv_to_samples(spark, sf):
 
 
 def csv_validate(spark, sf):
-    return csvs.validate_csv(_csv_rows(spark, sf))[0].drop("error")
+    """Counters of three uploads: whole rows, their first column alone (blank rows are empty
+    there), and a header without rows."""
+    uploads = {"wide": _csv_path(spark, sf), "narrow": _csv_path(spark, sf, ["marker"]), "header": _csv_path(spark, sf, limit=0)}
+    reports = [csvs.validate_csv(csvs.read_csv_rows(spark, path, multiline=True))[0].withColumn("upload", F.lit(name)) for name, path in uploads.items()]
+    return reports[0].union(reports[1]).union(reports[2])
 
 
 def csv_invalid_rows(spark, sf):
@@ -92,7 +97,7 @@ def csv_invalid_rows(spark, sf):
 
 
 def csv_preview(spark, sf):
-    return csvs.preview_csv(_csv_rows(spark, sf)).select("row", "meta.meta_description", _transcript().alias("transcript"))
+    return csvs.preview_csv_file(spark, _csv_path(spark, sf)).select("row", "meta.meta_description", _transcript().alias("transcript"))
 
 
 def checkpoint_roundtrip(spark, sf):
@@ -211,7 +216,9 @@ ORACLES = {
     "jsonl_validate": f"WITH {_LINES} SELECT id, count(*) FILTER (line <> '' AND NOT json_valid(line)) = 0 AS valid, count(*) FILTER (line <> '' AND NOT json_valid(line)) AS bad_lines, count(*) FILTER (line <> '') AS items FROM l GROUP BY id",
     "dataset_catalog": f"WITH fx AS ({DATASETS.sql()}) SELECT id, user_id, filename, description, CAST(strlen(file_content) AS BIGINT) AS file_size, created_at FROM fx WHERE user_id = 4",
     "csv_to_samples": f"WITH {_CSV} SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS original_index, description AS meta_description, transcript FROM r WHERE trim(marker) <> ''",
-    "csv_validate": f"WITH {_CSV} SELECT count(*) + 1 AS total_rows, count(*) FILTER (marker = 'meta') AS valid_rows, CAST(0 AS BIGINT) AS empty_rows, count(*) FILTER (marker <> 'meta') AS invalid_rows FROM r",
+    "csv_validate": f"""WITH {_CSV} SELECT 'wide' AS upload, count(*) + 1 AS total_rows, count(*) FILTER (marker = 'meta') AS valid_rows, CAST(0 AS BIGINT) AS empty_rows, count(*) FILTER (marker <> 'meta') AS invalid_rows, CAST(NULL AS VARCHAR) AS error FROM r
+        UNION ALL SELECT 'narrow', count(*) + 1, 0, count(*) FILTER (trim(marker) = ''), count(*) FILTER (trim(marker) <> ''), NULL FROM r
+        UNION ALL SELECT 'header', 1, 0, 0, 0, 'a header row and one data row are required'""",
     "csv_invalid_rows": f"WITH {_CSV} SELECT row, marker, 'First column must be ''meta''' AS error FROM r WHERE marker <> 'meta'",
     "csv_preview": f"WITH {_CSV} SELECT row, description AS meta_description, transcript FROM r WHERE marker = 'meta' ORDER BY row LIMIT 5",
     "checkpoint_roundtrip": f"WITH fx AS ({BOXED.sql()}) SELECT conv_id, turn, model_output FROM fx",
