@@ -8,43 +8,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from evalspark.plans.durable import stored
+from evalspark.plans.numbering import number_rows
 
-def _segments(events: DataFrame, key: str, micros: str, window_us: int) -> DataFrame:
-    """(key, slot, segment): segments are independent because a full window without events separates them.
-
-    Works on first and last time per (key, window-wide slot), aggregated before the
-    shuffle, so a hot key contributes one row per slot however many events it has.
-    """
-    slots = events.groupBy(key, (F.col(micros) - F.pmod(F.col(micros), F.lit(window_us))).alias("_slot")).agg(
-        F.min(micros).alias("_lo"), F.max(micros).alias("_hi")
-    )
-    order = Window.partitionBy(key).orderBy("_slot")
-    breaks = F.coalesce((F.col("_lo") - F.lag("_hi").over(order) >= window_us).cast("int"), F.lit(1))
-    marked = slots.withColumn("_break", breaks)
-    return marked.select(key, "_slot", F.sum("_break").over(order).alias("_segment"))
-
+CHUNK = 1 << 14  # distinct times
+ROUNDS = 4
 
 def sliding_admission(events: DataFrame, key: str, ts: str, window: str = "5 minutes", n: int = 10,
-                      tie: str = "event_id") -> DataFrame:
+                      tie: str = "event_id", chunk: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
     """Add ``accepted``. Batch form; ``tie`` is the unique event id that orders equal times.
 
     Decisions of one key are sequential, so as little as possible goes through that scan:
     events are first counted per (key, time), map-side, and only distinct times are
-    shuffled, cut into independent segments and scanned with at most N times in memory.
+    shuffled, in chunks, whatever share of them one key holds (``_admitted_times``).
     At most N times per window are accepted, so the verdicts are a small table to join
     back, whatever share of the events a hot key holds.
     """
     window_us = int(pd.Timedelta(window).total_seconds() * 1_000_000)
     timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    times = timed.groupBy(key, "_us").agg(F.count(F.lit(1)).alias("_events")).withColumn(
-        "_slot", F.col("_us") - F.pmod(F.col("_us"), F.lit(window_us))
-    )
-    admitted = _admitted_times(times.join(_segments(timed, key, "_us", window_us), [key, "_slot"]), key, window_us, n)
+    times = timed.where(F.col(key).isNotNull()).groupBy(key, "_us").agg(F.count(F.lit(1)).alias("_events"))
+    admitted = _admitted_times(times, key, window_us, n, chunk, rounds)
     # Of equal times the lowest ids go first; rank <= n is pruned per task before the shuffle.
     rank = F.row_number().over(Window.partitionBy(key, "_us").orderBy(tie))
     chosen = (
@@ -56,37 +46,116 @@ def sliding_admission(events: DataFrame, key: str, ts: str, window: str = "5 min
     return joined.select(*events.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
-def _admitted_times(times: DataFrame, key: str, window_us: int, n: int) -> DataFrame:
-    """(key, _us, _room): how many events of a time are accepted, times with none left out."""
-    key_type = times.schema[key].dataType.simpleString()
-    ordered = times.repartition(key, "_segment").sortWithinPartitions(key, "_segment", "_us")
+def scan_chunk(micros: np.ndarray, events_at: np.ndarray, recent: list[int], window_us: int, n: int) -> tuple[list[int], list[int], list[int]]:
+    """Positions and numbers of accepted events among distinct times in order, given the accepted
+    times ``recent`` before them, and the accepted times still in the window after the last."""
+    kept, rooms, i = [], [], 0
+    while i < len(micros):
+        at = int(micros[i])
+        recent = [t for t in recent if at - t < window_us]
+        room = min(n - len(recent), int(events_at[i]))
+        if room > 0:
+            recent += [at] * room
+            kept.append(i)
+            rooms.append(room)
+            i += 1
+        else:  # full: nothing is accepted before the oldest accepted time leaves the window
+            i = int(micros.searchsorted(recent[0] + window_us))
+    return kept, rooms, [t for t in recent if int(micros[-1]) - t < window_us]
+
+
+def _admitted_times(times: DataFrame, key: str, window_us: int, n: int, chunk: int, rounds: int) -> DataFrame:
+    """(key, _us, _room): how many events of a time are accepted, times with none left out.
+
+    The times are cut into chunks of at most ``chunk``, each one row. All chunks are scanned at
+    once as if nothing had been accepted before them. That is right after every pause of a window,
+    and wherever both courses meet again it does no harm: what leaves a chunk is then the same.
+    Chunks that were entered with something else are scanned again, until every chunk was entered
+    with what leaves the one before it. A key whose courses do not meet within ``rounds`` rounds (it
+    is full all the time) carries its state on through its chunks in one task, which reads
+    the chunks from the first wrong one on and steps from accepted time to accepted time.
+    """
+    kind = times.schema[key].dataType.simpleString()
+    dealt = number_rows(times, [key, "_us"], "_nth").withColumn("_chunk", F.floor(F.col("_nth") / chunk))
+    listed = F.array_sort(F.collect_list(F.struct("_us", "_events")))
+    packed = stored(
+        dealt.groupBy(key, "_chunk").agg(listed.alias("_t"))
+        .select(key, "_chunk", F.col("_t._us").alias("_us"), F.col("_t._events").alias("_events"), F.get("_t._us", F.lit(0)).alias("_first")), "admission-chunks"
+    )
+    empty = F.array().cast("array<bigint>")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = None, []  # the segment being read and its accepted times still in the window
+    def exits(rows: DataFrame) -> DataFrame:
+        """(key, _chunk, _exit) of chunks (key, _chunk, _us, _events, _entry)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [
+                    scan_chunk(us.values.to_numpy(), at.values.to_numpy(), entry.as_py(), window_us, n)[2]
+                    for us, at, entry in zip(batch.column("_us"), batch.column("_events"), batch.column("_entry"))
+                ]
+                yield pa.RecordBatch.from_pydict({key: batch.column(0), "_chunk": batch.column(1), "_exit": pa.array(out, pa.list_(pa.int64()))})
+
+        return rows.select(key, "_chunk", "_us", "_events", "_entry").mapInArrow(run, f"`{key}` {kind}, _chunk bigint, _exit array<bigint>")
+
+    def carry(rows: DataFrame) -> DataFrame:
+        """The same for chunks in their order, each entered with what left the one before; the
+        first of a key is entered with its ``_entry``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, state = None, []
+            for batch in batches:
+                keys, out = batch.column(0).to_pylist(), []
+                for k, us, at, entry in zip(keys, batch.column("_us"), batch.column("_events"), batch.column("_entry")):
+                    state = scan_chunk(us.values.to_numpy(), at.values.to_numpy(), state if k == current else entry.as_py(), window_us, n)[2]
+                    current = k
+                    out.append(state)
+                yield pa.RecordBatch.from_pydict({key: batch.column(0), "_chunk": batch.column(1), "_exit": pa.array(out, pa.list_(pa.int64()))})
+
+        ordered = rows.select(key, "_chunk", "_us", "_events", "_entry").repartition(key).sortWithinPartitions(key, "_chunk")
+        return ordered.mapInArrow(run, f"`{key}` {kind}, _chunk bigint, _exit array<bigint>")
+
+    before = Window.partitionBy(key).orderBy("_chunk")
+    several = packed.groupBy(key).agg(F.count(F.lit(1)).alias("_chunks")).where("_chunks > 1").select(key)
+    many = stored(packed.join(several, key), "admission-many")
+    entered = packed.select(key, "_chunk", empty.alias("_entry"))
+    if not many.isEmpty():
+        state = stored(many.select(key, "_chunk", "_first", empty.alias("_entry")).join(exits(many.withColumn("_entry", empty)), [key, "_chunk"]), "admission-state")
+        for turn in range(rounds + 2):
+            known = F.filter(F.coalesce(F.lag("_exit").over(before), empty), lambda t: F.col("_first") - t < window_us)
+            now = stored(state.withColumn("_known", known).withColumn("_wrong", F.col("_known") != F.col("_entry")), "admission-known")
+            if now.where("_wrong").isEmpty():
+                break
+            if turn < rounds:
+                todo = now.where("_wrong")
+                found = exits(many.join(todo.select(key, "_chunk", F.col("_known").alias("_entry")), [key, "_chunk"]))
+            else:
+                reach = now.where("_wrong").groupBy(key).agg(F.min("_chunk").alias("_from"))
+                todo = now.join(reach, key).where("_chunk >= _from")
+                found = carry(many.join(todo.select(key, "_chunk", F.col("_known").alias("_entry")), [key, "_chunk"]))
+            again = found.withColumnRenamed("_exit", "_new")
+            if turn < rounds:
+                state = now.join(again, [key, "_chunk"], "left").select(
+                    key, "_chunk", "_first", F.when(F.col("_wrong"), F.col("_known")).otherwise(F.col("_entry")).alias("_entry"), F.coalesce("_new", "_exit").alias("_exit")
+                )
+            else:  # every exit is right now, and with it every entry
+                moved = now.join(again, [key, "_chunk"], "left").withColumn("_exit", F.coalesce("_new", "_exit"))
+                state = moved.select(key, "_chunk", "_first", known.alias("_entry"), "_exit")
+            state = stored(state, "admission-state")
+        right = now.select(key, "_chunk", F.col("_known").alias("_right"))
+        entered = entered.join(right, [key, "_chunk"], "left").select(key, "_chunk", F.coalesce("_right", "_entry").alias("_entry"))
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept_rows, rooms = [], []
-            changes = (batch[key].ne(batch[key].shift()) | batch["_segment"].ne(batch["_segment"].shift())).to_numpy()
-            starts = [*changes.nonzero()[0].tolist(), len(batch)]
-            micros, events_at = batch["_us"].to_numpy(), batch["_events"].to_numpy()
-            for lo, hi in zip(starts, starts[1:]):
-                segment = (batch[key].iloc[lo], batch["_segment"].iloc[lo])
-                if segment != current:
-                    current, recent = segment, []
-                i = lo
-                while i < hi:
-                    at = int(micros[i])
-                    recent = [t for t in recent if at - t < window_us]
-                    room = min(n - len(recent), int(events_at[i]))
-                    if room > 0:
-                        recent += [at] * room
-                        kept_rows.append(i)
-                        rooms.append(room)
-                        i += 1
-                    else:  # full: nothing is accepted before the oldest accepted time leaves the window
-                        i = lo + int(micros[lo:hi].searchsorted(recent[0] + window_us))
-            yield pd.DataFrame({key: batch[key].iloc[kept_rows], "_us": micros[kept_rows], "_room": rooms})
-
-    return ordered.select(key, "_segment", "_us", "_events").mapInPandas(scan, f"`{key}` {key_type}, _us bigint, _room int")
+            for row, us, at, entry in zip(range(batch.num_rows), batch.column("_us"), batch.column("_events"), batch.column("_entry")):
+                micros = us.values.to_numpy()
+                kept, rooms, _ = scan_chunk(micros, at.values.to_numpy(), entry.as_py(), window_us, n)
+                if kept:
+                    yield pa.RecordBatch.from_pydict({
+                        key: batch.column(0).take(pa.array([row] * len(kept))), "_us": pa.array(micros[kept], pa.int64()), "_room": pa.array(rooms, pa.int32()),
+                    })
+
+    ready = packed.join(entered, [key, "_chunk"]).select(key, "_us", "_events", "_entry")
+    return ready.mapInArrow(accept, f"`{key}` {kind}, _us bigint, _room int")
 
 
 def _admit(recent: Sequence[int], at: int, window_us: int, n: int) -> tuple[list[int], bool]:

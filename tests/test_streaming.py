@@ -35,6 +35,34 @@ def test_sliding_admission_batch(spark, n):
     assert got == brute_force(rows, dt.timedelta(minutes=5), n)
 
 
+def one_key(kind):
+    """All events of one key that never pauses for a window of five minutes."""
+    rng = random.Random(3)
+    if kind == "full":  # steps of one second: full all the time, courses never meet
+        at = range(3000)
+    elif kind == "bursts":
+        at = [t * 60 + rng.choice([0, 0, 1, 7, 30]) for t in range(300) for _ in range(rng.choice([1, 2, 9]))]
+    else:  # now full, now not
+        at = [t * 40 + rng.randint(0, 39) for t in range(1200) if (t // 100) % 2 or t % 6 == 0]
+    return [(k, 1, BASE + dt.timedelta(seconds=t)) for k, t in enumerate(at)] + [(10**6 + k, 2, BASE + dt.timedelta(seconds=400 * k)) for k in range(40)]
+
+
+@pytest.mark.parametrize("kind", ["full", "bursts", "mixed"])
+@pytest.mark.parametrize("n,chunk,rounds", [(1, 37, 2), (4, 100, 2), (4, 100, 0), (10, 7, 1)])
+def test_a_key_that_never_pauses_is_cut_into_chunks(spark, kind, n, chunk, rounds):
+    rows = one_key(kind)
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").repartition(4)
+    got = {r["event_id"]: r["accepted"] for r in admission.sliding_admission(df, "user_id", "ts", "5 minutes", n, chunk=chunk, rounds=rounds).collect()}
+    assert got == brute_force(rows, dt.timedelta(minutes=5), n)
+
+
+def test_admission_of_no_events_and_null_keys(spark):
+    schema = "event_id long, user_id long, ts timestamp"
+    assert admission.sliding_admission(spark.createDataFrame([], schema), "user_id", "ts").count() == 0
+    rows = spark.createDataFrame([(1, None, BASE), (2, 5, BASE)], schema)
+    assert {r.event_id: r.accepted for r in admission.sliding_admission(rows, "user_id", "ts").collect()} == {1: False, 2: True}
+
+
 def test_admission_boundary_is_strict(spark):
     rows = [(0, 1, BASE), (1, 1, BASE + dt.timedelta(seconds=299)), (2, 1, BASE + dt.timedelta(seconds=300))]
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
