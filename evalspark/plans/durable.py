@@ -30,6 +30,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one operator writes and deletes as soon as its own result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count = spark, fresh_path(spark, name), 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """No frame of these tables may be read any more."""
+        _WRITTEN.remove(self.path)
+        _delete(self.spark, self.path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused folder below the checkpoint folder for a written table."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -42,6 +60,10 @@ def drop_stored(spark: SparkSession) -> int:
     longer read. Returns how many there were."""
     count = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return count
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

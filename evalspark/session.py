@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches of long texts are bounded by bytes, on both sides of the Python worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.variant.allowDuplicateKeys": "true",  # as in the JSON parsers compared with: the last one counts
 }
 
