@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,16 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def row_and_text(docs: DataFrame, keep: Sequence[str], text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """A frame with ``_row``, the struct of the columns ``keep``, and how to get the texts from its
+    batches: from the struct where it holds them, so that they travel once, else from ``_text``."""
+    row = F.struct(*keep).alias("_row")
+    if text_col in keep:
+        at = list(keep).index(text_col)
+        return docs.select(row), lambda batch: batch.column(0).field(at)
+    return docs.select(row, F.col(text_col).alias("_text")), lambda batch: batch.column(1)
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

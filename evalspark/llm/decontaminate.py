@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import utf8
+from evalspark.llm.common import row_and_text, utf8
 from evalspark.plans.durable import durable
 
 WINDOW = 13
@@ -102,7 +102,8 @@ def find_passages(docs: DataFrame, items: DataFrame, *keep: str, text_col: str =
     texts have no words. Items without words, or with a null id, match nothing. Items of equal
     text all occur together. Repeated rows keep their rows. No input: no rows.
     """
-    found = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"), F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+    narrow, texts = row_and_text(docs, keep, text_col)
+    found = narrow.withColumns({"_spans": F.lit(None).cast("array<struct<lo:long,hi:long>>"), "_items": F.lit(None).cast("array<string>")})
     kind = found.schema[0].dataType.simpleString()
     passes = shards(items, item_col, item_text, window, shard_words)
     shard = next(passes)
@@ -110,15 +111,16 @@ def find_passages(docs: DataFrame, items: DataFrame, *keep: str, text_col: str =
         following = next(passes, None)
         if following is None:
             break
-        found = durable(found.mapInArrow(_pass(docs.sparkSession, shard, window), found.schema))
+        found = durable(found.mapInArrow(_pass(docs.sparkSession, shard, window, texts), found.schema))
         shard = following
     schema = f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<struct<lo:long,hi:long>>"
-    return found.mapInArrow(_last(docs.sparkSession, shard, window), schema)
+    return found.mapInArrow(_last(docs.sparkSession, shard, window, texts), schema)
 
 
-def _scan(batch: pa.RecordBatch, matcher: Matcher):
+def _scan(batch: pa.RecordBatch, texts: pa.Array, matcher: Matcher):
     """Each row's words, text, and its spans and items with those of earlier shards."""
-    for text, spans, items in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()):
+    for text, spans, items in zip(texts, batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()):
+        text = text.as_py()
         words = words_of(text)
         more, new = matcher.scan(words)
         spans = merge([(s["lo"], s["hi"]) for s in spans or []] + more) if more or spans else []
@@ -128,29 +130,27 @@ def _scan(batch: pa.RecordBatch, matcher: Matcher):
 SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
-def _pass(spark, shard, window):
+def _pass(spark, shard, window, texts):
     sent = spark.sparkContext.broadcast(shard)
 
     def run(batches):
         matcher = Matcher(sent.value, window)
         for batch in batches:
-            rows = list(_scan(batch, matcher))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([[{"lo": a, "hi": b} for a, b in r[2]] for r in rows], SPANS), pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string()))],
-                names=batch.schema.names,
-            )
+            rows = [r[2:] for r in _scan(batch, texts(batch), matcher)]
+            new = [pa.array([[{"lo": a, "hi": b} for a, b in spans] for spans, _ in rows], SPANS), pa.array([sorted(items) for _, items in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=batch.schema.names)
 
     return run
 
 
-def _last(spark, shard, window):
+def _last(spark, shard, window, texts):
     sent = spark.sparkContext.broadcast(shard)
 
     def run(batches):
         matcher = Matcher(sent.value, window)
         for batch in batches:
             n_words, n_hit, items, chars = [], [], [], []
-            for text, words, spans, owned in _scan(batch, matcher):
+            for text, words, spans, owned in _scan(batch, texts(batch), matcher):
                 n_words.append(len(words))
                 n_hit.append(sum(hi - lo for lo, hi in spans))
                 items.append(sorted(owned))

@@ -19,11 +19,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import components, local_roots, map_batches, utf8, whole_groups
-from evalspark.plans.durable import durable
+from evalspark.plans.durable import durable, stored
 
 BITS = 4
 SHINGLE = 4
@@ -52,15 +52,15 @@ def simhash(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", words: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def fingerprints(docs: DataFrame, *keep: Column | str, text_col: str = "text", words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(_row, fp) with the fingerprint of the whole text as a signed long; one row per input
-    row. ``_row`` holds the id, or every column."""
+    row. ``_row`` holds ``keep``."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        found = np.array([simhash(t, words, seed) for t in batch.column(1).to_pylist()], np.uint64)
+        found = np.array([simhash(t.as_py(), words, seed) for t in batch.column(1)], np.uint64)
         return {"_row": batch.column(0), "fp": pa.array(found.view(np.int64))}
 
-    narrow = docs.select(F.struct(*([id_col] if id_col else docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
+    narrow = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
     return map_batches(narrow, f"_row {narrow.schema[0].dataType.simpleString()}, fp long", step)
 
 
@@ -153,18 +153,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zero and link like any other. Rows with a null id keep their row; they join their component
     and get its smallest id, null if it has none. Repeated rows repeat. No input: no rows.
     """
-    marked = durable(fingerprints(docs, id_col, text_col, words).select(F.col(f"_row.{id_col}").alias(id_col), "fp"))
+    marked = durable(fingerprints(docs, id_col, text_col=text_col, words=words).select(F.col(f"_row.{id_col}").alias(id_col), "fp"))
     return marked.join(fingerprint_classes(marked, id_col, bits).select("fp", "component"), "fp").select(id_col, "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, words: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, one of each component: that of the smallest id. Where
     several rows have that id, or none has an id, any one of them stays."""
-    marked = durable(fingerprints(docs, id_col, text_col, words).select(F.col(f"_row.{id_col}").alias("_id"), "fp"))
-    classes = durable(fingerprint_classes(marked, "_id", bits))
-    first = marked.join(classes, "fp").where(F.col("_id").eqNullSafe(F.col("component")))
+    # Fingerprints are taken once. A row is known again by its id and its text's hash and size.
+    print_of = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.coalesce(F.octet_length(text_col), F.lit(-1)).alias("_size")]
+    marked = stored(fingerprints(docs, *print_of, text_col=text_col, words=words).select("_row.*", "fp"), "fingerprints")
+    classes = stored(fingerprint_classes(marked, "_id", bits), "fingerprint-classes")
+    first = marked.join(classes, "fp").where(F.col("_id").eqNullSafe(F.col("component"))).select("_id", "_hash", "_size", "root")
+    first = stored(first, "fingerprints-kept")
     tied = not first.groupBy("root").count().where("count > 1").isEmpty()
-    rows = fingerprints(docs, None, text_col, words)
-    kept = rows.join(classes, "fp").where(F.col(f"_row.{id_col}").eqNullSafe(F.col("component")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *print_of).alias("d")
+    same = F.col("d._id").eqNullSafe(F.col("f._id")) & (F.col("d._hash") == F.col("f._hash")) & (F.col("d._size") == F.col("f._size"))
+    kept = rows.join(first.distinct().alias("f") if tied else first.alias("f"), same)
     # Only tables with repeated or missing ids need the texts dealt out once more.
     return (kept.dropDuplicates(["root"]) if tied else kept).select(*[F.col(f"_row.{c}") for c in docs.columns])

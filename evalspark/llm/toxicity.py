@@ -12,12 +12,14 @@ score comes from sums of them over its whole length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import map_batches
+from evalspark.llm.common import row_and_text
 from evalspark.llm.decontaminate import WORD_BYTES
 from evalspark.llm.repeats import Hasher, mix, text_key
 
@@ -31,7 +33,7 @@ EPOCHS = 8
 RATE = 1.0
 SEGMENT = 16  # words
 WEIGHT = {"toxic": 0.3, "clean": 0.25, "segment": 0.45}
-PART = 1 << 20  # bytes of text worked on at once
+PART = 1 << 18  # bytes of text worked on at once
 
 
 def clean(text: str | None) -> bytes:
@@ -75,7 +77,7 @@ class Subwords:
         total = value[self.whole].astype(np.float64)
         for n, bucket in self.gram.items():
             upto = np.concatenate(([0.0], np.cumsum(value[bucket], dtype=np.float64)))
-            first = self.lo - 1
+            first = np.minimum(self.lo - 1, len(bucket))  # a short last word has no n-gram to start at
             total += upto[first + self.count[n]] - upto[first]
         return total / self.total
 
@@ -136,6 +138,12 @@ class Model:
                 self.bias -= rate * 0.2 * grad_b / np.sqrt(seen_b)
         return self
 
+    def prior(self, toxic: int, clean: int) -> Model:
+        """Without both kinds, every text gets the share of toxic rows, smoothed towards clean."""
+        self.embedding[:] = 0
+        self.bias[:] = 0, np.log((toxic + 0.5) / (clean + 1.5))
+        return self
+
     def scorer(self) -> Scorer:
         return Scorer(self.embedding @ (self.softmax[1] - self.softmax[0]), float(self.bias[1] - self.bias[0]))
 
@@ -146,14 +154,14 @@ class Scorer:
     def __init__(self, value: np.ndarray, bias: float):
         self.value, self.bias = value.astype(np.float32), bias
 
-    def score(self, texts: list[str | None], hasher: Hasher) -> np.ndarray:
+    def score(self, texts: pa.Array, hasher: Hasher) -> np.ndarray:
         """Probability of label 1; a text without words gets the bias alone."""
         total, words = np.zeros(len(texts)), np.zeros(len(texts))
         held: list[bytes] = []
         owner: list[int] = []
         size = 0
         for k, text in enumerate(texts):
-            for part in parts_of(clean(text)):
+            for part in parts_of(clean(text.as_py())):
                 if held and size + len(part) > PART:
                     self._add(held, owner, total, words, hasher)
                     held, owner, size = [], [], 0
@@ -181,8 +189,8 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Model:
     """Fit on the labelled rows of smallest id hash that are not held out, at most ``sample``,
     a quarter of them toxic; the driver never holds more than ``sample_words`` words of them. Null labels and ids
-    and labels other than 0 and 1 do not count. Without labels of both kinds the model is not
-    trained and scores mean nothing."""
+    and labels other than 0 and 1 do not count. Without labels of both kinds
+    every text gets the share of toxic rows as its score, a quarter if there are none."""
     known = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(id_col).agg(F.max(label_col).alias("_label"))
@@ -217,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kinds = np.array(kinds)
     counts = {k: int((kinds == k).sum()) for k in WEIGHT}
     if not counts["toxic"] or not counts["clean"]:
-        return model
+        return model.prior(counts["toxic"], counts["clean"])
     each = {k: WEIGHT[k] / max(1, counts[k]) * len(bags) for k in WEIGHT}
     return model.fit(bags, (kinds == "toxic").astype(np.int64), np.array([each[k] for k in kinds]))
 
@@ -230,12 +238,15 @@ def with_scores(docs: DataFrame, model: Model, *keep: str, text_col: str = "text
     scorer = model.scorer()
     # Plain values: a broadcast object of this class would need the package on every executor.
     sent = docs.sparkSession.sparkContext.broadcast((scorer.value, scorer.bias))
-    narrow = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
+    narrow, texts = row_and_text(docs, keep, text_col)
 
-    def step(batch: pa.RecordBatch) -> dict:
-        return {"_row": batch.column(0), "score": pa.array(Scorer(*sent.value).score(batch.column(1).to_pylist(), Hasher()), pa.float64())}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"_row": batch.column(0), "score": pa.array(Scorer(*sent.value).score(texts(batch), hasher), pa.float64())})
 
-    return map_batches(narrow, f"_row {narrow.schema[0].dataType.simpleString()}, score double", step)
+    return narrow.mapInArrow(run, f"_row {narrow.schema[0].dataType.simpleString()}, score double")
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

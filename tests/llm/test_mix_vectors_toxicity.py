@@ -144,3 +144,11 @@ def test_no_link_is_missed_with_the_production_prefix_and_most_pivots(spark, mon
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame).collect()}
     want = (rows @ rows.T >= vectors.COSINE).sum(axis=1) - 1
     assert want.sum() >= 8000 and [got[k] for k in range(8000)] == want.tolist()
+
+
+def test_toxicity_without_both_kinds_gives_the_prior(spark):
+    docs = spark.createDataFrame([(k, "some text %d" % k) for k in range(40)] + [(99, None)], "doc_id long, text string")
+    for kinds, low, high in (((), 0.24, 0.26), ((0,), 0.0, 0.1), ((1,), 0.8, 1.0)):
+        labels = spark.createDataFrame([(k, 0, kind) for kind in kinds for k in range(40)], "doc_id long, quality int, toxic int")
+        scores = {r.score for r in toxicity.score_texts(docs, toxicity.train(docs, labels)).collect()}
+        assert len(scores) == 1 and low <= scores.pop() <= high
