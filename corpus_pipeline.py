@@ -19,10 +19,20 @@ from pyspark.sql import functions as F
 from evalspark.llm import debruijn, decontaminate, mixing, simhash, toxicity
 from evalspark.llm.common import table
 from evalspark.plans.durable import fresh_path
+from evalspark.session import configure
 
 ORACLE_SQL = None  # fingerprints, classifiers and draws are beyond SQL; tests hold brute-force versions
 
 
+def _configured(stage):
+    """Stages may be called one by one, in a session somebody else created."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return run
+
+
 def _columns(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.select(*[F.col(f"_row.{c}") for c in names])
 
@@ -55,11 +65,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("substrings", cut_substrings),
-    ("decontaminate", decontaminate_texts),
-    ("mix", mix_sources),
+    ("toxicity", _configured(drop_toxic)),
+    ("near_duplicates", _configured(drop_near_duplicates)),
+    ("substrings", _configured(cut_substrings)),
+    ("decontaminate", _configured(decontaminate_texts)),
+    ("mix", _configured(mix_sources)),
 ]
 
 
