@@ -17,6 +17,7 @@ RUNTIME_CONF = {
     # Batches of long texts are bounded by bytes, on both sides of the Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",  # state beyond the heap
     "spark.sql.variant.allowDuplicateKeys": "true",  # as in the JSON parsers compared with: the last one counts
 }
 

@@ -6,20 +6,21 @@ window before it. Decisions depend on earlier decisions, which no window frame e
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from evalspark.plans.durable import stored
 from evalspark.plans.numbering import number_rows
 
 CHUNK = 1 << 14  # distinct times
 ROUNDS = 4
+SLOT_US = 1_000_000  # waiting events are held by the second
 
 def sliding_admission(events: DataFrame, key: str, ts: str, window: str = "5 minutes", n: int = 10,
                       tie: str = "event_id", chunk: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
@@ -158,11 +159,76 @@ def _admitted_times(times: DataFrame, key: str, window_us: int, n: int, chunk: i
     return ready.mapInArrow(accept, f"`{key}` {kind}, _us bigint, _room int")
 
 
-def _admit(recent: Sequence[int], at: int, window_us: int, n: int) -> tuple[list[int], bool]:
-    kept = [t for t in recent if at - t < window_us]
-    if len(kept) >= n:
-        return kept, False
-    return [*kept, at], True
+class Admit(StatefulProcessor):
+    """Verdicts of one key, in event order, once the watermark has passed their events.
+
+    State, per key, in entries of their own, so that a batch reads and writes only those it needs:
+    ``waiting``: a slot of time -> its events so far; ``ring``: 0..n-1 -> the times accepted last, in a
+    ring; ``count``: how many were accepted. An event is accepted iff the n-th accepted time before
+    it has left the window, which is one entry. A slot's timer fires when no more of its events can
+    come; another timer drops the ring when the last accepted time leaves the window.
+    """
+
+    def __init__(self, key: str, tie: str, ts: str, tie_type: str, window_us: int, n: int):
+        self.key, self.tie, self.ts, self.tie_type, self.window_us, self.n = key, tie, ts, tie_type, window_us, n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot bigint", f"us array<bigint>, tie array<{self.tie_type}>")
+        self.ring = handle.getMapState("ring", "at int", "us bigint")
+        self.count = handle.getValueState("count", "accepted bigint, last_us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            micros = batch[self.ts].astype("datetime64[us]").astype("int64")
+            for slot, at in micros.groupby(micros // SLOT_US):
+                slot = int(slot)
+                held = self.waiting.getValue((slot,))
+                us, ties = held if held else ([], [])
+                if not held:
+                    self.handle.registerTimer(self._due(slot))
+                self.waiting.updateValue((slot,), ([*us, *at.tolist()], [*ties, *batch.loc[at.index, self.tie].tolist()]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        slot = fired * 1000 // SLOT_US - 1
+        held = self.waiting.getValue((slot,)) if self._due(slot) == fired else None
+        accepted, last = (self.count.get() if self.count.exists() else None) or (0, None)
+        if held:
+            self.waiting.removeKey((slot,))
+            ready = sorted(zip(held[0], held[1]))
+            verdicts, before = [], accepted
+            for at, _ in ready:
+                oldest = self.ring.getValue((accepted % self.n,))[0] if accepted >= self.n else None
+                ok = oldest is None or at - oldest >= self.window_us
+                verdicts.append(ok)
+                if ok:
+                    self.ring.updateValue((accepted % self.n,), (at,))
+                    accepted, last = accepted + 1, at
+            if accepted > before:
+                self.count.update((accepted, last))
+                self.handle.registerTimer(self._over(last))
+            yield pd.DataFrame({
+                self.key: [key[0]] * len(ready), self.tie: [name for _, name in ready],
+                self.ts: pd.to_datetime([at for at, _ in ready], unit="us"), "accepted": verdicts,
+            })
+        if last is not None and self._over(last) <= fired:  # nothing accepted can matter any more
+            self.ring.clear()
+            self.count.clear()
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _due(slot: int) -> int:
+        """When, in milliseconds, the watermark has passed every time of a slot."""
+        return (slot + 1) * SLOT_US // 1000
+
+    def _over(self, last: int) -> int:
+        """When the window after an accepted time is over, at the end of a slot, so that the events
+        of that slot have been judged before."""
+        return self._due((last + self.window_us) // SLOT_US + 1)
 
 
 def sliding_admission_stream(stream: DataFrame, key: str, ts: str, window: str = "5 minutes", n: int = 10,
@@ -170,47 +236,14 @@ def sliding_admission_stream(stream: DataFrame, key: str, ts: str, window: str =
     """Streaming form: ``key, tie, ts, accepted`` in append mode.
 
     Events more than ``late`` behind the newest get no verdict; an anti join of the events with
-    the verdicts finds them. ``tie`` may be of any type with an order.
+    the verdicts finds them. ``tie`` may be of any type with an order. Events with a null key get
+    none either. Verdicts come when the watermark has passed the second of their event.
 
-    State per key is at most N accepted times plus the events not yet passed by the
-    watermark; a timer drops the key one window after its last accepted event.
+    State per key is at most N accepted times plus the events not yet passed by the watermark
+    (``Admit``). It needs the RocksDB state store, which ``configure`` sets.
     """
     window_us = int(pd.Timedelta(window).total_seconds() * 1_000_000)
     types = {f.name: f.dataType.simpleString() for f in stream.schema}
-    watermarked = stream.withWatermark(ts, late)
+    watermarked = stream.select(key, tie, ts).where(F.col(key).isNotNull()).withWatermark(ts, late)
     out_schema = f"`{key}` {types[key]}, `{tie}` {types[tie]}, `{ts}` timestamp, accepted boolean"
-    state_schema = f"accepted array<bigint>, waiting_us array<bigint>, waiting_tie array<{types[tie]}>"
-
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted, waiting_us, waiting_tie = state.get if state.exists else ([], [], [])
-        waiting = list(zip(waiting_us, waiting_tie))
-        if not state.hasTimedOut:
-            for batch in batches:
-                micros = batch[ts].astype("datetime64[us]").astype("int64")
-                waiting += list(zip(micros.tolist(), batch[tie].tolist()))
-        # Only events the watermark has passed are final; later ones may still get a predecessor.
-        passed_us = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(w for w in waiting if w[0] < passed_us)
-        waiting = [w for w in waiting if w[0] >= passed_us]
-        recent, verdicts = list(accepted), []
-        for at, _ in ready:
-            recent, ok = _admit(recent, at, window_us, n)
-            verdicts.append(ok)
-        recent = [t for t in recent if passed_us - t < window_us]
-        if not recent and not waiting:
-            state.remove() if state.exists else None
-        else:
-            state.update((recent, [w[0] for w in waiting], [w[1] for w in waiting]))
-            wake = min([w[0] // 1000 + 1 for w in waiting] or [recent[-1] // 1000 + window_us // 1000 + 1])
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        if ready:
-            yield pd.DataFrame({
-                key: [group[0]] * len(ready),
-                tie: [name for _, name in ready],
-                ts: pd.to_datetime([at for at, _ in ready], unit="us"),
-                "accepted": verdicts,
-            })
-
-    return watermarked.groupBy(key).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return watermarked.groupBy(key).transformWithStateInPandas(Admit(key, tie, ts, types[tie], window_us, n), out_schema, "append", "EventTime")

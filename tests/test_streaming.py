@@ -85,6 +85,32 @@ def test_sliding_admission_stream(spark, tmp_path):
     assert got == brute_force(rows, dt.timedelta(minutes=5), 3)
 
 
+def test_admission_stream_restarts_and_keeps_little(spark, tmp_path):
+    """Started anew for every file from the same checkpoint; the state holds accepted times and
+    waiting events only, and nothing of keys whose last window is over."""
+    rng = random.Random(4)
+    schema = "event_id long, user_id string, ts timestamp"
+    rows = [(k, rng.choice(["a", "b", "ä"]), BASE + dt.timedelta(milliseconds=k * 3000 + rng.randint(0, 2999))) for k in range(900)]
+    rows += [(2000 + k, "a", rows[10][2]) for k in range(5)] + [(3000, None, BASE)]
+    rows = [r for _, r in sorted(enumerate(rows), key=lambda x: x[1][2])]
+    closing = (10**6, "end", BASE + dt.timedelta(days=30))
+    source, out, sizes = str(tmp_path / "in"), str(tmp_path / "out"), []
+    for i in range(0, 906, 302):
+        part = rows[i:i + 302]
+        rng.shuffle(part)
+        spark.createDataFrame(part + ([closing] if i == 604 else []), schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        verdicts = admission.sliding_admission_stream(stream, "user_id", "ts", "5 minutes", 4, late="10 minutes")
+        query = verdicts.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append([p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1])
+    got = {r["event_id"]: r["accepted"] for r in spark.read.parquet(out).collect() if r["event_id"] < 10**6}
+    assert got == brute_force([r for r in rows if r[1] is not None], dt.timedelta(minutes=5), 4)
+    # Ten minutes of events wait, 200 slots of a second; each key has four accepted times and a count.
+    # What the last batch accepted stays till the next.
+    assert max(sizes[:2]) <= 200 + 3 * 6 and sizes[2] <= 3 * 6
+
+
 @pytest.mark.parametrize("name", ["exact_match", "rouge"])
 def test_stream_scoring_equals_batch_and_restarts(spark, tmp_path, name):
     source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "ck"))
