@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import utf8
-from evalspark.plans.durable import durable
+from evalspark.plans.durable import Scratch, stored
 
-SEGMENT = 1 << 19  # units hashed at once; longer texts are cut with an overlap of a window
+SEGMENT = 1 << 18  # units hashed at once; longer texts are cut with an overlap of a window
 PLACE = (1 << 24) - 1  # low bits of a packed minimum hold its place, the others its hash
 RUN = "_tkey long, _size long, pos long, mkey long, fkey long"
 SHORT = 10  # bits of a run's length and anchor in ``pos``, behind its place
@@ -213,16 +213,15 @@ class Repeats:
         narrow = self.texts(*keep)
         return narrow.mapInArrow(run, f"_row {narrow.schema[0].dataType.simpleString()}, _tkey long, _size long, _z binary")
 
-    @staticmethod
-    def branchings(classes: DataFrame) -> DataFrame:
+    def branchings(self, classes: DataFrame) -> DataFrame:
         """(mkey, kinds): anchors with several kinds of run, one of them without a copy."""
         counts = classes.groupBy("mkey").agg(F.count(F.lit(1)).alias("kinds"), F.min("total").alias("least"))
-        return durable(counts.where("kinds > 1 and least = 1").select("mkey", "kinds"))
+        return self.scratch.stored(counts.where("kinds > 1 and least = 1").select("mkey", "kinds"))
 
     def kinds(self, classes: DataFrame, anchors: DataFrame, read: Callable, schema: str) -> DataFrame:
         """What ``read`` makes of the kinds of run at ``anchors``: it takes lists of dicts (mkey,
         fkey, total, n, off, span), in bounded batches, and yields record batches."""
-        wanted = durable(
+        wanted = self.scratch.stored(
             classes.join(anchors.select("mkey"), "mkey")
             .groupBy(F.col("rep._tkey").alias("_tkey"), F.col("rep._size").alias("_size"))
             .agg(F.collect_list(F.struct("mkey", "fkey", "total", "rep.pos")).alias("_runs"))
@@ -254,21 +253,24 @@ class Repeats:
 
     def spans(self, branches: Callable[[Repeats, DataFrame], DataFrame]) -> DataFrame:
         """(_tkey, _size, _runs): per text its runs with repeated windows; ``ks`` null is all."""
+        self.scratch = Scratch(self.docs.sparkSession, "repeats")
         runs = self.runs()
-        shared = durable(runs.groupBy("mkey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mkey"))
+        shared = self.scratch.stored(runs.groupBy("mkey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mkey"))
         # Not grouped by mkey too: the aggregate would then ride on the join's partitioning, and
         # the join could not be split where an anchor is hot.
-        kept = durable(
+        kept = self.scratch.stored(
             runs.join(shared, "mkey").groupBy("_tkey", "_size", "pos", "fkey")
             .agg(F.max("mkey").alias("mkey"), F.count(F.lit(1)).alias("c"))
         )
-        classes = durable(kept.groupBy("mkey", "fkey").agg(F.sum("c").alias("total"), F.min(F.struct("_tkey", "_size", "pos")).alias("rep")))
+        classes = self.scratch.stored(kept.groupBy("mkey", "fkey").agg(F.sum("c").alias("total"), F.min(F.struct("_tkey", "_size", "pos")).alias("rep")))
         whole = classes.where("total > 1").select("mkey", "fkey", F.lit(None).cast("array<int>").alias("ks"))
-        marks = durable(whole.union(branches(self, classes).select("mkey", "fkey", "ks")))
-        return durable(
+        marks = self.scratch.stored(whole.union(branches(self, classes).select("mkey", "fkey", "ks")))
+        found = stored(
             kept.join(marks, ["mkey", "fkey"])
-            .groupBy("_tkey", "_size").agg(F.collect_list(F.struct("pos", "ks")).alias("_runs"))
+            .groupBy("_tkey", "_size").agg(F.collect_list(F.struct("pos", "ks")).alias("_runs")), "repeats-spans"
         )
+        self.scratch.drop()
+        return found
 
     def cut(self, branches: Callable[[Repeats, DataFrame], DataFrame], *keep: str, as_is: bool = False) -> DataFrame:
         """(_row, n_units, n_removed, kept, spans): each input row without its repeated units.
@@ -391,6 +393,6 @@ def compare_windows(repeats: Repeats, classes: DataFrame, anchors: DataFrame) ->
         })
 
     # A window of a run that has a copy is repeated anyway; it counts here, with number -1.
-    windows = durable(repeats.kinds(classes, anchors, read, "mkey long, h long, fkey long, k int"))
-    twice = durable(windows.groupBy("mkey", "h").agg(F.min("fkey").alias("lo"), F.max("fkey").alias("hi")).where("lo != hi").select("mkey", "h"))
+    windows = repeats.scratch.stored(repeats.kinds(classes, anchors, read, "mkey long, h long, fkey long, k int"))
+    twice = repeats.scratch.stored(windows.groupBy("mkey", "h").agg(F.min("fkey").alias("lo"), F.max("fkey").alias("hi")).where("lo != hi").select("mkey", "h"))
     return windows.where("k >= 0").join(twice, ["mkey", "h"]).groupBy("mkey", "fkey").agg(F.collect_list("k").alias("ks"))
