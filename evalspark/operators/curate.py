@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.jsons import canonical_json, json_items_raw, json_kind, json_map, json_member_raw, set_member
+from evalspark.plans.bitmaps import BROADCAST_BYTES, RANGE, ROW_BYTES, bitmaps, directory, has, range_of, rank
+from evalspark.plans.durable import stored
 from evalspark.plans.generators import explode_computed
 from evalspark.plans.numbering import number_rows
 from evalspark.schemas import SAMPLE
@@ -69,8 +71,27 @@ def reindex(samples: DataFrame, index: str = "original_index") -> DataFrame:
 
 
 def delete_items(samples: DataFrame, victims: DataFrame, index: str = "original_index") -> DataFrame:
-    """Drop items by index and number the survivors densely."""
-    return reindex(samples.join(victims.select(index), index, "left_anti"), index)
+    """Drop items by index and number the survivors densely.
+
+    The victims become a directory: a bitmap per range of indexes, with the number of victims
+    before it. An item's new index is its old one less the victims before it, so items are neither
+    numbered again nor shuffled, unless the directory outgrows a broadcast. Items
+    that are not numbered 0, 1, 2, ... are.
+    """
+    known = samples.agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("lo"), F.max(index).alias("hi")).first()
+    if not known.n:
+        return samples
+    fits = (known.n // RANGE + 1) * ROW_BYTES <= BROADCAST_BYTES
+    dense = fits and (known.lo, known.hi) == (0, known.n - 1) and bitmaps(samples, index).agg(F.sum("_count")).first()[0] == known.n
+    if not dense:
+        return reindex(samples.join(victims.select(index), index, "left_anti"), index)
+    gone = directory(victims.where(F.col(index).between(0, known.hi)), index)
+    ranges = samples.sparkSession.range(known.hi // RANGE + 1).withColumnRenamed("id", "_range").join(gone, "_range", "left")
+    upto = F.last(F.col("_before") + F.col("_count"), True).over(Window.orderBy("_range"))
+    shifts = stored(ranges.select(F.col("_range").alias("_in"), "_bits", F.coalesce("_before", upto, F.lit(0).cast("long")).alias("_before")), "directory")
+    met = samples.join(F.broadcast(shifts), range_of(F.col(index)) == F.col("_in")).where(~has(F.col(index)))
+    fresh = F.col(index) - F.col("_before") - rank(F.col(index))
+    return met.select(*[fresh.cast(samples.schema[c].dataType).alias(c) if c == index else c for c in samples.columns])
 
 
 def append_items(samples: DataFrame, new: DataFrame, index: str = "original_index") -> DataFrame:

@@ -8,12 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators.reports import newest_by
+from evalspark.plans.bitmaps import whole_number, without
 
 
 def pending(cases: DataFrame, done: DataFrame, keys: Sequence[str] = ("index",), retry_errors: bool = False) -> DataFrame:
-    """Cases whose key is not in the checkpoint yet."""
+    """Cases whose key is not in the checkpoint yet.
+
+    A single whole-number key, such as the dense ``index``, is looked up in bitmaps, so that no case
+    is shuffled. Other keys, and numbers spread too thin for bitmaps, meet in an anti join.
+    """
     if retry_errors:
         done = done.where(F.col("error").isNull())
+    if len(keys) == 1 and whole_number(cases, keys[0]) and whole_number(done, keys[0]):
+        left = without(cases, done, keys[0])
+        if left is not None:
+            return left
     return cases.join(done.select(*keys), list(keys), "left_anti")
 
 
