@@ -1,15 +1,17 @@
 """Whitening of vectors by Golub-Kahan-Lanczos bidiagonalisation of the centred rows.
 
-With A the centred rows, products p -> A p and u -> A'u alternate, each one pass over the
-distributed rows, and reduce A to a small bidiagonal matrix whose SVD gives the components (right
-singular vectors) and deviations. The left vectors are as long as the table, so they are never
-stored: each is A y for a short y, which is kept in its place. Inner products with earlier left
-vectors, needed for their full reorthogonalisation, are sums over rows like everything else. The
-right vectors are short and are reorthogonalised on the driver.
+With A the centred rows, products p -> A p and u -> A'u alternate over the distributed rows and
+reduce A to a small bidiagonal matrix whose SVD gives the components (right singular vectors) and
+deviations. The left vectors are as long as the table, so they are never stored: each is A y for a
+short y, which is kept in its place. Inner products with earlier left vectors, needed for their
+full reorthogonalisation, are sums over rows like everything else. The right vectors are short and
+are reorthogonalised on the driver. Both products of a step share one pass: A'u follows from A'A p
+and the A'u of earlier steps, because reorthogonalisation is linear.
 
 What leaves a task is a few sums, added up in a tree of fixed fan-in. The driver holds vectors of
 the dimension of the data and one small matrix, whatever the number of rows. Vectors lie on an
-integer grid, so counts, sums and squared deviations are exact in any order.
+integer grid, so counts, sums and squared deviations are exact in any order; for the passes they
+are packed once into blocks of bytes.
 """
 
 from __future__ import annotations
@@ -40,12 +42,12 @@ def usable(vector: Column) -> Column:
 
 
 def on_grid(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE, offset: int = OFFSET) -> tuple[DataFrame, int]:
-    """(_id, x) of the usable rows, stored: longs floor(scale * c) + offset, kept within 2**62. The
+    """(_id, x) of the usable rows: longs floor(scale * c) + offset, kept within 2**62. The
     dimension is the largest length of a usable vector; shorter ones lack entries and are left out."""
     narrow = rows.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).where(usable(F.col("_v")))
     d = narrow.agg(F.coalesce(F.max(F.size("_v")), F.lit(0)).alias("d")).first().d
     cell = lambda c: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), c * float(scale)))).cast("double"))).cast("long") + F.lit(offset).cast("long")
-    return stored(narrow.where(F.size("_v") == d).select("_id", F.transform("_v", cell).alias("x")), "vectors-grid"), d
+    return narrow.where(F.size("_v") == d).select("_id", F.transform("_v", cell).alias("x")), d
 
 
 def blocks(batch: pa.RecordBatch, d: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,14 +57,31 @@ def blocks(batch: pa.RecordBatch, d: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, batch.column("x").slice(at, step).flatten().to_numpy().reshape(-1, d)
 
 
-def summed(grid: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray], d: int, kind: type = np.float64) -> np.ndarray:
-    """The sum of ``of(matrix)``, ``size`` numbers, over all rows: one partial per task, added up in
-    levels of ``FAN_IN`` until few enough are left for the driver."""
+def packed(grid: DataFrame, d: int) -> DataFrame:
+    """(width, data): the vectors of ``grid`` in blocks of whole numbers of 4 or 8 bytes, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, x in blocks(batch, d):
+                width = 4 if np.abs(x).max(initial=0) < 1 << 31 else 8
+                yield pa.RecordBatch.from_pydict({"width": pa.array([width], pa.int32()), "data": pa.array([x.astype(f"<i{width}").tobytes()], pa.binary())})
+
+    return stored(grid.select("x").mapInArrow(run, "width int, data binary"), "vectors-packed")
+
+
+def unpacked(batch: pa.RecordBatch, d: int) -> Iterator[np.ndarray]:
+    for width, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+        yield np.frombuffer(data.as_buffer(), f"<i{width}").reshape(-1, d).astype(np.int64)
+
+
+def summed(pack: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray], d: int, kind: type = np.float64) -> np.ndarray:
+    """The sum of ``of(matrix)``, ``size`` numbers, over all blocks: one partial per task, added up
+    in levels of ``FAN_IN`` until few enough are left for the driver."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(size, kind), False
         for batch in batches:
-            for _, x in blocks(batch, d):
+            for x in unpacked(batch, d):
                 total += of(x)
                 seen = True
         if seen:
@@ -75,19 +94,19 @@ def summed(grid: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray], d
                 total += np.frombuffer(part.as_py(), kind)
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
 
-    parts, count = grid.select("x").mapInArrow(partial, "part binary"), grid.rdd.getNumPartitions()
+    parts, count = pack.mapInArrow(partial, "part binary"), pack.rdd.getNumPartitions()
     while count > FAN_IN:
         count = -(-count // FAN_IN)
         parts = parts.repartition(count).mapInArrow(add, "part binary")
     return sum((np.frombuffer(r.part, kind) for r in parts.collect()), np.zeros(size, kind))
 
 
-def exact_sums(grid: DataFrame, d: int) -> tuple[int, list[int]]:
+def exact_sums(pack: DataFrame, d: int) -> tuple[int, list[int]]:
     """(n, sums per dimension), exact: longs are summed in quarters of 16 bits, which overflow
     only beyond 2**47 rows."""
     quarter = (1 << 16) - 1
     of = lambda x: np.concatenate([[len(x)], *[(x >> shift if shift == 48 else (x >> shift) & quarter).sum(axis=0) for shift in (48, 32, 16, 0)]])
-    total = [int(v) for v in summed(grid, 1 + 4 * d, of, d, np.int64)]
+    total = [int(v) for v in summed(pack, 1 + 4 * d, of, d, np.int64)]
     parts = [total[1 + k * d : 1 + (k + 1) * d] for k in range(4)]
     return total[0], [(a << 48) + (b << 32) + (c << 16) + e for a, b, c, e in zip(*parts)]
 
@@ -129,17 +148,18 @@ class Whitening:
     identity_error: float
 
 
-def bidiagonalise(product: Callable, transposed: Callable, d: int, wanted: int, noise: float, tol: float = TOL, seed: int = 7) -> tuple[np.ndarray, np.ndarray, int]:
+def bidiagonalise(products: Callable, d: int, wanted: int, noise: float, tol: float = TOL, seed: int = 7) -> tuple[np.ndarray, np.ndarray, int]:
     """(singular values, right singular vectors as rows, steps), the largest ``wanted``.
 
-    ``product(ys, p)`` gives the inner products of A p with every A y and with itself,
-    ``transposed(y)`` A'A y and the squared length of A y. A chain that ends early has found an
+    ``products(ys, p)`` gives the inner products of A p with every A y and with itself, and A'A p,
+    of one pass. A chain that ends early has found an
     invariant subspace; it goes on with a random start orthogonal to it, so multiple singular
     values are found too. Singular values up to ``noise`` count as zero.
     """
     rng = np.random.default_rng(seed)
     rights: list[np.ndarray] = []  # v
     lefts: list[np.ndarray] = []  # y: the left vector is A y
+    images: list[np.ndarray] = []  # A'A y
     cells: dict[tuple[int, int], float] = {}
     largest = 0.0
     start, beta = True, 0.0
@@ -150,10 +170,10 @@ def bidiagonalise(product: Callable, transposed: Callable, d: int, wanted: int,
         p = v - beta * lefts[-1] if not start else v.copy()
         before = math.inf
         while True:  # full reorthogonalisation, again where much was taken away
-            inner = product(np.array(lefts).reshape(-1, d), p)
+            inner, w = products(np.array(lefts).reshape(-1, d), p)
             taken = inner[:-1]
             if lefts:
-                p = p - taken @ np.array(lefts)
+                p, w = p - taken @ np.array(lefts), w - taken @ np.array(images)
             square = inner[-1] - taken @ taken
             if square > 0.5 * inner[-1] or inner[-1] <= noise**2 or inner[-1] >= before:
                 break
@@ -166,12 +186,10 @@ def bidiagonalise(product: Callable, transposed: Callable, d: int, wanted: int,
             start, beta = True, 0.0
             v = orthogonal(rng.normal(size=d), rights)
             continue
-        y = p / alpha
-        w, square = transposed(y)
-        length = math.sqrt(square)
-        y, w, alpha = y / length, w / length, alpha * length
-        lefts.append(y)
+        lefts.append(p / alpha)
+        images.append(w / alpha)
         cells[len(lefts) - 1, column] = alpha
+        w = images[-1]
         w = w - alpha * v
         for _ in range(2):
             w = w - np.array(rights).T @ (np.array(rights) @ w)
@@ -216,33 +234,29 @@ def orthogonal(v: np.ndarray, to: list[np.ndarray]) -> np.ndarray | None:
 
 def fit(grid: DataFrame, d: int, wanted: int = WANTED, tol: float = TOL) -> Whitening:
     """Components of all rows of ``grid``. No rows, or rows without variance: no components."""
-    n, sums = exact_sums(grid, d)
+    pack = packed(grid, d)
+    n, sums = exact_sums(pack, d)
     if not n:
         return Whitening(0, sums, np.zeros((0, d)), np.zeros(0), 0.0, 0, 0.0)
     centre = Centre(n, sums)
 
-    def product(ys: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def products(ys: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = np.vstack([ys, p]).T
+        k = both.shape[1]
 
-        def of(x):
-            z = centre.rows(x) @ both
-            return z.T @ z[:, -1]
-
-        return summed(grid, both.shape[1], of, d)
-
-    def transposed(y: np.ndarray) -> tuple[np.ndarray, float]:
         def of(x):
             rows = centre.rows(x)
-            u = rows @ y
-            return np.append(u @ rows, u @ u)
+            z = rows @ both
+            return np.concatenate([z.T @ z[:, -1], z[:, -1] @ rows])
 
-        both = summed(grid, d + 1, of, d)
-        return both[:-1], both[-1]
+        out = summed(pack, k + d, of, d)
+        return out[:k], out[k:]
 
-    trace = summed(grid, 1, lambda x: np.square(centre.rows(x)).sum(keepdims=True).ravel(), d)[0] / n
+    trace = summed(pack, 1, lambda x: np.square(centre.rows(x)).sum(keepdims=True).ravel(), d)[0] / n
     noise = 4 * np.finfo(float).eps * math.sqrt(n * d)
-    values, components, steps = bidiagonalise(product, transposed, d, wanted, noise, tol)
-    components = components * np.sign(components[np.arange(len(values)), np.abs(components).argmax(axis=1)])[:, None] if len(values) else components
+    values, components, steps = bidiagonalise(products, d, wanted, noise, tol)
+    if len(values):
+        components = components * np.sign(components[np.arange(len(values)), np.abs(components).argmax(axis=1)])[:, None]
     made = Whitening(n, sums, components, values**2 / n, float(trace), steps, 0.0)
     k = len(values)
     if k:
@@ -252,7 +266,7 @@ def fit(grid: DataFrame, d: int, wanted: int = WANTED, tol: float = TOL) -> Whit
             w = centre.rows(x) @ basis
             return np.append(w.sum(axis=0), (w.T @ w).ravel())
 
-        total = summed(grid, k + k * k, of, d) / n
+        total = summed(pack, k + k * k, of, d) / n
         made.identity_error = float(np.abs(total[k:].reshape(k, k) - np.outer(total[:k], total[:k]) - np.eye(k)).max())
     return made
 

@@ -79,8 +79,7 @@ def test_sums_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(whitening, "FAN_IN", 3)
     rows = [(k, [float(k), float(k * k % 17)]) for k in range(200)]
     grid, d = whitening.on_grid(spark.createDataFrame(rows, SCHEMA).repartition(20), "vec_id", "embedding")
-    grid = grid.repartition(20)
-    n, sums = whitening.exact_sums(grid, d)
+    n, sums = whitening.exact_sums(whitening.packed(grid.repartition(20), d).repartition(20), d)
     assert (n, sums) == (200, [sum(math.floor(1024 * v[k]) + 100_000 for _, v in rows) for k in range(2)])
 
 
@@ -89,9 +88,8 @@ def test_bidiagonalisation_alone(d):
     rng = np.random.default_rng(d)
     a = rng.normal(size=(50, d)) * np.geomspace(1, 1e-6, d)
     a -= a.mean(axis=0)
-    product = lambda ys, p: np.vstack([ys, p]) @ a.T @ (a @ p)
-    transposed = lambda y: (a.T @ (a @ y), float((a @ y) @ (a @ y)))
-    values, vectors, steps = whitening.bidiagonalise(product, transposed, d, 8, 1e-14)
+    products = lambda ys, p: (np.vstack([ys, p]) @ a.T @ (a @ p), a.T @ (a @ p))
+    values, vectors, steps = whitening.bidiagonalise(products, d, 8, 1e-14)
     want = np.linalg.svd(a)[1]
     assert steps <= d and np.allclose(values, want[: len(values)], rtol=1e-9) and len(values) == min(8, d)
     assert np.allclose(vectors @ vectors.T, np.eye(len(values)), atol=1e-12)
