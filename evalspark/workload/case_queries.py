@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.display import render_messages
 from evalspark.operators import cases as ops
+from evalspark.operators import prefixes
 from evalspark.operators.scorers.judged import AGREEMENT_RUBRIC, judge_requests
 from evalspark.plans.durable import fresh_path
 from evalspark.sources.turns import group_turns, samples_from_turns as build_samples
 from evalspark.workload.fixtures import TEXT, Fixture, table
 
 ENDPOINTS = ["http://a/v1", "http://b/v1", "http://c/v1"]
+CONTEXT = 3  # messages before and with the reference
 SAMPLE_LIMIT = 37  # below the number of conversations in every table
 
 ROLES = Fixture("conversations", {
@@ -78,6 +80,33 @@ def history_window(spark, sf):
     )
 
 
+def _shared(spark, sf):
+    """The shared form, written and read again."""
+    path = fresh_path(spark, "shared")
+    for name, frame in zip(("cases", "messages"), prefixes.shared_form(_turns(spark, sf))):
+        frame.write.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/cases"), spark.read.parquet(f"{path}/messages")
+
+
+def cases_shared(spark, sf):
+    cases, messages = _shared(spark, sf)
+    return prefixes.with_reference(cases, messages).select(
+        "conv_id", "original_index", "expanded_index", "index", (F.col("upto") + 1).alias("n_messages"), "reference_output"
+    )
+
+
+def cases_last_messages(spark, sf):
+    cases, messages = _shared(spark, sf)
+    found = prefixes.with_last_messages(cases, messages, CONTEXT)
+    return found.select("index", F.size("messages").cast("long").alias("n_messages"), render_messages(F.col("messages")).alias("transcript"))
+
+
+def cases_with_prefix(spark, sf):
+    cases, messages = _shared(spark, sf)
+    found = ops.split_reference(prefixes.with_messages(cases, messages))
+    return found.select("conv_id", "index", render_messages(F.col("user_input")).alias("prompt"), "reference_output")
+
+
 def render_transcript(spark, sf):
     from evalspark.functions.display import first_user_message
 
@@ -138,7 +167,7 @@ def attach_outputs(spark, sf):
 QUERIES = {
     **{f.__name__: f for f in (
         samples_from_turns, expand_cases, role_normalize, prompt_reference, case_index, sample_cap, smoke_cap, endpoint_assign,
-        history_window, render_transcript, generate_outputs, generate_checkpointed, attach_outputs,
+        history_window, render_transcript, generate_outputs, generate_checkpointed, cases_shared, cases_last_messages, cases_with_prefix, attach_outputs,
     )},
     "judge_requests": judge_request_rows,
 }
@@ -159,6 +188,12 @@ ORACLES = {
     "samples_from_turns": f"WITH {_SAMPLES} SELECT conv_id, original_index, n_turns, transcript FROM samples",
     "expand_cases": f"""WITH {_SAMPLES}, {_CASES} SELECT conv_id, original_index, expanded_index, index, CAST(n_prompt + 1 AS BIGINT) AS n_messages, prompt, reference_output
         FROM cases JOIN samples USING (conv_id)""",
+    "cases_shared": f"""WITH {_SAMPLES}, {_CASES} SELECT conv_id, original_index, expanded_index, index, CAST(n_prompt + 1 AS BIGINT) AS n_messages, reference_output
+        FROM cases JOIN samples USING (conv_id)""",
+    "cases_last_messages": f"""WITH {_CASES}, p AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS at FROM conversations)
+        SELECT c.index, 1 + count(*) AS n_messages, '[system]: ' || string_agg(chr(10) || chr(10) || '[' || m.role || ']: ' || m.text, '' ORDER BY m.at) AS transcript
+        FROM cases c JOIN p ON p.conv_id = c.conv_id AND p.turn = c.turn JOIN p m ON m.conv_id = c.conv_id AND m.at BETWEEN p.at - {CONTEXT - 1} AND p.at GROUP BY c.index""",
+    "cases_with_prefix": f"WITH {_CASES} SELECT conv_id, index, prompt, reference_output FROM cases",
     "role_normalize": f"WITH fx AS ({ROLES.sql()}) SELECT conv_id, turn, raw_role, CASE WHEN lower(raw_role) = 'human' THEN 'user' WHEN lower(raw_role) = 'assistant' THEN 'assistant' ELSE raw_role END AS role FROM fx",
     "prompt_reference": f"WITH {_CASES} SELECT conv_id, expanded_index, CAST(n_prompt AS BIGINT) AS n_prompt, last_prompt, reference_output FROM cases",
     "case_index": f"WITH {_INDEX} SELECT conv_id, turn, original_index, expanded_index, index FROM numbered",
