@@ -1,0 +1,75 @@
+"""A table of newest states that a stream writes batch by batch, folded as it grows.
+
+Each epoch's changes go to a folder of their own. After every ``every`` epochs the states so far are
+folded into a base, and what the base before that one had replaced is deleted. A folder counts once
+Spark has marked it complete (``_SUCCESS``), which is one atomic step, so readers see an epoch or a
+base whole or not at all, and may go on reading what the newest base replaces until the next one.
+Replayed epochs overwrite their folder, or do nothing if a base holds them already.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from evalspark.operators.reports import newest_by
+
+DONE = "_SUCCESS"  # fixed: the file Spark writes last
+
+
+class FoldedTable:
+    """Newest row per key. ``write`` suits ``foreachBatch`` of a stream in update mode."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType, every: int = 16):
+        self.spark, self.path, self.keys, self.schema, self.every = spark, path, list(keys), schema, every
+
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        """The rows an epoch changed, one per key."""
+        base = self._newest_base()
+        if base is not None and epoch <= base:
+            return
+        batch.write.mode("overwrite").parquet(f"{self.path}/changes/{epoch}")
+        if len([e for e in self._complete("changes") if base is None or e > base]) >= self.every:
+            self._fold(epoch, base)
+
+    def read(self) -> DataFrame:
+        """The newest row of every key, as of the epochs complete now."""
+        return self._rows(None).drop("_epoch")
+
+    def _rows(self, upto: int | None) -> DataFrame:
+        base = self._newest_base()
+        epochs = [e for e in self._complete("changes") if (base is None or e > base) and (upto is None or e <= upto)]
+        parts = [(f"{self.path}/changes/{e}", e) for e in epochs] + ([(f"{self.path}/base/{base}", base)] if base is not None else [])
+        found = self.spark.createDataFrame([], self.schema).withColumn("_epoch", F.lit(0).cast("long"))
+        for path, epoch in parts:
+            found = found.unionByName(self.spark.read.schema(self.schema).parquet(path).withColumn("_epoch", F.lit(epoch).cast("long")))
+        return newest_by(found, self.keys, F.desc("_epoch"))
+
+    def _fold(self, epoch: int, before: int | None) -> None:
+        self._rows(epoch).drop("_epoch").write.mode("overwrite").parquet(f"{self.path}/base/{epoch}")
+        if before is not None:  # readers of the base before may still be at work: delete what that one replaced
+            for kind, last in (("base", before - 1), ("changes", before)):
+                for e in self._folders(kind):
+                    if e <= last:
+                        self._fs().delete(self._at(f"{kind}/{e}"), True)
+
+    def _newest_base(self) -> int | None:
+        return max(self._complete("base"), default=None)
+
+    def _complete(self, kind: str) -> list[int]:
+        return [e for e in self._folders(kind) if self._fs().exists(self._at(f"{kind}/{e}/{DONE}"))]
+
+    def _folders(self, kind: str) -> list[int]:
+        if not self._fs().exists(self._at(kind)):
+            return []
+        names = [f.getPath().getName() for f in self._fs().listStatus(self._at(kind)) if f.isDirectory()]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _fs(self):
+        return self._at("").getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.operators.reports import newest_by
 from evalspark.plans.durable import fresh_path
 from evalspark.streaming import admission, incremental
+from evalspark.streaming.folded import FoldedTable
 from evalspark.workload.fixtures import BOXED, UPDATES, table
 from evalspark.workload.score_queries import _BOX_PAIR, _bad
 
 WINDOW, ACCEPTED = "2 days", 10
+PARTS = 6  # files, and so batches, of the live run state
 
 
 def _stream(spark, sf, name):
@@ -30,19 +31,15 @@ def stream_scoring(spark, sf):
 
 
 def task_state_live(spark, sf):
-    """Stream the updates; the final state equals the batch form."""
-    source = _stream(spark, sf, "events")
-    state = incremental.task_state_stream(UPDATES.project(source))
+    """Stream the updates in several batches into a folded table; the final state equals the batch form."""
     path = fresh_path(spark, "state")
-
-    def write(batch, epoch):
-        # Only the tasks that changed; a replayed epoch overwrites itself.
-        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
-
-    query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
+    table(spark, sf, "events").repartition(PARTS).write.parquet(f"{path}/in")
+    source = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    state = incremental.task_state_stream(UPDATES.project(source))
+    live = FoldedTable(spark, f"{path}/out", ["task_id"], state.schema, every=4)
+    query = state.writeStream.outputMode("update").foreachBatch(live.write).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
     query.awaitTermination()
-    newest = newest_by(spark.read.parquet(f"{path}/out"), ["task_id"], F.desc("epoch"))
-    return newest.select("task_id", "status", "current", "message")
+    return live.read().select("task_id", "status", "current", "message")
 
 
 def sliding_admission(spark, sf):

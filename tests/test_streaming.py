@@ -149,3 +149,38 @@ def test_rows_that_came_too_late_can_be_found(spark):
     source = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "run_id long, index long")
     scored = source.where("index = 1")
     assert [tuple(r) for r in incremental.unscored(source, scored).collect()] == [(1, 2)]
+
+
+def test_folded_table_stays_small_and_survives_replays(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from evalspark.streaming.folded import FoldedTable
+
+    live = FoldedTable(spark, str(tmp_path / "live"), ["k"], spark.createDataFrame([], "k string, v long").schema, every=5)
+    assert live.read().count() == 0
+    rng, want, most = random.Random(1), {}, 0
+    for epoch in range(50):
+        changed = {rng.choice("abcdefgh"): epoch for _ in range(3)}
+        batch = spark.createDataFrame(list(changed.items()), "k string, v long").coalesce(1)
+        live.write(batch, epoch)
+        want |= changed
+        most = max(most, len(list((tmp_path / "live" / "changes").iterdir())) + len(list((tmp_path / "live").glob("base/*"))))
+        if epoch % 7 == 0:
+            live.write(batch, epoch)  # the stream failed after the write and replays it
+        if epoch in (4, 23):  # a replay of what is folded, and an unfinished fold and batch, change nothing
+            live.write(spark.createDataFrame([("a", -1)], "k string, v long"), epoch - 4)
+            (tmp_path / "live" / "base" / "1000").mkdir(parents=True)
+            (tmp_path / "live" / "changes" / "1000").mkdir(parents=True)
+        if epoch % 10 == 3 or epoch == 23:
+            assert {r.k: r.v for r in live.read().collect()} == want
+        for kind in ("base", "changes"):
+            if (tmp_path / "live" / kind / "1000").exists():
+                (tmp_path / "live" / kind / "1000").rmdir()
+    assert {r.k: r.v for r in live.read().collect()} == want
+    assert most <= 2 * 5 + 2 + 2
+    # A reader that began before the last fold can still read.
+    before = live.read()
+    for epoch in range(50, 55):
+        live.write(spark.createDataFrame([("z", epoch)], "k string, v long"), epoch)
+    assert {r.k: r.v for r in before.collect()} == want
+    assert live.read().where(F.col("k") == "z").first().v == 54
