@@ -28,7 +28,7 @@ def rouge_means(details: str = "details") -> Column:
     return F.map_filter(means, lambda _, v: v.isNotNull())
 
 
-def _carries_rouge(results: DataFrame) -> bool:
+def carries_rouge(results: DataFrame) -> bool:
     if "details" not in results.columns:
         return False
     kind = results.schema["details"].dataType
@@ -45,7 +45,7 @@ def run_summary(results: DataFrame, by: str | list[str] | None = "run_id") -> Da
         accuracy().alias("accuracy"),
         avg_score().alias("average_score"),
         (avg_latency() if "inference_time" in results.columns else F.lit(0.0)).alias("average_inference_time"),
-        (rouge_means() if _carries_rouge(results) else F.first(no_rouge)).alias("rouge_scores"),
+        (rouge_means() if carries_rouge(results) else F.first(no_rouge)).alias("rouge_scores"),
         F.count_if(F.col("is_badcase") == 1).alias("badcase_count"),
     )
     return summary if keys else summary.where(F.col("total_count") > 0)

@@ -1,15 +1,16 @@
-"""A table of newest states that a stream writes batch by batch, folded as it grows.
-
-Each epoch's changes go to a folder of their own. After every ``every`` epochs the states so far are
-folded into a base, and what the base before that one had replaced is deleted. A folder counts once
-Spark has marked it complete (``_SUCCESS``), which is one atomic step, so readers see an epoch or a
-base whole or not at all, and may go on reading what the newest base replaces until the next one.
-Replayed epochs overwrite their folder, or do nothing if a base holds them already.
+"""A table that grows batch by batch and is folded as it grows.
+
+Each batch goes to a folder of its own. After every ``every`` batches all rows so far are folded
+into a base by ``merge`` (newest row per key, sums per key), and what the base before that one had
+replaced is deleted. A folder counts once Spark has marked it complete (``_SUCCESS``), which is one
+atomic step, so readers see a batch or a base whole or not at all, and may go on reading what the
+newest base replaces until the next one. A batch that is written again overwrites its folder, or does
+nothing if a base holds it already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +21,29 @@ from evalspark.operators.reports import newest_by
 DONE = "_SUCCESS"  # fixed: the file Spark writes last
 
 
+def newest_per(*keys: str) -> Callable[[DataFrame], DataFrame]:
+    """Keep the row of the last batch per key."""
+    return lambda rows: newest_by(rows, list(keys), F.desc("_epoch"))
+
+
 class FoldedTable:
-    """Newest row per key. ``write`` suits ``foreachBatch`` of a stream in update mode."""
+    """``write`` suits ``foreachBatch``; batch numbers grow. ``merge`` takes rows with their batch
+    number ``_epoch`` and must give the same however often parts of them were merged before."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType, every: int = 16):
-        self.spark, self.path, self.keys, self.schema, self.every = spark, path, list(keys), schema, every
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, merge: Callable[[DataFrame], DataFrame], every: int = 16):
+        self.spark, self.path, self.schema, self.merge, self.every = spark, path, schema, merge, every
 
     def write(self, batch: DataFrame, epoch: int) -> None:
-        """The rows an epoch changed, one per key."""
         base = self._newest_base()
         if base is not None and epoch <= base:
             return
-        batch.write.mode("overwrite").parquet(f"{self.path}/changes/{epoch}")
+        batch.select(self.schema.names).write.mode("overwrite").parquet(f"{self.path}/changes/{epoch}")
         if len([e for e in self._complete("changes") if base is None or e > base]) >= self.every:
             self._fold(epoch, base)
 
     def read(self) -> DataFrame:
-        """The newest row of every key, as of the epochs complete now."""
-        return self._rows(None).drop("_epoch")
+        """All batches complete now, merged."""
+        return self._rows(None)
 
     def _rows(self, upto: int | None) -> DataFrame:
         base = self._newest_base()
@@ -46,10 +52,10 @@ class FoldedTable:
         found = self.spark.createDataFrame([], self.schema).withColumn("_epoch", F.lit(0).cast("long"))
         for path, epoch in parts:
             found = found.unionByName(self.spark.read.schema(self.schema).parquet(path).withColumn("_epoch", F.lit(epoch).cast("long")))
-        return newest_by(found, self.keys, F.desc("_epoch"))
+        return self.merge(found).select(self.schema.names)
 
     def _fold(self, epoch: int, before: int | None) -> None:
-        self._rows(epoch).drop("_epoch").write.mode("overwrite").parquet(f"{self.path}/base/{epoch}")
+        self._rows(epoch).write.mode("overwrite").parquet(f"{self.path}/base/{epoch}")
         if before is not None:  # readers of the base before may still be at work: delete what that one replaced
             for kind, last in (("base", before - 1), ("changes", before)):
                 for e in self._folders(kind):

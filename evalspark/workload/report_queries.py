@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import display
 from evalspark.operators import reports as ops
+from evalspark.operators.partials import RunningSummary, report_measures, trend_of
+from evalspark.plans.durable import fresh_path
 from evalspark.workload.curation_queries import CONFIGS
 from evalspark.workload.fixtures import REPORTS, RUNS, UPDATES
 
@@ -78,6 +80,15 @@ def accuracy_trend(spark, sf):
     return trend.select("model", _at("bucket"), F.round("accuracy", 6).alias("accuracy"), "reports")
 
 
+def accuracy_trend_appended(spark, sf):
+    """The trend of reports that come in parts, from stored counts and sums per model and day."""
+    reports = _reports(spark, sf).withColumn("bucket", F.date_trunc("day", "created_at"))
+    store = RunningSummary(spark, fresh_path(spark, "trend"), reports, ["model", "bucket"], report_measures)
+    for batch, part in enumerate(("user_id < 10", "user_id >= 10")):
+        store.append(reports.where(part), batch)
+    return trend_of(store.partials()).select("model", _at("bucket"), F.round("accuracy", 6).alias("accuracy"), "reports")
+
+
 def latest_report(spark, sf):
     return ops.latest_report(_reports(spark, sf)).select("user_id", "dataset", "model", "id", "accuracy", _at("created_at"))
 
@@ -105,7 +116,7 @@ def report_page(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     report_filter, report_search, run_filter, active_configs, progress_pct, score_tier, model_short_name, dashboard_stats, report_avg_accuracy,
-    distinct_models, model_compare, model_compare_long, accuracy_trend, latest_report, task_state, newest_first, recent_reports, report_sort, report_page,
+    distinct_models, model_compare, model_compare_long, accuracy_trend, accuracy_trend_appended, latest_report, task_state, newest_first, recent_reports, report_sort, report_page,
 )}
 
 _FX = f"WITH fx AS ({REPORTS.sql()})"
@@ -136,3 +147,4 @@ ORACLES = {
     "report_sort": f"{_FX} SELECT id, coalesce(accuracy, 0.0) AS accuracy FROM fx ORDER BY 2 DESC, id",
     "report_page": f"{_FX} SELECT id, {_SHOWN}, (SELECT count(*) FROM fx) AS total FROM fx ORDER BY fx.created_at DESC, id DESC LIMIT 15 OFFSET 30",
 }
+ORACLES["accuracy_trend_appended"] = ORACLES["accuracy_trend"]

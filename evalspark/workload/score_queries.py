@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.operators import summary
+from evalspark.operators.partials import RunningSummary, summary_of
 from evalspark.operators.scorers import ifeval, judged, rouge
 from evalspark.operators.scoring import apply_threshold as threshold_rule
 from evalspark.operators.scoring import outcome, register_python_scorer, register_scorer, score
+from evalspark.plans.durable import fresh_path
 from evalspark.workload.fixtures import AGENT, BOXED, JSON, LIST, LIST_JSON, REFUSAL, TEXT, TOOL, Fixture, table
 from evalspark.workload.text_queries import BOXED_SQL, SENTENCES, STRIPPED, WORD, WS, agent_sql, extract_json_sql, nonblank_parts, solution_sql
 
@@ -77,6 +79,26 @@ def run_summary_rouge(spark, sf):
                       *[F.round(F.try_element_at("rouge_scores", F.lit(k)), 6).alias(k) for k in summary.ROUGE_KEYS], "badcase_count")
 
 
+def _appended(spark, results, by, parts):
+    """A running summary of results that come in parts, each scored and added once."""
+    store = RunningSummary(spark, fresh_path(spark, "summary"), results, by, every=2)
+    for batch, part in enumerate(parts):
+        store.append(results.where(part), batch)
+    return store
+
+
+def run_summary_appended(spark, sf):
+    store = _appended(spark, score(BOXED.frame(spark, sf), "exact_match"), ["run_id", "turn"], ["turn < 2", "turn >= 2 AND turn < 4", "turn >= 4"])
+    out = summary_of(store.partials(["run_id"]))
+    return out.select("run_id", "total_count", "correct_count", *[F.round(c, 6).alias(c) for c in ("accuracy", "average_score", "average_inference_time")], "badcase_count")
+
+
+def run_summary_rouge_appended(spark, sf):
+    store = _appended(spark, score(TEXT.frame(spark, sf), "rouge", 0.5), ["run_id"], ["turn < 3", "turn >= 3"])
+    return summary_of(store.partials()).select("run_id", "total_count", "correct_count", F.round("average_score", 6).alias("average_score"),
+                                               *[F.round(F.try_element_at("rouge_scores", F.lit(k)), 6).alias(k) for k in summary.ROUGE_KEYS], "badcase_count")
+
+
 def badcases(spark, sf):
     return summary.badcases(score(BOXED.frame(spark, sf), "exact_match")).select(*TURN, "score", "model_output")
 
@@ -220,7 +242,7 @@ QUERIES = {
     "score_reference_verdict": _scored(BOXED, "verdict_with_answer", TURN),
     "score_refusal": _scored(REFUSAL, "reject", ORDER, 0.5),
     **{f.__name__: f for f in (
-        score_rouge, score_rouge_n, score_rouge_l, score_str_check, apply_threshold, run_summary, run_summary_rouge, badcases,
+        score_rouge, score_rouge_n, score_rouge_l, score_str_check, apply_threshold, run_summary, run_summary_rouge, run_summary_appended, run_summary_rouge_appended, badcases,
         run_results, custom_scorer, custom_python_scorer, attach_verdicts, ifeval_checks, ifeval_rollup, score_ifeval,
     )},
 }
@@ -352,3 +374,5 @@ ORACLES = {
         + " ".join("WHEN {} THEN ({}) / 3.0::DOUBLE".format(i, " + ".join(f"CAST(coalesce({r[2]}, false) AS INT)" for r in p)) for i, p in enumerate(PICKS))
         + f" END END AS score FROM d) SELECT doc_id, round(score, 9) AS score, {_bad('score', 'false', 1.0)} AS is_badcase FROM s",
 }
+ORACLES["run_summary_appended"] = ORACLES["run_summary"]
+ORACLES["run_summary_rouge_appended"] = ORACLES["run_summary_rouge"]

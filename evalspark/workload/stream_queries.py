@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.plans.durable import fresh_path
+from evalspark.plans.folded import FoldedTable, newest_per
 from evalspark.streaming import admission, incremental
-from evalspark.streaming.folded import FoldedTable
 from evalspark.workload.fixtures import BOXED, UPDATES, table
 from evalspark.workload.score_queries import _BOX_PAIR, _bad
 
@@ -36,7 +36,7 @@ def task_state_live(spark, sf):
     table(spark, sf, "events").repartition(PARTS).write.parquet(f"{path}/in")
     source = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     state = incremental.task_state_stream(UPDATES.project(source))
-    live = FoldedTable(spark, f"{path}/out", ["task_id"], state.schema, every=4)
+    live = FoldedTable(spark, f"{path}/out", state.schema, newest_per("task_id"), every=4)
     query = state.writeStream.outputMode("update").foreachBatch(live.write).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
     query.awaitTermination()
     return live.read().select("task_id", "status", "current", "message")

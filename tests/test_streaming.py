@@ -154,9 +154,9 @@ def test_rows_that_came_too_late_can_be_found(spark):
 def test_folded_table_stays_small_and_survives_replays(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from evalspark.streaming.folded import FoldedTable
+    from evalspark.plans.folded import FoldedTable, newest_per
 
-    live = FoldedTable(spark, str(tmp_path / "live"), ["k"], spark.createDataFrame([], "k string, v long").schema, every=5)
+    live = FoldedTable(spark, str(tmp_path / "live"), spark.createDataFrame([], "k string, v long").schema, newest_per("k"), every=5)
     assert live.read().count() == 0
     rng, want, most = random.Random(1), {}, 0
     for epoch in range(50):
