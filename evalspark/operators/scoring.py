@@ -87,7 +87,6 @@ def register_python_scorer(name: str, fn: Callable[[list[dict], str, str], dict]
         except Exception as caught:  # foreign code: only this row fails
             return None, None, None, str(caught) or type(caught).__name__
 
-    @F.pandas_udf("score double, is_badcase int, details string, error string")
     def run(messages: pd.Series, output: pd.Series, reference: pd.Series) -> pd.DataFrame:
         rows = [one(*r) for r in zip(messages, output, reference)]
         frame = pd.DataFrame(rows, columns=["score", "is_badcase", "details", "error"], dtype=object)
@@ -96,7 +95,9 @@ def register_python_scorer(name: str, fn: Callable[[list[dict], str, str], dict]
     @register_scorer(name, description)
     def build(case: Case) -> Column:
         fit = F.when(case.error.isNull(), case.model_output)
-        got = case.let(run(case.user_input, fit, case.reference_output))
+        # Made here, not above: an executor that imports a module of scorers registers them too.
+        batched = F.pandas_udf(run, "score double, is_badcase int, details string, error string")
+        got = case.let(batched(case.user_input, fit, case.reference_output))
         return outcome(F.nanvl(got["score"], F.lit(None).cast("double")), got["is_badcase"], got["details"], got["error"])
 
 
@@ -106,6 +107,16 @@ def get_scorer(name: str) -> Scorer:
     return _REGISTRY[name]
 
 
+def registered() -> dict[str, Scorer]:
+    return dict(_REGISTRY)
+
+
+def restore(scorers: dict[str, Scorer]) -> None:
+    """Go back to an earlier state of the registry."""
+    _REGISTRY.clear()
+    _REGISTRY.update(scorers)
+
+
 def list_scorers(spark: SparkSession) -> DataFrame:
     rows = [(s.name, s.description) for s in sorted(_REGISTRY.values(), key=lambda s: s.name)]
     return spark.createDataFrame(rows, "name string, description string")

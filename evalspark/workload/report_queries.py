@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import display
 from evalspark.operators import reports as ops
+from evalspark.operators.paging import Pages
 from evalspark.operators.partials import RunningSummary, report_measures, trend_of
 from evalspark.plans.durable import fresh_path
 from evalspark.workload.curation_queries import CONFIGS
@@ -114,9 +115,18 @@ def report_page(spark, sf):
     return rows.withColumn("total", total.scalar()).select("id", _at("created_at"), "total")
 
 
+def report_page_seek(spark, sf):
+    """A page near the front and the last one, each from the ranges it lies in."""
+    pages = Pages.store(_reports(spark, sf), fresh_path(spark, "pages"), rows=2_000)
+    total = pages.total().first()["total"]
+    last = -(-total // 15)
+    found = [pages.page(number, 15).select(F.lit(name).alias("page"), "id", "created_at") for name, number in (("third", 3), ("last", last))]
+    return found[0].union(found[1]).select("page", "id", _at("created_at"), F.lit(total).cast("long").alias("total"))
+
+
 QUERIES = {f.__name__: f for f in (
     report_filter, report_search, run_filter, active_configs, progress_pct, score_tier, model_short_name, dashboard_stats, report_avg_accuracy,
-    distinct_models, model_compare, model_compare_long, accuracy_trend, accuracy_trend_appended, latest_report, task_state, newest_first, recent_reports, report_sort, report_page,
+    distinct_models, model_compare, model_compare_long, accuracy_trend, accuracy_trend_appended, latest_report, task_state, newest_first, recent_reports, report_sort, report_page, report_page_seek,
 )}
 
 _FX = f"WITH fx AS ({REPORTS.sql()})"
@@ -148,3 +158,5 @@ ORACLES = {
     "report_page": f"{_FX} SELECT id, {_SHOWN}, (SELECT count(*) FROM fx) AS total FROM fx ORDER BY fx.created_at DESC, id DESC LIMIT 15 OFFSET 30",
 }
 ORACLES["accuracy_trend_appended"] = ORACLES["accuracy_trend"]
+ORACLES["report_page_seek"] = f"""{_FX}, r AS (SELECT id, {_SHOWN}, row_number() OVER (ORDER BY fx.created_at DESC, id DESC) - 1 AS rn, count(*) OVER () AS total FROM fx)
+    SELECT 'third' AS page, id, created_at, total FROM r WHERE rn BETWEEN 30 AND 44 UNION ALL SELECT 'last', id, created_at, total FROM r WHERE rn >= (total - 1) // 15 * 15"""
