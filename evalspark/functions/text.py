@@ -63,16 +63,16 @@ def _pieces(parts: Column) -> Column:
 
 def count_substr(text: Column, needle: Column) -> Column:
     """Case-insensitive count of non-overlapping occurrences."""
-    hay, pin = F.lower(text), F.lower(needle)
+    return count_low(F.lower(text), F.lower(needle))
+
+
+def count_low(hay: Column, pin: Column) -> Column:
+    """The same of texts that are in lower case already."""
     removed = F.length(hay) - F.length(F.replace(hay, pin, F.lit("")))
     per_hit = F.nullif(F.length(pin), F.lit(0))
     return F.coalesce((removed / per_hit).cast("int"), F.length(hay) + 1)
 
 
-def contains_ci(text: Column, needle: Column) -> Column:
-    return F.contains(F.lower(text), F.lower(needle))
-
-
 # Relation names of the comparison arguments.
 def relation_cmp(actual: Column, target: Column, relation: Column) -> Column:
     """Compare a number with a textual target; anything that is not a number fails."""

@@ -17,7 +17,7 @@ from evalspark.functions.text import (
     S,
     W,
     collapse_ws,
-    contains_ci,
+    count_low,
     count_substr,
     first_word,
     lines,
@@ -58,8 +58,8 @@ class _Args:
         return F.from_json(self.get(name), "array<string>")
 
 
-def _holds_all(text: Column, keywords: Column) -> Column:
-    return F.forall(keywords, lambda k: contains_ci(text, k))
+def _holds(low: Column, keyword: Column) -> Column:
+    return F.contains(low, F.lower(keyword))
 
 
 def _letter_share(text: Column, a: _Args) -> Column:
@@ -85,14 +85,14 @@ def _nth_first_word(text: Column, a: _Args) -> Column:
     return (nth >= 1) & (opening != "") & (opening == F.lower(strip(a.get("first_word"))))
 
 
-def _edge_keyword(text: Column, a: _Args) -> Column:
-    keyword, position, low = F.lower(a.get("keyword")), a.get("position"), F.lower(text)
+def _edge_keyword(low: Column, a: _Args) -> Column:
+    keyword, position = F.lower(a.get("keyword")), a.get("position")
     return F.when(position == "start", low.startswith(keyword)).when(position == "end", low.endswith(keyword))
 
 
-def _repeats_prompt(text: Column, a: _Args) -> Column:
+def _repeats_prompt(low: Column, a: _Args) -> Column:
     prompt = a.get("prompt_to_repeat")
-    return (prompt != "") & contains_ci(collapse_ws(text), collapse_ws(prompt))
+    return (prompt != "") & _holds(collapse_ws(low), collapse_ws(prompt))
 
 
 def _ends_with(raw: Column, a: _Args) -> Column:
@@ -104,9 +104,9 @@ def _counted(count: Column, a: _Args, target: str) -> Column:
     return relation_cmp(count, a.get(target), a.get("relation"))
 
 
-def _frequency(text: Column, a: _Args) -> Column:
+def _frequency(low: Column, a: _Args) -> Column:
     keyword = a.get("keyword")
-    return keyword.isNotNull() & relation_cmp(count_substr(text, keyword), a.get("frequency"), a.get("relation"))
+    return keyword.isNotNull() & relation_cmp(count_low(low, F.lower(keyword)), a.get("frequency"), a.get("relation"))
 
 
 def _language(text: Column, a: _Args, detected: Column) -> Column:
@@ -114,15 +114,15 @@ def _language(text: Column, a: _Args, detected: Column) -> Column:
     return (F.length(text) >= MIN_LANGUAGE_CHARS) & (F.lower(detected) == wanted)
 
 
-def _rules(raw: Column, text: Column, detected: Column) -> dict:
-    """Check id (``:`` written ``_``) -> rule. Ids, argument names and limits are fixed values."""
+def _rules(raw: Column, text: Column, low: Column, detected: Column) -> dict:
+    """``low`` is ``text`` in lower case. Check id (``:`` written ``_``) -> rule. Ids, argument names and limits are fixed values."""
     return {
         "detectable_format_title": lambda a: F.length(text).between(1, MAX_TITLE) & ~text.rlike(r"[\n\r]"),
-        "keywords_existence": lambda a: _holds_all(text, a.words("keywords")),
-        "combination_repeat_prompt": lambda a: _repeats_prompt(text, a),
+        "keywords_existence": lambda a: F.forall(a.words("keywords"), lambda k: _holds(low, k)),
+        "combination_repeat_prompt": lambda a: _repeats_prompt(low, a),
         "keywords_letter_frequency": lambda a: _letter_share(text, a),
-        "keywords_frequency": lambda a: _frequency(text, a),
-        "keywords_forbidden_words": lambda a: ~F.exists(a.words("forbidden_words"), lambda k: contains_ci(text, k)),
+        "keywords_frequency": lambda a: _frequency(low, a),
+        "keywords_forbidden_words": lambda a: ~F.exists(a.words("forbidden_words"), lambda k: _holds(low, k)),
         "length_constraints_number_words": lambda a: _counted(word_count(text), a, "num_words"),
         "length_constraints_number_sentences": lambda a: _counted(F.size(sentences(text)), a, "num_sentences"),
         "length_constraints_number_paragraphs": lambda a: _counted(F.size(paragraphs(text)), a, "num_paragraphs"),
@@ -139,30 +139,30 @@ def _rules(raw: Column, text: Column, detected: Column) -> dict:
         "detectable_content_number_placeholders": lambda a: _counted(
             F.regexp_count(text, F.lit(PLACEHOLDER)), a, "num_placeholders"
         ),
-        "detectable_content_postscript": lambda a: F.contains(F.lower(text), F.lit("p.s.")),
+        "detectable_content_postscript": lambda a: F.contains(low, F.lit("p.s.")),
         "start_end_constraints_forbidden_start_words": lambda a: ~F.array_contains(
             F.transform(a.words("forbidden_words"), F.lower), F.lower(first_word(text))
         ),
-        "start_end_constraints_keywords": lambda a: _edge_keyword(text, a),
+        "start_end_constraints_keywords": lambda a: _edge_keyword(low, a),
         "startend_end_checker": lambda a: _ends_with(raw, a),
         "startend_quotation": lambda a: (F.length(text) >= 2) & text.startswith('"') & text.endswith('"'),
         "change_case_capital_word_frequency": lambda a: _capital_words(text, a),
-        "change_case_english_lowercase": lambda a: text == F.lower(text),
+        "change_case_english_lowercase": lambda a: text == low,
         "change_case_english_capital": lambda a: text == F.upper(text),
         "language_response_language": lambda a: _language(text, a, detected),
         "punctuation_no_comma": lambda a: ~F.contains(text, F.lit(",")),
         "combination_two_responses": lambda a: sum(
-            (F.contains(F.lower(text), F.lit(m)).cast("int") for m in RESPONSE_MARKERS), F.lit(0)
+            (F.contains(low, F.lit(m)).cast("int") for m in RESPONSE_MARKERS), F.lit(0)
         ) >= 2,
     }
 
 
-def check(instruction_id: Column, kwarg: Column, raw: Column, text: Column, detected: Column | None = None) -> Column:
-    """Whether ``raw`` (``text`` when trimmed) follows one instruction. Unknown ids and missing arguments fail."""
+def check(instruction_id: Column, kwarg: Column, raw: Column, text: Column, low: Column, detected: Column | None = None) -> Column:
+    """Whether ``raw`` (``text`` when trimmed, ``low`` in lower case too) follows one instruction. Unknown ids and missing arguments fail."""
     detected = F.lit(None).cast("string") if detected is None else detected
     name = F.replace(instruction_id, F.lit(":"), F.lit("_"))
     passed = None
-    for rule_id, rule in _rules(raw, text, detected).items():
+    for rule_id, rule in _rules(raw, text, low, detected).items():
         args = _Args(kwarg)
         verdict = rule(args)
         for present in args.needed:
@@ -184,6 +184,7 @@ def ifeval(case: Case) -> Column:
     let = case.let
     spec = let(parse_spec(case.reference_output))
     text = let(strip(case.model_output))
+    low = let(F.lower(text))
     ids, kwargs = spec["instruction_id_list"], spec["kwargs"]
     pairs = F.arrays_zip(ids.alias("id"), kwargs.alias("kwarg"))
     total, given = let(F.coalesce(F.size(ids), F.lit(-1))), F.coalesce(F.size(kwargs), F.lit(-1))
@@ -203,7 +204,7 @@ def ifeval(case: Case) -> Column:
         F.filter(pairs, lambda p: _has_kwargs(p["kwarg"])),
         lambda p: F.struct(
             p["id"].alias("instruction_id"),
-            check(p["id"], p["kwarg"], case.model_output, text, case.detected_lang).alias("passed"),
+            check(p["id"], p["kwarg"], case.model_output, text, low, case.detected_lang).alias("passed"),
             p["kwarg"].alias("kwargs"),
         ),
     )
@@ -229,12 +230,12 @@ def ifeval_checks(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     spec = parse_spec(F.col("reference_output"))
     detected = F.col("detected_lang") if "detected_lang" in df.columns else None
     given = ["detected_lang"] if detected is not None else []
-    staged = df.select(*keys, "model_output", *given, strip(F.col("model_output")).alias("_text"), spec.alias("_spec"))
+    staged = df.select(*keys, "model_output", *given, strip(F.col("model_output")).alias("_text"), spec.alias("_spec")).withColumn("_low", F.lower("_text"))
     pairs = F.arrays_zip(F.col("_spec.instruction_id_list").alias("id"), F.col("_spec.kwargs").alias("kwarg"))
     # Judged inside the row: only names and verdicts are exploded, never the texts.
     verdicts = F.transform(pairs, lambda p: F.struct(
         p["id"].alias("id"), _has_kwargs(p["kwarg"]).alias("given"),
-        F.when(_has_kwargs(p["kwarg"]), check(p["id"], p["kwarg"], F.col("model_output"), F.col("_text"), detected)).alias("passed"),
+        F.when(_has_kwargs(p["kwarg"]), check(p["id"], p["kwarg"], F.col("model_output"), F.col("_text"), F.col("_low"), detected)).alias("passed"),
     ))
     checks = explode_computed(staged, verdicts, "pos", "_v", *keys)
     return checks.where("_v.given").select(*keys, "pos", F.col("_v.id").alias("instruction_id"), F.col("_v.passed").alias("passed"))

@@ -85,8 +85,7 @@ def append_counts(spark, sf):
 
 
 def _checkpoint(cases):
-    """Unscored checkpoint rows; those of late turns were appended twice."""
-    cases = cases.where("turn > 1")
+    """Unscored checkpoint rows of some cases; those of late turns were appended twice."""
     first = cases.select("index", "turn", F.lit(1).alias("attempt"), F.concat(F.lit("out"), F.col("index")).alias("model_output"))
     again = first.where("turn > 3").withColumns({"attempt": F.lit(2), "model_output": F.concat(F.col("model_output"), F.lit("b"))})
     return first.unionByName(again).drop("turn")
@@ -94,13 +93,13 @@ def _checkpoint(cases):
 
 def resume_pending(spark, sf):
     cases = turn_case_index(table(spark, sf, "conversations"))
-    todo, _ = resume.resume(cases, _checkpoint(cases), F.col("attempt"))
+    todo, _ = resume.resume(cases, _checkpoint(cases.where("turn > 1")), F.col("attempt"))
     return todo.select("index", "conv_id", "turn")
 
 
 def union_checkpoint(spark, sf):
     cases = turn_case_index(table(spark, sf, "conversations"))
-    done = _checkpoint(cases)
+    done = _checkpoint(cases.where("turn > 1"))
     new = cases.where("turn <= 1").select("index", F.lit("new").alias("model_output"))
     return resume.union_checkpoint(done, new).select("index", F.coalesce("attempt", F.lit(0)).alias("attempt"), "model_output")
 
@@ -157,12 +156,13 @@ def rejected_requests(spark, sf):
 
 OWNED = Fixture("orders", {"id": "o_orderkey", "task_id": "o_orderkey", "user_id": "o_custkey", "status": "o_orderstatus"})
 ALL_USERS = Fixture("customer", {"id": "c_custkey", "username": "c_name"})
-USERS = Fixture("customer", ALL_USERS.columns, "c_acctbal >= 0")  # so that some owners are unknown
+# Some runs of owners nobody knows.
+STRAY = Fixture("orders", OWNED.columns | {"user_id": "CASE WHEN o_orderkey % 11 = 0 THEN -1 - o_custkey ELSE o_custkey END"})
 TASK_REPORTS = Fixture("lineitem", {"id": "l_orderkey * 10 + l_linenumber", "task_id": "l_orderkey", "user_id": "l_suppkey"})
 
 
 def owner_enrich(spark, sf):
-    return joins.with_owner(OWNED.frame(spark, sf), USERS.frame(spark, sf)).select("id", "user_id", "username")
+    return joins.with_owner(STRAY.frame(spark, sf), ALL_USERS.frame(spark, sf)).select("id", "user_id", "username")
 
 
 def owned_subset(spark, sf):
@@ -185,6 +185,8 @@ QUERIES = {f.__name__: f for f in (
     union_checkpoint, checkpoint_dedup, resolve_run_config, rejected_requests, owner_enrich, owned_subset, cascade_delete,
 )}
 
+_CKPT_ALL = f"""WITH {_INDEX}, ck AS (SELECT index, turn, CAST(1 AS INTEGER) AS attempt, 'out' || index AS model_output FROM numbered
+    UNION ALL SELECT index, turn, CAST(2 AS INTEGER), 'out' || index || 'b' FROM numbered WHERE turn > 3)"""
 _CKPT = f"""WITH {_INDEX}, ck AS (SELECT index, CAST(1 AS INTEGER) AS attempt, 'out' || index AS model_output FROM numbered WHERE turn > 1
     UNION ALL SELECT index, CAST(2 AS INTEGER), 'out' || index || 'b' FROM numbered WHERE turn > 3)"""
 _MERGED = f"""WITH q AS ({REQUESTS.sql()}), c AS ({CONFIGS.sql()}), j AS (SELECT q.*, c.url, c.api_key AS c_key, c.timeout AS c_timeout, c.max_tokens AS c_tokens, c.temperature AS c_temp, c.top_p AS c_top, c.is_vllm, c.model_name
@@ -207,14 +209,14 @@ ORACLES = {
     "append_counts": "SELECT (SELECT count(*) FROM documents) AS added_count, (SELECT count(*) FROM documents) + (SELECT count(*) FROM orders) AS total_count",
     "resume_pending": f"WITH {_INDEX} SELECT index, conv_id, turn FROM numbered WHERE turn <= 1",
     "union_checkpoint": f"{_CKPT} SELECT index, attempt, model_output FROM ck UNION ALL SELECT index, CAST(0 AS INTEGER), 'new' FROM numbered WHERE turn <= 1",
-    "checkpoint_dedup": f"{_CKPT} SELECT index, max(attempt) AS attempt, max_by(model_output, attempt) AS model_output FROM ck GROUP BY index",
+    "checkpoint_dedup": f"{_CKPT_ALL} SELECT index, max(attempt) AS attempt, max_by(model_output, attempt) AS model_output FROM ck GROUP BY index",
     "resolve_run_config": f"""{_MERGED} SELECT request_id, model, CASE WHEN n_urls > 0 THEN 'http://own' ELSE url END AS urls,
         coalesce(CASE WHEN api_key = 'own' THEN api_key END, nullif(c_key, ''), 'sk-xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx') AS api_key,
         CAST(CASE WHEN max_workers = 0 THEN 4 ELSE max_workers END AS INTEGER) AS max_workers, CASE WHEN badcase_threshold = 0 THEN 1.0::DOUBLE ELSE badcase_threshold END AS badcase_threshold,
         CASE WHEN timeout IN (0, 600) THEN c_timeout ELSE timeout END AS timeout, CASE WHEN max_tokens IN (0, 16384) THEN c_tokens ELSE max_tokens END AS max_tokens,
         CASE WHEN temperature = 0 THEN c_temp ELSE temperature END AS temperature, CAST(CASE WHEN top_p = 0 THEN c_top ELSE top_p END AS DOUBLE) AS top_p, is_vllm FROM j WHERE model_name IS NOT NULL AND data_file <> ''""",
     "rejected_requests": f"{_MERGED} SELECT request_id, model, CASE WHEN data_file = '' THEN 'model, data_file and scoring are required' ELSE 'unknown model' END AS reason FROM j WHERE model_name IS NULL OR data_file = ''",
-    "owner_enrich": f"WITH r AS ({OWNED.sql()}), u AS ({USERS.sql()}) SELECT r.id, r.user_id, u.username FROM r LEFT JOIN u ON r.user_id = u.id",
+    "owner_enrich": f"WITH r AS ({STRAY.sql()}), u AS ({ALL_USERS.sql()}) SELECT r.id, r.user_id, u.username FROM r LEFT JOIN u ON r.user_id = u.id",
     "owned_subset": f"WITH r AS ({OWNED.sql()}) SELECT id, status FROM r WHERE user_id = 7 AND id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)",
     "cascade_delete": f"""WITH u AS ({ALL_USERS.sql()}), r AS ({OWNED.sql()}), p AS ({TASK_REPORTS.sql()}), du AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), gone AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM du) OR o_orderpriority = '1-URGENT')
         SELECT 'users' AS table_name, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM u WHERE id NOT IN (SELECT c_custkey FROM du)

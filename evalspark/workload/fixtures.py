@@ -21,17 +21,26 @@ class Fixture:
     source: str
     columns: dict[str, str]
     where: str | None = None
+    more: dict[str, str] | None = None  # source columns of further rows, one on top of each
 
     def frame(self, spark: SparkSession, sf: str) -> DataFrame:
         return self.project(table(spark, sf, self.source))
 
     def project(self, df: DataFrame) -> DataFrame:
+        if self.more:
+            df = df.select(*self.more).union(df.selectExpr(*[f"{e} AS {c}" for c, e in self.more.items()]))
         kept = df.where(self.where) if self.where else df
         return kept.selectExpr(*[f"{e} AS {c}" for c, e in self.columns.items()])
 
     def sql(self) -> str:
         cols = ", ".join(f"{e} AS {c}" for c, e in self.columns.items())
-        return f"SELECT {cols} FROM {self.source}" + (f" WHERE {self.where}" if self.where else "")
+        return f"SELECT {cols} FROM {self.source_sql()}" + (f" WHERE {self.where}" if self.where else "")
+
+    def source_sql(self) -> str:
+        if not self.more:
+            return self.source
+        more = ", ".join(f"{e} AS {c}" for c, e in self.more.items())
+        return f"(SELECT {', '.join(self.more)} FROM {self.source} UNION ALL SELECT {more} FROM {self.source})"
 
 
 def text(expr: str) -> str:
@@ -135,11 +144,18 @@ UPDATES = Fixture("events", {
     "message": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END",
 })
 
+def json_text(expr: str) -> str:
+    """A JSON string literal of a text; ends of line, tabs, quotes and backslashes are escaped."""
+    for char, name in (("92", "92"), ("34", "34"), ("10", "110"), ("13", "114"), ("9", "116")):
+        expr = f"replace({expr}, chr({char}), concat(chr(92), chr({name})))"
+    return f"concat(chr(34), {expr}, chr(34))"
+
+
 DATASETS = Fixture("documents", {
     "id": "doc_id",
     "user_id": "doc_id % 9",
     "filename": f"concat(source, {text('doc_id')}, '.jsonl')",
     "description": "lang",
-    "file_content": f"""concat('{{"meta": {{"meta_description": "', lang, '"}}, "turns": [{{"role": "Human", "text": "q', {text('doc_id')}, '"}}]}}', chr(10), '  ', chr(10), CASE WHEN doc_id % 5 = 0 THEN '{{bad' WHEN doc_id % 5 = 1 THEN '{{"a": 1}} x' ELSE '{{"turns": []}}' END, chr(10), '{{"turns": [{{"role": "Assistant", "text": "', CAST(n_chars AS STRING), '"}}]}}', CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END)""",
+    "file_content": f"""concat('{{"meta": {{"meta_description": "', lang, '"}}, "turns": [{{"role": "Human", "text": "q', {text('doc_id')}, '"}}, {{"role": "Assistant", "text": ', {json_text('text')}, '}}]}}', chr(10), '  ', chr(10), CASE WHEN doc_id % 5 = 0 THEN '{{bad' WHEN doc_id % 5 = 1 THEN '{{"a": 1}} x' ELSE '{{"turns": []}}' END, chr(10), '{{"turns": [{{"role": "Assistant", "text": ', {json_text('text')}, '}}]}}', CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END)""",
     "created_at": f"concat('2024-01-', lpad({text('doc_id % 28 + 1')}, 2, '0'), 'T00:00:00Z')",
 })

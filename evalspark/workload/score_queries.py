@@ -10,7 +10,7 @@ from evalspark.operators.scorers import ifeval, judged, rouge
 from evalspark.operators.scoring import apply_threshold as threshold_rule
 from evalspark.operators.scoring import outcome, register_python_scorer, register_scorer, score
 from evalspark.plans.durable import fresh_path
-from evalspark.workload.fixtures import AGENT, BOXED, JSON, LIST, LIST_JSON, REFUSAL, TEXT, TOOL, Fixture, table
+from evalspark.workload.fixtures import AGENT, BOXED, JSON, LIST, LIST_JSON, REFUSAL, TEXT, TOOL, Fixture, json_text, table
 from evalspark.workload.text_queries import BOXED_SQL, SENTENCES, STRIPPED, WORD, WS, agent_sql, extract_json_sql, nonblank_parts, solution_sql
 
 TURN = ["conv_id", "turn"]
@@ -193,12 +193,18 @@ def _spec(rules) -> str:
     return f"replace('{doc}', '#', CAST(doc_id % 50 AS STRING))"
 
 
-# Whole documents, most of them changed so that no check has one verdict throughout.
-REPLY_TEXT = """CASE doc_id % 9 WHEN 1 THEN concat(chr(34), text, chr(34)) WHEN 2 THEN concat(text, chr(10), 'P.S. one more')
-    WHEN 3 THEN concat('{"a": [1, 2], "n": ', CAST(doc_id AS STRING), '}') WHEN 4 THEN lower(text)
+# Whole documents, most of them changed so that no check has one verdict throughout, and short
+# replies on top of them.
+REPLY_TEXT = f"""CASE doc_id % 9 WHEN 1 THEN concat(chr(34), text, chr(34)) WHEN 2 THEN concat(text, chr(10), 'P.S. one more')
+    WHEN 3 THEN concat('{{"a": [1, 2], "t": ', {json_text('text')}, '}}') WHEN 4 THEN lower(text)
     WHEN 5 THEN concat('# Part 1', chr(10), text, chr(10), chr(10), '# Part 2', chr(10), text)
-    WHEN 6 THEN concat(repeat(concat('- item', chr(10)), 60), '[name] *a* and *b*', chr(10), text) WHEN 7 THEN '   ' WHEN 8 THEN 'ALL CAPS HERE' ELSE text END"""
-CHECKS = Fixture("documents", {"doc_id": "doc_id", "model_output": REPLY_TEXT, "detected_lang": "lang", "reference_output": _spec(RULES)})
+    WHEN 6 THEN concat(repeat(concat('- item', chr(10)), 60), '[name] *a* and *b*', chr(10), text) WHEN 7 THEN concat('   ', text, chr(9), chr(10), ' ')
+    WHEN 8 THEN translate(replace(text, 'ß', 'SS'), 'abcdefghijklmnopqrstuvwxyzäöüéèêçñóíáú', 'ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍÁÚ') ELSE text END"""
+SHORT = {
+    "doc_id": "-1 - doc_id", "lang": "lang",
+    "text": "CASE doc_id % 5 WHEN 0 THEN '   ' WHEN 1 THEN 'ALL CAPS HERE' WHEN 2 THEN concat('{\"n\": ', CAST(doc_id AS STRING), '}') WHEN 3 THEN '' ELSE 'Le' END",
+}
+CHECKS = Fixture("documents", {"doc_id": "doc_id", "model_output": REPLY_TEXT, "detected_lang": "lang", "reference_output": _spec(RULES)}, more=SHORT)
 
 # Three rules per document; some documents carry an empty argument object, a wrong length, or no object.
 PICKS = tuple((RULES[i], RULES[i + 6], RULES[i + 12]) for i in range(6))
@@ -218,7 +224,7 @@ def ifeval_checks(spark, sf):
 
 def ifeval_rollup(spark, sf):
     """Passed checks per document over the long table."""
-    totals = table(spark, sf, "documents").select("doc_id", F.lit(len(RULES)).alias("total"))
+    totals = CHECKS.frame(spark, sf).select("doc_id", F.lit(len(RULES)).alias("total"))
     rolled = ifeval.ifeval_rollup(ifeval.ifeval_checks(CHECKS.frame(spark, sf), ["doc_id"]), totals, ["doc_id"])
     return rolled.select("doc_id", "total", "passed_count")
 
@@ -317,7 +323,12 @@ _LIST = f"""p AS (SELECT o_orderkey, {solution_sql('model_output')} AS got, CASE
         list_filter(list_transform(string_split(want, ','), lambda x: trim(lower(x))), lambda x: x <> '') AS w FROM p),
     s AS (SELECT o_orderkey, CASE WHEN got <> '' AND len(g) = len(w) AND len(list_filter(g, lambda x: NOT list_contains(w, x))) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM q)"""
 
-_DOC = f"d AS (SELECT doc_id, lang, doc_id % 50 AS g, t, lower(t) AS l, lower(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS a FROM (SELECT doc_id, lang, {STRIPPED} AS t FROM (SELECT doc_id, lang, {REPLY_TEXT} AS text FROM documents)))"
+def _doc(source: str) -> str:
+    return f"""d AS (SELECT doc_id, lang, doc_id % 50 AS g, t, lower(t) AS l, lower(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS a FROM (SELECT doc_id, lang, {STRIPPED} AS t
+    FROM (SELECT doc_id, lang, {REPLY_TEXT} AS text FROM {source})))"""
+
+
+_DOC, _DOC_ALL = _doc("documents"), _doc(CHECKS.source_sql())
 _SUM = "CAST(count(*) AS BIGINT) AS total_count, CAST(count(*) FILTER (bad = 0) AS BIGINT) AS correct_count"
 
 ORACLES = {
@@ -367,9 +378,9 @@ ORACLES = {
     "attach_verdicts": f"""WITH fx AS ({BOXED.sql()}), q AS (SELECT *, length('Conversation:' || chr(10) || '[user]: ' || text || chr(10) || chr(10) || 'Reference answer:' || chr(10) || reference_output || chr(10) || chr(10) || 'Model answer:' || chr(10) || model_output) % 3 AS k FROM fx)
         SELECT conv_id, turn, CASE WHEN conv_id % 3 <> 2 THEN CAST(k AS DOUBLE) END AS score, CAST(CASE WHEN conv_id % 3 <> 2 AND k >= 1 THEN 0 ELSE 1 END AS INTEGER) AS is_badcase,
         CASE WHEN conv_id % 3 <> 2 THEN 'so ' || chr(92) || 'boxed{{' || k || '}}' END AS verdict FROM q""",
-    "ifeval_checks": f"WITH {_DOC} " + " UNION ALL ".join(
+    "ifeval_checks": f"WITH {_DOC_ALL} " + " UNION ALL ".join(
         f"SELECT doc_id, CAST({i} AS BIGINT) AS pos, '{rid}' AS instruction_id, coalesce({rule}, false) AS passed FROM d" for i, (rid, _, rule) in enumerate(RULES)),
-    "ifeval_rollup": f"WITH {_DOC} SELECT doc_id, CAST({len(RULES)} AS INTEGER) AS total, " + " + ".join(f"CAST(coalesce({rule}, false) AS BIGINT)" for _, _, rule in RULES) + " AS passed_count FROM d",
+    "ifeval_rollup": f"WITH {_DOC_ALL} SELECT doc_id, CAST({len(RULES)} AS INTEGER) AS total, " + " + ".join(f"CAST(coalesce({rule}, false) AS BIGINT)" for _, _, rule in RULES) + " AS passed_count FROM d",
     "score_ifeval": f"WITH {_DOC}, s AS (SELECT doc_id, CASE WHEN doc_id % 20 >= 18 THEN 0.0 WHEN doc_id % 20 = 17 THEN 1.0 WHEN doc_id % {_NO_ARGS} = 2 THEN 0.0 ELSE CASE doc_id % 6 "
         + " ".join("WHEN {} THEN ({}) / 3.0::DOUBLE".format(i, " + ".join(f"CAST(coalesce({r[2]}, false) AS INT)" for r in p)) for i, p in enumerate(PICKS))
         + f" END END AS score FROM d) SELECT doc_id, round(score, 9) AS score, {_bad('score', 'false', 1.0)} AS is_badcase FROM s",
