@@ -17,7 +17,10 @@ W = r"[\p{L}\p{N}_]"
 D = r"\p{Nd}"
 
 # Fixed value: sentence boundary (whitespace after . or ?, not after abbreviations).
-SENTENCE_BREAK = rf"(?<!{W}\.{W}[^\n])(?<![A-Z][a-z]\.)(?<=\.|\?){S}"
+# The whitespace comes first and the look-behinds reach over it, so that other characters fail at once.
+SENTENCE_BREAK = rf"{S}(?<=[.?]{S})(?<!{W}\.{W}[^\n]{S})(?<![A-Z][a-z]\.{S})"
+# Whitespace that is not one blank already.
+LOOSE = rf" {S}+|[{S}&&[^ ]]{S}*"
 
 
 def strip(text: Column) -> Column:
@@ -29,7 +32,7 @@ def rstrip(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.regexp_replace(strip(text), f"{S}+", " ")
+    return F.regexp_replace(strip(text), LOOSE, " ")
 
 
 def word_count(text: Column) -> Column:

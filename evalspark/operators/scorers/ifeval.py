@@ -37,7 +37,8 @@ BULLET = rf"^([-*]|{D}+\.){S}+"
 HIGHLIGHT = r"\*[^*]+\*|\*\*[^*]+\*\*"
 SECTION = rf"(?md)^{S}*#+{S}+.+"
 PLACEHOLDER = r"(?d)\[.*?\]|<.*?>"
-NO_LOWER_WORD = rf"(?<!{W})([\p{{L}}&&[^\p{{Ll}}]]+)(?!{W})"
+_UPPER = r"[\p{L}&&[^\p{Ll}]]"
+NO_LOWER_WORD = rf"({_UPPER}(?<!{W}{_UPPER}){_UPPER}*)(?!{W})"
 RESPONSE_MARKERS = ("response 1", "response 2", "part 1", "part 2")
 MAX_TITLE = 150
 MIN_LANGUAGE_CHARS = 5

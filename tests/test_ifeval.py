@@ -97,3 +97,25 @@ def test_rollup_equals_score(spark):
     rolled = ifeval_rollup(ifeval_checks(df), df.selectExpr("index", "2 AS total"))
     got = {r["index"]: r["passed_count"] / r["total"] for r in rolled.collect()}
     assert got == {r["index"]: r["score"] for r in score(df, "ifeval_full_scorer").collect()}
+
+
+def test_letter_shares_and_blanks_at_the_edges(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from evalspark.functions import text as T
+    from evalspark.operators.scorers.ifeval import ifeval_checks
+
+    texts = ["aAbB", "KKak", "İi i", "ab ab", "", "é", "a b\n\nc \t d　 e  ", "Dr. Who. Is e.g. it? Yes! no. end", "AB CÄ aB Äb K"]
+    args = [("a", 50), ("k", 50), ("i", 100), ("ab", 50), ("#", 0), ("A", 25)]
+    rows = [(k, t, '{"instruction_id_list": ["keywords:letter_frequency"], "kwargs": [{"letter": "%s", "let_frequency": %d, "let_relation": "at least"}]}' % (a, n)) for k, (t, a, n) in enumerate((t, a, n) for t in texts for a, n in args)]
+    got = {r["index"]: r.passed for r in ifeval_checks(spark.createDataFrame(rows, "index long, model_output string, reference_output string")).collect()}
+    for k, (t, a, n) in enumerate((t, a, n) for t in texts for a, n in args):
+        letters = re.sub("[^a-zA-Z]", "", t.strip())
+        want = bool(letters) and 100 * letters.lower().count(a.lower()) / len(letters) >= n
+        assert got[k] == want, (t, a, n)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.collapse_ws(F.col("t")).alias("c"), T.sentences(F.col("t")).alias("s")).collect():
+        assert r.c == re.sub(r"\s+", " ", r.t.strip())
+        assert r.s == [x.strip() for x in re.split(r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s", r.t) if x.strip()]
