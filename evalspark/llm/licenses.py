@@ -48,8 +48,9 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def normal(text: Column) -> Column:
-    """The words of a text in lower case, joined by one space."""
-    return F.trim(F.lower(F.regexp_replace(text, SEPARATORS + "+", " ")))
+    """The words of a text in lower case, joined by one space. The Kelvin sign, whose lower case
+    is an ASCII letter, becomes another letter first: only A-Z turn into a-z."""
+    return F.trim(F.lower(F.replace(F.regexp_replace(text, SEPARATORS + "+", " "), F.lit("\u212a"), F.lit("\u0138"))))
 
 
 def word_order(words: DataFrame, vocabulary: Sequence[str]) -> list[str]:
@@ -138,17 +139,23 @@ def oracle() -> str:
     lists = {label: sorted(set(t.split())) for label, t in TEMPLATES.items()}
     sql_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     at = {label: f"list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {sql_list(p.split())})" for p, label in PHRASES.items()}
-    blocks = f"list_transform(range(0, greatest(1, len(w) - {BLOCK // 2}), {BLOCK // 2}), lambda s: w[s + 1 : s + {BLOCK}])"
-    share = {label: f"coalesce(list_max(list_transform(b, lambda x: len(list_intersect({sql_list(words)}, x)))), 0)" for label, words in lists.items()}
     hit = lambda k, label: f"t{k} >= {math.ceil(THRESHOLD * len(lists[label]))}"
     labels = lambda parts: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))), ','), '')"
     base = [f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(at)]
     more = [f"CASE WHEN {hit(k, label)} THEN '{label}' END" for k, label in enumerate(lists)]
     best = ", ".join(f"CASE WHEN {hit(k, label)} THEN t{k} / {float(len(words))} ELSE 0.0 END" for k, (label, words) in enumerate(lists.items()))
+    known = ", ".join(f"({k}, '{word}')" for k, words in enumerate(lists.values()) for word in words)
+    best_of = ", ".join(f"coalesce(max(n) FILTER (k = {k}), 0) AS t{k}" for k in range(len(lists)))
+    # The best block may as well start at a word of the template, or is the last one of its text.
     return rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-e AS (SELECT *, {blocks} AS b, {', '.join(f'{x} AS p{k}' for k, x in enumerate(at.values()))} FROM d),
-f AS (SELECT *, {', '.join(f'{x} AS t{k}' for k, x in enumerate(share.values()))}, list_sort(list_concat({', '.join(f'p{k}' for k in range(len(at)))})) AS p FROM e)
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+v(k, word) AS (VALUES {known}),
+hits AS (SELECT r, k, i, word, last FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i, greatest(0, len(w) - {BLOCK}) AS last FROM d) JOIN v USING (word)),
+starts AS (SELECT DISTINCT r, k, least(i, last) AS s FROM hits),
+blocks AS (SELECT r, k, s, count(DISTINCT word) AS n FROM starts JOIN hits USING (r, k) WHERE i BETWEEN s AND s + {BLOCK - 1} GROUP BY ALL),
+best AS (SELECT r, {best_of} FROM blocks GROUP BY r),
+e AS (SELECT *, {', '.join(f'{x} AS p{k}' for k, x in enumerate(at.values()))} FROM d),
+f AS (SELECT e.*, {', '.join(f'coalesce(t{k}, 0) AS t{k}' for k in range(len(lists)))}, list_sort(list_concat({', '.join(f'p{k}' for k in range(len(at)))})) AS p FROM e LEFT JOIN best USING (r))
 SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, p[1]::BIGINT AS first_word, p[-1]::BIGINT AS last_word,
   {labels(base)} AS base_labels, {labels(base + more)} AS labels,
   CASE WHEN len(p) > 0 THEN 1.0 ELSE greatest(0.0, {best}) END::DOUBLE AS score

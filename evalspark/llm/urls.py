@@ -105,7 +105,7 @@ link AS (
     regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canonical,
     regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS refresh
   FROM p),
-found AS (SELECT *, replace(CASE WHEN canonical <> '' THEN canonical WHEN refresh <> '' THEN refresh END, '&amp;', '&') AS f FROM link),
+found AS (SELECT a, host, path, replace(unnest(list_filter([canonical, refresh], lambda x: x <> '')), '&amp;', '&') AS f FROM link),
 target AS (
   SELECT a, CASE WHEN f LIKE '%://%' THEN f WHEN f LIKE '//%' THEN 'x:' || f WHEN f LIKE '/%' THEN 'x://' || host || f
     ELSE 'x://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || f END AS t
