@@ -63,20 +63,23 @@ def _holds(low: Column, keyword: Column) -> Column:
     return F.contains(low, F.lower(keyword))
 
 
-def _letter_share(text: Column, a: _Args) -> Column:
-    letter, target, relation = a.get("letter"), a.get("let_frequency"), a.get("let_relation")
+def _found(passed: Column, measured: Column | None = None) -> Column:
+    """A verdict with the number it rests on, where it rests on one."""
+    measured = F.lit(None) if measured is None else measured
+    return F.struct(F.coalesce(passed, F.lit(False)).alias("passed"), measured.cast("double").alias("measured"))
 
-    def compare(letters: Column) -> Column:
-        share = count_substr(letters, letter) / F.nullif(F.length(letters), F.lit(0)) * 100.0
-        return share.isNotNull() & relation_cmp(share, target, relation)
 
-    return bind(F.regexp_replace(text, "[^a-zA-Z]+", ""), compare)
+def _letter_share(text: Column, a: _Args) -> Column:
+    letter, target, relation = a.get("letter"), a.get("let_frequency"), a.get("let_relation")
+    share = bind(F.regexp_replace(text, "[^a-zA-Z]+", ""), lambda letters: count_substr(letters, letter) / F.nullif(F.length(letters), F.lit(0)) * 100.0)
+    return bind(share, lambda s: _found(s.isNotNull() & relation_cmp(s, target, relation), s))
 
 
 def _capital_words(text: Column, a: _Args) -> Column:
     candidates = F.regexp_extract_all(text, F.lit(NO_LOWER_WORD), F.lit(1))
     shouted = F.filter(candidates, lambda w: (w == F.upper(w)) & (w != F.lower(w)))
-    return (first_word(text) != "") & relation_cmp(F.size(shouted), a.get("capital_frequency"), a.get("relation"))
+    wanted, relation = a.get("capital_frequency"), a.get("relation")
+    return bind(F.size(shouted), lambda n: _found((first_word(text) != "") & relation_cmp(n, wanted, relation), n))
 
 
 def _nth_first_word(text: Column, a: _Args) -> Column:
@@ -102,12 +105,13 @@ def _ends_with(raw: Column, a: _Args) -> Column:
 
 
 def _counted(count: Column, a: _Args, target: str) -> Column:
-    return relation_cmp(count, a.get(target), a.get("relation"))
+    wanted, relation = a.get(target), a.get("relation")
+    return bind(count, lambda n: _found(relation_cmp(n, wanted, relation), n))
 
 
 def _frequency(low: Column, a: _Args) -> Column:
-    keyword = a.get("keyword")
-    return keyword.isNotNull() & relation_cmp(count_low(low, F.lower(keyword)), a.get("frequency"), a.get("relation"))
+    keyword, wanted, relation = a.get("keyword"), a.get("frequency"), a.get("relation")
+    return bind(count_low(low, F.lower(keyword)), lambda n: _found(keyword.isNotNull() & relation_cmp(n, wanted, relation), n))
 
 
 def _language(text: Column, a: _Args, detected: Column) -> Column:
@@ -116,7 +120,7 @@ def _language(text: Column, a: _Args, detected: Column) -> Column:
 
 
 def _rules(raw: Column, text: Column, low: Column, detected: Column) -> dict:
-    """``low`` is ``text`` in lower case. Check id (``:`` written ``_``) -> rule. Ids, argument names and limits are fixed values."""
+    """``low`` is ``text`` in lower case; rules of ``COUNTING`` give ``_found``, the others a verdict. Check id (``:`` written ``_``) -> rule. Ids, argument names and limits are fixed values."""
     return {
         "detectable_format_title": lambda a: F.length(text).between(1, MAX_TITLE) & ~text.rlike(r"[\n\r]"),
         "keywords_existence": lambda a: F.forall(a.words("keywords"), lambda k: _holds(low, k)),
@@ -158,18 +162,32 @@ def _rules(raw: Column, text: Column, low: Column, detected: Column) -> dict:
     }
 
 
+COUNTING = frozenset((
+    "keywords_letter_frequency", "keywords_frequency", "length_constraints_number_words", "length_constraints_number_sentences",
+    "length_constraints_number_paragraphs", "detectable_format_number_bullet_lists", "detectable_format_number_highlighted_sections",
+    "detectable_format_multiple_sections", "detectable_content_number_placeholders", "change_case_capital_word_frequency",
+))
+UNKNOWN, INCOMPLETE = "not implemented", "missing argument"
+
+
 def check(instruction_id: Column, kwarg: Column, raw: Column, text: Column, low: Column, detected: Column | None = None) -> Column:
-    """Whether ``raw`` (``text`` when trimmed, ``low`` in lower case too) follows one instruction. Unknown ids and missing arguments fail."""
+    """(passed, measured, note): whether ``raw`` (``text`` when trimmed, ``low`` in lower case too) follows
+    one instruction, and the count or share that was compared. Unknown ids and missing arguments
+    fail, and ``note`` says so."""
     detected = F.lit(None).cast("string") if detected is None else detected
     name = F.replace(instruction_id, F.lit(":"), F.lit("_"))
-    passed = None
+    found = complete = None
     for rule_id, rule in _rules(raw, text, low, detected).items():
         args = _Args(kwarg)
-        verdict = rule(args)
-        for present in args.needed:
-            verdict = present & verdict
-        passed = F.when(name == rule_id, verdict) if passed is None else passed.when(name == rule_id, verdict)
-    return F.coalesce(passed, F.lit(False))
+        verdict = rule(args) if rule_id in COUNTING else _found(rule(args))
+        present = F.lit(True)
+        for given in args.needed:
+            present = present & given
+        verdict = F.when(present, verdict) if args.needed else verdict
+        found = F.when(name == rule_id, verdict) if found is None else found.when(name == rule_id, verdict)
+        complete = F.when(name == rule_id, present) if complete is None else complete.when(name == rule_id, present)
+    note = F.when(complete.isNull(), UNKNOWN).when(~complete, INCOMPLETE)
+    return bind(found, lambda f: F.struct(F.coalesce(f["passed"], F.lit(False)).alias("passed"), f["measured"].alias("measured"), note.alias("note")))
 
 
 def _has_kwargs(kwarg: Column) -> Column:
@@ -203,11 +221,9 @@ def ifeval(case: Case) -> Column:
     breakdown = F.transform(
         # Instructions without arguments are left out here but stay in the total.
         F.filter(pairs, lambda p: _has_kwargs(p["kwarg"])),
-        lambda p: F.struct(
-            p["id"].alias("instruction_id"),
-            check(p["id"], p["kwarg"], case.model_output, text, low, case.detected_lang).alias("passed"),
-            p["kwarg"].alias("kwargs"),
-        ),
+        lambda p: bind(check(p["id"], p["kwarg"], case.model_output, text, low, case.detected_lang), lambda r: F.struct(
+            p["id"].alias("instruction_id"), r["passed"].alias("passed"), r["measured"].alias("measured"), r["note"].alias("note"), p["kwarg"].alias("kwargs"),
+        )),
     )
     usable = problem.isNull() & (total > 0)
     results = let(F.when(usable, breakdown))
@@ -226,7 +242,7 @@ def ifeval(case: Case) -> Column:
 
 
 def ifeval_checks(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Long table: one row per instruction that carries arguments."""
+    """Long table: one row per instruction that carries arguments, with what was measured."""
     keys = keys or ["index"]
     spec = parse_spec(F.col("reference_output"))
     detected = F.col("detected_lang") if "detected_lang" in df.columns else None
@@ -236,10 +252,10 @@ def ifeval_checks(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     # Judged inside the row: only names and verdicts are exploded, never the texts.
     verdicts = F.transform(pairs, lambda p: F.struct(
         p["id"].alias("id"), _has_kwargs(p["kwarg"]).alias("given"),
-        F.when(_has_kwargs(p["kwarg"]), check(p["id"], p["kwarg"], F.col("model_output"), F.col("_text"), F.col("_low"), detected)).alias("passed"),
+        F.when(_has_kwargs(p["kwarg"]), check(p["id"], p["kwarg"], F.col("model_output"), F.col("_text"), F.col("_low"), detected)).alias("found"),
     ))
     checks = explode_computed(staged, verdicts, "pos", "_v", *keys)
-    return checks.where("_v.given").select(*keys, "pos", F.col("_v.id").alias("instruction_id"), F.col("_v.passed").alias("passed"))
+    return checks.where("_v.given").select(*keys, "pos", F.col("_v.id").alias("instruction_id"), "_v.found.passed", "_v.found.measured", "_v.found.note")
 
 
 def ifeval_rollup(checks: DataFrame, totals: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -222,6 +222,12 @@ def ifeval_checks(spark, sf):
     return ifeval.ifeval_checks(CHECKS.frame(spark, sf), ["doc_id"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "instruction_id", "passed")
 
 
+def ifeval_measured(spark, sf):
+    """The number behind every counting check, and why a check could not be made."""
+    found = ifeval.ifeval_checks(CHECKS.frame(spark, sf), ["doc_id"])
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("measured", 6).alias("measured"), "note")
+
+
 def ifeval_rollup(spark, sf):
     """Passed checks per document over the long table."""
     totals = CHECKS.frame(spark, sf).select("doc_id", F.lit(len(RULES)).alias("total"))
@@ -249,7 +255,7 @@ QUERIES = {
     "score_refusal": _scored(REFUSAL, "reject", ORDER, 0.5),
     **{f.__name__: f for f in (
         score_rouge, score_rouge_n, score_rouge_l, score_str_check, apply_threshold, run_summary, run_summary_rouge, run_summary_appended, run_summary_rouge_appended, badcases,
-        run_results, custom_scorer, custom_python_scorer, attach_verdicts, ifeval_checks, ifeval_rollup, score_ifeval,
+        run_results, custom_scorer, custom_python_scorer, attach_verdicts, ifeval_checks, ifeval_measured, ifeval_rollup, score_ifeval,
     )},
 }
 
@@ -387,3 +393,20 @@ ORACLES = {
 }
 ORACLES["run_summary_appended"] = ORACLES["run_summary"]
 ORACLES["run_summary_rouge_appended"] = ORACLES["run_summary_rouge"]
+
+
+def _measured(rule_id: str, sql: str) -> str:
+    """The number in a rule's SQL, which compares it last."""
+    if rule_id.replace(":", "_") not in ifeval.COUNTING or sql == "false":
+        return "CAST(NULL AS DOUBLE)"
+    if rule_id == "keywords:letter_frequency":
+        return "CASE WHEN length(a) > 0 THEN (length(a) - length(replace(a, 'e', ''))) / length(a) * 100.0 END"
+    return sql.rsplit(" ", 2)[0]
+
+
+def _note(rule_id: str, sql: str) -> str:
+    return "CAST(NULL AS VARCHAR)" if sql != "false" else "'not implemented'" if rule_id.startswith("unknown") else "'missing argument'"
+
+
+ORACLES["ifeval_measured"] = f"WITH {_DOC_ALL} " + " UNION ALL ".join(
+    f"SELECT doc_id, CAST({i} AS BIGINT) AS pos, round(CAST({_measured(rid, sql)} AS DOUBLE), 6) AS measured, {_note(rid, sql)} AS note FROM d" for i, (rid, _, sql) in enumerate(RULES))

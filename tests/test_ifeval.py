@@ -119,3 +119,19 @@ def test_letter_shares_and_blanks_at_the_edges(spark):
     for r in df.select("t", T.collapse_ws(F.col("t")).alias("c"), T.sentences(F.col("t")).alias("s")).collect():
         assert r.c == re.sub(r"\s+", " ", r.t.strip())
         assert r.s == [x.strip() for x in re.split(r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s", r.t) if x.strip()]
+
+
+def test_breakdown_says_what_was_measured(spark):
+    import json
+
+    from evalspark.operators.scoring import score
+
+    spec = {
+        "instruction_id_list": ["length_constraints:number_words", "keywords:letter_frequency", "punctuation:no_comma", "no:such", "keywords:frequency", "keywords:letter_frequency"],
+        "kwargs": [{"num_words": 3, "relation": "at least"}, {"letter": "a", "let_frequency": 90, "let_relation": "at least"}, {"x": 1}, {"x": 1}, {"keyword": "a"}, {"letter": "a", "let_frequency": "much", "let_relation": ""}],
+    }
+    df = spark.createDataFrame([(1, "Aa bb, a", json.dumps(spec))], "index long, model_output string, reference_output string")
+    row = score(df, "ifeval_full_scorer").first()
+    got = [(r.passed, r.measured, r.note) for r in row.details.instruction_breakdown]
+    assert got == [(True, 3.0, None), (False, 60.0, None), (False, None, None), (False, None, "not implemented"), (False, None, "missing argument"), (False, 60.0, None)]
+    assert (row.score, row.is_badcase) == (1 / 6, 1)
