@@ -2,15 +2,15 @@
 
 Each source's words are packed, text after text, into blocks of ``block`` words. A target says
 how many words of a source the mix takes, which makes so many slots. Every output shard draws
-how many of its slots each source gets: multinomial draws, conditioned on the sum over all
-shards being the target (a multivariate hypergeometric), so targets are met and no block is used
-more often than they ask. The slots of a source are numbered through the shards; a keyed
+how many of its slots each source gets: a multinomial draw by the slots that are left, settled to
+them, so that over all shards targets are met and no block is used more often than they ask. The slots of a source are numbered through the shards; a keyed
 permutation of the block numbers, one per pass over the source, says which block fills a slot.
 Slots and blocks then meet in a join on (source, block).
 
-The driver holds one row per source, and up to shards x sources counts; the sources are broadcast.
-How many sources there are comes from the data and is not bounded here, so they must be few: a
-column of hosts or urls is no source.
+The driver holds one row per source, and up to shards x sources counts. How many sources there are
+comes from the data and is not bounded here, so they must be few: a column of hosts or urls is no
+source. Slots are cut into ranges of ``RANGE`` before they become rows, so a source may have any
+number of them.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import map_batches
-from evalspark.plans.durable import durable
+from evalspark.plans.durable import durable, stored
 from evalspark.plans.numbering import number_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -33,6 +33,7 @@ MOST = 2.0
 BLOCK = 64
 SHARDS = 64
 SEED = 20
+RANGE = 1 << 20  # slots listed by one row
 
 
 def word_count(text: Column) -> Column:
@@ -87,7 +88,8 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"),
         F.col(source_col).isNull().alias("_none"), F.xxhash64(id_col, text_col).alias("_mixed"),
     )
-    numbered = number_rows(narrow, ["_none", "_source", "_mixed", "_id", "_size"], out="_n", weight="_size", weight_out="_start")
+    # Stored first: numbering reads its input more than once, the texts are counted once.
+    numbered = number_rows(stored(narrow, "sizes"), ["_none", "_source", "_mixed", "_id", "_size"], out="_n", weight="_size", weight_out="_start")
     return durable(numbered.select("_id", "_source", "_size", "_n", "_start"))
 
 
@@ -104,7 +106,7 @@ def plan(numbered: DataFrame, weights: Sequence[float], share: float, most: floa
 def pieces(numbered: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     """(sid, block, _n, _id, first, words): which words of a row lie in which block of its
     source. Rows without words have no piece."""
-    own = numbered.where("_size > 0").join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("source"))).withColumn("_from", F.col("_start") - F.col("begin"))
+    own = numbered.where("_size > 0").join(sources, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_from", F.col("_start") - F.col("begin"))
     cut = own.select("*", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("_size") - 1) / block))).alias("block"))
     lo = F.greatest(F.col("_from"), F.col("block") * block)
     hi = F.least(F.col("_from") + F.col("_size"), (F.col("block") + 1) * block)
@@ -118,16 +120,19 @@ def draw(counts: Sequence[int], shards: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     for shard in range(shards):
         size = -(-int(left.sum()) // (shards - shard))
-        out[shard] = rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() < 10**9 else hypergeometric_large(rng, left, size)
+        if size:
+            out[shard] = settled(rng.multinomial(size, left / left.sum()), left, size)
         left -= out[shard]
     return out
 
 
-def hypergeometric_large(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
-    """Multinomial draw settled to the slots that are left, for counts beyond the exact sampler."""
-    part = np.minimum(rng.multinomial(size, left / left.sum()), left)
-    for k in np.argsort(-(left - part)):
-        part[k] += min(size - part.sum(), left[k] - part[k])
+def settled(part: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
+    """A draw cut to the slots that are left, its lack given to the sources with most of them."""
+    part = np.minimum(part, left)
+    order = np.argsort(-(left - part), kind="stable")
+    spare = (left - part)[order]
+    upto = np.minimum(np.cumsum(spare), size - part.sum())
+    part[order] += np.diff(upto, prepend=0)
     return part
 
 
@@ -145,7 +150,9 @@ def mixture(numbered: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     across = np.cumsum(drawn, axis=1) - drawn
     rows = [(h, s["sid"], s["blocks"], int(before[h, k]), int(drawn[h, k]), int(across[h, k])) for h in range(shards) for k, s in enumerate(sources) if drawn[h, k]]
     counts = spark.createDataFrame(rows, "shard int, sid int, blocks long, number long, n long, at long")
-    slots = counts.repartition(shards, "shard").select("shard", "sid", "blocks", "number", "at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("shard", "sid", "blocks", (F.col("number") + F.col("k")).alias("number"), (F.col("at") + F.col("k")).alias("slot"))
+    ranges = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE).cast("long"))).alias("_lo")).repartition(shards, "shard", "sid", "_lo")
+    listed = F.explode(F.sequence(F.col("_lo"), F.least(F.col("n"), F.col("_lo") + RANGE) - 1)).alias("k")
+    slots = ranges.select("shard", "sid", "blocks", "number", "at", listed).select("shard", "sid", "blocks", (F.col("number") + F.col("k")).alias("number"), (F.col("at") + F.col("k")).alias("slot"))
 
     def step(batch: pa.RecordBatch) -> dict:
         sid, size, number = (batch.column(c).to_numpy().astype(np.int64) for c in ("sid", "blocks", "number"))
@@ -174,7 +181,7 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     used = durable(mix.groupBy("_n").agg(F.sum("words").alias("taken")))
     named = numbered.sparkSession.createDataFrame([(s["source"], s["size"], s["target"]) for s in sources], "name string, source_size long, target double")
     return (
-        numbered.join(F.broadcast(named), F.col("_source").eqNullSafe(F.col("name")))
+        numbered.join(named, F.col("_source").eqNullSafe(F.col("name")))
         .join(used, "_n", "left")
         .select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     )

@@ -50,7 +50,74 @@ def test_permutations_hit_every_place_once():
 def test_draws_sum_to_the_counts():
     drawn = mixing.draw([7, 0, 5000, 31], 9, 1)
     assert drawn.sum(axis=0).tolist() == [7, 0, 5000, 31] and np.ptp(drawn.sum(axis=1)) <= 1
-    assert mixing.hypergeometric_large(np.random.default_rng(0), np.array([5, 10**9]), 10**6).sum() == 10**6
+    counts = [5, 10**11, 0, 3 * 10**10 + 7, 1]
+    drawn = mixing.draw(counts, 64, 2)
+    assert drawn.min() >= 0 and drawn.sum(axis=0).tolist() == counts and np.ptp(drawn.sum(axis=1)) <= 1
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        left = rng.integers(0, 9, 6)
+        size = int(rng.integers(0, left.sum() + 1))
+        part = mixing.settled(rng.multinomial(size, np.full(6, 1 / 6)), left, size)
+        assert part.sum() == size and (part >= 0).all() and (part <= left).all()
+
+
+def test_mix_equals_brute_force(spark, monkeypatch):
+    """Packing, draws, permutations and the join, one word at a time."""
+    import xxhash
+
+    monkeypatch.setattr(mixing, "RANGE", 7)
+    rows = [(k, "s%d" % (k % 3) if k % 5 else None, "w " * (k * 7 % 40)) for k in range(120)] + [(7, "s1", "w " * 9)] * 2 + [(None, "s2", "x y"), (500, "s0", None), (501, "s0", "v " * 300)]
+    docs = sources_frame(spark, rows)
+    block, shards = 16, 5
+    order = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")).alias("n")).collect()
+    words = {}
+    for k, r in sorted(enumerate(order), key=lambda x: (x[1].source is None, x[1].source or "", x[1].h, x[1].doc_id is not None, x[1].doc_id or 0, x[1].n)):
+        words.setdefault(r.source, []).extend([k] * r.n)
+    names = sorted(words, key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([len(words[s]) for s in names])
+    cut = [[words[s][at : at + block] for at in range(0, len(words[s]), block)] for s in names]
+    slots = [min(round(t / (len(words[s]) / len(c))), 2 * len(c)) for s, t, c in zip(names, goal, cut)]
+    drawn = mixing.draw(slots, shards, mixing.SEED)
+    taken = [0] * len(order)
+    for k, blocks in enumerate(cut):
+        for number in range(int(drawn[:, k].sum())):
+            key = xxhash.xxh64_intdigest(b"%d %d" % (k, number // len(blocks)), mixing.SEED)
+            at = mixing.permuted(np.array([number % len(blocks)]), np.array([len(blocks)]), np.array([key], np.uint64))[0]
+            for owner in blocks[at]:
+                taken[owner] += 1
+    key = lambda i, s, t: (i is not None, i or 0, s or "", t)
+    got = mixing.taken_words(docs, block=block, shards=shards).collect()
+    assert sorted(key(r.doc_id, r.source, r.taken) for r in got) == sorted(key(r.doc_id, r.source, t) for r, t in zip(order, taken))
+    # Every slot of every shard is filled once.
+    plan, mix = mixing.mixture(mixing.sized(docs, "doc_id", "text", "source"), block=block, shards=shards)
+    places = {(r.shard, r.slot) for r in mix.select("shard", "slot").distinct().collect()}
+    assert places == {(h, s) for h in range(shards) for s in range(int(drawn[h].sum()))} and sum(p["slots"] for p in plan) == len(places)
+
+
+def test_score_equals_plain_loops():
+    """Embeddings averaged over a word's n-grams and a text's words, then the softmax."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model()
+    model.embedding[:] = rng.normal(size=model.embedding.shape)
+    model.softmax[:], model.bias[:] = rng.normal(size=(2, toxicity.DIM)), (0.3, -0.2)
+    hasher = toxicity.Hasher()
+
+    def bucket(data, more):
+        units = [int(hasher.byte[b]) for b in data]
+        total = sum(u * pow(toxicity.Hasher.__init__.__globals__["BASE"], k, 1 << 64) for k, u in enumerate(units)) % (1 << 64)
+        return int(toxicity.mix(np.array([(total + more) % (1 << 64)], np.uint64))[0]) % toxicity.BUCKETS
+
+    texts = ["You, FOOL! be", "a", "", None, "é Straße 123 x", "one " * 70_000]
+    for text, got in zip(texts, model.scorer().score(toxicity.pa.array(texts), hasher)):
+        vectors = []
+        for word in toxicity.clean(text).split()[:50]:
+            edged = b" " + word + b" "
+            places = [bucket(word, 0)] + [bucket(edged[i : i + n], n) for n in toxicity.GRAMS for i in range(len(edged) - n + 1)]
+            vectors.append(np.mean([model.embedding[p] for p in places], axis=0))
+        hidden = np.mean(vectors, axis=0) if vectors else np.zeros(toxicity.DIM)
+        logits = model.softmax @ hidden + model.bias
+        want = np.exp(logits[1]) / np.exp(logits).sum()
+        assert got == pytest.approx(want, rel=1e-3)
 
 
 def brute_vectors(rows, cosine):

@@ -92,3 +92,38 @@ def test_sliding_min():
     v = np.random.default_rng(0).integers(0, 99, 57).astype(np.uint64)
     for w in (1, 2, 5, 57):
         assert sliding_min(v, w).tolist() == [v[i : i + w].min() for i in range(len(v) - w + 1)]
+
+
+def brute_bytes(texts, window):
+    seen = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - window + 1):
+            seen.setdefault(t[p : p + window], []).append((i, p))
+    out = [set() for _ in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, p in places:
+                out[i].update(range(p, p + window))
+    return out
+
+
+def test_production_windows_equal_brute_force(spark):
+    """400 bytes and 35 words, passages around both lengths, overlaps and repeats in one text."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdeéfgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passages = [words(n) for n in (34, 35, 36, 60, 75, 140)]
+    data = [words(rng.randint(0, 60)) for _ in range(4)]
+    for k in range(14):
+        p = passages[k % 6]
+        cut = p.split()[: rng.randint(30, 200)] if k % 3 else p.split()
+        data.append(words(rng.randint(0, 30)) + " " + " ".join(cut) + " " + words(rng.randint(0, 30)))
+    data += [data[5], data[6] + " " + data[6], "ab " * 400, "x" * 399, "x" * 400, "x" * 401, "", None]
+    rows = [(k, t) for k, t in enumerate(data)]
+    raw = [(t or "").encode() for t in data]
+    gone = brute_bytes(raw, 400)
+    got = {r._row.doc_id: bytes(r.kept) for r in bwt.drop_repeats(frame(spark, rows), "doc_id").collect()}
+    assert got == {k: bytes(b for j, b in enumerate(t) if j not in g) for k, (t, g) in enumerate(zip(raw, gone))} and sum(map(len, gone)) > 4000
+    units = [t.split() for t in raw]
+    gone = brute(units, 35)
+    got = {r._row.doc_id: bytes(r.kept) for r in debruijn.drop_repeats(frame(spark, rows), "doc_id").collect()}
+    assert got == {k: b" ".join(w for j, w in enumerate(u) if j not in g) for k, (u, g) in enumerate(zip(units, gone))} and sum(map(len, gone)) > 500
