@@ -104,20 +104,24 @@ class Model:
         self.bias = np.zeros(2, np.float32)
 
     def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 256, seed: int = 7) -> Model:
-        """Adagrad on the weighted cross entropy of both layers together."""
+        """Adagrad on the weighted cross entropy of both layers together. Bags are dealt into
+        batches once, and each epoch takes the batches in another order; so the places of a batch are
+        sorted once, and sums over bags and over buckets are sums of neighbours. ``bags`` is
+        emptied on the way."""
         rng = np.random.default_rng(seed)
         seen_e = np.full(BUCKETS, 1e-6, np.float32)
         seen_w, seen_b = np.full((2, DIM), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+        order, batches = rng.permutation(len(bags)), []
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            batches.append((rows, *self._dealt([bags[r] for r in rows])))
+            for r in rows:
+                bags[r] = None
         for _ in range(epochs):
-            order = rng.permutation(len(bags))
-            for at in range(0, len(order), batch):
-                rows = order[at : at + batch]
-                size = [len(bags[r][0]) for r in rows]
-                place = np.concatenate([bags[r][0] for r in rows])
-                share_of = np.concatenate([bags[r][1] for r in rows])
-                owner = np.repeat(np.arange(len(rows)), size)
-                vectors = self.embedding[place] * share_of[:, None]
-                hidden = np.stack([np.bincount(owner, vectors[:, d], len(rows)) for d in range(DIM)], axis=1)
+            for k in rng.permutation(len(batches)):
+                rows, place, share_of, size, by_bucket, touched, runs = batches[k]
+                starts = np.cumsum(size) - size
+                hidden = np.add.reduceat(self.embedding[place] * share_of[:, None], starts, axis=0)
                 logits = hidden @ self.softmax.T + self.bias
                 logits -= logits.max(axis=1, keepdims=True)
                 p = np.exp(logits)
@@ -125,11 +129,10 @@ class Model:
                 error = p.copy()
                 error[np.arange(len(rows)), labels[rows]] -= 1
                 error *= (weight[rows] / len(rows))[:, None]
-                back = error @ self.softmax
+                back = (error @ self.softmax).astype(np.float32)
                 grad_w, grad_b = error.T @ hidden, error.sum(axis=0)
-                touched, inverse = np.unique(place, return_inverse=True)
-                push = back[owner] * share_of[:, None]
-                grad_e = np.stack([np.bincount(inverse, push[:, d], len(touched)) for d in range(DIM)], axis=1)
+                owner = np.repeat(np.arange(len(rows)), size)[by_bucket]
+                grad_e = np.add.reduceat(back[owner] * share_of[by_bucket, None], runs, axis=0)
                 seen_e[touched] += (grad_e**2).mean(axis=1)
                 seen_w += grad_w**2
                 seen_b += grad_b**2
@@ -138,6 +141,16 @@ class Model:
                 self.bias -= rate * 0.2 * grad_b / np.sqrt(seen_b)
         return self
 
+    @staticmethod
+    def _dealt(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """Places and weights of a batch, sizes of its bags, the order of its places by bucket, the
+        buckets, and where the run of each begins in that order."""
+        place, share_of = (np.concatenate(parts) for parts in zip(*bags))
+        by_bucket = np.argsort(place, kind="stable").astype(np.int32)
+        ordered = place[by_bucket]
+        runs = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        return place, share_of, np.array([len(b[0]) for b in bags]), by_bucket, ordered[runs], runs.astype(np.int32)
+
     def prior(self, toxic: int, clean: int) -> Model:
         """Without both kinds, every text gets the share of toxic rows, smoothed towards clean."""
         self.embedding[:] = 0
