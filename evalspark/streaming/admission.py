@@ -164,9 +164,9 @@ class Admit(StatefulProcessor):
 
     State, per key, in entries of their own, so that a batch reads and writes only those it needs:
     ``waiting``: a slot of time -> its events so far; ``ring``: 0..n-1 -> the times accepted last, in a
-    ring; ``count``: how many were accepted. An event is accepted iff the n-th accepted time before
+    ring; ``count``: how many were accepted, and when the ring is looked at again. An event is accepted iff the n-th accepted time before
     it has left the window, which is one entry. A slot's timer fires when no more of its events can
-    come; another timer drops the ring when the last accepted time leaves the window.
+    come; one more timer per key drops the ring when the last accepted time has left the window.
     """
 
     def __init__(self, key: str, tie: str, ts: str, tie_type: str, window_us: int, n: int):
@@ -176,7 +176,7 @@ class Admit(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "slot bigint", f"us array<bigint>, tie array<{self.tie_type}>")
         self.ring = handle.getMapState("ring", "at int", "us bigint")
-        self.count = handle.getValueState("count", "accepted bigint, last_us bigint")
+        self.count = handle.getValueState("count", "accepted bigint, last_us bigint, timer bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
@@ -194,11 +194,12 @@ class Admit(StatefulProcessor):
         fired = expiredTimerInfo.getExpiryTimeInMs()
         slot = fired * 1000 // SLOT_US - 1
         held = self.waiting.getValue((slot,)) if self._due(slot) == fired else None
-        accepted, last = (self.count.get() if self.count.exists() else None) or (0, None)
+        state = self.count.get() or (0, None, None)
+        accepted, last, timer = state
         if held:
             self.waiting.removeKey((slot,))
             ready = sorted(zip(held[0], held[1]))
-            verdicts, before = [], accepted
+            verdicts = []
             for at, _ in ready:
                 oldest = self.ring.getValue((accepted % self.n,))[0] if accepted >= self.n else None
                 ok = oldest is None or at - oldest >= self.window_us
@@ -206,16 +207,22 @@ class Admit(StatefulProcessor):
                 if ok:
                     self.ring.updateValue((accepted % self.n,), (at,))
                     accepted, last = accepted + 1, at
-            if accepted > before:
-                self.count.update((accepted, last))
-                self.handle.registerTimer(self._over(last))
             yield pd.DataFrame({
                 self.key: [key[0]] * len(ready), self.tie: [name for _, name in ready],
                 self.ts: pd.to_datetime([at for at, _ in ready], unit="us"), "accepted": verdicts,
             })
-        if last is not None and self._over(last) <= fired:  # nothing accepted can matter any more
+        if last is None:
+            return
+        over = self._over(last)
+        if timer is not None and over <= fired:  # nothing accepted can matter any more
             self.ring.clear()
             self.count.clear()
+            return
+        if timer is None or timer <= fired:
+            timer = over
+            self.handle.registerTimer(timer)
+        if (accepted, last, timer) != state:
+            self.count.update((accepted, last, timer))
 
     def close(self) -> None:
         pass
