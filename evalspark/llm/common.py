@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -24,7 +25,21 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dic
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(step(batch))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving freed memory back at the end of its task: workers are
+    kept for later tasks, and several of them share a machine with the executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+    return whole
 
 
 def row_and_text(docs: DataFrame, keep: Sequence[str], text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:

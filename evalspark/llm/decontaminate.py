@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import row_and_text, utf8
+from evalspark.llm.common import row_and_text, trimmed, utf8
 from evalspark.plans.durable import durable
 
 WINDOW = 13
@@ -111,10 +111,10 @@ def find_passages(docs: DataFrame, items: DataFrame, *keep: str, text_col: str =
         following = next(passes, None)
         if following is None:
             break
-        found = durable(found.mapInArrow(_pass(docs.sparkSession, shard, window, texts), found.schema))
+        found = durable(found.mapInArrow(trimmed(_pass(docs.sparkSession, shard, window, texts)), found.schema))
         shard = following
     schema = f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<struct<lo:long,hi:long>>"
-    return found.mapInArrow(_last(docs.sparkSession, shard, window, texts), schema)
+    return found.mapInArrow(trimmed(_last(docs.sparkSession, shard, window, texts)), schema)
 
 
 def _scan(batch: pa.RecordBatch, texts: pa.Array, matcher: Matcher):

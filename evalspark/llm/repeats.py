@@ -28,15 +28,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import utf8
+from evalspark.llm.common import trimmed, utf8
 from evalspark.plans.durable import Scratch, stored
 
-SEGMENT = 1 << 18  # units hashed at once; longer texts are cut with an overlap of a window
+SEGMENT = 1 << 17  # units hashed at once; longer texts are cut with an overlap of a window
 PLACE = (1 << 24) - 1  # low bits of a packed minimum hold its place, the others its hash
 RUN = "_tkey long, _size long, pos long, mkey long, fkey long"
 SHORT = 10  # bits of a run's length and anchor in ``pos``, behind its place
 MAP_BITS = 1 << 26  # of the bitmap that spares texts without repeats their shuffle: 8 MB at any scale
-OUTPUT = 4 << 20  # bytes of kept text per output batch
+OUTPUT = 1 << 20  # bytes of kept text per output batch
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -189,7 +189,7 @@ class Repeats:
                 pos = (found["at"] << 2 * SHORT) | (found["n"] << SHORT) | found["off"]
                 yield pa.RecordBatch.from_pydict({"_tkey": keys[doc], "_size": sizes[doc], "pos": pos, "mkey": found["mkey"], "fkey": found["fkey"]})
 
-        return self.docs.select(F.col(self.text_col)).mapInArrow(run, RUN)
+        return self.docs.select(F.col(self.text_col)).mapInArrow(trimmed(run), RUN)
 
     def texts(self, *keep: str) -> DataFrame:
         row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(True).alias("_"))
@@ -211,7 +211,7 @@ class Repeats:
                     )
 
         narrow = self.texts(*keep)
-        return narrow.mapInArrow(run, f"_row {narrow.schema[0].dataType.simpleString()}, _tkey long, _size long, _z binary")
+        return narrow.mapInArrow(trimmed(run), f"_row {narrow.schema[0].dataType.simpleString()}, _tkey long, _size long, _z binary")
 
     def branchings(self, classes: DataFrame) -> DataFrame:
         """(mkey, kinds): anchors with several kinds of run, one of them without a copy."""
@@ -249,7 +249,7 @@ class Repeats:
 
         # One copy of each text is enough, and it is chosen before the text travels.
         once = self.packed(bitmap(wanted)).groupBy("_tkey", "_size").agg(F.first("_z").alias("_z"))
-        return once.join(wanted, ["_tkey", "_size"]).select("_z", "_runs").mapInArrow(run, schema)
+        return once.join(wanted, ["_tkey", "_size"]).select("_z", "_runs").mapInArrow(trimmed(run), schema)
 
     def spans(self, branches: Callable[[Repeats, DataFrame], DataFrame]) -> DataFrame:
         """(_tkey, _size, _runs): per text its runs with repeated windows; ``ks`` null is all."""
@@ -322,7 +322,7 @@ class Repeats:
                 yield from finish(batch.column(0), ((press.decompress(z), runs) for z, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
 
         met = self.packed(only, *keep).join(spans, ["_tkey", "_size"], "left").select("_row", "_z", "_runs")
-        return narrow.mapInArrow(untouched, schema).union(met.mapInArrow(joined, schema))
+        return narrow.mapInArrow(trimmed(untouched), schema).union(met.mapInArrow(trimmed(joined), schema))
 
 
 def unpack(pos: int) -> tuple[int, int, int]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import components, local_roots, map_batches, utf8, whole_groups
+from evalspark.llm.common import components, local_roots, map_batches, trimmed, utf8, whole_groups
 from evalspark.plans.durable import durable, stored
 
 BITS = 4
@@ -30,7 +30,7 @@ SHINGLE = 4
 SEED = 42
 PIVOTS = 24
 CHUNK = 4096
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def simhash(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -134,7 +134,7 @@ def links(fps: DataFrame, bits: int = BITS, pivot_count: int = PIVOTS, chunk: in
             if len(child):
                 yield pa.RecordBatch.from_pydict({"a": fp[child].view(np.int64), "b": fp[root[child]].view(np.int64)})
 
-    return met.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
+    return met.repartition(*names).sortWithinPartitions(*names).mapInArrow(trimmed(run), "a long, b long")
 
 
 def fingerprint_classes(marked: DataFrame, id_col: str, bits: int) -> DataFrame:

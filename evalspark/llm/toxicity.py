@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import row_and_text
+from evalspark.llm.common import row_and_text, trimmed
 from evalspark.llm.decontaminate import WORD_BYTES
 from evalspark.llm.repeats import Hasher, mix, text_key
 
@@ -33,7 +33,7 @@ EPOCHS = 8
 RATE = 1.0
 SEGMENT = 16  # words
 WEIGHT = {"toxic": 0.3, "clean": 0.25, "segment": 0.45}
-PART = 1 << 18  # bytes of text worked on at once
+PART = 1 << 17  # bytes of text worked on at once
 
 
 def clean(text: str | None) -> bytes:
@@ -119,8 +119,9 @@ class Model:
                 bags[r] = None
         for _ in range(epochs):
             for k in rng.permutation(len(batches)):
-                rows, place, share_of, size, by_bucket, touched, runs = batches[k]
-                starts = np.cumsum(size) - size
+                rows, share_of, size, by_bucket, touched, runs = batches[k]
+                starts, place = np.cumsum(size) - size, np.empty(len(by_bucket), np.int32)
+                place[by_bucket] = np.repeat(touched, np.diff(np.append(runs, len(by_bucket))))
                 hidden = np.add.reduceat(self.embedding[place] * share_of[:, None], starts, axis=0)
                 logits = hidden @ self.softmax.T + self.bias
                 logits -= logits.max(axis=1, keepdims=True)
@@ -143,13 +144,13 @@ class Model:
 
     @staticmethod
     def _dealt(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-        """Places and weights of a batch, sizes of its bags, the order of its places by bucket, the
-        buckets, and where the run of each begins in that order."""
+        """Weights of a batch, sizes of its bags, the order of its places by bucket, the buckets, and
+        where the run of each begins in that order: enough to tell the places."""
         place, share_of = (np.concatenate(parts) for parts in zip(*bags))
         by_bucket = np.argsort(place, kind="stable").astype(np.int32)
         ordered = place[by_bucket]
         runs = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        return place, share_of, np.array([len(b[0]) for b in bags]), by_bucket, ordered[runs], runs.astype(np.int32)
+        return share_of, np.array([len(b[0]) for b in bags]), by_bucket, ordered[runs], runs.astype(np.int32)
 
     def prior(self, toxic: int, clean: int) -> Model:
         """Without both kinds, every text gets the share of toxic rows, smoothed towards clean."""
@@ -259,7 +260,7 @@ def with_scores(docs: DataFrame, model: Model, *keep: str, text_col: str = "text
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict({"_row": batch.column(0), "score": pa.array(Scorer(*sent.value).score(texts(batch), hasher), pa.float64())})
 
-    return narrow.mapInArrow(run, f"_row {narrow.schema[0].dataType.simpleString()}, score double")
+    return narrow.mapInArrow(trimmed(run), f"_row {narrow.schema[0].dataType.simpleString()}, score double")
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -97,7 +97,7 @@ def test_registered_queries_and_the_rest_without_them(spark, sf_dir, monkeypatch
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d", n)} >= set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d", n)} == set(range(1, 14))
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     left = set(importlib.reload(entry).queries())
