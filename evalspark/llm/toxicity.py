@@ -29,7 +29,7 @@ GRAMS = (3, 4, 5)
 SAMPLE = 4000
 SAMPLE_WORDS = 1_000_000
 THRESHOLD = 0.5
-EPOCHS = 8
+EPOCHS = 16
 RATE = 1.0
 SEGMENT = 16  # words
 WEIGHT = {"toxic": 0.3, "clean": 0.25, "segment": 0.45}
