@@ -11,7 +11,6 @@ more characters over letters and digits, 99 in 100 have fewer than 2 characters
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections.abc import Iterator
 
@@ -48,9 +47,8 @@ def harmless(run: str) -> bool:
     return all(PART.fullmatch(p) for p in SEPARATORS.split(body))
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str):
-    """The vocabulary, read once per worker process."""
+    """The vocabulary, read once per task."""
     import tiktoken
 
     with open(path, "rb") as lines:
