@@ -18,6 +18,7 @@ def load_scorers(spark: SparkSession, path: str) -> list[str]:
     Returns the names it registered. A file that is missing or fails to import warns, registers
     nothing and ships nothing. The file is known by its name, here and on the executors, where its
     functions are imported from the shipped copy; so a changed file needs a new name in a running session.
+    What the file imports, this package included, must be installed on the executors.
     """
     name = os.path.splitext(os.path.basename(path))[0]
     if not os.path.isfile(path):
