@@ -15,8 +15,8 @@ PARTS = 6  # files, and so batches, of the live run state
 
 
 def _stream(spark, sf, name):
-    files = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(sf)
+    # As a pattern the path may be one file or a folder of files; a plain one must be a folder.
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name[:-1]}[{name[-1]}].parquet")
 
 
 def stream_scoring(spark, sf):

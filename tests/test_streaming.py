@@ -131,6 +131,20 @@ def test_stream_scoring_equals_batch_and_restarts(spark, tmp_path, name):
     assert got == want
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_scoring_reads_a_file_or_a_folder(spark, tmp_path, files):
+    from evalspark.workload.stream_queries import stream_scoring
+
+    rows = spark.createDataFrame([(k // 4, k % 4, "user", f"text {k}") for k in range(40)], "conv_id long, turn long, role string, text string")
+    written, at = tmp_path / "written", tmp_path / "sf" / "conversations.parquet"
+    rows.repartition(files).write.parquet(str(written))
+    at.parent.mkdir()
+    (next(written.glob("part-*.parquet")) if files == 1 else written).rename(at)
+    rows.write.parquet(str(tmp_path / "sf" / "other.parquet"))
+    got = sorted((r.conv_id, r.turn) for r in stream_scoring(spark, str(tmp_path / "sf")).collect())
+    assert got == [(k // 4, k % 4) for k in range(40)]
+
+
 def test_state_stream_equals_batch(spark, tmp_path):
     schema = "task_id long, ts timestamp, event_id long, status string, current long, message string"
     rows = [(i % 4, BASE + dt.timedelta(seconds=(i * 37) % 101), i, None if i % 3 == 0 else f"s{i}", i, None if i % 2 else f"m{i}") for i in range(60)]
