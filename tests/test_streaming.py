@@ -111,6 +111,70 @@ def test_admission_stream_restarts_and_keeps_little(spark, tmp_path):
     assert max(sizes[:2]) <= 200 + 3 * 6 and sizes[2] <= 3 * 6
 
 
+class Handle:
+    """State of one key in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getMapState(self, *_):
+        return self._state({})
+
+    getValueState = getMapState
+
+    def _state(self, held):
+        outer = self
+
+        class State:
+            def __getattr__(self, name):
+                def call(*given):
+                    outer.calls += 1
+                    if name in ("getValue", "get"):
+                        return held.get(given[0] if given else ())
+                    if name in ("updateValue", "update"):
+                        held[given[0] if len(given) == 2 else ()] = given[-1]
+                    elif name == "removeKey":
+                        del held[given[0]]
+                    elif name == "clear":
+                        held.clear()
+                    else:
+                        return list(held)
+                return call
+
+        return State()
+
+
+@pytest.mark.parametrize("n,mixed", [(3, 0), (3, 400), (600, 400)])
+def test_admission_state_is_touched_by_the_piece(n, mixed):
+    """One key, 6,000 events in 6 batches, out of order by up to ``mixed`` seconds."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rng = random.Random(n)
+    rows = [(k, 1, BASE + dt.timedelta(seconds=k + rng.randint(0, mixed))) for k in range(6000)]
+    judge, handle, got, most = admission.Admit("user_id", "event_id", "ts", "bigint", 300 * 10**6, n), Handle(), {}, 0
+    judge.init(handle)
+    for batch in range(7):
+        part = rows[batch * 1000 : batch * 1000 + 1000]
+        rng.shuffle(part)
+        if part:
+            judge.handleInputRows((1,), iter([pd.DataFrame(part, columns=["event_id", "user_id", "ts"])]), None)
+        # All times are UTC; at the end the watermark passes everything.
+        reached = int(BASE.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) + (batch + 1) * 1_000_000 + (10**8 if batch == 6 else 0)
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: reached)
+        while fired := [t for t in handle.timers if t < reached]:
+            for out in judge.handleExpiredTimer((1,), now, SimpleNamespace(getExpiryTimeInMs=lambda: min(fired))):
+                got.update(zip(out["event_id"], out["accepted"]))
+            handle.timers.remove(min(fired))
+    assert got == brute_force(rows, dt.timedelta(minutes=5), n)
+    assert handle.calls < 600  # a call per event would be 6,000
+
+
 @pytest.mark.parametrize("name", ["exact_match", "rouge"])
 def test_stream_scoring_equals_batch_and_restarts(spark, tmp_path, name):
     source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "ck"))
