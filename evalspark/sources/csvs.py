@@ -21,7 +21,7 @@ def read_csv_rows(spark: SparkSession, path: str | list[str], multiline: bool =
     """Data rows as ``row_index, cells``; a row of another width than the header fails the job.
 
     Files are split. Line breaks inside quotes need ``multiline``, which splits files too, at the
-    price of one shuffle (``records``); without it such a row has the wrong width and fails the job.
+    price of a second pass (``records``); without it such a row has the wrong width and fails the job.
     """
     if multiline:
         return _numbered(spark, path, lambda cells: F.lit(True), "row_index")

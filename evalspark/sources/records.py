@@ -3,8 +3,8 @@
 A line break ends a record where the quotes before it are even in number. So each block needs one
 bit from the blocks before it: whether it begins inside quotes. Quotes are counted per block first,
 a prefix sum over the counts (one row per block) gives the bits, and then every block cuts its own
-lines into records. Only a record that crosses into other blocks has its pieces brought together,
-at most two pieces per block. Lines are shuffled once, by block.
+lines into records, as the scan reads them. Only a record that crosses into other blocks has its
+pieces brought together, at most two pieces per block. Lines are not shuffled.
 
 The format is strict, as in RFC 4180: a quote opens a field or is doubled inside a quoted one;
 records are as wide as the header. Anything else fails the job. Lines end in LF or CRLF; an empty
@@ -13,8 +13,11 @@ line is no record.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +48,87 @@ def block_pieces(lines: DataFrame, states: DataFrame) -> DataFrame:
     """(_file, _block, _record, text, edge): the records of every block, numbered from 1 in it.
     Number 0 is what a block begins with of an earlier block's record. ``edge`` marks pieces
     whose record goes on in, or comes from, another block."""
-    inside = Window.partitionBy(*BLOCK).orderBy("_line")
-    known = F.when(F.col("_open").isNull(), F.raise_error(F.lit("blocks changed between two passes"))).otherwise(F.col("_open"))
-    before = known + F.coalesce(F.sum("_odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = (
-        lines.withColumn("_odd", quotes(F.col("value")) % 2).join(states, BLOCK, "left")
-        .withColumn("_begins", (before % 2 == 0).cast("int"))
-        .withColumn("_record", F.sum("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    return marked.groupBy(*BLOCK, "_record").agg(
-        joined(F.collect_list(F.struct("_line", "value"))).alias("text"), ((F.col("_record") == 0) | (F.sum("_odd") % 2 == 1)).alias("edge")
-    )
+    # Sorted behind the join: the optimizer takes a sort before it away.
+    return cut_in_order(with_states(lines, states).repartition(*BLOCK).sortWithinPartitions(*BLOCK, "_line"))
+
+
+def with_states(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """Add ``_open`` of their block to lines, which stay where they are: one row per block is sent to all."""
+    return lines.join(F.broadcast(states), BLOCK, "left").select(*BLOCK, "_line", "_open", "value")
+
+
+def cut_in_order(opened: DataFrame) -> DataFrame:
+    """``block_pieces`` of lines that come block after block and in order in their tasks, as a scan
+    gives them. The pieces come in the same order. A task holds one batch of lines and the
+    record that is not at its end yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = None
+        for batch in batches:
+            blocks = pa.StructArray.from_arrays(batch.columns[:2], BLOCK)
+            at = 0
+            while at < batch.num_rows:
+                block = blocks[at].as_py()
+                here = pc.and_(pc.equal(batch.column(0), block["_file"]), pc.equal(batch.column(1), block["_block"])).to_numpy(zero_copy_only=False)[at:]
+                n = len(here) if here.all() else int(here.argmin())
+                part = batch.slice(at, n)
+                if cutter is None or cutter.block != block:
+                    if cutter is not None:
+                        yield from cutter.end()
+                    cutter = Cutter(block, part.column("_open")[0].as_py())
+                yield from cutter.cut(part.column("_line").to_numpy(), part.column("value"))
+                at += n
+        if cutter is not None:
+            yield from cutter.end()
+
+    return opened.mapInArrow(run, "_file string, _block bigint, _record bigint, text string, edge boolean")
+
+
+class Cutter:
+    """Cuts the lines of one block, which come in order, into records."""
+
+    def __init__(self, block: dict, opened: int | None):
+        if opened is None:
+            raise ValueError("blocks changed between two passes")
+        self.block, self.open, self.record, self.last = block, opened, 0, -1
+        self.held: list[str] = []  # of the record that goes on
+
+    def cut(self, at: np.ndarray, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+        if at[0] <= self.last or (np.diff(at) <= 0).any():
+            raise ValueError("lines out of order")
+        self.last = at[-1]
+        odd = pc.count_substring(lines, '"').to_numpy() % 2
+        after = (self.open + odd.cumsum()) % 2  # 1: inside quotes behind the line
+        ends = np.flatnonzero(after == 0) + 1
+        begin = 0
+        if self.open and len(ends):  # the record that was open ends here
+            begin = int(ends[0])
+            text = "\n".join([*self.held, *lines[:begin].to_pylist()])
+            self.held = []
+            yield self._rows([text], self.record == 0)
+        whole = ends[1:] if begin else ends
+        if len(whole):
+            offsets = pa.array(np.concatenate([[begin], whole]), pa.int32())
+            yield self._rows(pc.binary_join(pa.ListArray.from_arrays(offsets, lines), "\n"), False, int(self.record) + 1)
+            self.record += len(whole)
+        if after[-1]:
+            rest = int(ends[-1]) if len(ends) else 0
+            if not self.open or len(ends):
+                self.record += 1
+            self.held += lines[rest:].to_pylist()
+        self.open = int(after[-1])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield self._rows(["\n".join(self.held)], True)
+
+    def _rows(self, texts, edge: bool, first: int | None = None) -> pa.RecordBatch:
+        n, first = len(texts), self.record if first is None else first
+        return pa.RecordBatch.from_pydict({
+            "_file": pa.array([self.block["_file"]] * n, pa.string()), "_block": pa.array([self.block["_block"]] * n, pa.int64()),
+            "_record": pa.array(np.arange(first, first + n), pa.int64()), "text": pa.array(texts, pa.string()) if isinstance(texts, list) else texts,
+            "edge": pa.array([edge] * n, pa.bool_()),
+        })
 
 
 def joined(lines: Column) -> Column:
@@ -99,19 +172,19 @@ def is_header() -> Column:
 
 
 def positioned_cells(spark: SparkSession, path: str | list[str], width: int, usable: Callable[[Column], Column]) -> DataFrame:
-    """(cells, _file, _block, _at) of the usable data records; ``_at`` numbers them from 0 within
-    the block they begin in, without gaps. Headers and empty lines are left out. The lines are read
-    twice, the records stored once."""
+    """(cells, _file, _block, _at) of the usable data records; ``_at`` numbers them within the block they
+    begin in, from any number on, without gaps. Headers and empty lines are left out. The lines are
+    read twice and never shuffled, the records stored once."""
     lines = text_lines(spark, path)
-    pieces = block_pieces(lines, block_states(lines))
+    pieces = cut_in_order(with_states(lines, block_states(lines)))
     edge = F.col("edge")
     ready = pieces.withColumn("text", F.when(edge, F.col("text")).otherwise(strict(F.col("text")))).where(edge | ~is_header() & (F.col("text") != ""))
     known = with_cells(ready, width, ~edge).where(edge | usable(F.col("cells")))
-    # Still dealt by block, so this needs no shuffle. Pieces of records that cross blocks come last.
-    at = F.row_number().over(Window.partitionBy(*BLOCK).orderBy("edge", "_record")).cast("long") - 1
-    kept = stored(known.select(*BLOCK, "_record", F.when(edge, F.col("text")).alias("text"), "cells", "edge", at.alias("_at")), "csv-records")
+    # Still in the order of the scan. A block's pieces of other blocks' records are its first and last
+    # rows, so the ids of those between them grow by one.
+    kept = stored(known.select(*BLOCK, "_record", F.when(edge, F.col("text")).alias("text"), "cells", "edge", F.monotonically_increasing_id().alias("_at")), "csv-records")
     whole = kept.where(~edge).select("cells", *BLOCK, "_at")
-    counts = kept.where(~edge).groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_at"))
+    counts = kept.where(~edge).groupBy(*BLOCK).agg((F.max("_at") + 1).alias("_at"))
     crossing = stitched(kept.where(edge)).withColumn("text", strict(F.col("text"))).where(~is_header() & (F.col("text") != ""))
     # One such record at most begins in a block, after all others.
     more = with_cells(crossing, width).where(usable(F.col("cells"))).join(counts, BLOCK, "left")

@@ -109,6 +109,20 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path, block):
     assert len(got(spark, path)) == 4000
 
 
+def test_records_are_cut_where_their_lines_are_read(spark, tmp_path, block, capfd):
+    """No shuffle or sort of the records: a task never holds a block's lines, however many."""
+    text = "a,b,c\n" + "".join(f'meta,"d\n{k}",x\n' for k in range(500))
+    path = put(tmp_path / "a.csv", text)
+    block(2048)
+    lines = records.text_lines(spark, path)
+    states = records.block_states(lines)
+    capfd.readouterr()
+    records.cut_in_order(records.with_states(lines, states)).explain()
+    plan = capfd.readouterr().out
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Exchange hash", "Sort", "Window"))
+    assert got(spark, path) == truth(text)
+
+
 @pytest.mark.parametrize("bad", ['a,b\nmeta,"x\n', 'a,b\nmeta,x"y"\n', 'a,b\nmeta,"x"y\n', "a,b\nmeta\n", "a,b\nmeta,x,y\n", 'a,b\nme"ta,x\nmeta,y"z\n'])
 def test_what_no_strict_reader_takes_fails(spark, tmp_path, bad):
     with pytest.raises(Exception):
