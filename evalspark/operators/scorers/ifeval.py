@@ -23,7 +23,6 @@ from evalspark.functions.text import (
     lines,
     paragraphs,
     relation_cmp,
-    rstrip,
     sentences,
     strip,
     word_count,
@@ -99,9 +98,9 @@ def _repeats_prompt(low: Column, a: _Args) -> Column:
     return (prompt != "") & _holds(collapse_ws(low), collapse_ws(prompt))
 
 
-def _ends_with(raw: Column, a: _Args) -> Column:
+def _ends_with(low: Column, a: _Args) -> Column:
     phrase = a.get("end_phrase")
-    return (phrase != "") & F.lower(rstrip(raw)).endswith(F.lower(strip(phrase)))
+    return (phrase != "") & low.endswith(F.lower(strip(phrase)))
 
 
 def _counted(count: Column, a: _Args, target: str) -> Column:
@@ -119,7 +118,7 @@ def _language(text: Column, a: _Args, detected: Column) -> Column:
     return (F.length(text) >= MIN_LANGUAGE_CHARS) & (F.lower(detected) == wanted)
 
 
-def _rules(raw: Column, text: Column, low: Column, detected: Column) -> dict:
+def _rules(text: Column, low: Column, detected: Column) -> dict:
     """``low`` is ``text`` in lower case; rules of ``COUNTING`` give ``_found``, the others a verdict. Check id (``:`` written ``_``) -> rule. Ids, argument names and limits are fixed values."""
     return {
         "detectable_format_title": lambda a: F.length(text).between(1, MAX_TITLE) & ~text.rlike(r"[\n\r]"),
@@ -149,7 +148,7 @@ def _rules(raw: Column, text: Column, low: Column, detected: Column) -> dict:
             F.transform(a.words("forbidden_words"), F.lower), F.lower(first_word(text))
         ),
         "start_end_constraints_keywords": lambda a: _edge_keyword(low, a),
-        "startend_end_checker": lambda a: _ends_with(raw, a),
+        "startend_end_checker": lambda a: _ends_with(low, a),
         "startend_quotation": lambda a: (F.length(text) >= 2) & text.startswith('"') & text.endswith('"'),
         "change_case_capital_word_frequency": lambda a: _capital_words(text, a),
         "change_case_english_lowercase": lambda a: text == low,
@@ -175,19 +174,26 @@ def check(instruction_id: Column, kwarg: Column, raw: Column, text: Column, low:
     one instruction, and the count or share that was compared. Unknown ids and missing arguments
     fail, and ``note`` says so."""
     detected = F.lit(None).cast("string") if detected is None else detected
-    name = F.replace(instruction_id, F.lit(":"), F.lit("_"))
-    found = complete = None
-    for rule_id, rule in _rules(raw, text, low, detected).items():
+    return bind(F.replace(instruction_id, F.lit(":"), F.lit("_")), lambda name: _judged(name, kwarg, text, low, detected))
+
+
+def _judged(name: Column, kwarg: Column, text: Column, low: Column, detected: Column) -> Column:
+    """One choice of the rule: its verdict and whether its arguments are there come out together."""
+    found = None
+    for rule_id, rule in _rules(text, low, detected).items():
         args = _Args(kwarg)
         verdict = rule(args) if rule_id in COUNTING else _found(rule(args))
         present = F.lit(True)
         for given in args.needed:
             present = present & given
-        verdict = F.when(present, verdict) if args.needed else verdict
+        verdict = F.struct(present.alias("complete"), (F.when(present, verdict) if args.needed else verdict).alias("verdict"))
         found = F.when(name == rule_id, verdict) if found is None else found.when(name == rule_id, verdict)
-        complete = F.when(name == rule_id, present) if complete is None else complete.when(name == rule_id, present)
-    note = F.when(complete.isNull(), UNKNOWN).when(~complete, INCOMPLETE)
-    return bind(found, lambda f: F.struct(F.coalesce(f["passed"], F.lit(False)).alias("passed"), f["measured"].alias("measured"), note.alias("note")))
+
+    def told(f: Column) -> Column:
+        note = F.when(f["complete"].isNull(), UNKNOWN).when(~f["complete"], INCOMPLETE)
+        return F.struct(F.coalesce(f["verdict"]["passed"], F.lit(False)).alias("passed"), f["verdict"]["measured"].alias("measured"), note.alias("note"))
+
+    return bind(found, told)
 
 
 def _has_kwargs(kwarg: Column) -> Column:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalspark.operators.scorers.ifeval import ifeval_checks, ifeval_rollup
 from evalspark.operators.scoring import score
@@ -135,3 +136,24 @@ def test_breakdown_says_what_was_measured(spark):
     got = [(r.passed, r.measured, r.note) for r in row.details.instruction_breakdown]
     assert got == [(True, 3.0, None), (False, 60.0, None), (False, None, None), (False, None, "not implemented"), (False, None, "missing argument"), (False, 60.0, None)]
     assert (row.score, row.is_badcase) == (1 / 6, 1)
+
+
+def test_whitespace_class_is_the_whitespace(spark):
+    from evalspark.functions.text import LOOSE, S, WHITESPACE, collapse_ws
+
+    every = "".join(chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000)
+    row = spark.createDataFrame([(every,)], "t string").select(F.regexp_replace("t", S, "").alias("other"), F.regexp_replace("t", f"[^{S}]", "").alias("white"), F.regexp_replace("t", LOOSE, " ").alias("loose")).first()
+    assert row.white == "".join(sorted(WHITESPACE)) and row.other == "".join(c for c in every if c not in WHITESPACE)
+    assert len(row.loose) == len(every) - 4 - 4 - 10 - 1  # runs of 5, 5, 11 and 2 become one blank each
+    assert spark.range(1).select(collapse_ws(F.lit("a \u3000 b\t c  d e"))).first()[0] == "a b c d e"
+
+
+def test_one_choice_of_a_rule_says_what_is_missing(spark):
+    """A row names each rule once: the verdict and whether its arguments are there come together."""
+    from evalspark.operators.scorers.ifeval import check
+
+    text = F.lit("a b").alias("t")
+    found = check(F.col("id"), F.col("kwarg"), text, text, text)
+    rows = spark.createDataFrame([("punctuation:no_comma", {"x": "1"}), ("keywords:frequency", {"keyword": "a"}), ("no:rule", {"x": "1"}), ("startend:end_checker", {"end_phrase": " B "})], "id string, kwarg map<string,string>")
+    assert [tuple(r.f) for r in rows.select(found.alias("f")).collect()] == [(True, None, None), (False, None, "missing argument"), (False, None, "not implemented"), (True, None, None)]
+    assert str(found).count("punctuation_no_comma") == 1
